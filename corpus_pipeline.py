@@ -1,12 +1,54 @@
-"""The corpus pipeline; stages are added as their operators are ready."""
+"""The corpus pipeline: toxicity, line dedup, near-dedup, benchmark decontamination, packing.
+
+Every stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next stage's
+documents. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from wxspark.llm import op1_best_fit_packing as op1
+from wxspark.llm import op2_minhash_near_dedup as op2
+from wxspark.llm import op6_toxicity as op6
+from wxspark.llm import op9_line_dedup as op9
+from wxspark.llm import op10_benchmark_decontamination as op10
+from wxspark.llm.common import written
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go."""
+    return op6.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that stand earlier, but for two edits, go; no document goes."""
+    return op9.dedup(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, 0.8) stays."""
+    return op2.dedup(docs, *op2.STAGE)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return op10.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of what is left, placed in sequences of 1024."""
+    return op1.pack(docs)
+
+
+STAGES = [("toxicity", toxicity), ("line dedup", line_dedup), ("near dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
+#: Viterbi decoding, trained weights, alignment and packing are not SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents, each one's result written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wxspark.llm import op1_best_fit_packing as op1
 from wxspark.llm import op2_minhash_near_dedup as op2
+from wxspark.llm import op3_license_scan as op3
 from wxspark.llm import op4_substring_dedup as op4
+from wxspark.llm import op5_chat_formatting as op5
+from wxspark.llm import op6_toxicity as op6
+from wxspark.llm import op7_quality_rules as op7
+from wxspark.llm import op8_pii as op8
+from wxspark.llm import op9_line_dedup as op9
+from wxspark.llm import op10_benchmark_decontamination as op10
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,15 +28,43 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2.near_duplicates(_docs(spark, sf_dir), *op2.CONTRACT)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3.scan(_docs(spark, sf_dir))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4.dedup(_docs(spark, sf_dir))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5.digests(op5.examples(op5.with_probe(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6.score(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7.judge(_docs(spark, sf_dir))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8.find(_docs(spark, sf_dir))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9.judge(_docs(spark, sf_dir))
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10.hits(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 OP2_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 85 * (nx.n + ny.n - i)),
@@ -51,9 +86,15 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_
 """
 
 
+_QUERIES = (
+    op1_best_fit_packing, op2_minhash_near_dedup, op3_license_scan, op4_substring_dedup, op5_chat_formatting,
+    op6_toxicity, op7_quality_rules, op8_pii, op9_line_dedup, op10_benchmark_decontamination,
+)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_minhash_near_dedup, op4_substring_dedup)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql():
-    return {"op2_minhash_near_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL}
+    return {"op2_minhash_near_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op5_chat_formatting": op5.SQL, "op7_quality_rules": op7.SQL}
