@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wxspark.plans import climo
+from wxspark.plans import climo, readers
 
-_MODULES = (climo,)
+_MODULES = (climo, readers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
