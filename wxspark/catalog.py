@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wxspark.plans import climo, readers
+from wxspark.plans import climo, forecasts, readers, scores, temporal
 
-_MODULES = (climo, readers)
+_MODULES = (climo, forecasts, readers, scores, temporal)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
