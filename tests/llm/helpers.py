@@ -73,3 +73,56 @@ def corpus(seed, n=120):
             text = r.choice(["", None, " \t\n", "one", "Two words", "A b\x0bc\x0cd\r\ne " * 30, "   x" * 40])
         docs.append((i * 7 % n, text))
     return docs
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
+def line_dedup(docs, edits, min_chars):
+    rows = sorted({(d, i + 1, l) for d, t in docs if t is not None for i, l in enumerate(t.split("\n"))})
+    first = {}
+    for d, i, l in rows:
+        first.setdefault(l, (d, i))
+    long_ = [l for l in first if len(l) >= min_chars]
+    near = {l: [m for m in long_ if m != l and abs(len(l) - len(m)) <= edits and edit_distance(l, m) <= edits] for l in long_}
+    out = {}
+    for d, i, l in rows:
+        others = near.get(l, [])
+        early = min([first[l], *(first[m] for m in others)])
+        out[d, i] = (*first[l], len(others), not (SPACE.search(l) and early < (d, i)))
+    return out
+
+
+def base_spans(text):
+    """The contract's patterns, as they stand."""
+    text, out = text or "", []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = [int(c) for c in m[0] if c in "0123456789"]
+        total = sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(reversed(digits)))
+        if 14 <= len(digits) <= 19 and total % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= sum(c in "0123456789" for c in m[0]) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def quality(text):
+    w = SPACE.findall(text or "")
+    windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    again = {g for g in windows if windows.count(g) > 1} if len(windows) < 400 else {g for g, n in __import__("collections").Counter(windows).items() if n > 1}
+    covered = {j for i, g in enumerate(windows) if g in again for j in range(i, i + 5)}
+    lines = [l for l in (text or "").split("\n") if SPACE.search(l)]
+    return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered), len(w) < 10 or 100 * len(covered) > 20 * len(w))

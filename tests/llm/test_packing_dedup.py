@@ -65,11 +65,14 @@ def test_near_duplicates_match_brute_force(spark, seed, words, percent):
     assert got == helpers.near_duplicates(docs, words, percent)
 
 
-def test_rest_blocks_find_what_star_rounds_leave(spark):
+def test_rest_blocks_find_what_star_rounds_leave(spark, monkeypatch):
     docs = helpers.corpus(5)
     small = frame(spark, docs)
     base = op2.written(op2.sketches(small, 3)).where("n_shingles > 0")
     reps = base.groupBy("c1", "c2", "n_shingles").agg(op2.F.min("doc_id").alias("doc_id")).join(base.select("doc_id", "sketch"), "doc_id")
+    monkeypatch.setattr(op2, "ALL_PAIRS", 1)
+    monkeypatch.setattr(op2, "SHORT", 2)
+    monkeypatch.setattr(op2, "LIST_BLOCK", 4)
     label = {r.node: r.component for r in op2.links(reps, small, 3, 85, rounds=1).collect()}
     want = helpers.near_duplicates([d for d in docs if d[0] in {r.doc_id for r in reps.collect()}], 3, 85)
     assert all(label.get(d, d) == w[1] for d, w in want.items())
