@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wxspark.plans import climo, forecasts, readers, scores, temporal
+from wxspark.plans import climo, forecasts, readers, reports, scores, temporal, writes
 
-_MODULES = (climo, forecasts, readers, scores, temporal)
+_MODULES = (climo, forecasts, readers, reports, scores, temporal, writes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
