@@ -47,6 +47,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def semi(rows: DataFrame, ids: DataFrame, on: str, most: int = 2_000_000) -> DataFrame:
+    """rows whose id is among ids (distinct, written): ids are sent to the tasks if they are at most `most`, else joined."""
+    few = ids.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(ids) if few else ids, on, "left_semi")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds the rows, and so the bytes, of one Arrow batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -129,7 +135,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = WHITE, lower: bool = False):
         self.data = LOWER[data] if lower else data
-        word = ~separator[data]
+        word = ~separator[self.data]
         start, end = word.copy(), word.copy()
         start[1:] &= ~word[:-1]
         end[:-1] &= ~word[1:]
