@@ -19,7 +19,7 @@ def frame(spark, docs):
 
 @pytest.mark.parametrize("capacity", [64, 1024])
 def test_packing_is_exact_and_tight(spark, capacity):
-    docs = helpers.corpus(3) + [(9000, "x<|endoftext|>y " * 50), (9001, "word " * 5000), (9001, "word " * 5000), (9002, " " * 3000), (9003, "a" * 3000)]
+    docs = helpers.corpus(3) + [(9000, "x<|endoftext|>y " * 50), (9001, "word " * 5000), (9001, "word " * 5000), (9002, " " * 3000), (9003, "a" * 3000), (9004, " " * 1_000_000 + "x")]
     rows = op1.pack(frame(spark, docs), capacity).collect()
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     want = []
@@ -71,7 +71,6 @@ def test_rest_blocks_find_what_star_rounds_leave(spark, monkeypatch):
     base = op2.written(op2.sketches(small, 3)).where("n_shingles > 0")
     reps = base.groupBy("c1", "c2", "n_shingles").agg(op2.F.min("doc_id").alias("doc_id")).join(base.select("doc_id", "sketch"), "doc_id")
     monkeypatch.setattr(op2, "ALL_PAIRS", 1)
-    monkeypatch.setattr(op2, "SHORT", 2)
     monkeypatch.setattr(op2, "LIST_BLOCK", 4)
     label = {r.node: r.component for r in op2.links(reps, small, 3, 85, rounds=1).collect()}
     want = helpers.near_duplicates([d for d in docs if d[0] in {r.doc_id for r in reps.collect()}], 3, 85)

@@ -42,6 +42,21 @@ def _encoder(ranks_path: str, pattern: str):
     return tiktoken.Encoding("byte_bpe_50k", pat_str=pattern, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
 
 
+@lru_cache(maxsize=2)
+def _reference(json_path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(json_path)
+
+
+def encode(text: str, ranks_path: str, pattern: str, json_path: str) -> list[int]:
+    """Token ids; very long runs of white space, which the fast encoder refuses, go to the slow one."""
+    try:
+        return _encoder(ranks_path, pattern).encode(text, allowed_special="all", disallowed_special=())
+    except ValueError:
+        return _reference(json_path).encode(text, add_special_tokens=False).ids
+
+
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: full ones, the remainder first."""
     first = n % capacity or min(n, capacity)
@@ -52,14 +67,13 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Every document's token pieces with the checksum of their ids."""
     import public_tokenizers as P
 
-    path, pattern = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    files = P.path("byte_bpe_50k.tiktoken"), P.PATTERN, P.path("byte_bpe_50k.json")
 
     def run(batches):
-        encoder = _encoder(path, pattern)
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(np.array(encoder.encode(text or "", allowed_special="all", disallowed_special=()), "<u4"), np.uint32(END_ID)).astype("<u4")
+                ids = np.append(np.array(encode(text or "", *files), "<u4"), np.uint32(END_ID)).astype("<u4")
                 rows.extend((doc, k, at, n, zlib.crc32(ids[at : at + n].tobytes())) for k, (at, n) in enumerate(cut(len(ids), capacity)))
             a = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(a[0], pa.int64()), pa.array(a[1], pa.int32()), *(pa.array(x, pa.int64()) for x in a[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
