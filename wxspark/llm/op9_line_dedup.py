@@ -1,10 +1,11 @@
 """Line dedup: an edit-distance join of lines by segment partitions, in DataFrame and SQL operations only.
 
-Lines are those between line feeds. Equal lines are one class, told apart by 96 hash bits. A class of at least
-MIN_CHARS code points is cut into EDITS + 1 segments. Two lines within EDITS edits share a whole segment, at a place
-that their lengths bound, so the segments (index) are joined with those substrings of equally long or longer
-lines that may meet them (probes). Pairs that meet are verified by Spark's banded edit distance. Each line's
-links are the other texts within EDITS edits; shorter lines are linked with equal lines only.
+Lines are those between line feeds. Equal lines are one class; 64 hash bits and the text, or 96 hash bits, tell
+classes apart. A line of at least MIN_CHARS code points is cut into EDITS + 1 segments. Two lines within EDITS edits
+share a whole segment, at a place that their lengths bound, so the segments (index) are joined with those
+substrings of equally long or longer lines that may meet them (probes). Pairs that meet are verified by Spark's
+edit distance with a threshold, which is banded. A line's links are the other texts within EDITS edits; shorter
+lines are linked with equal lines only.
 
 A line goes if an equal or linked line stands earlier, by (doc_id, line_no), in the input. Lines without a word
 always stay.
@@ -22,16 +23,21 @@ from pyspark.sql import functions as F
 EDITS, MIN_CHARS = 2, 32
 
 
-def lines(docs: DataFrame, with_text: bool = True) -> DataFrame:
+def lines(docs: DataFrame) -> DataFrame:
     """Each line's place and identity; line_no counts from 1."""
     at = docs.select(F.col("doc_id").cast("long"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
-    ids = at.select("doc_id", (F.col("line_no") + 1).cast("long").alias("line_no"), F.xxhash64("line").alias("h1"), F.hash("line", F.lit(17)).alias("h2"), "line")
-    return ids if with_text else ids.select("doc_id", "line_no", "h1", "h2", F.col("line").rlike(r"[^ \t\n\x0B\f\r]").alias("has_word"))
+    return at.select("doc_id", (F.col("line_no") + 1).cast("long").alias("line_no"), F.xxhash64("line").alias("h1"), F.hash("line", F.lit(17)).alias("h2"), "line")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """One row a distinct line: its text and the place it stands first."""
-    return lines(docs).groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min(F.struct("doc_id", "line_no")).alias("first")).withColumn("n", F.char_length("line"))
+def texts(docs: DataFrame) -> DataFrame:
+    """One row a distinct line (h1, h2, line, n). All uses of it have this very plan, so Spark shuffles the texts once."""
+    found = lines(docs).groupBy("h1").agg(F.collect_set("line").alias("same"))
+    return found.select("h1", F.explode("same").alias("line")).select("h1", F.hash("line", F.lit(17)).alias("h2"), "line", F.char_length("line").alias("n"))
+
+
+def places(docs: DataFrame) -> DataFrame:
+    """Where each distinct line stands first; null if only in rows without a doc_id."""
+    return lines(docs).groupBy("h1", "h2").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "line_no"))).alias("first"))
 
 
 def _segment(i: int, k: int, n: str) -> tuple[str, str]:
@@ -60,26 +66,24 @@ def _probe_keys(edits: int) -> str:
 
 
 def links(found: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Linked classes, both ways: (h1, h2) and the place where its partner stands first."""
+    """Linked lines, both ways: (h1, h2) and its partner (o1, o2)."""
     long_ = found.where(F.col("n") >= min_chars)
-    index = long_.select(F.explode(F.expr(_index_keys(edits))).alias("key"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
-    probe = found.where(F.col("n") >= min_chars).select(F.explode(F.expr(_probe_keys(edits))).alias("p"), F.col("h1").alias("b1"), F.col("h2").alias("b2")).select("p.key", "p.less", "b1", "b2")
-    ordered = (F.col("less") > 0) | (F.struct("a1", "a2") < F.struct("b1", "b2"))
-    pairs = index.join(probe, "key").where(ordered).select("a1", "a2", "b1", "b2").distinct()
-    a, b = (found.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"{x}_line"), F.col("first").alias(f"{x}_first")) for x in "ab")
-    near = pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).where(F.levenshtein("a_line", "b_line", edits) >= 0)
-    return near.select(F.explode(F.array(
-        F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.col("b_first").alias("other")),
-        F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"), F.col("a_first").alias("other")),
-    )).alias("x")).select("x.*")
+    index = long_.select(F.explode(F.expr(_index_keys(edits))).alias("key"), F.col("h1").alias("a1"))
+    probe = long_.select(F.explode(F.expr(_probe_keys(edits))).alias("p"), F.col("h1").alias("b1")).select("p.key", "p.less", "b1")
+    ordered = (F.col("less") > 0) & (F.col("a1") != F.col("b1")) | (F.col("a1") < F.col("b1"))
+    pairs = index.join(probe, "key").where(ordered).select(F.least("a1", "b1").alias("a1"), F.greatest("a1", "b1").alias("b1")).distinct()
+    a, b = (found.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"{x}_line"), F.col("n").alias(f"{x}_n")) for x in "ab")
+    near = pairs.join(a, "a1").join(b, "b1").where((F.col("a_n") >= min_chars) & (F.col("b_n") >= min_chars) & (F.levenshtein("a_line", "b_line", edits) >= 0))
+    return near.select(F.explode(F.array(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.col("b1").alias("o1"), F.col("b2").alias("o2")), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"), F.col("a1").alias("o1"), F.col("a2").alias("o2")))).alias("x")).select("x.*")
 
 
 def judge(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row a line: doc_id, line_no, its class (first place of the same text), n_links (other texts linked), kept."""
-    found = classes(docs)
-    linked = links(found, edits, min_chars).groupBy("h1", "h2").agg(F.count("*").alias("n_links"), F.min("other").alias("other"))
-    told = found.select("h1", "h2", "first").join(linked, ["h1", "h2"], "left")
-    out = lines(docs, with_text=False).join(told, ["h1", "h2"])
+    first = places(docs)
+    other = first.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("first").alias("other"))
+    linked = links(texts(docs), edits, min_chars).join(other, ["o1", "o2"]).groupBy("h1", "h2").agg(F.count("*").alias("n_links"), F.min("other").alias("other"))
+    told = first.join(linked, ["h1", "h2"], "left")
+    out = lines(docs).select("doc_id", "line_no", "h1", "h2", F.col("line").rlike(r"[^ \t\n\x0B\f\r]").alias("has_word")).join(told, ["h1", "h2"])
     place = F.struct("doc_id", "line_no")
     gone = F.col("has_word") & F.col("doc_id").isNotNull() & F.coalesce((F.col("first") < place) | (F.coalesce("other", "first") < place), F.lit(False))
     return out.select("doc_id", "line_no", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (~gone).alias("kept"))
@@ -89,23 +93,9 @@ def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
     """The documents without the lines that go; n_chars, where there is such a column, counts the new text."""
     gone = judge(docs, edits, min_chars).where("not kept").groupBy(F.col("doc_id").alias("_doc_id")).agg(F.collect_set("line_no").alias("_gone"))
     joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc_id"), "left")
-    kept = F.expr("array_join(transform(array_except(sequence(1L, cast(size(split(text, '\\n')) as bigint)), _gone), i -> element_at(split(text, '\\n'), cast(i as int))), '\\n')")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.expr("element_at(transform(array(split(text, '\\n')), l -> array_join(transform(array_except(sequence(1L, cast(size(l) as bigint)), _gone), i -> element_at(l, cast(i as int))), '\\n')), 1)"))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return out.select(*docs.columns)
 
-
-SQL = r"""
-WITH l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS line_no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
-c AS (SELECT line, min((doc_id, line_no)) AS f, length(line) AS n FROM l GROUP BY line),
-s AS (SELECT line, f, n, unnest([1, 2, 3]) AS i FROM c WHERE n >= 32),
-near AS (SELECT DISTINCT a.line AS x, a.f AS xf, b.line AS y, b.f AS yf FROM c a JOIN c b ON a.n >= 32 AND b.n BETWEEN a.n AND a.n + 2 AND a.line <> b.line
-  AND (left(a.line, 10) = left(b.line, 10) OR right(a.line, 10) = right(b.line, 10) OR a.n < 1000) AND levenshtein(a.line, b.line) <= 2),
-ways AS (SELECT x AS line, yf AS other FROM near UNION SELECT y, xf FROM near),
-k AS (SELECT line, count(*) AS n_links, min(other) AS other FROM ways GROUP BY line)
-SELECT doc_id, line_no, c.f[1] AS class_doc_id, c.f[2] AS class_line_no, coalesce(n_links, 0) AS n_links,
-  NOT (regexp_matches(l.line, '[^\x20\x09-\x0D]') AND (c.f < (doc_id, line_no) OR coalesce(k.other < (doc_id, line_no), false))) AS kept
-FROM l JOIN c USING (line) LEFT JOIN k USING (line)
-"""
