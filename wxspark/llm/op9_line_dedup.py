@@ -1,11 +1,12 @@
 """Line dedup: an edit-distance join of lines by segment partitions, in DataFrame and SQL operations only.
 
-Lines are those between line feeds. Equal lines are one class; 64 hash bits and the text, or 96 hash bits, tell
-classes apart. A line of at least MIN_CHARS code points is cut into EDITS + 1 segments. Two lines within EDITS edits
-share a whole segment, at a place that their lengths bound, so the segments (index) are joined with those
-substrings of equally long or longer lines that may meet them (probes). Pairs that meet are verified by Spark's
-edit distance with a threshold, which is banded. A line's links are the other texts within EDITS edits; shorter
-lines are linked with equal lines only.
+Lines are those between line feeds. Equal lines are one class. An identity has 40 hash bits and counts of frequent
+letters, which bound the edits between two lines from below; the text, or 32 more hash bits, tell lines of one
+identity apart. A line of at least MIN_CHARS code points is cut into EDITS + 1 segments. Two lines within EDITS
+edits share a whole segment, at a place that their lengths bound, so the segments (index) are joined with those
+substrings of equally long or longer lines that may meet them (probes). Pairs that meet within the letters' bound
+are verified by Spark's edit distance with a threshold, which is banded. A line's links are the other texts
+within EDITS edits; shorter lines are linked with equal lines only.
 
 A line goes if an equal or linked line stands earlier, by (doc_id, line_no), in the input. Lines without a word
 always stay.
@@ -17,16 +18,40 @@ an empty table gives no rows; other columns stay as they are in `dedup` and are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EDITS, MIN_CHARS = 2, 32
+#: Letters whose counts modulo 8 are the low bits of a line's identity.
+COUNTED = "aehinort"
+_COUNT_BITS = 3 * len(COUNTED)
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """Each line's place and identity; line_no counts from 1."""
     at = docs.select(F.col("doc_id").cast("long"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
-    return at.select("doc_id", (F.col("line_no") + 1).cast("long").alias("line_no"), F.xxhash64("line").alias("h1"), F.hash("line", F.lit(17)).alias("h2"), "line")
+    return at.select("doc_id", (F.col("line_no") + 1).cast("long").alias("line_no"), _identity().alias("h1"), F.hash("line", F.lit(17)).alias("h2"), "line")
+
+
+def _identity() -> Column:
+    """40 hash bits and the letter counts: a function of the line; different lines with one identity are told apart later."""
+    counts = F.lit(0).cast("long")
+    for i, c in enumerate(COUNTED):
+        n = (F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(c), F.lit("")))).cast("long")
+        counts = counts.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(7)), 3 * i))
+    return F.shiftleft(F.xxhash64("line"), _COUNT_BITS).bitwiseOR(counts)
+
+
+def _within_counts(a: str, b: str, edits: int) -> Column:
+    """An edit adds one letter at most and takes one away at most, so neither sum over the letters exceeds the edits."""
+    if edits > 3:  # counts are known modulo 8
+        return F.lit(True)
+    more, less = F.lit(0), F.lit(0)
+    for i in range(len(COUNTED)):
+        x, y = (F.shiftright(F.col(c), 3 * i).bitwiseAND(F.lit(7)).cast("int") for c in (a, b))
+        d = (x - y + 8).bitwiseAND(F.lit(7))
+        more, less = more + F.when(d < 4, d).otherwise(0), less + F.when(d > 4, 8 - d).otherwise(0)
+    return (more <= edits) & (less <= edits)
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -54,24 +79,26 @@ def _index_keys(edits: int) -> str:
     return f"array({', '.join(out)})"
 
 
-def _probe_keys(edits: int) -> str:
-    """Keys of the substrings that may meet a segment of a line shorter by 0 .. edits code points."""
-    k, out = edits + 1, []
+def _probe_keys(edits: int) -> tuple[str, int]:
+    """Keys of the substrings that may meet a segment of a line shorter by 0 .. edits code points; how many are for 0."""
+    k, out, even = edits + 1, [], 0
     for less in range(edits + 1):
         for i in range(1, k + 1):
             start, size = _segment(i, k, f"(n - {less})")
             for move in range(max(1 - i, less - (k - i)), min(i - 1, less + k - i) + 1):
-                out.append(f"if({start} + {move} between 1 and n - {size} + 1, named_struct('key', xxhash64(n - {less}, {i}, substring(line, {start} + {move}, {size})), 'less', {less}), null)")
-    return f"filter(array({', '.join(out)}), x -> x is not null)"
+                out.append(f"if({start} + {move} between 1 and n - {size} + 1, xxhash64(n - {less}, {i}, substring(line, {start} + {move}, {size})), null)")
+        even = even or len(out)
+    return f"array({', '.join(out)})", even
 
 
 def links(found: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Linked lines, both ways: (h1, h2) and its partner (o1, o2)."""
     long_ = found.where(F.col("n") >= min_chars)
+    keys, even = _probe_keys(edits)
     index = long_.select(F.explode(F.expr(_index_keys(edits))).alias("key"), F.col("h1").alias("a1"))
-    probe = long_.select(F.explode(F.expr(_probe_keys(edits))).alias("p"), F.col("h1").alias("b1")).select("p.key", "p.less", "b1")
-    ordered = (F.col("less") > 0) & (F.col("a1") != F.col("b1")) | (F.col("a1") < F.col("b1"))
-    pairs = index.join(probe, "key").where(ordered).select(F.least("a1", "b1").alias("a1"), F.greatest("a1", "b1").alias("b1")).distinct()
+    probe = long_.select(F.posexplode(F.expr(keys)).alias("pos", "key"), F.col("h1").alias("b1")).where("key is not null").select("key", "b1", (F.col("pos") < even).alias("even"))
+    ordered = F.when(F.col("even"), F.col("a1") < F.col("b1")).otherwise(F.col("a1") != F.col("b1"))
+    pairs = index.join(probe, "key").where(ordered & _within_counts("a1", "b1", edits)).select(F.least("a1", "b1").alias("a1"), F.greatest("a1", "b1").alias("b1")).distinct()
     a, b = (found.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"{x}_line"), F.col("n").alias(f"{x}_n")) for x in "ab")
     near = pairs.join(a, "a1").join(b, "b1").where((F.col("a_n") >= min_chars) & (F.col("b_n") >= min_chars) & (F.levenshtein("a_line", "b_line", edits) >= 0))
     return near.select(F.explode(F.array(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.col("b1").alias("o1"), F.col("b2").alias("o2")), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"), F.col("a1").alias("o1"), F.col("a2").alias("o2")))).alias("x")).select("x.*")
