@@ -2,11 +2,12 @@
 
 1. A scan turns each text into its set of hashed word shingles and keeps the k smallest: the sketch. Documents
    with one and the same set are a class, stood for by its smallest doc_id.
-2. Inverted lists are kept of two retained values that follow each other in a sketch. Two sets above the
-   threshold share such a list: for sets within k always, else but for a chance of about 0.5 to the power k.
-3. Lists give candidate pairs. In star rounds each list is held against one member; lists whose members
-   are in one component are done. What stays is held against all of its list in blocks of bounded size, where
-   only pairs that pass the sketch estimate leave the block.
+2. Inverted lists are kept of two retained values that follow each other among a sketch's first KEYED. Two sets
+   above the threshold share such a list: for sets within KEYED always, else but for a chance of about 0.5 ** KEYED.
+3. Lists give candidate pairs. Short ones are paired at once. In long ones star rounds hold all members against
+   one; lists whose members are in one component are done, and what stays is held against all of its list in blocks
+   of bounded size. Documents of long lists know how many of their shingles no other document of long lists has;
+   this gives an exact upper bound of a pair's similarity, which spares the many loose members of a family.
 4. Pairs whose union sketch says that they may reach the threshold are verified on the full shingle sets.
 
 Defined cases: a null text is an empty one; an empty set is linked with nothing; repeated rows of a doc_id are
@@ -18,13 +19,16 @@ from __future__ import annotations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wxspark.llm.common import Words, components, hash_runs, list_array, mix, small_batches, text_steps, written
+from wxspark.llm.common import Words, components, hash_runs, list_array, mix, semi, small_batches, text_steps, written
 
-K, ROUNDS, LIST_BLOCK, MISS = 32, 3, 1000, 1e-9
+#: Sketch size, and how many of its values make lists; star rounds; lists of up to ALL_PAIRS members are paired at
+#: once, longer ones after the rounds in blocks of LIST_BLOCK members; chance that a pair is missed.
+K, KEYED, ROUNDS, ALL_PAIRS, LIST_BLOCK, MISS = 64, 32, 2, 8, 1000, 1e-9
 #: (shingle words, percent) of the contract's query and of stages without a contract.
 CONTRACT, STAGE = (3, 85), (5, 80)
 SKETCH = "doc_id long, n_shingles long, c1 long, c2 long, sketch array<long>"
@@ -64,26 +68,42 @@ def least_shared(k: int, percent: int, miss: float = MISS) -> int:
     return k
 
 
-def _may_link(a: str, b: str, na: str, nb: str, percent: int, k: int, least: int):
-    """Size ratio, and the shared part of the union sketch (exact where a sketch holds a whole set)."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
-    shared = F.size(F.array_intersect(F.array_intersect(a, b), union))
-    small = F.greatest(na, nb) <= k
-    whole = 100 * F.size(F.array_intersect(a, b)) >= percent * F.size(F.array_union(a, b))
-    ratio = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
-    return ratio & F.when(small, whole).otherwise(shared >= least)
+def _may_link(percent: int, k: int, least: int):
+    """The shared part of the union sketch suffices (exact where both sketches hold whole sets)."""
+    union = F.slice(F.array_sort(F.array_union("ka", "kb")), 1, k)
+    shared = F.size(F.array_intersect(F.array_intersect("ka", "kb"), union))
+    whole = 100 * F.size(F.array_intersect("ka", "kb")) >= percent * F.size(F.array_union("ka", "kb"))
+    return F.when(F.greatest("na", "nb") <= k, whole).otherwise(shared >= least)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _fits(na: str, ca: str, nb: str, cb: str, percent: int):
+    """Exact upper bound: n shingles, c of them not private. The intersection is at most the smaller c; the union holds both
+    private parts and the larger c."""
+    return 100 * F.least(ca, cb) >= percent * (F.col(na) - F.col(ca) + F.col(nb) - F.col(cb) + F.greatest(ca, cb))
+
+
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """doc_id and full shingle set of the documents named."""
 
     def run(batches):
         for rows, sets in shingle_sets(text_steps(batches), words):
             yield pa.RecordBatch.from_arrays([rows.column(0), list_array(sets, np.uint64)], names=["doc_id", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
-    sets = written(texts.mapInArrow(run, "doc_id long, set array<long>").dropDuplicates(["doc_id"]))
+    texts = semi(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), ids, "doc_id")
+    return texts.mapInArrow(run, "doc_id long, set array<long>")
+
+
+def _private(docs: DataFrame, crowd: DataFrame, words: int) -> DataFrame:
+    """How many shingles each document of a crowd has that no other one of it has."""
+    seen = _sets(docs, crowd, words).select("doc_id", F.explode("set").alias("shingle"))
+    alone = seen.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("most")).where("doc_id = most")
+    return crowd.join(alone.groupBy("doc_id").agg(F.count("*").alias("private")), "doc_id", "left").select("doc_id", F.coalesce("private", F.lit(0)).alias("private"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the threshold."""
+    wanted = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    sets = written(_sets(docs, wanted, words).dropDuplicates(["doc_id"]))
     a, b = (sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
@@ -92,66 +112,91 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 def links(reps: DataFrame, docs: DataFrame, words: int, percent: int, k: int = K, rounds: int = ROUNDS) -> DataFrame:
     """Component of each representative that is linked with another: rows (node, component)."""
     least = least_shared(k, percent)
-    lists = reps.where("n_shingles > 1").select("doc_id", F.explode(F.expr("transform(sequence(0, size(sketch) - 2), i -> xxhash64(sketch[i], sketch[i + 1]))")).alias("key"))
-    shared = lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    lists = written(lists.join(shared, "key"))
-    light = written(reps.join(lists.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch"))
+    keys = reps.where("n_shingles > 1").select("doc_id", F.explode(F.expr(f"transform(sequence(0, least(size(sketch), {KEYED}) - 2), i -> xxhash64(sketch[i], sketch[i + 1]))")).alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    found = written(keys.join(shared, "key"))
+    crowd = written(found.where(F.col("n") > ALL_PAIRS).select("doc_id").distinct())
+    known = semi(reps, written(found.select("doc_id").distinct()), "doc_id").join(_private(docs, crowd, words), "doc_id", "left")
+    light = written(known.select("doc_id", "n_shingles", (F.col("n_shingles") - F.coalesce("private", F.lit(0))).alias("common"), F.col("private").isNotNull().alias("crowd"), "sketch"))
+    lists = written(found.join(light.drop("sketch"), "doc_id"))
     label, edges, tested = None, None, None
     for turn in range(rounds + 1):
-        labelled = lists.withColumn("label", F.col("doc_id")) if label is None else lists.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
-        order = F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("leader"), F.col("label").alias("leader_label"))
-        open_ = labelled.groupBy("key").agg(F.min(order).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "lead.leader", "lead.leader_label")
-        members = labelled.join(open_, "key")
+        open_lists = lists if turn == 0 else lists.where(F.col("n") > ALL_PAIRS)
+        labelled = open_lists.withColumn("label", F.col("doc_id")) if label is None else open_lists.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
         if turn < rounds:
-            pairs = members.where("label <> leader_label").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = written(pairs)
-            tested = pairs if tested is None else tested.union(pairs)
-            a, b = (light.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab")
-            pairs = pairs.join(a, "a").join(b, "b").where(_may_link("ka", "kb", "na", "nb", percent, k, least)).select("a", "b")
+            # the leader: the member with the fewest private shingles, others in an order of the turn
+            order = F.struct(F.col("n_shingles") - F.col("common"), F.xxhash64("doc_id", F.lit(turn)), F.col("doc_id").alias("leader"), F.col("label").alias("leader_label"), F.col("n_shingles").alias("leader_n"), F.col("common").alias("leader_common"))
+            if turn:
+                order = F.struct(F.xxhash64("doc_id", F.lit(turn)), *(F.lit(0),), F.col("doc_id").alias("leader"), F.col("label").alias("leader_label"), F.col("n_shingles").alias("leader_n"), F.col("common").alias("leader_common"))
+            mixed = labelled.where(F.col("n") > ALL_PAIRS).groupBy("key").agg(F.min(order).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "lead.leader", "lead.leader_label", "lead.leader_n", "lead.leader_common")
+            star = labelled.join(mixed, "key").where((F.col("label") != F.col("leader_label")) & _fits("n_shingles", "common", "leader_n", "leader_common", percent))
+            pairs = star.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"))
+            if turn == 0:
+                pairs = pairs.union(_meet(labelled.where(F.col("n") <= ALL_PAIRS), percent))
         else:
-            pairs = _rest(members.select("key", "n", "doc_id", "label"), light, percent, k, least).join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs)
+            mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+            rest = written(labelled.join(mixed, "key").select("key", "n", "doc_id", "n_shingles", "common", "crowd", "label"))
+            pairs = _rest(rest, light, percent, k, least)
+        pairs = pairs.distinct()
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = pairs if tested is None else tested.union(pairs)
+        a, b = (light.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab")
+        pairs = written(pairs.join(a, "a").join(b, "b").where(_may_link(percent, k, least)).select("a", "b"))
         if not pairs.take(1):
             continue
-        found = _verified(pairs, docs, words, percent)
-        edges = written(found if edges is None else edges.union(found))
+        verified = _verified(pairs, docs, words, percent)
+        edges = written(verified if edges is None else edges.union(verified))
         label = components(edges)
     return label if label is not None else reps.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).limit(0)
 
 
+def _meet(members: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) within short lists whose labels differ and whose bound allows a link."""
+    x, y = (members.select("key", F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("common").alias(f"c{c}"), F.col("crowd").alias(f"w{c}"), F.col("label").alias(f"l{c}")) for c in "ab")
+    # what is private in the crowd may be shared with a document outside of it
+    bound = F.when(F.col("wa") & F.col("wb"), _fits("na", "ca", "nb", "cb", percent)).otherwise(_fits("na", "na", "nb", "nb", percent))
+    return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & bound).select("a", "b")
+
+
 def _rest(members: DataFrame, light: DataFrame, percent: int, k: int, least: int) -> DataFrame:
-    """All pairs of lists that still hold several components, block by block; only possible links leave a block.
+    """Pairs of long lists that still hold several components, block by block.
 
     A list's members are dealt to blocks of about LIST_BLOCK rows. Members outside the list's largest
-    component visit every block, so each pair with different labels meets at least once.
+    component visit every block, so each pair with different labels meets. Two documents that share several of
+    these lists are held against each other in the one with the smallest key, and only pairs within the bound and the
+    sketch estimate leave a block.
     """
     sizes = members.groupBy("key", "label").agg(F.count("*").alias("m"))
     main = sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("x")).select("key", F.col("x.label").alias("main"))
+    own = members.groupBy("doc_id").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # at most KEYED - 1 keys
     rows = members.join(main, "key").withColumn("blocks", F.ceil(F.col("n") / LIST_BLOCK).cast("int"))
     home = rows.select("key", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"), "doc_id", "label", F.lit(False).alias("visits"))
     visits = rows.where("label <> main").select("key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "doc_id", "label", F.lit(True).alias("visits"))
 
+    def padded(lists, width):
+        out = np.full((len(lists), width), np.iinfo(np.int64).max)
+        for row, values in zip(out, lists):
+            row[: len(values)] = values
+        return out
+
     def run(frame):
-        kept: list[tuple[int, int]] = []
         home, guests = frame[~frame["visits"]], frame[frame["visits"]]
-        if len(home):
-            labels, ids, sizes = (home[c].to_numpy() for c in ("label", "doc_id", "n_shingles"))
-            values = np.concatenate(home["sketch"].to_list())
-            owner = np.repeat(np.arange(len(home)), [len(s) for s in home["sketch"]])
-            for doc, label, n, sketch in zip(guests["doc_id"], guests["label"], guests["n_shingles"], guests["sketch"]):
-                shared = np.bincount(owner[np.isin(values, sketch)], minlength=len(home))
-                small = np.maximum(sizes, n) <= k
-                fits = np.where(small, 100 * shared >= percent * (sizes + n - shared), shared >= least)
-                ok = (labels != label) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)) & fits
-                kept.extend((min(doc, x), max(doc, x)) for x in ids[ok])
-        import pandas as pd
-
-        return pd.DataFrame({"a": np.array([x for x, _ in kept], np.int64), "b": np.array([x for _, x in kept], np.int64)})
-
-    full = home.union(visits).join(light, "doc_id")
-    return full.groupBy("key", "block").applyInPandas(run, "a long, b long").distinct()
+        labels, ids, sizes, common = (home[c].to_numpy() for c in ("label", "doc_id", "n_shingles", "common"))
+        keys, sketch, key = padded(home["keys"], KEYED), padded(home["sketch"], k), frame["key"].iloc[0]
+        a, b = [], []
+        for doc, label, n, c, gk, gs in guests[["doc_id", "label", "n_shingles", "common", "keys", "sketch"]].itertuples(index=False):
+            at = np.flatnonzero((labels != label) & (100 * np.minimum(common, c) >= percent * (sizes - common + n - c + np.maximum(common, c))))
+            if len(at):
+                at = at[~(np.isin(keys[at], gk[gk < key])).any(axis=1)]
+            if len(at):
+                shared = np.isin(sketch[at], gs).sum(axis=1)
+                at = at[np.where(np.maximum(sizes[at], n) <= k, 100 * shared >= percent * (sizes[at] + n - shared), shared >= least)]
+                a.append(np.minimum(ids[at], doc))
+                b.append(np.maximum(ids[at], doc))
+        return pd.DataFrame({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+
+    full = home.union(visits).join(light.select("doc_id", "n_shingles", "common", "sketch"), "doc_id").join(own, "doc_id")
+    return full.groupBy("key", "block").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = STAGE[0], percent: int = STAGE[1], k: int = K) -> DataFrame:

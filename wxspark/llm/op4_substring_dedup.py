@@ -97,7 +97,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     shared = level.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     live = level.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("live"))
     suffixes = written(_suffixes(docs.dropDuplicates(["doc_id"]).join(live, "doc_id"), window, anchor))
-    nodes = suffixes.groupBy("prefix").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("prefix", "least")
+    # written, so that both sides of the join are plain shuffles and Spark may split a hot prefix
+    nodes = written(suffixes.groupBy("prefix").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("prefix", "least"))
     marks = suffixes.join(nodes, "prefix").where("doc_id > least").groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
     told = base.select("doc_id", "n_words", "c1", "c2").join(classes, ["c1", "c2", "n_words"])
     return told.select("doc_id", "n_words", ((F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= window)).alias("whole")).distinct().join(marks, "doc_id", "left")

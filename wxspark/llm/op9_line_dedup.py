@@ -1,8 +1,8 @@
 """Line dedup: an edit-distance join of lines by segment partitions, in DataFrame and SQL operations only.
 
-Lines are those between line feeds. Equal lines are one class. An identity has 40 hash bits and counts of frequent
-letters, which bound the edits between two lines from below; the text, or 32 more hash bits, tell lines of one
-identity apart. A line of at least MIN_CHARS code points is cut into EDITS + 1 segments. Two lines within EDITS
+Lines are those between line feeds. Equal lines are one class, told apart by 104 hash bits. In the join a line goes by
+40 hash bits and counts of frequent letters, which bound the edits between two lines from below; there the
+text itself tells lines of one identity apart. A line of at least MIN_CHARS code points is cut into EDITS + 1 segments. Two lines within EDITS
 edits share a whole segment, at a place that their lengths bound, so the segments (index) are joined with those
 substrings of equally long or longer lines that may meet them (probes). Pairs that meet within the letters' bound
 are verified by Spark's edit distance with a threshold, which is banded. A line's links are the other texts
@@ -30,16 +30,16 @@ _COUNT_BITS = 3 * len(COUNTED)
 def lines(docs: DataFrame) -> DataFrame:
     """Each line's place and identity; line_no counts from 1."""
     at = docs.select(F.col("doc_id").cast("long"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
-    return at.select("doc_id", (F.col("line_no") + 1).cast("long").alias("line_no"), _identity().alias("h1"), F.hash("line", F.lit(17)).alias("h2"), "line")
+    return at.select("doc_id", (F.col("line_no") + 1).cast("long").alias("line_no"), F.shiftright(F.xxhash64("line"), _COUNT_BITS).alias("h1"), F.xxhash64("line", F.lit(17)).alias("h2"), "line")
 
 
-def _identity() -> Column:
-    """40 hash bits and the letter counts: a function of the line; different lines with one identity are told apart later."""
-    counts = F.lit(0).cast("long")
+def _with_counts() -> Column:
+    """h1 above, letter counts below: still a function of the line."""
+    out = F.shiftleft(F.col("h1"), _COUNT_BITS)
     for i, c in enumerate(COUNTED):
         n = (F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(c), F.lit("")))).cast("long")
-        counts = counts.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(7)), 3 * i))
-    return F.shiftleft(F.xxhash64("line"), _COUNT_BITS).bitwiseOR(counts)
+        out = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(7)), 3 * i))
+    return out
 
 
 def _within_counts(a: str, b: str, edits: int) -> Column:
@@ -55,9 +55,9 @@ def _within_counts(a: str, b: str, edits: int) -> Column:
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    """One row a distinct line (h1, h2, line, n). All uses of it have this very plan, so Spark shuffles the texts once."""
-    found = lines(docs).groupBy("h1").agg(F.collect_set("line").alias("same"))
-    return found.select("h1", F.explode("same").alias("line")).select("h1", F.hash("line", F.lit(17)).alias("h2"), "line", F.char_length("line").alias("n"))
+    """One row a distinct line (id, line, n). All uses of it have this very plan, so Spark shuffles the texts once."""
+    found = lines(docs).select(_with_counts().alias("id"), "line").groupBy("id").agg(F.collect_set("line").alias("same"))
+    return found.select("id", F.explode("same").alias("line")).select("id", "line", F.char_length("line").alias("n"))
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -71,11 +71,26 @@ def _segment(i: int, k: int, n: str) -> tuple[str, str]:
     return f"({i - 1} * {base} + greatest(0, {i - 1} - {short}) + 1)", f"({base} + if({i} > {short}, 1, 0))"
 
 
+def _begin(i: int, k: int, edits: int) -> str:
+    """A place at or before all that the i-th segment's substrings may begin at."""
+    return f"greatest(1, {i - 1} * ((n - {edits}) div {k}) + 1 - {edits})"
+
+
+def _parts(found: DataFrame, edits: int) -> DataFrame:
+    """The stretch of a line that each segment's substrings lie in: they are cut from it and not from the whole line."""
+    k = edits + 1
+    return found.select("id", "n", *(F.expr(f"substring(line, {_begin(i, k, edits)}, n div {k} + {3 * k + 3 * edits + 4})").alias(f"part{i}") for i in range(1, k + 1)))
+
+
+def _cut(i: int, k: int, edits: int, start: str, size: str) -> str:
+    return f"substring(part{i}, {start} - {_begin(i, k, edits)} + 1, {size})"
+
+
 def _index_keys(edits: int) -> str:
     k, out = edits + 1, []
     for i in range(1, k + 1):
         start, size = _segment(i, k, "n")
-        out.append(f"xxhash64(n, {i}, substring(line, {start}, {size}))")
+        out.append(f"xxhash64(n, {i}, {_cut(i, k, edits, start, size)})")
     return f"array({', '.join(out)})"
 
 
@@ -86,22 +101,24 @@ def _probe_keys(edits: int) -> tuple[str, int]:
         for i in range(1, k + 1):
             start, size = _segment(i, k, f"(n - {less})")
             for move in range(max(1 - i, less - (k - i)), min(i - 1, less + k - i) + 1):
-                out.append(f"if({start} + {move} between 1 and n - {size} + 1, xxhash64(n - {less}, {i}, substring(line, {start} + {move}, {size})), null)")
+                key = f"xxhash64(n - {less}, {i}, {_cut(i, k, edits, f'{start} + {move}', size)})"
+                out.append(f"if({start} + {move} between 1 and n - {size} + 1, {key}, null)")
         even = even or len(out)
     return f"array({', '.join(out)})", even
 
 
 def links(found: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Linked lines, both ways: (h1, h2) and its partner (o1, o2)."""
-    long_ = found.where(F.col("n") >= min_chars)
+    parts = _parts(found.where(F.col("n") >= min_chars), edits)
     keys, even = _probe_keys(edits)
-    index = long_.select(F.explode(F.expr(_index_keys(edits))).alias("key"), F.col("h1").alias("a1"))
-    probe = long_.select(F.posexplode(F.expr(keys)).alias("pos", "key"), F.col("h1").alias("b1")).where("key is not null").select("key", "b1", (F.col("pos") < even).alias("even"))
-    ordered = F.when(F.col("even"), F.col("a1") < F.col("b1")).otherwise(F.col("a1") != F.col("b1"))
-    pairs = index.join(probe, "key").where(ordered & _within_counts("a1", "b1", edits)).select(F.least("a1", "b1").alias("a1"), F.greatest("a1", "b1").alias("b1")).distinct()
-    a, b = (found.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"{x}_line"), F.col("n").alias(f"{x}_n")) for x in "ab")
-    near = pairs.join(a, "a1").join(b, "b1").where((F.col("a_n") >= min_chars) & (F.col("b_n") >= min_chars) & (F.levenshtein("a_line", "b_line", edits) >= 0))
-    return near.select(F.explode(F.array(F.struct(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.col("b1").alias("o1"), F.col("b2").alias("o2")), F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"), F.col("a1").alias("o1"), F.col("a2").alias("o2")))).alias("x")).select("x.*")
+    index = parts.select(F.explode(F.expr(_index_keys(edits))).alias("key"), F.col("id").alias("a"))
+    probe = parts.select(F.posexplode(F.expr(keys)).alias("pos", "key"), F.col("id").alias("b")).where("key is not null").select("key", "b", (F.col("pos") < even).alias("even"))
+    ordered = F.when(F.col("even"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
+    pairs = index.join(probe, "key").where(ordered & _within_counts("a", "b", edits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    a, b = (found.select(F.col("id").alias(x), F.col("line").alias(f"{x}_line"), F.col("n").alias(f"{x}_n")) for x in "ab")
+    near = pairs.join(a, "a").join(b, "b").where((F.col("a_n") >= min_chars) & (F.col("b_n") >= min_chars) & (F.levenshtein("a_line", "b_line", edits) >= 0))
+    name = lambda x, h1, h2: (F.shiftright(x, _COUNT_BITS).alias(h1), F.xxhash64(f"{x}_line", F.lit(17)).alias(h2))
+    return near.select(F.explode(F.array(F.struct(*name("a", "h1", "h2"), *name("b", "o1", "o2")), F.struct(*name("b", "h1", "h2"), *name("a", "o1", "o2")))).alias("x")).select("x.*")
 
 
 def judge(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
