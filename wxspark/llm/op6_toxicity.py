@@ -5,8 +5,8 @@
    row) become lattices of letters: each sign stands for the letters it may replace or for none. The best path
    under the model, found by the Viterbi algorithm, replaces the token.
 3. Restored texts are scored by the hashed words and word beginnings whose share of toxic documents is beyond
-   chance, weighed on a bounded sample of labelled rows (TRAIN_ROWS, a parameter); a logistic curve over a
-   text's strongest and summed weights gives the score.
+   chance, weighed by their log odds on a bounded sample of labelled rows (TRAIN_ROWS, a parameter); a logistic curve
+   over a text's strongest weight, summed weights and summed weights a word gives the score.
 
 Labels are taken only from rows whose crc32(doc_id) mod 5 is not 0. Scores see texts alone.
 
@@ -30,7 +30,8 @@ from wxspark.llm.op3_license_scan import SEPARATOR
 
 TRAIN_ROWS, FOLDS, BITS, PREFIXES = 20_000, 5, 20, (4, 5, 6)
 #: A feature counts from this many standard deviations above chance on; PRIOR labelled rows pull it to the base rate.
-BEYOND, PRIOR = 8.0, 5.0
+#: SHORT words are added to a text's length where weights are taken a word, so that one word isn't a text's whole share.
+BEYOND, PRIOR, SHORT = 8.0, 1.0, 20
 #: What a sign may stand for.
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 _SIGNS = "".join(re.escape(c) for c in STANDS_FOR)
@@ -120,8 +121,8 @@ def restore(text: str, model: np.ndarray, memo) -> str:
 # --- features and the scorer -----------------------------------------------------------------
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every word and word beginning."""
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket) of every word and word beginning, and the words of each row."""
     w = Words(data, offsets, SEPARATOR, lower=True)
     row = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
     rows, hashes, size = [row], [w.hash], w.ends - w.starts
@@ -129,7 +130,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         own = np.flatnonzero(size > n)
         rows.append(row[own])
         hashes.append(hash_spans(w.data, w.starts[own], w.starts[own] + n) ^ np.uint64(n * 0x9E3779B97F4A7C15 % 2**64))
-    return np.concatenate(rows), (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
+    return np.concatenate(rows), (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64), np.diff(w.first)
 
 
 def _restored_steps(batches, model: np.ndarray):
@@ -152,21 +153,22 @@ def _restored_steps(batches, model: np.ndarray):
 
 
 class Scorer:
-    """Weights by bucket and the logistic curve over (largest, summed) weight."""
+    """Weights by bucket and the logistic curve over the evidence."""
 
     def __init__(self, weights: np.ndarray, curve: np.ndarray | None):
         self.weights, self.curve = weights, curve
 
     def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """A row each: its largest weight and the log of its weights' sum."""
+        """A row each: its largest weight, the log of its weights' sum and of their share in its words."""
         n = len(offsets) - 1
-        row, bucket = features(data, offsets)
+        row, bucket, words = features(data, offsets)
         value = self.weights[bucket]
         strong = value > 0
         row, value = row[strong], value[strong]
         most = np.zeros(n, np.float32)
         np.maximum.at(most, row, value)
-        return np.stack([most, np.log1p(np.bincount(row, value, minlength=n))], axis=1)
+        total = np.bincount(row, value, minlength=n)
+        return np.stack([most, np.log1p(total), np.log1p(100 * total / (words + SHORT))], axis=1)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         if self.curve is None:
@@ -200,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
     def count(batches):
         for part, data, offsets in _restored_steps(batches, model):
             toxic = np.asarray(part.column(2)) == 1
-            row, bucket = features(data, offsets)
+            row, bucket, _ = features(data, offsets)
             pair = np.unique(row * (1 << BITS) + bucket)
             row, bucket = pair >> BITS, pair & ((1 << BITS) - 1)
             at, of = np.unique(bucket, return_inverse=True)
@@ -211,22 +213,22 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
     weights = np.zeros(1 << BITS, np.float32)
     if not p:
         return Scorer(weights, None), model
-    base = p / n
+    base = min(p / n, 1 - 1 / (n + 1))
     told = rows.mapInArrow(count, "bucket int, bad long, n long").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     beyond = (F.col("bad") - base * F.col("n")) / F.sqrt(F.col("n") * (base * (1 - base) + 1e-9))
     for r in told.where(beyond >= BEYOND).collect():  # at most 2 ** BITS rows
-        weights[r["bucket"]] = np.log((r["bad"] + PRIOR * base) / (r["n"] + PRIOR) / base)
+        weights[r["bucket"]] = np.log((r["bad"] + PRIOR * base) / (r["n"] - r["bad"] + PRIOR * (1 - base)) / (base / (1 - base)))
     scorer = Scorer(weights, None)
 
     def see(batches):
         for part, data, offsets in _restored_steps(batches, model):
             e = scorer.evidence(data, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0].astype(float)), pa.array(e[:, 1].astype(float)), part.column(2).cast(pa.int32())], names=["most", "total", "toxic"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(float)) for x in e.T), part.column(2).cast(pa.int32())], names=["most", "total", "share", "toxic"])
 
-    seen = np.array([tuple(r) for r in rows.mapInArrow(see, "most double, total double, toxic int").collect()])  # the sample's rows
+    seen = np.array([tuple(r) for r in rows.mapInArrow(see, "most double, total double, share double, toxic int").collect()])  # the sample's rows
     if len(seen):
         seen = seen[np.lexsort(seen.T)]
-        scorer = Scorer(weights, fit_curve(seen[:, :2], seen[:, 2]))
+        scorer = Scorer(weights, fit_curve(seen[:, :-1], seen[:, -1]))
     return scorer, model
 
 
