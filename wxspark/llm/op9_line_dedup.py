@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wxspark.llm.common import written
+
 EDITS, MIN_CHARS = 2, 32
 #: Letters whose counts modulo 8 are the low bits of a line's identity.
 COUNTED = "aehinort"
@@ -61,8 +63,8 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def places(docs: DataFrame) -> DataFrame:
-    """Where each distinct line stands first; null if only in rows without a doc_id."""
-    return lines(docs).groupBy("h1", "h2").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "line_no"))).alias("first"))
+    """How often each distinct line stands, and where first; null if only in rows without a doc_id."""
+    return lines(docs).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "line_no"))).alias("first"))
 
 
 def _segment(i: int, k: int, n: str) -> tuple[str, str]:
@@ -126,10 +128,11 @@ def judge(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
     first = places(docs)
     other = first.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("first").alias("other"))
     linked = links(texts(docs), edits, min_chars).join(other, ["o1", "o2"]).groupBy("h1", "h2").agg(F.count("*").alias("n_links"), F.min("other").alias("other"))
-    told = first.join(linked, ["h1", "h2"], "left")
-    out = lines(docs).select("doc_id", "line_no", "h1", "h2", F.col("line").rlike(r"[^ \t\n\x0B\f\r]").alias("has_word")).join(told, ["h1", "h2"])
-    place = F.struct("doc_id", "line_no")
-    gone = F.col("has_word") & F.col("doc_id").isNotNull() & F.coalesce((F.col("first") < place) | (F.coalesce("other", "first") < place), F.lit(False))
+    # only of lines that stand twice or are linked; written, so that Spark may split a very common line in the join
+    told = written(first.join(linked, ["h1", "h2"], "left").where("n > 1 or n_links > 0").drop("n"))
+    place = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "line_no"))
+    out = lines(docs).select("doc_id", "line_no", "h1", "h2", F.col("line").rlike(r"[^ \t\n\x0B\f\r]").alias("has_word")).join(told, ["h1", "h2"], "left").withColumn("first", F.coalesce("first", place))
+    gone = F.col("has_word") & F.coalesce((F.col("first") < place) | (F.coalesce("other", "first") < place), F.lit(False))
     return out.select("doc_id", "line_no", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (~gone).alias("kept"))
 
 
