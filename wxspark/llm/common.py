@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer row is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 #: Bytes of text under one prefix sum of word hashing.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+#: Bytes of a row group that a writer holds back.
+ROW_GROUP = 32 << 20
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -43,7 +45,7 @@ def written(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts the lineage and survives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wxspark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

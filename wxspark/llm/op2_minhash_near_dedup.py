@@ -113,7 +113,8 @@ def links(reps: DataFrame, docs: DataFrame, words: int, percent: int, k: int = K
     """Component of each representative that is linked with another: rows (node, component)."""
     least = least_shared(k, percent)
     keys = reps.where("n_shingles > 1").select("doc_id", F.explode(F.expr(f"transform(sequence(0, least(size(sketch), {KEYED}) - 2), i -> xxhash64(sketch[i], sketch[i + 1]))")).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that Spark may split a very common list in the join
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     found = written(keys.join(shared, "key"))
     crowd = written(found.where(F.col("n") > ALL_PAIRS).select("doc_id").distinct())
     known = semi(reps, written(found.select("doc_id").distinct()), "doc_id").join(_private(docs, crowd, words), "doc_id", "left")
