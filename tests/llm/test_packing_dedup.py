@@ -77,6 +77,17 @@ def test_rest_blocks_find_what_star_rounds_leave(spark, monkeypatch):
     assert all(label.get(d, d) == w[1] for d, w in want.items())
 
 
+def test_sketches_keep_pairs_at_the_threshold(spark):
+    # 96 of 120 words: a similarity of exactly 0.80, with sketches that reach into the upper half of the hashes
+    words, pairs = [[f"w{i}x{k}" for k in range(120)] for i in range(10_000)], range(10_000)
+    base = op2.sketches(frame(spark, [(2 * i, " ".join(words[i])) for i in pairs] + [(2 * i + 1, " ".join(words[i][:96])) for i in pairs]), 1).selectExpr("doc_id", "n_shingles", "sketch")
+    base = op2.written(base)
+    assert base.where("sketch <> array_sort(sketch)").count() == 0
+    a, b = (base.where(f"doc_id % 2 = {r}").selectExpr("doc_id div 2 AS i", f"n_shingles AS n{x}", f"sketch AS k{x}") for r, x in enumerate("ab"))
+    lost = a.join(b, "i").where(~op2._may_link(80, op2.K, op2.least_shared(op2.K, 80)))
+    assert lost.count() == 0
+
+
 def test_near_duplicates_edges(spark):
     assert op2.near_duplicates(frame(spark, []).limit(0)).collect() == []
     rows = op2.near_duplicates(frame(spark, [(1, None), (2, ""), (3, "a b"), (4, "A  B"), (4, "A  B"), (5, "a")]), 3, 85).collect()

@@ -31,6 +31,8 @@ from wxspark.llm.common import Words, components, hash_runs, list_array, mix, se
 K, KEYED, ROUNDS, ALL_PAIRS, LIST_BLOCK, MISS = 64, 32, 2, 8, 1000, 1e-9
 #: (shingle words, percent) of the contract's query and of stages without a contract.
 CONTRACT, STAGE = (3, 85), (5, 80)
+#: Sketches are stored as signed numbers; with this bit turned their order is that of the unsigned hashes.
+TOP = np.uint64(1 << 63)
 SKETCH = "doc_id long, n_shingles long, c1 long, c2 long, sketch array<long>"
 
 
@@ -53,7 +55,7 @@ def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
             n = [len(s) for s in sets]
             c1 = np.array([int(mix(s).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)
             c2 = np.array([int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(c1), pa.array(c2), list_array([s[:k] for s in sets], np.uint64)], names=["doc_id", "n_shingles", "c1", "c2", "sketch"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(c1), pa.array(c2), list_array([s[:k] ^ TOP for s in sets], np.uint64)], names=["doc_id", "n_shingles", "c1", "c2", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
 
