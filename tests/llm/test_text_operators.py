@@ -153,6 +153,17 @@ def test_pii_bootstraps_unseen_identifiers(spark):
     assert op8.find(frame(spark, []).limit(0)).collect() == []
 
 
+def test_pii_confidence_does_not_fall_with_copies(spark):
+    seeds = [(i, f"some words then phone: +1 (555) 123-45{i:02d} and more of the text") for i in range(30)]
+    docs = seeds + [(50, "this one says phone: 0912-3456-78 here"), (51, "plain number 1234567 stays")]
+    one = frame(spark, docs)
+    many = one.crossJoin(spark.range(1000).withColumnRenamed("id", "copy")).selectExpr("doc_id + 1000 * copy AS doc_id", "text")
+    told = lambda rows: {(x.doc_id % 1000, x.spans) for x in op8.find(rows).select("doc_id", "spans").collect()}
+    assert told(many) == told(one) and (50, "id:21:33") in told(one)
+    # copies of a single document
+    assert (50, "id:21:33") in told(many.where("doc_id < 1000 or doc_id % 1000 = 7"))
+
+
 # --- line dedup ---
 
 

@@ -4,8 +4,8 @@
    The word before a base span or candidate is its lexical pattern.
 2. Patterns seen before MIN_SEEDS different seed entities are kept; a second scan counts how often each of
    them stands anywhere.
-3. Spark scores the graph in rounds: a pattern's confidence is the score of its different instances over all
-   its occurrences; an instance's score is 1 for a seed, else its best pattern's confidence.
+3. Spark scores the graph in rounds: a pattern's confidence is the score of its instances, each as often as it stands
+   there, over all its occurrences, so that copies weigh alike on both sides; an instance's score is 1 for a seed, else its best pattern's confidence.
 4. Candidates after a pattern of at least CONFIDENCE become spans of kind id.
 
 Defined cases: a null text is empty; a null doc_id keeps its base spans and gets no spans of kind id; repeated rows
@@ -30,7 +30,7 @@ _LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9._%+-]"), re.compile(r"@[A-Za-z0-9-]+(?
 _DIGITS, _PHONE = re.compile(r"[0-9]+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SPACES = " \t\n\x0b\x0c\r"
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:int,kind:int,end:int>>, seen array<struct<pattern:long,instance:long,seed:boolean,start:int,end:int>>"
+FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:int,kind:int,end:int>>, seen array<struct<pattern:long,instance:long,seed:boolean,start:int,end:int,whole:boolean>>"
 
 
 def luhn(digits: str) -> bool:
@@ -99,12 +99,16 @@ def _ascii_lower(text: str) -> str:
     return re.sub("[A-Z]+", lambda m: m[0].lower(), text)
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, bool, int, int]]:
-    """(pattern, instance, seed, start, end) of base spans and of other tokens with four digits or more."""
-    out = []
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, bool, int, int, bool]]:
+    """(pattern, instance, seed, start, end, whole) of base spans and of other tokens with four digits or more.
+
+    whole: the pattern is a word of its own there, and this is the first span behind it, so it is one of its occurrences.
+    """
+    out, before = [], -1
     for start, _, end in spans:
         if word := _before(text, start):
-            out.append((_hash(_ascii_lower(word)), _hash(text[start:end]), True, start, end))
+            out.append((_hash(_ascii_lower(word)), _hash(text[start:end]), True, start, end, start != before and text[start - 1] in _SPACES))
+        before = start
     last, k = -1, 0
     covered = sorted((s, e) for s, _, e in spans)
     for m in _DIGITS.finditer(text):
@@ -125,7 +129,7 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
         inner = _EDGE.sub("", token)
         begin += token.find(inner) if inner else 0
         if inner and (word := _before(text, begin)):
-            out.append((_hash(_ascii_lower(word)), _hash(inner), False, begin, begin + len(inner)))
+            out.append((_hash(_ascii_lower(word)), _hash(inner), False, begin, begin + len(inner), text[begin - 1] in _SPACES))
     return out
 
 
@@ -141,10 +145,10 @@ def scan(docs: DataFrame) -> DataFrame:
                 n = [0, 0, 0, 0]
                 for _, kind, _ in spans:
                     n[kind] += 1
-                rows.append((doc, *n, [{"start": s, "kind": k, "end": e} for s, k, e in spans], [dict(zip(("pattern", "instance", "seed", "start", "end"), c)) for c in candidates(text, spans)]))
+                rows.append((doc, *n, [{"start": s, "kind": k, "end": e} for s, k, e in spans], [dict(zip(("pattern", "instance", "seed", "start", "end", "whole"), c)) for c in candidates(text, spans)]))
             cols = list(zip(*rows)) if rows else [[]] * 7
             span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-            seen = pa.list_(pa.struct([("pattern", pa.int64()), ("instance", pa.int64()), ("seed", pa.bool_()), ("start", pa.int32()), ("end", pa.int32())]))
+            seen = pa.list_(pa.struct([("pattern", pa.int64()), ("instance", pa.int64()), ("seed", pa.bool_()), ("start", pa.int32()), ("end", pa.int32()), ("whole", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], span), pa.array(cols[6], seen)], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "seen"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FOUND)
@@ -176,13 +180,13 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def trusted(found: DataFrame, docs: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
     """Patterns whose confidence reaches the bound after all rounds."""
-    edges = written(found.select(F.explode("seen").alias("x")).select("x.pattern", "x.instance", "x.seed").distinct())
+    edges = written(found.select(F.explode("seen").alias("x")).groupBy("x.pattern", "x.instance", "x.seed").agg(F.count_if("x.whole").alias("times")))
     patterns = written(edges.where("seed").groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds).select("pattern"))
     times = written(occurrences(docs, patterns))
     graph = edges.join(times, "pattern")
     scores = graph.select("instance", F.col("seed").cast("double").alias("score")).groupBy("instance").agg(F.max("score").alias("score"))
     for _ in range(rounds):
-        ranked = written(graph.join(scores, "instance").groupBy("pattern").agg((F.sum("score") / F.max("n")).alias("confidence")))
+        ranked = written(graph.join(scores, "instance").groupBy("pattern").agg((F.sum(F.col("score") * F.col("times")) / F.max("n")).alias("confidence")))
         scores = graph.join(ranked, "pattern").groupBy("instance").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(F.least(F.lit(1.0), "confidence"))).alias("score"))
     return ranked.where(F.col("confidence") >= confidence).select("pattern")
 
