@@ -149,6 +149,19 @@ def test_matching_is_best(spark):
         assert (-len(got), sum(abs(f[i] - o[j]) for i, j in got)) == best
 
 
+def test_matching_visits_only_cells_within_the_window():
+    onsets = [10 * i for i in range(20_000)]
+    assert matching.match_in_order(onsets, [x + 1 for x in onsets], 3) == [(i, i) for i in range(20_000)]
+
+
+def test_matching_deals_episodes_out_at_gaps(spark):
+    rows = [("K", side, float(10 * i + shift)) for i in range(300) for side, shift in (("F", 0), ("O", 2))] + [("K", "F", 5000.0), ("K", "O", None)]
+    df = spark.createDataFrame(rows, "station string, side string, onset_h double")
+    sizes = matching.close_groups(df, ["station"], 3).groupBy("station", "close").count()
+    assert sizes.count() == 302 and sizes.agg(F.max("count")).first()[0] == 2
+    assert {x.outcome: x["count"] for x in matching.match_episodes(df, ["station"]).groupBy("outcome").count().collect()} == {"match": 300, "false_alarm": 1, "missed": 1}
+
+
 # --- report text ---
 
 

@@ -1,37 +1,64 @@
-"""One-to-one matching of episodes, most pairs first, then least cost, then earliest. One key's episodes a group."""
+"""One-to-one matching of episodes, most pairs first, then least cost, then earliest.
+
+Matches never cross a gap beyond the window, so a group holds a key's episodes between two such gaps.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def match_in_order(forecast: np.ndarray, observed: np.ndarray, window: float) -> list[tuple[int, int]]:
-    """Onsets ascend, so some best matching never crosses: dynamic programming over both sequences."""
-    n, m = len(forecast), len(observed)
-    best = [[(0, 0.0)] * (m + 1) for _ in range(n + 1)]
-    took = [[0] * (m + 1) for _ in range(n + 1)]
+    """Onsets ascend, so some best matching never crosses: dynamic programming over the cells within the window.
+
+    Row i holds places lo[i] .. hi[i] of observed; places before lo[i] equal lo[i], and at hi[i] row i equals row i + 1.
+    Two rows of values are kept, and a byte a cell for the way back.
+    """
+    f, o = [float(x) for x in forecast], [float(x) for x in observed]
+    n, m = len(f), len(o)
+    lo, hi, a, b = [], [], 0, 0
+    for x in f:
+        while a < m and o[a] < x and x - o[a] > window:
+            a += 1
+        b = max(a, b)
+        while b < m and abs(x - o[b]) <= window:
+            b += 1
+        lo.append(a)
+        hi.append(b)
+    below, start, took = [(0, 0.0)], m, [b""] * n
     for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            gap = abs(float(forecast[i]) - float(observed[j]))
-            options = [(best[i + 1][j], 1), (best[i][j + 1], 2)]
-            if gap <= window:
-                pairs, cost = best[i + 1][j + 1]
-                options.insert(0, ((pairs - 1, cost + gap), 0))
-            best[i][j], took[i][j] = min(options)
+        row, way = [below[max(hi[i], start) - start]], bytearray(hi[i] - lo[i])
+        for j in range(hi[i] - 1, lo[i] - 1, -1):
+            pairs, cost = below[max(j + 1, start) - start]
+            value, step = min([((pairs - 1, cost + abs(f[i] - o[j])), 0), (below[max(j, start) - start], 1), (row[-1], 2)])
+            row.append(value)
+            way[j - lo[i]] = step
+        below, start, took[i] = row[::-1], lo[i], bytes(way)
     out, i, j = [], 0, 0
     while i < n and j < m:
-        if took[i][j] == 0:
+        j = max(j, lo[i])
+        step = took[i][j - lo[i]] if j < hi[i] else 1
+        if step == 0:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif took[i][j] == 1:
+        elif step == 1:
             i += 1
         else:
             j += 1
     return out
 
 
+def close_groups(episodes: DataFrame, by: list[str], window_h: float) -> DataFrame:
+    """Episodes with the number of their group; a new one starts wherever the gap to the onset before exceeds the window."""
+    w = W.partitionBy(*by).orderBy("onset_h")
+    far = episodes.withColumn("far", F.coalesce((F.col("onset_h") - F.lag("onset_h").over(w) > window_h), F.lit(True)).cast("long"))
+    return far.withColumn("close", F.sum("far").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("far")
+
+
 def match_episodes(episodes: DataFrame, by: list[str], window_h: float = 3) -> DataFrame:
     """Episodes (by, side 'F' or 'O', onset_h) matched within a key; the unmatched are misses and false alarms."""
     kinds = {f.name: f.dataType.simpleString() for f in episodes.schema.fields}
@@ -42,11 +69,12 @@ def match_episodes(episodes: DataFrame, by: list[str], window_h: float = 3) -> D
         o = np.sort(frame.loc[frame["side"] == "O", "onset_h"].to_numpy(float))
         pairs = match_in_order(f, o, window_h)
         rows = [("match", f[i], o[j]) for i, j in pairs]
-        rows += [("false_alarm", x, None) for i, x in enumerate(f) if i not in {i for i, _ in pairs}]
-        rows += [("missed", None, x) for j, x in enumerate(o) if j not in {j for _, j in pairs}]
+        hits, seen = {i for i, _ in pairs}, {j for _, j in pairs}
+        rows += [("false_alarm", x, None) for i, x in enumerate(f) if i not in hits]
+        rows += [("missed", None, x) for j, x in enumerate(o) if j not in seen]
         out = pd.DataFrame(rows, columns=["outcome", "fcst_h", "obs_h"]).astype({"fcst_h": float, "obs_h": float})
         for c in reversed(by):
             out.insert(0, c, frame[c].iloc[0])
         return out
 
-    return episodes.groupBy(*by).applyInPandas(run, schema)
+    return close_groups(episodes, by, window_h).groupBy(*by, "close").applyInPandas(run, schema)
