@@ -103,6 +103,20 @@ def test_viterbi_restores_disguises(spark):
     assert [op6.restore(f"you {x} one", model, memo) for x in ("stup1d", "5tup!d", "s t u p i d", "stuuuupid", "s.t.u.p.i.d", "m0r0n", "p@thet1c", "tr4$h")] == [f"you {x} one" for x in ("stupid", "stupid", "stupid", "stupid", "stupid", "moron", "pathetic", "trash")]
 
 
+def test_disguises_of_any_length_are_restored(spark):
+    docs = frame(spark, [(i, "the stupid idiot moron said pathetic things and worthless trash about a clown with kindness " * 3) for i in range(20)])
+    model = op6.log_model(op6.trigrams(docs))
+    memo = lambda t: op6.decode(t, model)
+    long = {"1d10t" + "!" * 30: "idiot", "!" * 40 + "1d10t": "idiot", "st" + "u" * 90 + "pid": "stupid", "m" + "o" * 60 + "r0n": "moron", "1" + "d" * 40 + "i" * 40 + "0t": "idiot", "m0r0n" + "|" * 500: "moron"}
+    for bad, want in long.items():
+        data = np.frombuffer(f"you {bad} one".encode(), np.uint8)
+        assert op6.suspicious(data, np.array([0, len(data)])).tolist() == [0], bad
+        assert op6.restore(f"you {bad} one", model, memo) == f"you {want} one", bad
+    assert op6.suspicious(np.frombuffer(b"d2!", np.uint8), np.array([0, 3])).tolist() == [0]
+    # the parts put aside change nothing: long tokens decode as their words do
+    assert op6.decode("stup1d" * 2000, model).count("stupid") >= 1990
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     told = op6.score(docs, labels).join(labels, "doc_id").where("held_out").select("toxic", "predicted", "score").collect()

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,18 @@ BEYOND, PRIOR, SHORT = 8.0, 1.0, 20
 #: What a sign may stand for.
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 _SIGNS = "".join(re.escape(c) for c in STANDS_FOR)
-_LEET = re.compile(rf"(?<![a-z0-9{_SIGNS}])(?=[a-z0-9{_SIGNS}]{{0,24}}[a-z])(?=[a-z0-9{_SIGNS}]{{0,24}}[{_SIGNS}])[a-z0-9{_SIGNS}]{{3,24}}(?![a-z0-9{_SIGNS}])")
+#: Tokens of any length; a token is looked at from its begin only and never given back, so the scan stays linear.
+_LEET = re.compile(rf"(?<![a-z0-9{_SIGNS}])(?=[0-9{_SIGNS}]*+[a-z])(?=[a-z269]*+[{_SIGNS}])[a-z0-9{_SIGNS}]{{3,}}+")
 _SPACED = re.compile(rf"(?<!\S)(?:[a-z{_SIGNS}][ .*_-]){{2,}}[a-z{_SIGNS}](?![^\s.,;:!?])")
-_LONG = re.compile(r"(?<![a-z])[a-z]{0,24}?([a-z])\1\1[a-z]{0,48}(?![a-z])")
-_LETTER, _SIGN, _GAP = (np.zeros(256, bool) for _ in range(3))
+_LONG = re.compile(r"(?<![a-z])(?=[a-z]*?([a-z])\1\1)[a-z]++")
+_RUN, _ENDS = re.compile(r"(.)\1\1++"), re.compile(r"^[!|@$+]{2,}+|(?<![!|@$+])[!|@$+]{2,}+$")
+#: Tokens up to this length are remembered; after so many letters the part that all paths share is put aside.
+REMEMBER, SHARED = 64, 256
+_LETTER, _SIGN, _GAP, _OTHER = (np.zeros(256, bool) for _ in range(4))
 _LETTER[97:123] = True
 _SIGN[[ord(c) for c in STANDS_FOR]] = True
 _GAP[[ord(c) for c in " .*_-"]] = True
+_OTHER[[ord(c) for c in "269"]] = True
 
 
 # --- the character language model ------------------------------------------------------------
@@ -75,7 +81,7 @@ def log_model(counts: np.ndarray) -> np.ndarray:
 def decode(token: str, model: np.ndarray) -> str:
     """The likeliest plain word behind a disguised token: Viterbi over its letter lattice."""
     paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    last = ""
+    last, done = "", []
     for k, c in enumerate(token):
         if "a" <= c <= "z":
             options = [(c, 0.0)] if c != last else [(c, -0.7), ("", 0.0)]
@@ -94,7 +100,11 @@ def decode(token: str, model: np.ndarray) -> str:
                 elif (a, b) not in nxt or score + cost > nxt[a, b][0]:
                     nxt[a, b] = (score + cost, said)
         paths, last = nxt, c
-    return max((score + float(model[a, b, 0]), said) for (a, b), (score, said) in paths.items())[1]
+        if k % SHARED == SHARED - 1:
+            same = commonprefix([said for _, said in paths.values()])
+            done.append(same)
+            paths = {state: (score, said[len(same) :]) for state, (score, said) in paths.items()}
+    return "".join(done) + max((score + float(model[a, b, 0]), said) for (a, b), (score, said) in paths.items())[1]
 
 
 def suspicious(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -103,7 +113,8 @@ def suspicious(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     c = LOWER[data]
     letter, sign, gap = _LETTER[c], _SIGN[c], _GAP[c]
-    hit = (letter[:-1] & sign[1:]) | (sign[:-1] & letter[1:])
+    other = letter | _OTHER[c]
+    hit = (other[:-1] & sign[1:]) | (sign[:-1] & other[1:])
     hit[:-1] |= letter[:-2] & (c[:-2] == c[1:-1]) & (c[1:-1] == c[2:])
     if len(c) > 4:
         one = letter | sign
@@ -112,10 +123,14 @@ def suspicious(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def restore(text: str, model: np.ndarray, memo) -> str:
-    """The text in lower case with disguised tokens decoded."""
-    text = _SPACED.sub(lambda m: memo(m[0]), text.lower())
-    text = _LEET.sub(lambda m: memo(m[0]), text)
-    return _LONG.sub(lambda m: memo(m[0]), text)
+    """The text in lower case with disguised tokens decoded; runs count as two of a kind, runs of signs at an end not at all."""
+
+    def plain(token: str) -> str:
+        return memo(token) if len(token) <= REMEMBER else decode(token, model)
+
+    text = _SPACED.sub(lambda m: plain(m[0]), text.lower())
+    text = _LEET.sub(lambda m: plain(_RUN.sub(r"\1\1", _ENDS.sub("", m[0]))), text)
+    return _LONG.sub(lambda m: plain(_RUN.sub(r"\1\1", m[0])), text)
 
 
 # --- features and the scorer -----------------------------------------------------------------
