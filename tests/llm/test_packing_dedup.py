@@ -88,6 +88,18 @@ def test_sketches_keep_pairs_at_the_threshold(spark):
     assert lost.count() == 0
 
 
+def test_cells_of_a_list_of_loose_members_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(op2, "LIST_BLOCK", 20)
+    size = {i: 40 + i % 60 for i in range(400)}  # each member a component of its own
+    cells = op2._cells(spark.createDataFrame([(7, 400, i, n, i) for i, n in size.items()], "key long, n long, doc_id long, n_shingles long, label long"), 80).collect()
+    held = {}
+    for x in cells:
+        held.setdefault(tuple(x.cell), ([], []))[x.visits].append(x.doc_id)
+    assert max(len(a) + len(b) for a, b in held.values()) <= 4 * 20
+    met = {(a, b) for home, guests in held.values() for a in home for b in guests}
+    assert all((a, b) in met or (b, a) in met for a in size for b in size if a != b and 100 * min(size[a], size[b]) >= 80 * max(size[a], size[b]))
+
+
 def test_near_duplicates_edges(spark):
     assert op2.near_duplicates(frame(spark, []).limit(0)).collect() == []
     rows = op2.near_duplicates(frame(spark, [(1, None), (2, ""), (3, "a b"), (4, "A  B"), (4, "A  B"), (5, "a")]), 3, 85).collect()

@@ -16,7 +16,7 @@ one document each and share its answer; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pandas as pd
@@ -161,20 +161,36 @@ def _meet(members: DataFrame, percent: int) -> DataFrame:
     return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & bound).select("a", "b")
 
 
-def _rest(members: DataFrame, light: DataFrame, percent: int, k: int, least: int) -> DataFrame:
-    """Pairs of long lists that still hold several components, block by block.
+def _cells(members: DataFrame, percent: int) -> DataFrame:
+    """Members of mixed lists dealt to cells: key, cell, doc_id, label, visits.
 
-    A list's members are dealt to blocks of about LIST_BLOCK rows. Members outside the list's largest
-    component visit every block, so each pair with different labels meets. Two documents that share several of
-    these lists are held against each other in the one with the smallest key, and only pairs within the bound and the
-    sketch estimate leave a block.
+    A cell holds about LIST_BLOCK members of a list at home and about LIST_BLOCK guests, members outside the list's largest
+    component; each pair with different labels meets in one of them. Lists of over LIST_BLOCK members are cut in
+    bands of size first: two sets above the threshold are in one band or in neighbouring ones.
     """
+    width = max(log(100 / percent), 0.01) * (1 + 1e-9)
     sizes = members.groupBy("key", "label").agg(F.count("*").alias("m"))
     main = sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("x")).select("key", F.col("x.label").alias("main"))
+    band = F.when(F.col("n") > LIST_BLOCK, F.floor(F.log("n_shingles") / width)).otherwise(0).cast("int")
+    rows = written(members.join(main, "key").select("key", "doc_id", "label", band.alias("band"), (F.col("label") != F.col("main")).alias("loose")))
+    blocks = lambda n: F.ceil(n / LIST_BLOCK).cast("int")
+    bands = written(rows.groupBy("key", "band").agg(blocks(F.count("*")).alias("homes"), blocks(F.count_if("loose")).alias("guests")))
+    block = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), n).cast("int")
+    other = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))
+    own = rows.join(bands, ["key", "band"])
+    theirs = lambda c: bands.where(F.col(c) > 0).select("key", F.col("band").alias("to"), F.explode(F.sequence(F.lit(0), F.col(c) - 1)).alias("at"))
+    home = own.withColumn("to", other).join(theirs("guests"), ["key", "to"]).select("key", F.struct(F.col("band").alias("h"), block(F.col("homes"), 0).alias("i"), F.col("to").alias("g"), F.col("at").alias("j")).alias("cell"), "doc_id", "label", F.lit(False).alias("visits"))
+    visits = own.where("loose").withColumn("to", other).join(theirs("homes"), ["key", "to"]).select("key", F.struct(F.col("to").alias("h"), F.col("at").alias("i"), F.col("band").alias("g"), block(F.col("guests"), 1).alias("j")).alias("cell"), "doc_id", "label", F.lit(True).alias("visits"))
+    return home.union(visits)
+
+
+def _rest(members: DataFrame, light: DataFrame, percent: int, k: int, least: int) -> DataFrame:
+    """Pairs of long lists that still hold several components, cell by cell.
+
+    Two documents that share several of these lists are held against each other in the one with the smallest key, and
+    only pairs within the bound and the sketch estimate leave a cell.
+    """
     own = members.groupBy("doc_id").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # at most KEYED - 1 keys
-    rows = members.join(main, "key").withColumn("blocks", F.ceil(F.col("n") / LIST_BLOCK).cast("int"))
-    home = rows.select("key", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"), "doc_id", "label", F.lit(False).alias("visits"))
-    visits = rows.where("label <> main").select("key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "doc_id", "label", F.lit(True).alias("visits"))
 
     def padded(lists, width):
         out = np.full((len(lists), width), np.iinfo(np.int64).max)
@@ -198,8 +214,8 @@ def _rest(members: DataFrame, light: DataFrame, percent: int, k: int, least: int
                 b.append(np.maximum(ids[at], doc))
         return pd.DataFrame({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
 
-    full = home.union(visits).join(light.select("doc_id", "n_shingles", "common", "sketch"), "doc_id").join(own, "doc_id")
-    return full.groupBy("key", "block").applyInPandas(run, "a long, b long")
+    full = _cells(members, percent).join(light.select("doc_id", "n_shingles", "common", "sketch"), "doc_id").join(own, "doc_id")
+    return full.groupBy("key", "cell").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = STAGE[0], percent: int = STAGE[1], k: int = K) -> DataFrame:
