@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +22,6 @@ BLOCK = 1 << 18
 #: Bytes of a row group that a writer holds back.
 ROW_GROUP = 32 << 20
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_P = int(_rng.integers(1, 2**62)) * 8 + 3
-_P_INV = pow(_P, -1, 2**64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 WHITE = np.zeros(256, bool)
@@ -33,9 +32,11 @@ WHITE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir); a folder of its own only where none is set and Spark is one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="wxspark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -46,7 +47,21 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wxspark/{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes tables of `written` that nothing reads any more; others and None are left alone."""
+    for df in tables:
+        if df is not None and (path := _PATHS.pop(df, None)):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def semi(rows: DataFrame, ids: DataFrame, on: str, most: int = 2_000_000) -> DataFrame:
@@ -92,51 +107,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
-    def __init__(self, base: int):
-        self.base, self.values = base, np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> np.ndarray:
-        while len(self.values) < n:
-            step = np.uint64(pow(self.base, len(self.values), 2**64))
-            self.values = np.concatenate([self.values, self.values * step])
-        return self.values[:n]
-
-
-_POW, _INV = _Powers(_P), _Powers(_P_INV)
-
-
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; starts ascend. Equal bytes give equal hashes in every process."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        lo = int(starts[i])
-        if ends[i] - lo > BLOCK:
-            h = 0
-            for at in range(lo, int(ends[i]), BLOCK):
-                piece = data[at : min(at + BLOCK, int(ends[i]))]
-                h = (h * _P + int((_BYTE[piece] * _POW.upto(len(piece))).sum(dtype=np.uint64))) % 2**64
-            out[i] = np.uint64(h)
-            i += 1
-            continue
-        j = max(i + 1, int(np.searchsorted(starts, lo + BLOCK)))
-        while j > i + 1 and ends[j - 1] - lo > 2 * BLOCK:
-            j -= 1
-        hi = int(ends[i:j].max())
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTE[data[lo:hi]] * _POW.upto(hi - lo), out=total[1:])
-        at = starts[i:j] - lo
-        out[i:j] = (total[ends[i:j] - lo] - total[at]) * _INV.upto(hi - lo + 1)[at]
-        i = j
-    return mix(out + (ends - starts).astype(np.uint64))
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Words of more bytes than this are hashed one by one, in C.
+LONG = 128
+SEEDS = (0, 0x6A09E667F3BCC909)
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span: eight bytes at a time are mixed in, so no structure of the bytes cancels out.
+
+    Equal bytes give equal hashes in every process; spans of up to eight bytes and one length never collide.
+    """
+    out, raw = np.empty(len(starts), np.uint64), np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", raw, strides=(1,))  # the eight bytes from any place on
+    for lo in range(0, len(starts), BLOCK):
+        at, size = starts[lo : lo + BLOCK], (ends - starts)[lo : lo + BLOCK]
+        h = mix(size.astype(np.uint64) + np.uint64(seed ^ 0x9E3779B97F4A7C15))
+        h = mix(h ^ (eight[at] & _LOW[np.minimum(size, 8)]))
+        rest, done = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(rest):
+            h[rest] = mix(h[rest] ^ (eight[at[rest] + done] & _LOW[np.minimum(size[rest] - done, 8)]))
+            done += 8
+            rest = rest[size[rest] > done]
+        for i in np.flatnonzero(size > LONG).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(data[at[i] : at[i] + size[i]].data, seed)
+        out[lo : lo + BLOCK] = h
+    return out
 
 
 class Words:
     """The words of some rows: byte spans in data, hashes, and first[r]:first[r+1] as the words of row r."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = WHITE, lower: bool = False):
-        self.data = LOWER[data] if lower else data
+        self.data = LOWER[data] if lower else np.ascontiguousarray(data)
         word = ~separator[self.data]
         start, end = word.copy(), word.copy()
         start[1:] &= ~word[:-1]
@@ -146,31 +149,45 @@ class Words:
         end[inner - 1] = word[inner - 1]
         self.starts, self.ends = np.flatnonzero(start), np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        self._hash: np.ndarray | None = None
+        self._hash: dict[int, np.ndarray] = {}
+
+    def hashed(self, seed: int = 0) -> np.ndarray:
+        if seed not in self._hash:
+            self._hash[seed] = hash_spans(self.data, self.starts, self.ends, seed)
+        return self._hash[seed]
 
     @property
     def hash(self) -> np.ndarray:
-        if self._hash is None:
-            self._hash = hash_spans(self.data, self.starts, self.ends)
-        return self._hash
+        return self.hashed()
 
 
-_Q = (int(_rng.integers(1, 2**62)) * 8 + 3) % 2**64
-_QPOW, _QINV = _Powers(_Q), _Powers(pow(_Q, -1, 2**64))
+def _after(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of two runs, one after the other; not linear, so that runs of alternating words don't cancel out."""
+    return mix(a ^ mix(b + np.uint64(0x3C6EF372FE94F82B)))
 
 
 def hash_runs(words: np.ndarray, size: int) -> np.ndarray:
-    """The hash of every run of `size` consecutive word hashes; empty if there are fewer."""
-    if len(words) < size:
+    """The hash of every run of `size` consecutive word hashes, put together from runs of 1, 2, 4 ...; empty if there are fewer."""
+    size = int(size)
+    if len(words) < size or size < 1:
         return np.zeros(0, np.uint64)
-    out, step = np.empty(len(words) - size + 1, np.uint64), BLOCK
-    for lo in range(0, len(out), step):
-        part = words[lo : lo + step + size - 1]
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part * _QPOW.upto(len(part)), out=total[1:])
-        n = len(part) - size + 1
-        out[lo : lo + n] = (total[size:] - total[:n]) * _QINV.upto(n)
-    return mix(out)
+    out = np.empty(len(words) - size + 1, np.uint64)
+    for lo in range(0, len(out), BLOCK):
+        power, step, at, n, got = words[lo : lo + BLOCK + size - 1], 1, 0, min(BLOCK, len(out) - lo), None
+        for bit in range(size.bit_length()):
+            if bit:
+                power, step = _after(power[:-step], power[step:]), 2 * step
+            if size >> bit & 1:
+                got = power[at : at + n] if got is None else _after(got, power[at : at + n])
+                at += step
+        out[lo : lo + n] = mix(got)
+    return out
+
+
+def identity(*parts: np.ndarray) -> tuple[int, int]:
+    """128 bits, as two signed numbers, of some hashes in their order."""
+    raw = xxhash.xxh3_128_digest(b"".join(p.tobytes() for p in parts))
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
 def text_steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -207,10 +224,11 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u")
-        pairs = written(
+        spent, pairs = pairs, written(
             small.select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b")
             .union(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
         )
+        drop(spent)
         now = pairs.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if tuple(now) == before:
             break
