@@ -75,6 +75,10 @@ def test_rest_blocks_find_what_star_rounds_leave(spark, monkeypatch):
     label = {r.node: r.component for r in op2.links(reps, small, 3, 85, rounds=1).collect()}
     want = helpers.near_duplicates([d for d in docs if d[0] in {r.doc_id for r in reps.collect()}], 3, 85)
     assert all(label.get(d, d) == w[1] for d, w in want.items())
+    # without star rounds all of it is left to the cells
+    label = {r.node: r.component for r in op2.links(reps, small, 3, 85, rounds=0).where("node is not null").collect()}
+    lists = [d for d in want if d in label]
+    assert len(lists) > 10 and all(label[d] == want[d][1] for d in lists)
 
 
 def test_sketches_keep_pairs_at_the_threshold(spark):
@@ -106,6 +110,33 @@ def test_near_duplicates_edges(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows) == [(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 3, False), (4, 1, 3, False), (5, 1, 5, True)]
 
 
+def alternating(n):
+    """The Thue-Morse word and its complement: a hash that is linear modulo a power of two can't tell them apart."""
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_collide_in_linear_hashes_are_told_apart(spark):
+    one, two = alternating(1024)
+    words = [" ".join(x) for x in alternating(2048)]
+    docs = [(1, f"x {one} y"), (2, f"x {two} y"), (3, one), (4, two), (5, words[0]), (6, words[1])]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in op2.near_duplicates(frame(spark, docs), 3, 85).collect()}
+    assert got == helpers.near_duplicates(docs, 3, 85)
+    tail = " ".join(f"w{i}" for i in range(49))
+    docs += [(10, f"{one} {tail}"), (11, f"{two} {tail}")]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in op4.dedup(frame(spark, docs)).collect()}
+    assert got == helpers.substring_dedup(docs, 50)
+
+
+def test_near_dedup_keeps_rows_without_a_doc_id_and_clashing_columns(spark):
+    rows = [(1, "a b c d e f", 0), (2, "a b c d e f", 1), (None, "a b c d e f", 2), (None, None, 3), (1, "a b c d e f", 4)]
+    docs = spark.createDataFrame([(d, t, g, g, g, g) for d, t, g in rows], "doc_id long, text string, _gone long, sketch long, label long, n long")
+    kept = op2.dedup(docs)
+    assert kept.columns == docs.columns and sorted(x["_gone"] for x in kept.collect()) == [0, 2, 3, 4]
+
+
 @pytest.mark.parametrize("seed,window", [(1, 50), (2, 50), (6, 12)])
 def test_substring_dedup_matches_brute_force(spark, seed, window):
     docs = helpers.corpus(seed)
@@ -113,8 +144,32 @@ def test_substring_dedup_matches_brute_force(spark, seed, window):
     assert got == helpers.substring_dedup(docs, window)
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_substring_dedup_lengthens_hot_prefixes(spark, monkeypatch, hot):
+    monkeypatch.setattr(op4, "HOT", hot)
+    monkeypatch.setattr(op4, "GROUP", 16)
+    docs = helpers.corpus(7, 60)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in op4.dedup(frame(spark, docs)).collect()}
+    assert got == helpers.substring_dedup(docs, 50)
+
+
+def test_suffix_array_is_sorted_and_knows_common_prefixes():
+    r = np.random.default_rng(1)
+    for depth in (3, 8, 13):
+        codes = r.integers(0, 3, 200)
+        place = r.permutation(200 - depth)
+        order, common = op4.suffix_array(codes, place, depth)
+        said = [tuple(codes[p : p + depth]) for p in place[order]]
+        assert said == sorted(said)
+        assert common[0] == 0 and all(n == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), depth) for a, b, n in zip(said, said[1:], common[1:]))
+
+
 def test_substring_dedup_edges(spark):
     assert op4.dedup(frame(spark, []).limit(0)).collect() == []
     long = " ".join(f"w{i}" for i in range(60))
     rows = op4.dedup(frame(spark, [(1, long), (1, long), (2, long), (3, long + " " + long)]), with_text=True).collect()
     assert sorted((r.doc_id, r.n_removed, len(r.text)) for r in rows) == [(1, 0, len(long)), (1, 0, len(long)), (2, 60, 0), (3, 120, 0)]
+    # rows without a doc_id, and a doc_id with two texts: each row has its answer
+    other = " ".join(f"v{i}" for i in range(55))
+    rows = op4.dedup(frame(spark, [(None, long), (None, None), (2, long), (2, other), (3, other + "  \n " * 1000 + long), (1, "x")]), with_text=True).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in rows) == [(0, 0, 0), (0, 60, 0), (1, 1, 0), (2, 55, 0), (2, 60, 0), (3, 115, 115)]
