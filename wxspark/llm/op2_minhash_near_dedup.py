@@ -1,17 +1,23 @@
 """MinHash near-dedup: bottom-k sketches from one hash function, inverted lists, union-sketch filter, exact Jaccard.
 
 1. A scan turns each text into its set of hashed word shingles and keeps the k smallest: the sketch. Documents
-   with one and the same set are a class, stood for by its smallest doc_id.
-2. Inverted lists are kept of two retained values that follow each other among a sketch's first KEYED. Two sets
-   above the threshold share such a list: for sets within KEYED always, else but for a chance of about 0.5 ** KEYED.
+   with one and the same set, told by 128 bits, are a class, stood for by its smallest doc_id.
+2. Inverted lists are kept of two retained values that follow each other among a sketch's first KEYED. For sets of at most KEYED
+   shingles above the threshold such a list always exists. For larger ones: walk the union's sketch upwards; each of its values is in both sets with a
+   chance of at least p (the threshold), so no two neighbours among KEYED values are both shared with a chance of
+   about (1 - p * p) ** (KEYED / 2) at most, below 1e-8 for p = 0.8 and 1e-9 for 0.85.
 3. Lists give candidate pairs. Short ones are paired at once. In long ones star rounds hold all members against
-   one; lists whose members are in one component are done, and what stays is held against all of its list in blocks
-   of bounded size. Documents of long lists know how many of their shingles no other document of long lists has;
-   this gives an exact upper bound of a pair's similarity, which spares the many loose members of a family.
-4. Pairs whose union sketch says that they may reach the threshold are verified on the full shingle sets.
+   one; lists whose members are in one component are done. What stays is dealt to cells of bounded size, with its full sets: each
+   cell finds its candidates by their sketches, verifies them, and lets out only pairs that join two components, so no
+   candidate pair is ever a row. Documents of long lists know how many of their shingles no other document of long lists has;
+   this gives an exact upper bound of a pair's similarity, which spares the loose members of a family.
+4. Pairs whose union sketch says that they may reach the threshold are verified on the full shingle sets, by a
+   second hash of the words, so that a link rests on 128 bits.
 
 Defined cases: a null text is an empty one; an empty set is linked with nothing; repeated rows of a doc_id are
-one document each and share its answer; an empty table gives no rows; other columns are ignored.
+one document each and share its answer; a row without a doc_id can't be named: it has no component, links
+nothing but through its class, and stays in `dedup`; ties don't arise, as components are named by doc_id; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wxspark.llm.common import Words, components, hash_runs, list_array, mix, semi, small_batches, text_steps, written
+from wxspark.llm.common import SEEDS, Words, components, drop, hash_runs, identity, list_array, semi, small_batches, text_steps, written
 
 #: Sketch size, and how many of its values make lists; star rounds; lists of up to ALL_PAIRS members are paired at
-#: once, longer ones after the rounds in blocks of LIST_BLOCK members; chance that a pair is missed.
-K, KEYED, ROUNDS, ALL_PAIRS, LIST_BLOCK, MISS = 64, 32, 2, 8, 1000, 1e-9
+#: once, longer ones after the rounds in cells of LIST_BLOCK members or CELL_SHINGLES shingles; chance that the union sketch misses a pair.
+K, KEYED, ROUNDS, ALL_PAIRS, LIST_BLOCK, CELL_SHINGLES, MISS = 64, 32, 2, 8, 1000, 500_000, 1e-9
 #: (shingle words, percent) of the contract's query and of stages without a contract.
 CONTRACT, STAGE = (3, 85), (5, 80)
 #: Sketches are stored as signed numbers; with this bit turned their order is that of the unsigned hashes.
@@ -36,26 +42,26 @@ TOP = np.uint64(1 << 63)
 SKETCH = "doc_id long, n_shingles long, c1 long, c2 long, sketch array<long>"
 
 
-def shingle_sets(batch_steps, words: int):
-    """For each step: rows and, a row each, the sorted distinct shingle hashes."""
-    for rows, data, offsets in batch_steps:
-        w = Words(data, offsets, lower=True)
-        h, sets = w.hash, []
-        for a, b in zip(w.first[:-1], w.first[1:]):
-            own = h[a:b]
-            sets.append(np.unique(hash_runs(own, words) if b - a >= words else hash_runs(own, b - a) if b > a else own))
-        yield rows, sets
+def _runs(w: Words, words: int, seed: int) -> list[np.ndarray]:
+    """The hashes of each row's shingles, in order."""
+    h = w.hashed(seed)
+    runs, out = hash_runs(h, words), []
+    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
+        out.append(runs[a : b - words + 1] if b - a >= words else hash_runs(h[a:b], b - a))
+    return out
 
 
 def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
     """doc_id, set size, the set's 128-bit identity, its k smallest values."""
 
     def run(batches):
-        for rows, sets in shingle_sets(text_steps(batches), words):
-            n = [len(s) for s in sets]
-            c1 = np.array([int(mix(s).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)
-            c2 = np.array([int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(c1), pa.array(c2), list_array([s[:k] ^ TOP for s in sets], np.uint64)], names=["doc_id", "n_shingles", "c1", "c2", "sketch"])
+        for rows, data, offsets in text_steps(batches):
+            w, out = Words(data, offsets, lower=True), []
+            for first, second in zip(_runs(w, words, SEEDS[0]), _runs(w, words, SEEDS[1])):
+                own, at = np.unique(first, return_index=True)
+                out.append((len(own), *identity(own, second[at]), own[:k] ^ TOP))
+            n, c1, c2, kept = zip(*out) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(x, pa.int64()) for x in (n, c1, c2)), list_array(list(kept), np.uint64)], names=["doc_id", "n_shingles", "c1", "c2", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
 
@@ -85,11 +91,12 @@ def _fits(na: str, ca: str, nb: str, cb: str, percent: int):
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """doc_id and full shingle set of the documents named."""
+    """doc_id and full shingle set, ascending, of the documents named; hashed by the second seed."""
 
     def run(batches):
-        for rows, sets in shingle_sets(text_steps(batches), words):
-            yield pa.RecordBatch.from_arrays([rows.column(0), list_array(sets, np.uint64)], names=["doc_id", "set"])
+        for rows, data, offsets in text_steps(batches):
+            sets = [np.unique(x.view(np.int64)) for x in _runs(Words(data, offsets, lower=True), words, SEEDS[1])]
+            yield pa.RecordBatch.from_arrays([rows.column(0), list_array(sets)], names=["doc_id", "set"])
 
     texts = semi(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), ids, "doc_id")
     return texts.mapInArrow(run, "doc_id long, set array<long>")
@@ -103,12 +110,14 @@ def _private(docs: DataFrame, crowd: DataFrame, words: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold."""
+    """Pairs (a, b) whose full sets reach the threshold, written."""
     wanted = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     sets = written(_sets(docs, wanted, words).dropDuplicates(["doc_id"]))
     a, b = (sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    out = written(pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
+    drop(wanted, sets)
+    return out
 
 
 def links(reps: DataFrame, docs: DataFrame, words: int, percent: int, k: int = K, rounds: int = ROUNDS) -> DataFrame:
@@ -119,37 +128,49 @@ def links(reps: DataFrame, docs: DataFrame, words: int, percent: int, k: int = K
     shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     found = written(keys.join(shared, "key"))
     crowd = written(found.where(F.col("n") > ALL_PAIRS).select("doc_id").distinct())
-    known = semi(reps, written(found.select("doc_id").distinct()), "doc_id").join(_private(docs, crowd, words), "doc_id", "left")
+    listed = written(found.select("doc_id").distinct())
+    known = semi(reps, listed, "doc_id").join(_private(docs, crowd, words), "doc_id", "left")
     light = written(known.select("doc_id", "n_shingles", (F.col("n_shingles") - F.coalesce("private", F.lit(0))).alias("common"), F.col("private").isNotNull().alias("crowd"), "sketch"))
     lists = written(found.join(light.drop("sketch"), "doc_id"))
-    label, edges, tested = None, None, None
-    for turn in range(rounds + 1):
-        open_lists = lists if turn == 0 else lists.where(F.col("n") > ALL_PAIRS)
-        labelled = open_lists.withColumn("label", F.col("doc_id")) if label is None else open_lists.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
-        if turn < rounds:
-            # the leader: the member with the fewest private shingles, others in an order of the turn
-            order = F.struct(F.col("n_shingles") - F.col("common"), F.xxhash64("doc_id", F.lit(turn)), F.col("doc_id").alias("leader"), F.col("label").alias("leader_label"), F.col("n_shingles").alias("leader_n"), F.col("common").alias("leader_common"))
-            if turn:
-                order = F.struct(F.xxhash64("doc_id", F.lit(turn)), *(F.lit(0),), F.col("doc_id").alias("leader"), F.col("label").alias("leader_label"), F.col("n_shingles").alias("leader_n"), F.col("common").alias("leader_common"))
-            mixed = labelled.where(F.col("n") > ALL_PAIRS).groupBy("key").agg(F.min(order).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "lead.leader", "lead.leader_label", "lead.leader_n", "lead.leader_common")
-            star = labelled.join(mixed, "key").where((F.col("label") != F.col("leader_label")) & _fits("n_shingles", "common", "leader_n", "leader_common", percent))
-            pairs = star.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"))
-            if turn == 0:
-                pairs = pairs.union(_meet(labelled.where(F.col("n") <= ALL_PAIRS), percent))
-        else:
-            mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-            rest = written(labelled.join(mixed, "key").select("key", "n", "doc_id", "n_shingles", "common", "crowd", "label"))
-            pairs = _rest(rest, light, percent, k, least)
-        pairs = pairs.distinct()
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.union(pairs)
+    drop(shared, found, crowd, listed)
+    label, edges = None, None
+
+    def labelled(members: DataFrame) -> DataFrame:
+        if label is None:
+            return members.withColumn("label", F.col("doc_id"))
+        return members.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+
+    def joined(more: DataFrame) -> None:
+        nonlocal edges, label
+        if more.take(1):
+            spent, edges = edges, written(more if edges is None else edges.union(more))
+            drop(spent)
+            label = components(edges)
+
+    long = lists.where(F.col("n") > ALL_PAIRS)
+    for turn in range(rounds):
+        members = labelled(long)
+        # the leader: first the member with the fewest private shingles, later any
+        rank = F.col("n_shingles") - F.col("common") if turn == 0 else F.lit(0)
+        order = F.struct(rank, F.xxhash64("doc_id", F.lit(turn)), F.col("doc_id").alias("leader"), F.col("label").alias("leader_label"), F.col("n_shingles").alias("leader_n"), F.col("common").alias("leader_common"))
+        mixed = members.groupBy("key").agg(F.min(order).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "lead.leader", "lead.leader_label", "lead.leader_n", "lead.leader_common")
+        star = members.join(mixed, "key").where((F.col("label") != F.col("leader_label")) & _fits("n_shingles", "common", "leader_n", "leader_common", percent))
+        pairs = star.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"))
+        if turn == 0:
+            pairs = pairs.union(_meet(labelled(lists.where(F.col("n") <= ALL_PAIRS)), percent))
+        met = written(pairs.distinct())
         a, b = (light.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab")
-        pairs = written(pairs.join(a, "a").join(b, "b").where(_may_link(percent, k, least)).select("a", "b"))
-        if not pairs.take(1):
-            continue
-        verified = _verified(pairs, docs, words, percent)
-        edges = written(verified if edges is None else edges.union(verified))
-        label = components(edges)
+        likely = written(met.join(a, "a").join(b, "b").where(_may_link(percent, k, least)).select("a", "b"))
+        more = _verified(likely, docs, words, percent)
+        joined(more)
+        drop(met, likely, more)
+    # a member whose shingles are for the most part its own is above the threshold with nobody
+    members = labelled(long.where(100 * F.col("common") >= percent * F.col("n_shingles")))
+    mixed = members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    rest = written(members.join(mixed, "key").select("key", "n", "doc_id", "n_shingles", "common", "label"))
+    more = _rest(rest, docs, words, percent, k, least)
+    joined(more)
+    drop(lists, light, rest, more)
     return label if label is not None else reps.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).limit(0)
 
 
@@ -164,17 +185,17 @@ def _meet(members: DataFrame, percent: int) -> DataFrame:
 def _cells(members: DataFrame, percent: int) -> DataFrame:
     """Members of mixed lists dealt to cells: key, cell, doc_id, label, visits.
 
-    A cell holds about LIST_BLOCK members of a list at home and about LIST_BLOCK guests, members outside the list's largest
-    component; each pair with different labels meets in one of them. Lists of over LIST_BLOCK members are cut in
+    A cell holds about LIST_BLOCK members of a list at home, or CELL_SHINGLES shingles, and as many guests, members outside the list's
+    largest component; each pair with different labels meets in one of them. Lists of over LIST_BLOCK members are cut in
     bands of size first: two sets above the threshold are in one band or in neighbouring ones.
     """
     width = max(log(100 / percent), 0.01) * (1 + 1e-9)
     sizes = members.groupBy("key", "label").agg(F.count("*").alias("m"))
     main = sizes.groupBy("key").agg(F.max(F.struct("m", "label")).alias("x")).select("key", F.col("x.label").alias("main"))
     band = F.when(F.col("n") > LIST_BLOCK, F.floor(F.log("n_shingles") / width)).otherwise(0).cast("int")
-    rows = written(members.join(main, "key").select("key", "doc_id", "label", band.alias("band"), (F.col("label") != F.col("main")).alias("loose")))
-    blocks = lambda n: F.ceil(n / LIST_BLOCK).cast("int")
-    bands = written(rows.groupBy("key", "band").agg(blocks(F.count("*")).alias("homes"), blocks(F.count_if("loose")).alias("guests")))
+    rows = written(members.join(main, "key").select("key", "doc_id", "n_shingles", "label", band.alias("band"), (F.col("label") != F.col("main")).alias("loose")))
+    blocks = lambda which: F.greatest(F.ceil(F.count(which) / LIST_BLOCK), F.ceil(F.coalesce(F.sum(which), F.lit(0)) / CELL_SHINGLES)).cast("int")
+    bands = written(rows.groupBy("key", "band").agg(blocks(F.col("n_shingles")).alias("homes"), blocks(F.when(F.col("loose"), F.col("n_shingles"))).alias("guests")))
     block = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), n).cast("int")
     other = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))
     own = rows.join(bands, ["key", "band"])
@@ -184,38 +205,64 @@ def _cells(members: DataFrame, percent: int) -> DataFrame:
     return home.union(visits)
 
 
-def _rest(members: DataFrame, light: DataFrame, percent: int, k: int, least: int) -> DataFrame:
-    """Pairs of long lists that still hold several components, cell by cell.
+def _forest(home: pd.DataFrame, guests: pd.DataFrame, key: int, percent: int, k: int, least: int) -> list[tuple[int, int]]:
+    """Verified links of a cell that join two components: fewer than it has labels.
 
-    Two documents that share several of these lists are held against each other in the one with the smallest key, and
-    only pairs within the bound and the sketch estimate leave a cell.
+    Two documents that share several mixed lists are held against each other in the one with the smallest key.
     """
-    own = members.groupBy("doc_id").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # at most KEYED - 1 keys
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            x = up
+        return x
 
     def padded(lists, width):
         out = np.full((len(lists), width), np.iinfo(np.int64).max)
         for row, values in zip(out, lists):
-            row[: len(values)] = values
+            row[: min(len(values), width)] = values[:width]
         return out
 
+    labels, ids, sizes, common = (home[c].to_numpy() for c in ("label", "doc_id", "n_shingles", "common"))
+    sets = home["set"].tolist()
+    keys, sketch = padded(home["keys"], KEYED), padded(sets, k)  # the least of the set are a sketch by its own hash
+    links = []
+    for doc, label, n, c, gk, gs in guests[["doc_id", "label", "n_shingles", "common", "keys", "set"]].itertuples(index=False):
+        at = np.flatnonzero((labels != label) & (100 * np.minimum(common, c) >= percent * (sizes - common + n - c + np.maximum(common, c))))
+        if len(at):
+            at = at[~(np.isin(keys[at], gk[gk < key])).any(axis=1)]
+        if len(at):
+            shared = np.isin(sketch[at], gs[:k]).sum(axis=1)
+            at = at[np.where(np.maximum(sizes[at], n) <= k, 100 * shared >= percent * (sizes[at] + n - shared), shared >= least)]
+        mine = find(label)
+        at = at[[find(x) != mine for x in labels[at].tolist()]] if len(at) else at
+        for lo in range(0, len(at), 64):
+            some = at[lo : lo + 64]
+            values = np.concatenate([sets[i] for i in some])
+            place = np.minimum(np.searchsorted(gs, values), len(gs) - 1)
+            begin = np.cumsum(sizes[some]) - sizes[some]
+            both = np.add.reduceat((gs[place] == values).astype(np.int64), begin)
+            for i in some[100 * both >= percent * (sizes[some] + n - both)].tolist():
+                x, y = find(int(labels[i])), find(label)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    links.append((min(doc, int(ids[i])), max(doc, int(ids[i]))))
+    return links
+
+
+def _rest(members: DataFrame, docs: DataFrame, words: int, percent: int, k: int, least: int) -> DataFrame:
+    """Verified links (a, b) in long lists that still hold several components, found cell by cell; written."""
+    own = members.groupBy("doc_id").agg(F.array_sort(F.collect_list("key")).alias("keys"), F.first("n_shingles").alias("n_shingles"), F.first("common").alias("common"))  # at most KEYED - 1 keys
+    wanted = written(members.select("doc_id").distinct())
+    full = written(own.join(_sets(docs, wanted, words).dropDuplicates(["doc_id"]), "doc_id"))
+
     def run(frame):
-        home, guests = frame[~frame["visits"]], frame[frame["visits"]]
-        labels, ids, sizes, common = (home[c].to_numpy() for c in ("label", "doc_id", "n_shingles", "common"))
-        keys, sketch, key = padded(home["keys"], KEYED), padded(home["sketch"], k), frame["key"].iloc[0]
-        a, b = [], []
-        for doc, label, n, c, gk, gs in guests[["doc_id", "label", "n_shingles", "common", "keys", "sketch"]].itertuples(index=False):
-            at = np.flatnonzero((labels != label) & (100 * np.minimum(common, c) >= percent * (sizes - common + n - c + np.maximum(common, c))))
-            if len(at):
-                at = at[~(np.isin(keys[at], gk[gk < key])).any(axis=1)]
-            if len(at):
-                shared = np.isin(sketch[at], gs).sum(axis=1)
-                at = at[np.where(np.maximum(sizes[at], n) <= k, 100 * shared >= percent * (sizes[at] + n - shared), shared >= least)]
-                a.append(np.minimum(ids[at], doc))
-                b.append(np.maximum(ids[at], doc))
-        return pd.DataFrame({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
-
-    full = _cells(members, percent).join(light.select("doc_id", "n_shingles", "common", "sketch"), "doc_id").join(own, "doc_id")
-    return full.groupBy("key", "cell").applyInPandas(run, "a long, b long")
+        links = _forest(frame[~frame["visits"]], frame[frame["visits"]], frame["key"].iloc[0], percent, k, least)
+        return pd.DataFrame(links, columns=["a", "b"]).astype(np.int64)
+
+    out = written(_cells(members, percent).join(full, "doc_id").groupBy("key", "cell").applyInPandas(run, "a long, b long"))
+    drop(wanted, full)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = STAGE[0], percent: int = STAGE[1], k: int = K) -> DataFrame:
@@ -231,6 +278,6 @@ def near_duplicates(docs: DataFrame, words: int = STAGE[0], percent: int = STAGE
 
 
 def dedup(docs: DataFrame, words: int = STAGE[0], percent: int = STAGE[1]) -> DataFrame:
-    """The documents less all but one (the smallest doc_id) of each group of near-duplicates."""
-    gone = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The documents less all but one (the smallest doc_id) of each group of near-duplicates; rows without a doc_id stay."""
+    gone = near_duplicates(docs, words, percent).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
