@@ -10,8 +10,13 @@ hit if the alignment needs no more than e edits.
 The benchmark is taken in blocks of at most BLOCK_BYTES, each handed to the tasks as a table of its q-grams; documents
 are never joined or shuffled.
 
-Defined cases: null texts and items are empty; items with fewer than Q letters and digits match nothing; repeated
-rows are each judged; empty tables give no hits; other columns are ignored.
+Q is short enough for the bound to be positive at every length of a region. The document is hit by the first band and
+region that the alignment confirms: bands in order of their diagonals, regions from the item's begin.
+
+Defined cases: null texts and items are empty; items with fewer than Q letters and digits are no passages and match
+nothing; repeated rows are each judged, and a repeated item_id gives a row for each of its texts that is held; a row without a doc_id
+is judged like others (a hit's doc_id is null then) and leaves `decontaminate` if it is hit; very long texts are searched
+whole; empty tables give no hits; other columns are ignored by `hits` and kept by `decontaminate`, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 
 from wxspark.llm.common import LOWER, column_bytes, mix, small_batches, text_steps
 
-Q, REGION, STRIDE, EDIT_SHARE, BLOCK_BYTES = 12, 64, 16, 0.05, 16 << 20
+Q, REGION, STRIDE, EDIT_SHARE, BLOCK_BYTES = 10, 64, 16, 0.05, 4 << 20
 HITS = "doc_id long, item_id long, begin long, end long, n_shared long, edits long"
 _KEEP = np.zeros(256, bool)
 _KEEP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -39,13 +44,13 @@ def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def qgrams(data: np.ndarray) -> np.ndarray:
-    """A 64-bit value of every run of Q = 12 bytes: distinct but for chance."""
+    """A 64-bit value of every run of Q = 10 bytes: distinct but for chance."""
     if len(data) < Q:
         return np.zeros(0, np.uint64)
     two = data[:-1].astype(np.uint64) | data[1:].astype(np.uint64) << np.uint64(8)
     four = two[:-2] | two[2:] << np.uint64(16)
     eight = four[:-4] | four[4:] << np.uint64(32)
-    return eight[:-4] * np.uint64(0x9E3779B97F4A7C15) + four[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    return eight[:-2] * np.uint64(0x9E3779B97F4A7C15) + two[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def edits_within(pattern: bytes, text: bytes, most: int) -> int | None:
@@ -82,8 +87,8 @@ class Index:
         grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(grams, kind="stable")
         self.grams = grams[order]
-        self.owner = (np.concatenate(owner) if owner else grams)[order].astype(np.int64)
-        self.place = (np.concatenate(place) if place else grams)[order].astype(np.int64)
+        self.owner = (np.concatenate(owner) if owner else grams)[order].astype(np.int32)
+        self.place = (np.concatenate(place) if place else grams)[order].astype(np.int32)
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[self.slot(self.grams)] = True
 
@@ -97,7 +102,12 @@ class Index:
         lo, hi = np.searchsorted(self.grams, grams[at], "left"), np.searchsorted(self.grams, grams[at], "right")
         n = hi - lo
         rows = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(at, n), self.owner[rows], self.place[rows]
+        return np.repeat(at, n), self.owner[rows], self.place[rows].astype(np.int64)
+
+
+def bound(m: int) -> int:
+    """Q-grams that a region of m bytes shares with a text at least, if its edits are within EDIT_SHARE; 1 or more for m >= Q."""
+    return m - Q + 1 - Q * int(EDIT_SHARE * m)
 
 
 def _regions(n: int) -> list[tuple[int, int]]:
@@ -124,7 +134,7 @@ def _hit(text: np.ndarray, item: bytes, t: np.ndarray, p: np.ndarray) -> tuple[i
         for s, e in _regions(len(item)):
             m, most = e - s, int(EDIT_SHARE * (e - s))
             count = int(np.searchsorted(places, e - Q, "right") - np.searchsorted(places, s, "left"))
-            if count < max(1, m - Q + 1 - Q * most):
+            if count < bound(m):
                 continue
             d = diagonal[own]
             lo, hi = max(0, s + int(d.min()) - most), min(len(text), e + int(d.max()) + most)
@@ -135,53 +145,74 @@ def _hit(text: np.ndarray, item: bytes, t: np.ndarray, p: np.ndarray) -> tuple[i
     return best
 
 
-def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document and item it holds: place in the text (code points), shared q-grams, edits."""
+def _blocks(docs: DataFrame, benchmark: DataFrame):
+    """The benchmark in blocks of bounded size, each as an index."""
     small_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, found = int(-(-size // BLOCK_BYTES)) or 1, None
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    blocks = int(-(-size // BLOCK_BYTES)) or 1
     for block in range(blocks):
         taken = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        part = rows.mapInArrow(_search(Index([(r[0], r[1]) for r in taken.collect()])), HITS)  # a block of bounded size
+        yield Index([(r[0], r[1]) for r in taken.collect()])
+
+
+def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row for each document and item it holds: place in the text (code points), shared q-grams, edits."""
+    rows, found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), None
+
+    def search(index):
+        def run(batches):
+            for part, data, offsets in text_steps(batches):
+                ids = part.column(0).to_pylist()
+                cols = list(zip(*((ids[row], *rest) for row, *rest in _found(index, data, offsets)))) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[c.split()[0] for c in HITS.split(", ")])
+
+        return run
+
+    for index in _blocks(docs, benchmark):
+        part = rows.mapInArrow(search(index), HITS)
         found = part if found is None else found.union(part)
     return found
 
 
-def _search(index: Index):
-    def run(batches):
-        for rows, data, offsets in text_steps(batches):
-            text, at, edges = letters(data, offsets)
-            out = []
-            t, owner, p = index.shared(qgrams(text))
-            row_of = np.searchsorted(edges, t, "right") - 1
-            inside = t + Q <= edges[row_of + 1]
-            t, owner, p, row_of = t[inside], owner[inside], p[inside], row_of[inside]
-            order = np.lexsort((t, owner, row_of))
-            t, owner, p, row_of = t[order], owner[order], p[order], row_of[order]
-            cuts = np.flatnonzero((np.diff(row_of) != 0) | (np.diff(owner) != 0)) + 1
-            ids = rows.column(0).to_pylist()
-            starts = np.append(0, cuts) if len(t) else cuts
-            for a, b in zip(starts.tolist(), [*cuts.tolist(), len(t)]):
-                row, item = int(row_of[a]), index.texts[owner[a]]
-                m = min(REGION, len(item))
-                if b - a < max(1, m - Q + 1 - Q * int(EDIT_SHARE * m)):
-                    continue
-                lo, hi = int(edges[row]), int(edges[row + 1])
-                if hit := _hit(text[lo:hi], item, t[a:b] - lo, p[a:b]):
-                    begin, end = at[lo + hit[0]], at[lo + hit[1] - 1] + 1
-                    raw = data[offsets[row] : offsets[row + 1]]
-                    points = np.cumsum((raw & 0xC0) != 0x80)
-                    begin, end = int(points[begin - offsets[row]]) - 1, int(points[end - 1 - offsets[row]])
-                    out.append((ids[row], index.ids[owner[a]], begin, end, hit[2], hit[3]))
-            cols = list(zip(*out)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[c.split()[0] for c in HITS.split(", ")])
-
-    return run
+def _found(index: Index, data: np.ndarray, offsets: np.ndarray):
+    """(row, item_id, begin, end, shared, edits) of the hits in some texts."""
+    text, at, edges = letters(data, offsets)
+    t, owner, p = index.shared(qgrams(text))
+    row_of = np.searchsorted(edges, t, "right") - 1
+    inside = t + Q <= edges[row_of + 1]
+    t, owner, p, row_of = t[inside], owner[inside], p[inside], row_of[inside]
+    order = np.lexsort((t, owner, row_of))
+    t, owner, p, row_of = t[order], owner[order], p[order], row_of[order]
+    cuts = np.flatnonzero((np.diff(row_of) != 0) | (np.diff(owner) != 0)) + 1
+    starts = np.append(0, cuts) if len(t) else cuts
+    for a, b in zip(starts.tolist(), [*cuts.tolist(), len(t)]):
+        row, item = int(row_of[a]), index.texts[owner[a]]
+        if b - a < bound(min(REGION, len(item))):
+            continue
+        lo, hi = int(edges[row]), int(edges[row + 1])
+        if hit := _hit(text[lo:hi], item, t[a:b] - lo, p[a:b]):
+            begin, end = at[lo + hit[0]], at[lo + hit[1] - 1] + 1
+            raw = data[offsets[row] : offsets[row + 1]]
+            points = np.cumsum((raw & 0xC0) != 0x80)
+            yield row, index.ids[owner[a]], int(points[begin - offsets[row]]) - 1, int(points[end - 1 - offsets[row]]), hit[2], hit[3]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item."""
-    gone = hits(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The documents that hold no benchmark item; texts are searched in place, so nothing is joined."""
+
+    def clean(index):
+        def run(batches):
+            for batch in batches:
+                keep, done = np.ones(len(batch), bool), 0
+                column = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("text"))], names=["text"])
+                for part, data, offsets in text_steps([column]):
+                    keep[[done + row for row, *_ in _found(index, data, offsets)]] = False
+                    done += len(part)
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for index in _blocks(docs, benchmark):
+        docs = docs.mapInArrow(clean(index), docs.schema)
+    return docs
