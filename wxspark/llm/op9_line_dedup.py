@@ -5,15 +5,18 @@ Lines are those between line feeds. Equal lines are one class, told apart by 104
 text itself tells lines of one identity apart. A line of at least MIN_CHARS code points is cut into EDITS + 1 segments. Two lines within EDITS
 edits share a whole segment, at a place that their lengths bound, so the segments (index) are joined with those
 substrings of equally long or longer lines that may meet them (probes). Pairs that meet within the letters' bound
-are verified by Spark's edit distance with a threshold, which is banded. A line's links are the other texts
-within EDITS edits; shorter lines are linked with equal lines only.
+are verified by a bit-parallel edit distance in a band of 2 * EDITS + 1 diagonals: one number holds a column of the band,
+and a SQL fold over the characters of one line moves it along. A line's links are the other texts
+within EDITS edits. The rule is one of both numbers: lines of fewer than MIN_CHARS code points, where EDITS edits may be another
+line altogether, are linked with equal lines only.
 
 A line goes if an equal or linked line stands earlier, by (doc_id, line_no), in the input. Lines without a word
 always stay.
 
 Defined cases: a null text has no lines, an empty one has one empty line; rows that repeat a doc_id hold the same
 places, none of which is earlier than the other; rows without a doc_id have no place and keep their lines;
-an empty table gives no rows; other columns stay as they are in `dedup` and are ignored in `judge`.
+very long lines take part whole; an empty table gives no rows; other columns, whatever their names, stay as they are in
+`dedup` and are ignored in `judge`.
 """
 
 from __future__ import annotations
@@ -109,6 +112,29 @@ def _probe_keys(edits: int) -> tuple[str, int]:
     return f"array({', '.join(out)})", even
 
 
+def within_edits(a: str, b: str, edits: int) -> Column:
+    """Whether two lines are within some edits, 20 at most: Myers' bit vectors, kept to the band of diagonals that such a pair can use.
+
+    Bit i of a column stands for the row i - edits below the diagonal. up and down say where the distance grows or falls by one from
+    the row above; low is the distance in the band's lowest row. Behind the last column, the steps from the end of a down to that row
+    are taken back. Columns, with the band's rows, are numbered along b; rows before or behind a match nothing.
+    """
+    width = 2 * edits + 1
+    band, top = (1 << width) - 1, width - 1
+    same = " + ".join(f"if(get({a}_chars, j - {edits - i}) = get({b}_chars, j), {1 << i}L, 0L)" for i in range(width))
+    match = f"transform(sequence(0, size({b}_chars) - 1), j -> {same})"
+    # d: where the distance stays along the diagonal; across and back: where it grows or falls along the row
+    d = f"(((((m & s.up) + s.up) ^ s.up) | m | s.down) & {band}L)"
+    across, back = f"((s.down | ~(d | s.up)) & {band}L)", "(d & s.up)"
+    moved = f"named_struct('up', ({back} | ~(shiftright(d, 1) | {across})) & {band}L, 'down', shiftright(d, 1) & {across}, 'low', s.low + 1L - shiftright(d, {top}))"
+    start = f"named_struct('up', {band - (1 << edits) + 1}L, 'down', 0L, 'low', {edits}L)"
+    # the rows have moved on by one behind the last column, so the top bit is below the lowest row
+    behind = f"shiftleft({band}L, size({a}_chars) - size({b}_chars) + {edits}) & {band >> 1}L"
+    end = f"x.low - bit_count(x.up & ({behind})) + bit_count(x.down & ({behind}))"
+    fold = f"aggregate({match}, {start}, (s, m) -> element_at(transform(array({d}), d -> {moved}), 1), x -> {end})"
+    return F.expr(f"case when abs(size({a}_chars) - size({b}_chars)) > {edits} then false when size({a}_chars) = 0 or size({b}_chars) = 0 then true else {fold} <= {edits} end")
+
+
 def links(found: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Linked lines, both ways: (h1, h2) and its partner (o1, o2)."""
     parts = _parts(found.where(F.col("n") >= min_chars), edits)
@@ -118,7 +144,8 @@ def links(found: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> D
     ordered = F.when(F.col("even"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
     pairs = index.join(probe, "key").where(ordered & _within_counts("a", "b", edits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     a, b = (found.select(F.col("id").alias(x), F.col("line").alias(f"{x}_line"), F.col("n").alias(f"{x}_n")) for x in "ab")
-    near = pairs.join(a, "a").join(b, "b").where((F.col("a_n") >= min_chars) & (F.col("b_n") >= min_chars) & (F.levenshtein("a_line", "b_line", edits) >= 0))
+    near = pairs.join(a, "a").join(b, "b").where((F.col("a_n") >= min_chars) & (F.col("b_n") >= min_chars) & (F.col("a_line") != F.col("b_line")))
+    near = near.withColumn("a_chars", F.split("a_line", "")).withColumn("b_chars", F.split("b_line", "")).where(within_edits("a", "b", edits))
     name = lambda x, h1, h2: (F.shiftright(x, _COUNT_BITS).alias(h1), F.xxhash64(f"{x}_line", F.lit(17)).alias(h2))
     return near.select(F.explode(F.array(F.struct(*name("a", "h1", "h2"), *name("b", "o1", "o2")), F.struct(*name("b", "h1", "h2"), *name("a", "o1", "o2")))).alias("x")).select("x.*")
 
@@ -138,11 +165,10 @@ def judge(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
 
 def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without the lines that go; n_chars, where there is such a column, counts the new text."""
-    gone = judge(docs, edits, min_chars).where("not kept").groupBy(F.col("doc_id").alias("_doc_id")).agg(F.collect_set("line_no").alias("_gone"))
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc_id"), "left")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.expr("element_at(transform(array(split(text, '\\n')), l -> array_join(transform(array_except(sequence(1L, cast(size(l) as bigint)), _gone), i -> element_at(l, cast(i as int))), '\\n')), 1)"))
-    out = joined.withColumn("text", text)
+    gone = judge(docs, edits, min_chars).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*docs.columns).alias("own")).join(gone, "doc_id", "left")
+    text = F.when(F.col("gone").isNull(), F.col("own.text")).otherwise(F.expr("element_at(transform(array(split(own.text, '\\n')), l -> array_join(transform(array_except(sequence(1L, cast(size(l) as bigint)), gone), i -> element_at(l, cast(i as int))), '\\n')), 1)"))
+    out = {c: F.col(f"own.`{c}`") for c in docs.columns} | {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(*docs.columns)
-
+        out["n_chars"] = F.when(F.col("gone").isNull(), F.col("own.n_chars")).otherwise(F.char_length(text).cast("long"))
+    return joined.select(*(x.alias(c) for c, x in out.items()))
