@@ -123,12 +123,12 @@ def suspicious(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def restore(text: str, model: np.ndarray, memo) -> str:
-    """The text in lower case with disguised tokens decoded; runs count as two of a kind, runs of signs at an end not at all."""
+    """A text, its ASCII letters in lower case, with disguised tokens decoded; runs count as two of a kind, runs of signs at an end not at all."""
 
     def plain(token: str) -> str:
         return memo(token) if len(token) <= REMEMBER else decode(token, model)
 
-    text = _SPACED.sub(lambda m: plain(m[0]), text.lower())
+    text = _SPACED.sub(lambda m: plain(m[0]), text)
     text = _LEET.sub(lambda m: plain(_RUN.sub(r"\1\1", _ENDS.sub("", m[0]))), text)
     return _LONG.sub(lambda m: plain(_RUN.sub(r"\1\1", m[0])), text)
 
@@ -158,7 +158,7 @@ def _restored_steps(batches, model: np.ndarray):
             size = np.diff(offsets)
             for r in odd.tolist():
                 parts.append(raw[offsets[done] : offsets[r]])
-                text = restore(raw[offsets[r] : offsets[r + 1]].decode(), model, memo).encode()
+                text = restore(raw[offsets[r] : offsets[r + 1]].lower().decode(), model, memo).encode()  # bytes: ASCII alone is lowered
                 parts.append(text)
                 size[r] = len(text)
                 done = r + 1
