@@ -1,15 +1,18 @@
 """PII: plain patterns as seeds, then bootstrapped contextual extraction on a pattern-instance graph.
 
-1. A scan finds e-mail, IP, card and phone spans (base). It also lists candidates: tokens with four digits or more.
-   The word before a base span or candidate is its lexical pattern.
-2. Patterns seen before MIN_SEEDS different seed entities are kept; a second scan counts how often each of
-   them stands anywhere.
-3. Spark scores the graph in rounds: a pattern's confidence is the score of its instances, each as often as it stands
+1. A scan finds e-mail, IP, card and phone spans (base) and keys: runs of KEY characters or more with letters and digits. These
+   are the seed entities. It also lists candidates: other tokens with a digit, mixed case or an underscore inside. The word
+   before a seed or candidate, or what stands before it in the same token, is its lexical pattern.
+2. Seeds induce patterns: words seen before MIN_SEEDS different ones. A scan counts how often each new pattern stands anywhere.
+3. Spark scores the graph: a pattern's confidence is the score of its instances, each as often as it stands
    there, over all its occurrences, so that copies weigh alike on both sides; an instance's score is 1 for a seed, else its best pattern's confidence.
-4. Candidates after a pattern of at least CONFIDENCE become spans of kind id.
+4. Instances that a trusted pattern (CONFIDENCE) has discovered induce new patterns like seeds, which are counted and scored in
+   turn, until a round finds no new pattern, or for ROUNDS rounds.
+5. Keys, and candidates after a trusted pattern, become spans of kind id.
 
-Defined cases: a null text is empty; a null doc_id keeps its base spans and gets no spans of kind id; repeated rows
-are judged alike; an empty table gives no rows; other columns are ignored.
+Defined cases: a null text is empty; rows are told apart by doc_id and text, so rows without a doc_id and rows that repeat one
+have their own spans; equal rows are judged alike; tokens and words of any length take part whole; overlapping base
+spans of different kinds all stay; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,15 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wxspark.llm.common import Words, hash_spans, small_batches, text_steps, written
+from wxspark.llm.common import Words, drop, hash_spans, small_batches, text_steps, written
 
 KINDS = ("email", "ip", "card", "phone", "id")
-MIN_SEEDS, CONFIDENCE, ROUNDS, PATTERN_BLOCK = 3, 0.3, 3, 1_000_000
+MIN_SEEDS, CONFIDENCE, ROUNDS, PATTERN_BLOCK, KEY, ID = 3, 0.3, 8, 1_000_000, 24, 4
 _LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9._%+-]"), re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGITS, _PHONE = re.compile(r"[0-9]+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SPACES = " \t\n\x0b\x0c\r"
-_EDGE = re.compile(r"^[^\w]+|[^\w]+$")
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:int,kind:int,end:int>>, seen array<struct<pattern:long,instance:long,seed:boolean,start:int,end:int,whole:boolean>>"
+_EDGE, _SPACE = re.compile(r"^[^\w]+|[^\w]+$"), re.compile(f"[{_SPACES}]")
+_ODD, _KEY = re.compile(r"[0-9]|[a-z][A-Z]|[A-Za-z]_[A-Za-z]"), re.compile(r"[A-Za-z0-9+/_-]{%d,}+" % KEY)
+FOUND = "doc_id long, row long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:int,kind:int,end:int>>, seen array<struct<pattern:long,instance:long,seed:boolean,start:int,kind:int,end:int,whole:boolean>>"
+_SEEN = ("pattern", "instance", "seed", "start", "kind", "end", "whole")
 
 
 def luhn(digits: str) -> bool:
@@ -84,52 +89,69 @@ def _hash(text: str) -> int:
     return int(hash_spans(raw, np.array([0]), np.array([len(raw)])).view(np.int64)[0]) if len(raw) else 0
 
 
-def _before(text: str, start: int) -> str:
-    """The word before a place, as it stands in lower case; empty at the text's begin."""
+def _before(text: str, start: int, least: int) -> str:
+    """The word before a place, or what of it lies behind `least`; empty at the text's begin."""
     end = start
-    while end > 0 and text[end - 1] in _SPACES:
+    while end > least and text[end - 1] in _SPACES:
         end -= 1
     begin = end
-    while begin > 0 and text[begin - 1] not in _SPACES and end - begin < 64:
+    while begin > least and text[begin - 1] not in _SPACES:
         begin -= 1
-    return "" if end - begin >= 64 else text[begin:end]
+    return text[begin:end]
 
 
 def _ascii_lower(text: str) -> str:
     return re.sub("[A-Z]+", lambda m: m[0].lower(), text)
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, bool, int, int, bool]]:
-    """(pattern, instance, seed, start, end, whole) of base spans and of other tokens with four digits or more.
+def keys(text: str) -> list[tuple[int, int, int]]:
+    """Runs of KEY characters or more that hold four letters and four digits at least: secrets by their shape."""
+    out = []
+    for m in _KEY.finditer(text):
+        digits, letters = sum("0" <= c <= "9" for c in m[0]), sum(c.isalpha() for c in m[0])
+        if digits >= 4 and letters >= 4:
+            out.append((m.start(), ID, m.end()))
+    return out
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
+    """(pattern, instance, seed, start, kind, end, whole) of seeds and of other tokens with something odd in them.
 
     whole: the pattern is a word of its own there, and this is the first span behind it, so it is one of its occurrences.
+    A pattern is looked for behind the span before only, so that the work is linear in the text.
     """
-    out, before = [], -1
-    for start, _, end in spans:
-        if word := _before(text, start):
-            out.append((_hash(_ascii_lower(word)), _hash(text[start:end]), True, start, end, start != before and text[start - 1] in _SPACES))
-        before = start
-    last, k = -1, 0
-    covered = sorted((s, e) for s, _, e in spans)
-    for m in _DIGITS.finditer(text):
+    free, covered = [], 0
+    ends = sorted(base)
+    for k in keys(text):
+        while covered < len(ends) and ends[covered][2] <= k[0]:
+            covered += 1
+        if covered == len(ends) or ends[covered][0] >= k[2]:
+            free.append(k)
+    spans = [(s, kind, e, True) for s, kind, e in sorted(base + free)]
+    last, k, reach = 0, 0, 0
+    tokens = []
+    for m in _ODD.finditer(text):
         if m.start() < last:
             continue
-        begin, last = m.start(), m.end()
-        while begin > 0 and text[begin - 1] not in _SPACES and m.start() - begin < 256:
+        begin = m.start()
+        while begin > last and text[begin - 1] not in _SPACES:
             begin -= 1
-        while last < len(text) and text[last] not in _SPACES and last - m.start() < 256:
-            last += 1
-        token = text[begin:last]
-        if sum(c.isdigit() for c in token) < 4:
-            continue
-        while k < len(covered) and covered[k][1] <= begin:
+        end = _SPACE.search(text, m.end())
+        last = end.start() if end else len(text)
+        while k < len(spans) and spans[k][2] <= begin:
             k += 1
-        if k < len(covered) and covered[k][0] < last:
+        if k < len(spans) and spans[k][0] < last:
             continue
-        inner = _EDGE.sub("", token)
-        begin += token.find(inner) if inner else 0
-        if inner and (word := _before(text, begin)):
-            out.append((_hash(_ascii_lower(word)), _hash(inner), False, begin, begin + len(inner), text[begin - 1] in _SPACES))
+        inner = _EDGE.sub("", text[begin:last])
+        if inner:
+            begin += text[begin:last].find(inner)
+            tokens.append((begin, ID, begin + len(inner), False))
+    out = []
+    for start, kind, end, seed in sorted(spans + tokens):
+        word = _before(text, start, min(reach, start))
+        whole = bool(word) and text[start - 1] in _SPACES and (reach <= start - len(word) or not reach)
+        out.append((_hash(_ascii_lower(word)) if word else None, _hash(text[start:end]), seed, start, kind, end, whole))
+        reach = max(reach, end)
     return out
 
 
@@ -137,21 +159,19 @@ def scan(docs: DataFrame) -> DataFrame:
     """Base spans and pattern occurrences of every document."""
 
     def run(batches):
+        span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+        seen = pa.list_(pa.struct([("pattern", pa.int64()), ("instance", pa.int64()), ("seed", pa.bool_()), ("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("whole", pa.bool_())]))
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = text or ""
-                spans = base_spans(text)
-                n = [0, 0, 0, 0]
-                for _, kind, _ in spans:
-                    n[kind] += 1
-                rows.append((doc, *n, [{"start": s, "kind": k, "end": e} for s, k, e in spans], [dict(zip(("pattern", "instance", "seed", "start", "end", "whole"), c)) for c in candidates(text, spans)]))
-            cols = list(zip(*rows)) if rows else [[]] * 7
-            span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-            seen = pa.list_(pa.struct([("pattern", pa.int64()), ("instance", pa.int64()), ("seed", pa.bool_()), ("start", pa.int32()), ("end", pa.int32()), ("whole", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], span), pa.array(cols[6], seen)], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "seen"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FOUND)
+            n, bases, told = [], [], []
+            for text in batch.column(2).to_pylist():
+                base = base_spans(text)
+                n.append([sum(x[1] == kind for x in base) for kind in range(ID)])
+                bases.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
+                told.append([dict(zip(_SEEN, c)) for c in candidates(text, base)])
+            counts = [pa.array(c, pa.int64()) for c in zip(*n)] if n else [pa.array([], pa.int64())] * ID
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *counts, pa.array(bases, span), pa.array(told, seen)], names=["doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base", "seen"])
+
+    return docs.mapInArrow(run, FOUND)
 
 
 def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -179,26 +199,43 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def trusted(found: DataFrame, docs: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """Patterns whose confidence reaches the bound after all rounds."""
-    edges = written(found.select(F.explode("seen").alias("x")).groupBy("x.pattern", "x.instance", "x.seed").agg(F.count_if("x.whole").alias("times")))
-    patterns = written(edges.where("seed").groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds).select("pattern"))
-    times = written(occurrences(docs, patterns))
-    graph = edges.join(times, "pattern")
-    scores = graph.select("instance", F.col("seed").cast("double").alias("score")).groupBy("instance").agg(F.max("score").alias("score"))
+    """Patterns whose confidence reaches the bound when no round finds a new one; written."""
+    seen = found.select(F.explode("seen").alias("x")).where("x.pattern is not null")
+    edges = written(seen.groupBy("x.pattern", "x.instance").agg(F.max("x.seed").alias("seed"), F.count_if("x.whole").alias("times")))
+    scores = written(edges.where("seed").select("instance", F.lit(1.0).alias("score")).distinct())
+    times, ranked = None, None
     for _ in range(rounds):
-        ranked = written(graph.join(scores, "instance").groupBy("pattern").agg((F.sum(F.col("score") * F.col("times")) / F.max("n")).alias("confidence")))
-        scores = graph.join(ranked, "pattern").groupBy("instance").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(F.least(F.lit(1.0), "confidence"))).alias("score"))
-    return ranked.where(F.col("confidence") >= confidence).select("pattern")
+        # what is known so far, seeds and discovered instances, induces patterns
+        induced = edges.join(scores.where(F.col("score") >= confidence), "instance").groupBy("pattern").agg(F.count("*").alias("instances")).where(F.col("instances") >= min_seeds).select("pattern")
+        new = written(induced if times is None else induced.join(times, "pattern", "left_anti"))
+        if times is not None and not new.take(1):
+            drop(new)
+            break
+        more, before = occurrences(docs, new), times
+        times = written(more if before is None else before.union(more))
+        graph = edges.join(times, "pattern")
+        spent, ranked = ranked, written(graph.join(scores, "instance", "left").groupBy("pattern").agg((F.sum(F.coalesce("score", F.lit(0.0)) * F.col("times")) / F.max("n")).alias("confidence")))
+        old = scores
+        told = edges.join(ranked.where(F.col("confidence") >= confidence), "pattern", "left")
+        scores = written(told.groupBy("instance").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(F.least(F.lit(1.0), "confidence"))).alias("score")).where("score is not null"))
+        drop(new, before, spent, old)
+    good = written(ranked.where(F.col("confidence") >= confidence).select("pattern"))
+    drop(edges, scores, times, ranked)
+    return good
 
 
 def find(docs: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
     """One row a document: counts and digest of base spans, and all spans as kind:start:end."""
     small_batches(docs.sparkSession)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("row"), text.alias("text"))
     found = written(scan(docs))
     good = trusted(found, docs, min_seeds, confidence, rounds)
-    more = found.select("doc_id", F.explode("seen").alias("x")).where("not x.seed").select("doc_id", "x.pattern", F.struct("x.start", F.lit(4).alias("kind"), "x.end").alias("span"))
-    more = more.join(good, "pattern").groupBy("doc_id").agg(F.collect_set("span").alias("more"))
+    more = found.select("doc_id", "row", F.explode("seen").alias("x")).where(F.col("x.kind") == ID).select("doc_id", "row", "x.seed", "x.pattern", F.struct("x.start", "x.kind", "x.end").alias("span"))
+    more = more.where("seed").union(more.where("not seed").join(good, "pattern", "left_semi").select(*more.columns))
+    more = more.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_set("span").alias("more"))
     kinds = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
     told = lambda spans: F.expr(f"array_join(transform({spans}, s -> concat_ws(':', element_at({kinds}, s.kind + 1), s.start, s.end)), ',')")
     all_ = "array_sort(concat(base, coalesce(more, cast(array() as array<struct<start:int,kind:int,end:int>>))))"
-    return found.drop("seen").join(more, "doc_id", "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(told("base").cast("binary"), 256).alias("base_sha256"), told(all_).alias("spans"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))
+    return found.drop("seen").join(more, same, "left").select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(told("base").cast("binary"), 256).alias("base_sha256"), told(all_).alias("spans"))
