@@ -117,6 +117,33 @@ def test_disguises_of_any_length_are_restored(spark):
     assert op6.decode("stup1d" * 2000, model).count("stupid") >= 1990
 
 
+def test_decoder_is_the_best_of_all_paths(spark):
+    model = op6.log_model(op6.trigrams(frame(spark, [(i, "stupid moron idiot trash clown pathetic " * 3) for i in range(5)])))
+
+    def all_paths(token):
+        last, paths = "", [("", 0.0)]
+        for k, c in enumerate(token):
+            if "a" <= c <= "z":
+                options = [(c, 0.0)] if c != last else [(c, -0.7), ("", 0.0)]
+            elif c in op6.STANDS_FOR:
+                options = [(x, -0.3) for x in op6.STANDS_FOR[c]] + [("", -1.0 if k in (0, len(token) - 1) else -4.0)]
+            else:
+                options = [("", 0.0)]
+            last, paths = c, [(said + x, score + cost) for said, score in paths for x, cost in options]
+        code = lambda c: ord(c) - 96 if c else 0
+        score = lambda s: sum(float(model[code(a), code(b), code(c)]) for a, b, c in zip(["", "", *s], ["", *s], [*s, ""]))
+        return [(value + score(said), said) for said, value in paths]
+
+    r = random.Random(4)
+    for _ in range(300):
+        token = "".join(r.choice("stupidmoraa015$!| .2") for _ in range(r.randint(1, 9)))
+        paths = all_paths(token)
+        got = op6.decode(token, model)
+        assert max(x for x, said in paths if said == got) >= max(paths)[0] - 1e-4, token
+    # only ASCII letters are lowered, in rows with disguises as in others
+    assert op6.restore("É stup1d".encode().lower().decode(), model, lambda t: op6.decode(t, model)) == "É stupid"
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     told = op6.score(docs, labels).join(labels, "doc_id").where("held_out").select("toxic", "predicted", "score").collect()
@@ -163,10 +190,29 @@ def test_pii_bootstraps_unseen_identifiers(spark):
     seeds = [(i, f"some words then phone: +1 (555) 123-45{i:02d} and more of the text") for i in range(30)]
     docs = seeds + [(50, "this one says phone: 0912-3456-78 here"), (51, "plain number 1234567 stays"), (None, "phone: 12345678")]
     got = {x.doc_id: x.spans for x in op8.find(frame(spark, docs)).collect()}
-    assert got[50] == "id:21:33" and got[51] == "" and got[None] == ""
+    assert got[50] == "id:21:33" and got[51] == "" and got[None] == "id:7:15"
     assert op8.find(frame(spark, []).limit(0)).collect() == []
 
 
+def test_pii_discoveries_induce_new_patterns(spark):
+    seeds = [(i, f"then phone: +1 (555) 123-45{i:02d} and more") for i in range(30)]
+    found = [(100 + i, f"or phone: 0912-34-{i:02d} stays") for i in range(5)]  # behind a trusted pattern
+    again = [(200 + i, f"ring mobil= 0912-34-{i:02d} today") for i in range(5)]  # the same behind another word
+    last = (300, "ring mobil= aBc_dEf today")  # no digit, and no seed behind that word
+    got = {x.doc_id: x.spans for x in op8.find(frame(spark, [*seeds, *found, *again, last, (301, "ring phone aBc_dEf")])).collect()}
+    assert got[100] == "id:10:20" and got[200] == "id:12:22" and got[300] == "id:12:19" and got[301] == ""
+    one = {x.doc_id: x.spans for x in op8.find(frame(spark, [*seeds, *found, *again, last]), rounds=1).collect()}
+    assert one[100] == "id:10:20" and one[300] == ""
+
+
+def test_pii_rows_and_tokens_of_any_length(spark):
+    seeds = [(i, f"some words then {'p' * 90}: +1 (555) 123-45{i:02d} and more of the text") for i in range(30)]
+    long = "ab12" * 2000
+    rows = [(50, f"this {'p' * 90}: x7 here"), (50, "x"), (50, None), (51, f"{'p' * 90}: {'9:' * 400}"), (52, f"see {long} there"), (53, "secret = 0123456789abcdef0123456789abcdef")]
+    got = sorted((x.doc_id, x.spans) for x in op8.find(frame(spark, seeds + rows)).collect() if x.doc_id >= 50)
+    assert got == [(50, ""), (50, ""), (50, "id:97:99"), (51, f"id:92:{92 + 799}"), (52, f"id:4:{4 + len(long)}"), (53, "id:9:41")]
+
+
 def test_pii_confidence_does_not_fall_with_copies(spark):
     seeds = [(i, f"some words then phone: +1 (555) 123-45{i:02d} and more of the text") for i in range(30)]
     docs = seeds + [(50, "this one says phone: 0912-3456-78 here"), (51, "plain number 1234567 stays")]
@@ -202,6 +248,25 @@ def test_line_dedup_matches_brute_force(spark, edits, min_chars):
         assert texts[d] == (None if t is None else "\n".join(l for i, l in enumerate(t.split("\n")) if want[d, i + 1][3]))
 
 
+def test_bit_parallel_band_matches_the_edit_distance(spark):
+    r, rows = random.Random(9), []
+    for _ in range(3000):
+        a = "".join(r.choice("abé") for _ in range(r.randint(0, 10)))
+        b = list(a)
+        for _ in range(r.randint(0, 5)):
+            k = r.randint(0, len(b))
+            b[k : k + r.randint(0, 1)] = r.choice(["", "a", "x", "é"])
+        rows.append((list(a), b, helpers.edit_distance(a, "".join(b))))
+    told = spark.createDataFrame(rows, "a_chars array<string>, b_chars array<string>, far int").select("far", *(op9.within_edits("a", "b", k).alias(f"e{k}") for k in range(5)))
+    assert all(x[f"e{k}"] == (x.far <= k) for x in told.collect() for k in range(5))
+
+
+def test_line_dedup_keeps_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "some line\nx", 1, 2, "a", 3), (2, "some line\ny", 4, 5, "b", 6)], "doc_id int, text string, gone long, _gone long, own string, n_chars int")
+    rows = op9.dedup(docs)
+    assert rows.columns == docs.columns and sorted(map(tuple, rows.collect())) == [(1, "some line\nx", 1, 2, "a", 3), (2, "y", 4, 5, "b", 1)]
+
+
 def test_line_dedup_edges(spark):
     assert op9.judge(frame(spark, []).limit(0)).collect() == []
     same_row = frame(spark, [(1, "one\ntwo"), (1, "one\ntwo"), (None, "one")])
@@ -236,6 +301,53 @@ def test_decontamination_finds_planted_passages(spark):
     assert {x.doc_id for x in op10.decontaminate(frame(spark, docs), bench).collect()} == {d for d, _ in docs} - {d for d, _ in dirty}
 
 
+def brute_hits(docs, items):
+    """Every region of every item against every whole text."""
+    clean = lambda s: re.sub("[^a-z0-9]", "", (s or "").lower())
+    out = set()
+    for d, text in docs:
+        t = clean(text)
+        for i, item in items:
+            p = clean(item)
+            for lo, hi in op10._regions(len(p)) if len(p) >= op10.Q else []:
+                most, row = int(op10.EDIT_SHARE * (hi - lo)), [0] * (len(t) + 1)
+                for k, c in enumerate(p[lo:hi]):
+                    new = [k + 1]
+                    for j, x in enumerate(t):
+                        new.append(min(row[j] + (c != x), row[j + 1] + 1, new[j] + 1))
+                    row = new
+                if min(row) <= most:
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_decontamination_matches_brute_force(spark):
+    r = random.Random(11)
+    say = lambda k: "".join(r.choice("abcd ") for _ in range(k))
+    items = [(i, say(n)) for i, n in enumerate((8, 12, 14, 21, 22, 24, 25, 27, 30, 48, 60, 70, 90, 120))]
+    docs = [(900, None), (901, "")]
+    for k in range(90):
+        part = list(r.choice(items)[1])
+        for _ in range(r.randint(0, 4)):
+            at = r.randrange(len(part))
+            part[at : at + r.randint(0, 1)] = r.choice(["", "a", "x", "b"])
+        docs.append((k, say(r.randint(0, 60)) + "".join(part) + say(r.randint(0, 60))))
+    docs.append((None, items[12][1]))
+    rows = op10.hits(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in rows} == brute_hits(docs, items)
+    clean = op10.decontaminate(frame(spark, docs).withColumn("_gone", op2.F.lit(1)), spark.createDataFrame(items, "item_id long, text string"))
+    dirty = {x.doc_id for x in rows}
+    assert {x.doc_id for x in clean.collect()} == {d for d, _ in docs} - dirty and None in dirty
+
+
+def test_decontamination_finds_a_short_item_with_an_edit_in_its_middle(spark):
+    item = "qwertyuiopasdfghjklzx"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = op10.hits(frame(spark, [(5, "abc " * 100_000 + item[:10] + "9" + item[11:])]), bench).collect()
+    assert [(x.doc_id, x.item_id, x.edits) for x in rows] == [(5, 1, 1)]
+
+
 def test_decontamination_blocks_and_nothing(spark, monkeypatch):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = sorted(map(tuple, op10.hits(docs, bench).collect()))
