@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wxspark.plans import climo, forecasts, more, readers, reports, scores, temporal, writes
+from wxspark.plans import climo, documents, forecasts, more, readers, reports, scores, temporal, writes
 
-_MODULES = (climo, forecasts, more, readers, reports, scores, temporal, writes)
+_MODULES = (climo, documents, forecasts, more, readers, reports, scores, temporal, writes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EARTH_KM = 6371.0088
+#: The mean radius of the Earth, and the Magnus formula's two numbers.
+EARTH_KM, MAGNUS_A, MAGNUS_B = 6371.0088, 17.625, 243.04
 #: The compass by sector.
 COMPASS = ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW")
 
@@ -62,13 +63,13 @@ def ms_to_kt(v: Column) -> Column:
 
 def dewpoint(temp_c: Column, rh: Column) -> Column:
     """Magnus dewpoint; null at a humidity that is not above 0."""
-    g = F.ln(F.when(rh > 0, rh) / 100) + 17.625 * temp_c / (243.04 + temp_c)
-    return 243.04 * g / (17.625 - g)
+    g = F.ln(F.when(rh > 0, rh) / 100) + MAGNUS_A * temp_c / (MAGNUS_B + temp_c)
+    return MAGNUS_B * g / (MAGNUS_A - g)
 
 
 def humidity(temp_c: Column, dew_c: Column) -> Column:
     """X16 the other way: percent."""
-    return 100 * F.exp(17.625 * dew_c / (243.04 + dew_c)) / F.exp(17.625 * temp_c / (243.04 + temp_c))
+    return 100 * F.exp(MAGNUS_A * dew_c / (MAGNUS_B + dew_c)) / F.exp(MAGNUS_A * temp_c / (MAGNUS_B + temp_c))
 
 
 def ladder(value: Column, steps: list[tuple[float, str]], top: str) -> Column:
@@ -90,6 +91,16 @@ def flight_category(ceiling_ft: Column, vis_m: Column) -> Column:
     return F.when(vis_m.isNotNull(), F.least(c, ladder(vis_m, VIS_STEPS, "E")))
 
 
+#: Codes by class.
+CLASSES = {"other": "TS|SQ|FC|SS|DS|UP", "liquid": "RA|DZ", "frozen": "SN|SG|IC|PL|GR|GS", "obscuration": "FG|BR|HZ|FU|VA|DU|SA|PY|PO"}
+
+
+def weather_classes(code: Column) -> Column:
+    """The classes of a code, an array; rain and drizzle that freeze are freezing, thunder stands beside its rain."""
+    named = [F.when(code.rlike(codes), F.when(code.contains("FZ"), "freezing").otherwise(name) if name == "liquid" else F.lit(name)) for name, codes in CLASSES.items()]
+    return F.array_compact(F.array(*named))
+
+
 def contingency(a: Column, b: Column, c: Column, d: Column) -> dict[str, Column]:
     """Scores of a 2 x 2 table (hits, misses, false alarms, correct nulls); a zero denominator gives null."""
     a, b, c, d = (x.cast("double") for x in (a, b, c, d))

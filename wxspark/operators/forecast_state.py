@@ -18,17 +18,17 @@ def absolutise(groups: DataFrame, anchor: str, token: str, out: str) -> DataFram
     return groups.withColumn(out, day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), hh, mi))
 
 
-def baseline(groups: DataFrame, times: DataFrame, by: list[str]) -> DataFrame:
+def baseline(groups: DataFrame, times: DataFrame, by: list[str], fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """The state at each time: the last FM or INITIAL group at or before it, then every BECMG complete by then, in order.
 
-    groups: by, kind, start, end and FIELDS (null: not said). A BECMG overrides only what it says. Groups of one
+    groups: by, kind, start, end and fields (null: not said). A BECMG overrides only what it says. Groups of one
     document meet its times in an equi join; the fold is an ordered aggregate over the few groups of a document.
     """
-    g = F.struct(F.when(F.col("kind") == "BECMG", F.col("end")).otherwise(F.col("start")).alias("at"), (F.col("kind") == "BECMG").cast("int").alias("later"), *FIELDS)
+    g = F.struct(F.when(F.col("kind") == "BECMG", F.col("end")).otherwise(F.col("start")).alias("at"), (F.col("kind") == "BECMG").cast("int").alias("later"), *fields)
     lists = groups.where(F.col("kind").isin("INITIAL", "FM", "BECMG")).groupBy(*by).agg(F.array_sort(F.collect_list(g)).alias("g"))
-    blank = "named_struct(" + ", ".join(f"'{f}', cast(null as {dict(groups.dtypes)[f]})" for f in FIELDS) + ")"
-    whole = "named_struct(" + ", ".join(f"'{f}', x.{f}" for f in FIELDS) + ")"
-    over = "named_struct(" + ", ".join(f"'{f}', coalesce(x.{f}, a.{f})" for f in FIELDS) + ")"
+    blank = "named_struct(" + ", ".join(f"'{f}', cast(null as {dict(groups.dtypes)[f]})" for f in fields) + ")"
+    whole = "named_struct(" + ", ".join(f"'{f}', x.{f}" for f in fields) + ")"
+    over = "named_struct(" + ", ".join(f"'{f}', coalesce(x.{f}, a.{f})" for f in fields) + ")"
     fold = f"aggregate(filter(g, x -> x.at <= t), {blank}, (a, x) -> if(x.later = 0, {whole}, {over}))"
     return times.join(lists, by).withColumn("s", F.expr(fold)).select(*times.columns, "s.*")
 

@@ -220,7 +220,7 @@ def a08_models_by_place(spark, d):
 def a10_versions(spark, d):
     """Distinct values by length, then text."""
     v = read(spark, d, "part").select("p_brand").distinct()
-    return v.select("p_brand", F.row_number().over(W.orderBy(F.length("p_brand"), "p_brand")).alias("rk"))
+    return v.select("p_brand", F.length("p_brand").alias("size")).orderBy("size", "p_brand")
 
 
 def a12_by_element(spark, d):
@@ -280,7 +280,7 @@ QUERIES = {
     "j30_anti": (j30_anti, "SELECT p_partkey, p_brand FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-06-01')"),
     "a01_counts": (a01_counts, f"WITH {OBS_SQL} SELECT station, report_type, count(*) AS n, min(obs_time) AS first, max(obs_time) AS last FROM obs GROUP BY ALL"),
     "a08_models_by_place": (a08_models_by_place, f"WITH {CUBE_SQL} SELECT loc_id, string_agg(DISTINCT model, ',' ORDER BY model) AS models, count(DISTINCT run) AS n_runs, max(run) AS newest FROM cube_ GROUP BY 1"),
-    "a10_versions": (a10_versions, "SELECT p_brand, CAST(row_number() OVER (ORDER BY length(p_brand), p_brand) AS INTEGER) AS rk FROM (SELECT DISTINCT p_brand FROM part)"),
+    "a10_versions": (a10_versions, "SELECT DISTINCT p_brand, CAST(length(p_brand) AS INTEGER) AS size FROM part"),
     "a12_by_element": (a12_by_element, f"WITH {CUBE_SQL} SELECT loc_id, model, variable, round(sum(price), 2) AS earned, sum(value) AS available, count(*) AS n FROM cube_ GROUP BY ALL"),
     "a13_lead_hours": (a13_lead_hours, f"WITH {CUBE_SQL} SELECT CAST(least(floor((epoch_us(valid_time) - epoch_us(run)) / 86400000000.0 / 10), 9) AS BIGINT) AS lead_bin, model, count(*) AS n, round(avg(value), 6) AS mean_value FROM cube_ GROUP BY ALL"),
     "a14_coverage_split": (a14_coverage_split, f"WITH {OBS_SQL}, e AS (SELECT station, ceiling_ft - vis_m AS err FROM obs) SELECT station, count(err) AS n_scored, count(*) - count(err) AS n_unavailable, round(avg(err), 6) AS bias, round(avg(abs(err)), 6) AS mae FROM e GROUP BY 1"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wxspark.functions.weather import CEILING_STEPS, apart, circular_mean, contingency, flight_category, ladder, turn
+from wxspark.functions.weather import CEILING_STEPS, VIS_STEPS, apart, circular_mean, contingency, flight_category, ladder, turn
 from wxspark.operators import intervals, truth
 from wxspark.operators.matching import match_episodes
 from wxspark.sources.tables import OBS_SQL, obs
@@ -14,7 +14,7 @@ HOURS = ["station"]
 
 
 def _hours(spark, d):
-    o = obs(spark, d).where("station < 60").select("station", "obs_time", "event_id", "ceiling_ft", "vis_m", "altimeter", "gust", "wind_speed", "wind_dir", "weather")
+    o = obs(spark, d).select("station", "obs_time", "event_id", "ceiling_ft", "vis_m", "altimeter", "gust", "wind_speed", "wind_dir", "weather")
     return truth.state_hours(o, HOURS, ["event_id"])
 
 
@@ -53,7 +53,7 @@ def elements(p):
     yes = lambda c: F.when(c, 1.0).otherwise(0.0)
     return {
         "ceiling": yes(cat("ceiling_ft") == cat("o_ceiling_ft")),
-        "visibility": F.when(F.col("vis_m").isNotNull() & F.col("o_vis_m").isNotNull(), yes((F.col("vis_m") < 4800) == (F.col("o_vis_m") < 4800))),
+        "visibility": F.when(F.col("vis_m").isNotNull() & F.col("o_vis_m").isNotNull(), yes(ladder(F.col("vis_m"), VIS_STEPS, "E") == ladder(F.col("o_vis_m"), VIS_STEPS, "E"))),
         "speed": F.when(F.col("wind_speed") >= 6, yes(F.abs(F.col("wind_speed") - F.col("o_wind_speed")) <= 9)),
         "direction": F.when(F.col("o_wind_speed") > 6, yes(apart(F.col("wind_dir"), F.col("o_wind_dir")) <= F.when(F.col("o_wind_speed") >= 15, 30).otherwise(50))),
         "gust": F.when(F.col("gust").isNull() & F.col("o_gust").isNull(), 1.0).when(F.col("gust").isNull() | F.col("o_gust").isNull(), 0.0).otherwise(yes(F.abs(F.col("gust") - F.col("o_gust")) <= 10)),
@@ -73,12 +73,18 @@ def t02_element_points(spark, d):
 
 
 def t03_amendment_triggers(spark, d):
-    """T03a-c, W10, J36, A37: failing rules to episodes, episodes of equal onset to triggers."""
+    """T03a-c, W10, J36, A37: failing rules to episodes, episodes of equal onset to triggers.
+
+    Wind fails by speed, by gust (a missing gust is the mean speed), or by direction where the forecast's larger of speed and gust is strong.
+    """
     p = _pairs(spark, d)
+    band = lambda c: F.when(F.col(c) >= 3100, "HIGH").when(F.col(c) < 2800, "LOW").otherwise("NORMAL")
+    gusts = F.col("gust").isNotNull() | F.col("o_gust").isNotNull()
+    beyond = F.when(F.col("gust").isNotNull() & F.col("o_gust").isNotNull(), F.abs(F.col("gust") - F.col("o_gust")) > 10).when(gusts, F.coalesce(F.col("gust") - F.col("o_wind_speed"), F.col("o_gust") - F.col("wind_speed")) > 10).otherwise(False)
     rules = {
         "category": flight_category(F.col("ceiling_ft"), F.col("vis_m")) != flight_category(F.col("o_ceiling_ft"), F.col("o_vis_m")),
-        "wind": (F.abs(F.col("wind_speed") - F.col("o_wind_speed")) > 10) | ((F.col("wind_speed") >= 15) & (apart(F.col("wind_dir"), F.col("o_wind_dir")) > 30)),
-        "altimeter": F.abs(F.col("altimeter") - F.col("o_altimeter")) > 50,
+        "wind": (F.abs(F.col("wind_speed") - F.col("o_wind_speed")) > 10) | beyond | ((F.greatest("wind_speed", "gust") >= 15) & (apart(F.col("wind_dir"), F.col("o_wind_dir")) > 30)),
+        "altimeter": band("altimeter") != band("o_altimeter"),
     }
     tall = p.select("station", "obs_time", "event_id", *(F.coalesce(v, F.lit(False)).alias(k) for k, v in rules.items())).unpivot(["station", "obs_time", "event_id"], list(rules), "rule", "fails")
     eps = intervals.islands(tall, ["station", "rule"], ["obs_time", "event_id"], "fails").groupBy("station", "rule", "island").agg(F.min("obs_time").alias("onset"), F.count("*").alias("hours"))
@@ -128,7 +134,7 @@ def a21_circular_mean(spark, d):
 
 
 _O = f"WITH {OBS_SQL}"
-_H = ("iv AS (SELECT *, lead(obs_time) OVER (PARTITION BY station ORDER BY obs_time, event_id) AS nx, obs_time + INTERVAL 90 MINUTE AS held FROM obs WHERE station < 60), "
+_H = ("iv AS (SELECT *, lead(obs_time) OVER (PARTITION BY station ORDER BY obs_time, event_id) AS nx, obs_time + INTERVAL 90 MINUTE AS held FROM obs), "
       "st AS (SELECT *, obs_time AS s, CASE WHEN nx < held THEN nx ELSE held END AS e FROM iv), h0 AS (SELECT *, unnest(range(date_trunc('hour', s), e, INTERVAL 1 HOUR)) AS hour FROM st WHERE s < e), "
       "h AS (SELECT *, (epoch_us(least(e, hour + INTERVAL 1 HOUR)) - epoch_us(greatest(s, hour))) / 1e6 AS seconds FROM h0)")
 _L = lambda c: f"coalesce(CASE WHEN {c} < 200 THEN 'A' WHEN {c} < 1000 THEN 'B' WHEN {c} < 2000 THEN 'C' WHEN {c} < 3000 THEN 'D' WHEN {c} IS NOT NULL THEN 'E' END, 'E')"
@@ -146,7 +152,7 @@ SELECT station, hour, CASE WHEN sec >= 1800 THEN ceiling_ft END AS pred_ceiling_
     "a30_coverage": (a30_coverage, f"{_O}, {_H}, x AS (SELECT station, count(DISTINCT hour) AS n FROM h GROUP BY 1) SELECT station, n, round(n / 720, 6) AS coverage, 720 - n AS missing FROM x"),
     "t02_element_points": (t02_element_points, f"""{_O}, {_PAIRS_SQL}, q AS (SELECT CASE WHEN corrected THEN 'TEMPO' ELSE 'INITIAL' END AS grp, coalesce(string_split(weather, ' '), []) AS f, coalesce(string_split(o_weather, ' '), []) AS o, * FROM p),
 e AS (SELECT grp, 'ceiling' AS element, CAST({_L('ceiling_ft')} = {_L('o_ceiling_ft')} AS DOUBLE) AS earned FROM q
-UNION ALL SELECT grp, 'visibility', CAST((vis_m < 4800) = (o_vis_m < 4800) AS DOUBLE) FROM q
+UNION ALL SELECT grp, 'visibility', CAST({_V('vis_m')} = {_V('o_vis_m')} AS DOUBLE) FROM q
 UNION ALL SELECT grp, 'speed', CASE WHEN wind_speed >= 6 THEN CAST(abs(wind_speed - o_wind_speed) <= 9 AS DOUBLE) END FROM q
 UNION ALL SELECT grp, 'direction', CASE WHEN o_wind_speed > 6 THEN CAST({_AP} <= CASE WHEN o_wind_speed >= 15 THEN 30 ELSE 50 END AS DOUBLE) END FROM q
 UNION ALL SELECT grp, 'gust', CASE WHEN gust IS NULL AND o_gust IS NULL THEN 1.0 WHEN gust IS NULL OR o_gust IS NULL THEN 0.0 ELSE CAST(abs(gust - o_gust) <= 10 AS DOUBLE) END FROM q
@@ -155,8 +161,8 @@ UNION ALL SELECT grp, 'altimeter', CAST(o_altimeter >= altimeter - 5 AS DOUBLE)
 SELECT coalesce(element, 'ALL') AS element, coalesce(grp, 'ALL') AS grp, round(sum(earned), 6) AS earned, count(*) AS available, round(100 * round(sum(earned), 6) / count(*), 6) AS pct FROM e WHERE earned IS NOT NULL GROUP BY GROUPING SETS ((element, grp), (element), (grp), ())"""),
     "t03_amendment_triggers": (t03_amendment_triggers, f"""{_O}, {_PAIRS_SQL}, r AS (
 SELECT station, obs_time, event_id, 'category' AS rule, coalesce({_F('ceiling_ft', 'vis_m')} <> {_F('o_ceiling_ft', 'o_vis_m')}, false) AS fails FROM p
-UNION ALL SELECT station, obs_time, event_id, 'wind', coalesce(abs(wind_speed - o_wind_speed) > 10 OR (wind_speed >= 15 AND {_AP} > 30), false) FROM p
-UNION ALL SELECT station, obs_time, event_id, 'altimeter', coalesce(abs(altimeter - o_altimeter) > 50, false) FROM p),
+UNION ALL SELECT station, obs_time, event_id, 'wind', coalesce(abs(wind_speed - o_wind_speed) > 10 OR CASE WHEN gust IS NOT NULL AND o_gust IS NOT NULL THEN abs(gust - o_gust) > 10 WHEN gust IS NOT NULL THEN gust - o_wind_speed > 10 WHEN o_gust IS NOT NULL THEN o_gust - wind_speed > 10 ELSE false END OR (greatest(wind_speed, gust) >= 15 AND {_AP} > 30), false) FROM p
+UNION ALL SELECT station, obs_time, event_id, 'altimeter', coalesce((altimeter >= 3100) <> (o_altimeter >= 3100) OR (altimeter < 2800) <> (o_altimeter < 2800), false) FROM p),
 i AS (SELECT *, sum(CASE WHEN fails THEN 0 ELSE 1 END) OVER (PARTITION BY station, rule ORDER BY obs_time, event_id ROWS UNBOUNDED PRECEDING) AS isl FROM r),
 ep AS (SELECT station, rule, isl, min(obs_time) AS onset, count(*) AS hours FROM i WHERE fails GROUP BY ALL),
 tr AS (SELECT station, onset, string_agg(DISTINCT rule, '+' ORDER BY rule) AS rules, sum(hours) AS hours FROM ep GROUP BY ALL)

@@ -127,7 +127,7 @@ def j15_amendments_in_validity(spark, d):
 
 def j17_hours_of_intervals(spark, d):
     """States spread over the hours they touch, with their minutes."""
-    o = obs(spark, d).where("station < 40").select("station", "obs_time", "event_id")
+    o = obs(spark, d).select("station", "obs_time", "event_id")
     s = intervals.intervalise(o, ["station"], "obs_time", "90 minutes", ["event_id"]).where("not is_gap")
     return intervals.in_hours(s).groupBy("station", "hour").agg(F.count("*").alias("n"), F.round(F.sum("seconds"), 3).alias("seconds"))
 
@@ -192,7 +192,7 @@ def r12_chunks(spark, d):
 
 def r14_request_expansion(spark, d):
     """Each run's hours up to its successor, from a floor on; one row a request hour."""
-    runs = tafs(spark, d).where("station < 30").select("station", "issue").distinct()
+    runs = tafs(spark, d).select("station", "issue").distinct()
     nxt = F.lead("issue").over(W.partitionBy("station").orderBy("issue"))
     p = runs.withColumn("stop", F.least(F.coalesce(nxt, F.col("issue") + F.expr("interval 10 days")), F.col("issue") + F.expr("interval 10 days"))).withColumn("start", F.greatest("issue", F.lit("1996-01-01").cast("timestamp_ntz"))).where("start < stop")
     return p.withColumn("valid", F.explode(F.sequence("start", F.col("stop") - F.expr("interval 1 day"), F.expr("interval 1 day")))).groupBy("station").agg(F.count("*").alias("n"), F.min("valid").alias("first"), F.max("valid").alias("last"))
@@ -221,7 +221,7 @@ QUERIES = {
     "j12_asof_backward": (j12_asof_backward, f"{_O}, r AS (SELECT station, obs_time AS seen, event_id FROM obs WHERE NOT corrected) SELECT l.event_id AS taf, r.event_id AS ob FROM (SELECT * FROM obs WHERE corrected) l LEFT JOIN r ON r.station = l.station AND seen < obs_time AND seen >= obs_time - INTERVAL 90 MINUTE QUALIFY row_number() OVER (PARTITION BY l.event_id ORDER BY seen DESC, r.event_id DESC) = 1"),
     "j14_latest_correction": (j14_latest_correction, f"{_T} SELECT station, kind, issue, taf_id, value FROM tafs QUALIFY row_number() OVER (PARTITION BY station, kind ORDER BY issue DESC, taf_id DESC) = 1"),
     "j15_amendments_in_validity": (j15_amendments_in_validity, f"{_T} SELECT r.taf_id AS routine, a.taf_id FROM tafs r JOIN tafs a ON r.station = a.station AND r.kind = 'TAF' AND a.kind <> 'TAF' AND a.issue >= r.issue AND a.issue < r.issue + INTERVAL 90 DAY"),
-    "j17_hours_of_intervals": (j17_hours_of_intervals, f"{_O}, {_IV}, h AS (SELECT station, start, \"end\", unnest(range(date_trunc('hour', start), \"end\", INTERVAL 1 HOUR)) AS hour FROM st WHERE NOT is_gap AND start < \"end\" AND station < 40) SELECT station, hour, count(*) AS n, round(sum((epoch_us(least(\"end\", hour + INTERVAL 1 HOUR)) - epoch_us(greatest(start, hour))) / 1e6), 3) AS seconds FROM h GROUP BY ALL"),
+    "j17_hours_of_intervals": (j17_hours_of_intervals, f"{_O}, {_IV}, h AS (SELECT station, start, \"end\", unnest(range(date_trunc('hour', start), \"end\", INTERVAL 1 HOUR)) AS hour FROM st WHERE NOT is_gap AND start < \"end\") SELECT station, hour, count(*) AS n, round(sum((epoch_us(least(\"end\", hour + INTERVAL 1 HOUR)) - epoch_us(greatest(start, hour))) / 1e6), 3) AS seconds FROM h GROUP BY ALL"),
     "j18_overlaps": (j18_overlaps, f"{_O}, a AS (SELECT station, event_id, obs_time AS s, obs_time + INTERVAL 5 HOUR AS e FROM obs WHERE report_type = 'SPECI'), b AS (SELECT station, event_id, obs_time AS s, obs_time + INTERVAL 3 HOUR AS e FROM obs WHERE corrected) SELECT a.event_id AS a, b.event_id AS b, greatest(a.s, b.s) AS start, least(a.e, b.e) AS \"end\" FROM a JOIN b ON a.station = b.station AND a.s < b.e AND b.s < a.e"),
     "j24_snap_to_hour": (j24_snap_to_hour, f"{_O} SELECT station, date_trunc('hour', obs_time + INTERVAL 30 MINUTE) AS hour, event_id FROM obs QUALIFY row_number() OVER (PARTITION BY station, date_trunc('hour', obs_time + INTERVAL 30 MINUTE) ORDER BY report_type <> 'METAR', obs_time, event_id) = 1"),
     "j26_range_minimum": (j26_range_minimum, f"{_O} SELECT g.event_id AS grp, min(o.altimeter) AS qnh, count(*) AS n FROM obs g JOIN obs o ON g.station = o.station AND g.corrected AND o.obs_time >= g.obs_time AND o.obs_time < g.obs_time + INTERVAL 6 HOUR GROUP BY 1"),
@@ -230,5 +230,5 @@ QUERIES = {
     "r04_melt": (r04_melt, f"{_O} SELECT variable, count(*) AS n, sum(v) AS total FROM (SELECT 'gust' AS variable, CAST(gust AS DOUBLE) AS v FROM obs UNION ALL SELECT 'ceiling', CAST(ceiling_ft AS DOUBLE) FROM obs UNION ALL SELECT 'vis', CAST(vis_m AS DOUBLE) FROM obs) WHERE v IS NOT NULL GROUP BY 1"),
     "r05_profiles": (r05_profiles, "WITH l AS (SELECT l_suppkey, l_linenumber, avg(l_quantity) FILTER (WHERE l_returnflag = 'A') AS t, avg(l_quantity) FILTER (WHERE l_returnflag = 'R') AS rh FROM lineitem GROUP BY ALL) SELECT l_suppkey, count(*) AS n_levels, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS levels FROM l WHERE t IS NOT NULL AND rh IS NOT NULL GROUP BY 1 HAVING count(*) >= 3"),
     "r12_chunks": (r12_chunks, "SELECT p_brand, CAST(ceil(count(*) / 500) AS BIGINT) AS chunks, CAST(count(DISTINCT p_size) * ceil(count(*) / 500) AS BIGINT) AS credits FROM part GROUP BY 1"),
-    "r14_request_expansion": (r14_request_expansion, f"{_T}, r AS (SELECT DISTINCT station, issue FROM tafs WHERE station < 30), p AS (SELECT station, greatest(issue, TIMESTAMP '1996-01-01') AS a, least(coalesce(lead(issue) OVER (PARTITION BY station ORDER BY issue), issue + INTERVAL 10 DAY), issue + INTERVAL 10 DAY) AS b FROM r), v AS (SELECT station, unnest(range(a, b, INTERVAL 1 DAY)) AS valid FROM p WHERE a < b) SELECT station, count(*) AS n, min(valid) AS first, max(valid) AS last FROM v GROUP BY 1"),
+    "r14_request_expansion": (r14_request_expansion, f"{_T}, r AS (SELECT DISTINCT station, issue FROM tafs), p AS (SELECT station, greatest(issue, TIMESTAMP '1996-01-01') AS a, least(coalesce(lead(issue) OVER (PARTITION BY station ORDER BY issue), issue + INTERVAL 10 DAY), issue + INTERVAL 10 DAY) AS b FROM r), v AS (SELECT station, unnest(range(a, b, INTERVAL 1 DAY)) AS valid FROM p WHERE a < b) SELECT station, count(*) AS n, min(valid) AS first, max(valid) AS last FROM v GROUP BY 1"),
 }

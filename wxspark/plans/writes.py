@@ -67,7 +67,6 @@ def j37_entitlement(spark, d):
 def j38_fallback(spark, d):
     """The first ranked source that has a document before a time, and its two newest."""
     t = tafs(spark, d).where(F.col("issue") < F.lit("2000-01-01").cast("timestamp_ntz")).withColumn("src", F.expr("case kind when 'TAF' then 1 when 'AMD' then 2 else 3 end"))
-    t = t.where("src > 1")
     best = t.groupBy("station").agg(F.min("src").alias("src"))
     rk = F.row_number().over(W.partitionBy("station").orderBy(F.desc("issue"), F.desc("taf_id")))
     return t.join(best, ["station", "src"]).withColumn("rk", rk).where("rk <= 2").select("station", "src", "rk", "taf_id")
@@ -91,6 +90,6 @@ QUERIES = {
     "sk07_content_ids": (sk07_content_ids, "SELECT substr(sha256(n_nationkey || '|' || n_name || '|' || n_regionkey), 1, 12) AS id, n_name FROM nation"),
     "sk09_slice": (sk09_slice, f"{_O} SELECT station, obs_time, event_id FROM o WHERE obs_time < TIMESTAMP '{CUT}' AND obs_time >= TIMESTAMP '{CUT}' - INTERVAL 24 HOUR"),
     "j37_entitlement": (j37_entitlement, "SELECT DISTINCT kind, CASE WHEN kind = 'sat' THEN r_name ELSE n_name END AS identity FROM nation JOIN region ON n_regionkey = r_regionkey JOIN (VALUES ('radar', 0, 3), ('sat', 2, 4), ('sat', 0, 4)) p(kind, lo, hi) ON r_regionkey BETWEEN lo AND hi"),
-    "j38_fallback": (j38_fallback, f"{_T}, t AS (SELECT station, taf_id, issue, CASE kind WHEN 'AMD' THEN 2 ELSE 3 END AS src FROM tafs WHERE issue < TIMESTAMP '2000-01-01' AND kind <> 'TAF'), b AS (SELECT * FROM t QUALIFY src = min(src) OVER (PARTITION BY station)), r AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY issue DESC, taf_id DESC) AS rk FROM b) SELECT station, CAST(src AS INTEGER) AS src, CAST(rk AS INTEGER) AS rk, taf_id FROM r WHERE rk <= 2"),
+    "j38_fallback": (j38_fallback, f"{_T}, t AS (SELECT station, taf_id, issue, CASE kind WHEN 'TAF' THEN 1 WHEN 'AMD' THEN 2 ELSE 3 END AS src FROM tafs WHERE issue < TIMESTAMP '2000-01-01'), b AS (SELECT * FROM t QUALIFY src = min(src) OVER (PARTITION BY station)), r AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY issue DESC, taf_id DESC) AS rk FROM b) SELECT station, CAST(src AS INTEGER) AS src, CAST(rk AS INTEGER) AS rk, taf_id FROM r WHERE rk <= 2"),
     "st01_idempotent_poll": (st01_idempotent_poll, f"{_T} SELECT substr(sha256(station || '|' || kind || '|' || strftime(issue, '%Y-%m-%d')), 1, 12) AS id, station, kind, max(value) AS value FROM tafs GROUP BY ALL"),
 }
