@@ -1,4 +1,4 @@
-"""Report text into columns, with Spark's own string functions: METAR fields, TAF groups, remarks."""
+"""Report text into columns, with Spark's own string functions: METAR fields, TAF groups, remarks."""
 
 from __future__ import annotations
 

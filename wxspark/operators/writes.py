@@ -30,6 +30,12 @@ def replace(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     return stored.join(batch.select(*keys).distinct(), keys, "left_anti").unionByName(batch, allowMissingColumns=True)
 
 
+def append_new(stored: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """SK07: rows whose id is stored already add nothing, whatever they hold; ids that repeat in the batch count once."""
+    fresh = batch.join(stored.select(key), key, "left_anti").select(*batch.columns)
+    return stored.unionByName(_first_by(fresh, [key], [F.col(key)]))
+
+
 def content_id(*parts: str | Column, length: int = 12) -> Column:
     """SK07, X42: the first digits of the SHA-256 of the parts joined by a bar; a null part is empty."""
     text = [F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts]

@@ -1,4 +1,4 @@
-"""Latest runs, as-of and nearest joins, windows and islands."""
+"""Latest runs, as-of and nearest joins, windows and islands."""
 
 from __future__ import annotations
 
@@ -69,10 +69,10 @@ def w14_running_total(spark, d):
 
 
 def w15_thin_profile(spark, d):
-    """A level is kept if it is a step below the last kept one; a fold over the sorted profile (no SQL twin)."""
+    """A level is kept if it is a step below the last kept one; a fold over the sorted profile."""
     p = read(spark, d, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_set(F.col("l_quantity"))).alias("levels"))
     keep = "aggregate(reverse(levels), cast(array() as array<double>), (a, x) -> if(size(a) = 0 or a[size(a) - 1] - x >= if(x > 35, 5, 8), concat(a, array(x)), a))"
-    return p.select("l_suppkey", F.expr(keep).alias("kept"))
+    return p.select("l_suppkey", F.expr(f"array_join(transform({keep}, x -> cast(cast(x as bigint) as string)), ',')").alias("kept"))
 
 
 def w16_running_max(spark, d):
@@ -213,7 +213,7 @@ QUERIES = {
     "w08_collapse": (w08_collapse, f"{_O}, c AS (SELECT *, CASE WHEN weather IS DISTINCT FROM lag(weather) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS ch FROM obs WINDOW w AS (PARTITION BY station ORDER BY obs_time, event_id)), r AS (SELECT *, CAST(sum(ch) OVER (PARTITION BY station ORDER BY obs_time, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run_no FROM c) SELECT station, run_no, min(obs_time) AS start, max(weather) AS weather, count(*) AS n FROM r GROUP BY ALL"),
     "w12_merge_spans": (w12_merge_spans, f"{_O}, s AS (SELECT station, obs_time AS a, obs_time + INTERVAL 12 HOUR AS b FROM obs WHERE report_type = 'SPECI'), f AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY station ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM s), n AS (SELECT *, sum(fresh) OVER (PARTITION BY station ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS no FROM f) SELECT station, min(a) AS start, max(b) AS \"end\", count(*) AS n_spans FROM n GROUP BY station, no"),
     "w14_running_total": (w14_running_total, f"{_O}, d AS (SELECT station, CAST(obs_time AS DATE) AS day, round(sum(value), 4) AS usd FROM obs GROUP BY ALL) SELECT station, day, round(sum(usd) OVER (PARTITION BY station ORDER BY day ROWS UNBOUNDED PRECEDING), 4) AS running FROM d"),
-    "w15_thin_profile": (w15_thin_profile, None),
+    "w15_thin_profile": (w15_thin_profile, "WITH RECURSIVE lv AS (SELECT DISTINCT l_suppkey AS s, l_quantity AS q FROM lineitem), k(s, v) AS (SELECT s, max(q) FROM lv GROUP BY 1 UNION ALL SELECT k.s, max(q) FROM k JOIN lv ON lv.s = k.s AND k.v - q >= CASE WHEN q > 35 THEN 5 ELSE 8 END GROUP BY k.s, k.v) SELECT s AS l_suppkey, string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY v DESC) AS kept FROM k GROUP BY 1"),
     "w16_running_max": (w16_running_max, f"{_T}, e AS (SELECT *, issue + CASE WHEN kind = 'AMD' THEN INTERVAL 400 DAY ELSE INTERVAL 0 DAY END AS eff FROM tafs) SELECT taf_id, max(eff) OVER (PARTITION BY station ORDER BY issue, taf_id ROWS UNBOUNDED PRECEDING) AS effective FROM e"),
     "w06_intervals_and_gaps": (w06_intervals_and_gaps, f"{_O}, {_IV} SELECT event_id, start, \"end\", is_gap FROM st WHERE start < \"end\""),
     "w07_change_points": (w07_change_points, f"{_T} SELECT taf_id, issue AS start, coalesce(lead(issue) OVER (PARTITION BY station ORDER BY issue, taf_id), TIMESTAMP '2002-01-01') AS \"end\" FROM tafs"),

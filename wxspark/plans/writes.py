@@ -1,4 +1,4 @@
-"""Write policies, ids, kept-first archives and late corrections, as tables after a batch (SK01-SK11, X42, J37, J38)."""
+"""Write policies, ids, kept-first archives and late corrections, as tables after a batch (SK01-SK04, SK06, SK07, SK09, X42, J37, J38, ST01)."""
 
 from __future__ import annotations
 
@@ -43,9 +43,11 @@ def sk06_status_flip(spark, d):
 
 
 def sk07_content_ids(spark, d):
-    """SK07, X42: append-only by content id; a second write of the same rows adds nothing."""
-    n = read(spark, d, "nation").select(writes.content_id("n_nationkey", "n_name", "n_regionkey").alias("id"), "n_name")
-    return n.unionByName(n.join(n.select("id"), "id", "left_anti").select("id", "n_name"))
+    """SK07, X42: append-only by content id; of a second batch that overlaps the first only what is new is added."""
+    n = read(spark, d, "nation")
+    said = lambda rows: rows.select(writes.content_id("n_nationkey", "n_name", "n_regionkey").alias("id"), "n_name")
+    first, second = said(n.where("n_nationkey < 15")), said(n.where("n_nationkey >= 10"))
+    return writes.append_new(first, second, "id")
 
 
 def sk09_slice(spark, d):
