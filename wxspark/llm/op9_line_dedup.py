@@ -117,22 +117,24 @@ def within_edits(a: str, b: str, edits: int) -> Column:
 
     Bit i of a column stands for the row i - edits below the diagonal. up and down say where the distance grows or falls by one from
     the row above; low is the distance in the band's lowest row. Behind the last column, the steps from the end of a down to that row
-    are taken back. Columns, with the band's rows, are numbered along b; rows before or behind a match nothing.
+    are taken back. Columns, with the band's rows, are numbered along b; rows before or behind a match nothing. The characters are
+    bound to a lambda's variable, as an expression under a lambda is evaluated anew for each element.
     """
     width = 2 * edits + 1
     band, top = (1 << width) - 1, width - 1
-    same = " + ".join(f"if(get({a}_chars, j - {edits - i}) = get({b}_chars, j), {1 << i}L, 0L)" for i in range(width))
-    match = f"transform(sequence(0, size({b}_chars) - 1), j -> {same})"
+    same = " + ".join(f"if(get(p.a, j - {edits - i}) = p.b[j], {1 << i}L, 0L)" for i in range(width))
+    match = f"transform(sequence(0, size(p.b) - 1), j -> {same})"
     # d: where the distance stays along the diagonal; across and back: where it grows or falls along the row
     d = f"(((((m & s.up) + s.up) ^ s.up) | m | s.down) & {band}L)"
     across, back = f"((s.down | ~(d | s.up)) & {band}L)", "(d & s.up)"
     moved = f"named_struct('up', ({back} | ~(shiftright(d, 1) | {across})) & {band}L, 'down', shiftright(d, 1) & {across}, 'low', s.low + 1L - shiftright(d, {top}))"
     start = f"named_struct('up', {band - (1 << edits) + 1}L, 'down', 0L, 'low', {edits}L)"
     # the rows have moved on by one behind the last column, so the top bit is below the lowest row
-    behind = f"shiftleft({band}L, size({a}_chars) - size({b}_chars) + {edits}) & {band >> 1}L"
+    behind = f"shiftleft({band}L, size(p.a) - size(p.b) + {edits}) & {band >> 1}L"
     end = f"x.low - bit_count(x.up & ({behind})) + bit_count(x.down & ({behind}))"
     fold = f"aggregate({match}, {start}, (s, m) -> element_at(transform(array({d}), d -> {moved}), 1), x -> {end})"
-    return F.expr(f"case when abs(size({a}_chars) - size({b}_chars)) > {edits} then false when size({a}_chars) = 0 or size({b}_chars) = 0 then true else {fold} <= {edits} end")
+    told = f"case when abs(size(p.a) - size(p.b)) > {edits} then false when size(p.a) = 0 or size(p.b) = 0 then true else {fold} <= {edits} end"
+    return F.expr(f"exists(array(named_struct('a', split({a}, ''), 'b', split({b}, ''))), p -> {told})")
 
 
 def links(found: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -145,7 +147,7 @@ def links(found: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> D
     pairs = index.join(probe, "key").where(ordered & _within_counts("a", "b", edits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     a, b = (found.select(F.col("id").alias(x), F.col("line").alias(f"{x}_line"), F.col("n").alias(f"{x}_n")) for x in "ab")
     near = pairs.join(a, "a").join(b, "b").where((F.col("a_n") >= min_chars) & (F.col("b_n") >= min_chars) & (F.col("a_line") != F.col("b_line")))
-    near = near.withColumn("a_chars", F.split("a_line", "")).withColumn("b_chars", F.split("b_line", "")).where(within_edits("a", "b", edits))
+    near = near.where(within_edits("a_line", "b_line", edits))
     name = lambda x, h1, h2: (F.shiftright(x, _COUNT_BITS).alias(h1), F.xxhash64(f"{x}_line", F.lit(17)).alias(h2))
     return near.select(F.explode(F.array(F.struct(*name("a", "h1", "h2"), *name("b", "o1", "o2")), F.struct(*name("b", "h1", "h2"), *name("a", "o1", "o2")))).alias("x")).select("x.*")
 
