@@ -4,8 +4,8 @@
    with one and the same set, told by 128 bits, are a class, stood for by its smallest doc_id.
 2. Inverted lists are kept of two retained values that follow each other among a sketch's first KEYED. For sets of at most KEYED
    shingles above the threshold such a list always exists. For larger ones: walk the union's sketch upwards; each of its values is in both sets with a
-   chance of at least p (the threshold), so no two neighbours among KEYED values are both shared with a chance of
-   about (1 - p * p) ** (KEYED / 2) at most, below 1e-8 for p = 0.8 and 1e-9 for 0.85.
+   chance of at least p (the threshold), and two neighbours that both sets hold make a list. No such neighbours among KEYED values
+   have a chance of 8e-10 for p = 0.8 and 7e-12 for 0.85.
 3. Lists give candidate pairs. Short ones are paired at once. In long ones star rounds hold all members against
    one; lists whose members are in one component are done. What stays is dealt to cells of bounded size, with its full sets: each
    cell finds its candidates by their sketches, verifies them, and lets out only pairs that join two components, so no
