@@ -1,6 +1,6 @@
 """Forecast documents against hourly truth: groups to states, alternates, best-of scores, events, and archive moves.
 
-T01 with J18-J21, T02a-T02g, T05a-T05b, X46, X47; A16, A19; SC02, SK08, SK10, SK11; F19, F21; R13, R15; X01, X04, X08, X19, X34, X36.
+T01 with J18-J21, T02a-T02h, T05a-T05b, X46, X47; A16, A19; SC02, SK08, SK10, SK11; F19, F21; R13, R15; X01, X04, X08, X19, X34, X36.
 """
 
 from __future__ import annotations
@@ -51,6 +51,20 @@ def t02_document_points(spark, d):
     return tall.withColumn("pct", F.round(100 * F.try_divide("earned", "available"), 6))
 
 
+#: Provenance of a score, as (column, expression over its rows) in both dialects, in the order in which refusals name them.
+PROVENANCE = [("station", "min(loc_id) % 2"), ("valid_from", "min(run)"), ("valid_to", "min(member) > 3"), ("obs_hash", "min(variable)"), ("profile_hash", "max(variable)"), ("policy_hash", "min(loc_id % 5) < 2")]
+_COMBINED = "CASE WHEN max(member) < 7 THEN 2 * avg(CAST(value AS DOUBLE)) END"
+
+
+def t02h_value_added(spark, d):
+    """T02h: gap of two paired scores; refused where a provenance column differs, the first of which is the reason, or a score is null."""
+    c = cube(spark, d)
+    score = lambda model: c.where(F.col("model") == model).groupBy("l_orderkey").agg(*(F.expr(x).alias(n) for n, x in PROVENANCE), F.expr(_COMBINED).alias("pct"))
+    j = score("A").alias("s").join(score("R").alias("m"), "l_orderkey")
+    refused = F.coalesce(*(F.when(~F.col(f"s.{n}").eqNullSafe(F.col(f"m.{n}")), f"pairing_refused_{n}_mismatch") for n, _ in PROVENANCE), F.when(F.isnull("s.pct") | F.isnull("m.pct"), "null_combined"))
+    return j.select("l_orderkey", refused.alias("reason"), F.when(refused.isNull(), F.round(F.col("s.pct") - F.col("m.pct"), 6)).alias("value_added"))
+
+
 #: The thirteen events, as (name, condition) on a state's fields in both dialects; the landing minima are 200 ft and 800 m.
 EVENTS = [
     ("cig_lt_2000", "coalesce({p}ceiling_ft, 99999) < 2000"), ("cig_lt_1000", "coalesce({p}ceiling_ft, 99999) < 1000"), ("cig_lt_3000", "coalesce({p}ceiling_ft, 99999) < 3000"), ("cig_lt_landing_min", "coalesce({p}ceiling_ft, 99999) < 200"),
@@ -212,6 +226,9 @@ _CLS = "list_filter([CASE WHEN regexp_matches(code, 'TS|SQ|FC|SS|DS|UP') THEN 'o
 QUERIES = {
     "t02_document_points": (t02_document_points, f"""{_CAND}, e AS (SELECT doc, t, {', '.join(f'max({x}) AS {k}' for k, x in _ELEM.items())} FROM j GROUP BY ALL), r AS ({' UNION ALL '.join(f"SELECT '{k}' AS element, round(sum({k}), 6) AS earned, count({k}) AS available FROM e" for k in _ELEM)})
 SELECT *, round(100 * earned / nullif(available, 0), 6) AS pct FROM r"""),
+    "t02h_value_added": (t02h_value_added, f"""{_C}, p AS (SELECT model, l_orderkey, {', '.join(f'{x} AS {n}' for n, x in PROVENANCE)}, {_COMBINED} AS pct FROM cube_ WHERE model IN ('A', 'R') GROUP BY ALL),
+j AS (SELECT s.l_orderkey, CASE {' '.join(f"WHEN s.{n} IS DISTINCT FROM m.{n} THEN 'pairing_refused_{n}_mismatch'" for n, _ in PROVENANCE)} WHEN s.pct IS NULL OR m.pct IS NULL THEN 'null_combined' END AS reason, s.pct - m.pct AS gap FROM p s JOIN p m USING (l_orderkey) WHERE s.model = 'A' AND m.model = 'R')
+SELECT l_orderkey, reason, CASE WHEN reason IS NULL THEN round(gap, 6) END AS value_added FROM j"""),
     "t05_document_events": (t05_document_events, f"""{_CAND}, e AS (SELECT doc, t, {', '.join(f"bool_or(coalesce({x.format(p='')}, false)) AS f{i}, bool_or({x.format(p='o_')}) AS o{i}" for i, (_, x) in enumerate(EVENTS))} FROM j GROUP BY ALL)
 {' UNION ALL '.join(f"SELECT '{n}' AS event, count(*) FILTER (WHERE f{i} AND o{i}) AS a, count(*) FILTER (WHERE NOT f{i} AND o{i}) AS b, count(*) FILTER (WHERE f{i} AND NOT o{i}) AS c, count(*) FILTER (WHERE NOT f{i} AND NOT o{i}) AS d FROM e" for i, (n, _) in enumerate(EVENTS))}"""),
     "x47_baselines": (x47_baselines, f"""{_O}, {GROUPS_SQL}, o AS (SELECT station, epoch_us(obs_time) // 3600000000 - {HOUR0} AS h, obs_time, event_id, CAST(temp_c AS DOUBLE) AS temp FROM obs),
