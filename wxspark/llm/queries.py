@@ -14,6 +14,7 @@ from wxspark.llm import op7_quality_rules as op7
 from wxspark.llm import op8_pii as op8
 from wxspark.llm import op9_line_dedup as op9
 from wxspark.llm import op10_benchmark_decontamination as op10
+from wxspark.llm import op11_simhash_near_dedup as op11
 from wxspark.llm import op13_importance_resampling as op13
 
 
@@ -61,6 +62,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return op10.hits(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11.near_duplicates(_docs(spark, sf_dir))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13.resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -94,7 +99,7 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_
 _QUERIES = (
     op1_best_fit_packing, op2_minhash_near_dedup, op3_license_scan, op4_substring_dedup, op5_chat_formatting,
     op6_toxicity, op7_quality_rules, op8_pii, op9_line_dedup, op10_benchmark_decontamination,
-    op13_importance_resampling,
+    op11_simhash_near_dedup, op13_importance_resampling,
 )
 
 
