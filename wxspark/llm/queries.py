@@ -15,6 +15,7 @@ from wxspark.llm import op8_pii as op8
 from wxspark.llm import op9_line_dedup as op9
 from wxspark.llm import op10_benchmark_decontamination as op10
 from wxspark.llm import op11_simhash_near_dedup as op11
+from wxspark.llm import op12_hard_negatives as op12
 from wxspark.llm import op13_importance_resampling as op13
 
 
@@ -66,6 +67,10 @@ def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11.near_duplicates(_docs(spark, sf_dir))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13.resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -99,7 +104,7 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_
 _QUERIES = (
     op1_best_fit_packing, op2_minhash_near_dedup, op3_license_scan, op4_substring_dedup, op5_chat_formatting,
     op6_toxicity, op7_quality_rules, op8_pii, op9_line_dedup, op10_benchmark_decontamination,
-    op11_simhash_near_dedup, op13_importance_resampling,
+    op11_simhash_near_dedup, op12_hard_negatives, op13_importance_resampling,
 )
 
 
@@ -108,4 +113,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_minhash_near_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op5_chat_formatting": op5.SQL, "op7_quality_rules": op7.SQL, "op13_importance_resampling": op13.SQL}
+    return {"op2_minhash_near_dedup": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op5_chat_formatting": op5.SQL, "op7_quality_rules": op7.SQL, "op12_hard_negatives": op12.SQL, "op13_importance_resampling": op13.SQL}
