@@ -210,3 +210,10 @@ def test_stream_drops_repeats(spark, tmp_path):
     q = stream.idempotent(spark.readStream.schema(f.schema).parquet(src), "t", "k", "v").writeStream.format("memory").queryName("seen_once").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("select * from seen_once").count() == 2
+
+
+def test_bands_at_their_edges(spark):
+    steps = [(None, "E"), (199, "A"), (200, "B"), (699, "B"), (700, "C"), (999, "C"), (1000, "D"), (1999, "D"), (2000, "E")]
+    f = spark.createDataFrame([(c, 9999, want) for c, want in steps] + [(None, v, w) for v, w in [(799, "A"), (800, "B"), (3199, "B"), (3200, "D"), (4799, "D"), (4800, "E"), (None, None)]], "c int, v int, want string")
+    assert f.where(~wx.flight_category(F.col("c"), F.col("v")).eqNullSafe(F.col("want"))).count() == 0
+    assert one(spark, *(wx.altimeter_band(F.lit(x)) for x in (3100, 3099, 2800, 2799, None))) == ("HIGH", "NORMAL", "NORMAL", "LOW", None)

@@ -80,15 +80,35 @@ def ladder(value: Column, steps: list[tuple[float, str]], top: str) -> Column:
     return F.when(value.isNull(), None).otherwise(out.otherwise(F.lit(top)))
 
 
-#: Category edges in feet and metres.
-CEILING_STEPS = [(200, "A"), (1000, "B"), (2000, "C"), (3000, "D")]
-VIS_STEPS = [(800, "A"), (1600, "B"), (4800, "D")]
+def ladder_sql(value: str, steps: list[tuple[float, str]], top: str) -> str:
+    """X22 as SQL text for the twins."""
+    return f"CASE {' '.join(f'WHEN {value} < {edge} THEN {name!r}' for edge, name in steps)} WHEN {value} IS NOT NULL THEN {top!r} END"
 
 
-def flight_category(ceiling_ft: Column, vis_m: Column) -> Column:
-    """The worse of the ceiling's and the visibility's letter; a null ceiling is unlimited, a null visibility unknown."""
+#: Category edges in feet and metres (X23, X24) at the landing minima of 200 ft and 800 m.
+LANDING_FT, LANDING_M = 200, 800
+CEILING_STEPS = [(200, "A"), (700, "B"), (1000, "C"), (2000, "D")]
+VIS_STEPS = [(800, "A"), (3200, "B"), (4800, "D")]
+
+
+def flight_category(ceiling_ft: Column, vis_m: Column, ceiling_known: Column | None = None) -> Column:
+    """The worse of the ceiling's and the visibility's letter; a null ceiling is unlimited unless it isn't known, a null visibility unknown."""
     c = F.coalesce(ladder(ceiling_ft, CEILING_STEPS, "E"), F.lit("E"))
-    return F.when(vis_m.isNotNull(), F.least(c, ladder(vis_m, VIS_STEPS, "E")))
+    known = vis_m.isNotNull() if ceiling_known is None else vis_m.isNotNull() & ceiling_known
+    return F.when(known, F.least(c, ladder(vis_m, VIS_STEPS, "E")))
+
+
+#: Altimeter bands in hundredths of an inch (X27); the upper edge belongs to HIGH, the lower one to NORMAL.
+HIGH_FROM, LOW_BELOW = 3100, 2800
+
+
+def altimeter_band(hundredths: Column) -> Column:
+    """HIGH, LOW or NORMAL; null where the altimeter is."""
+    return F.when(hundredths >= HIGH_FROM, "HIGH").when(hundredths < LOW_BELOW, "LOW").when(hundredths.isNotNull(), "NORMAL")
+
+
+def altimeter_band_sql(hundredths: str) -> str:
+    return f"CASE WHEN {hundredths} >= {HIGH_FROM} THEN 'HIGH' WHEN {hundredths} < {LOW_BELOW} THEN 'LOW' WHEN {hundredths} IS NOT NULL THEN 'NORMAL' END"
 
 
 #: Codes by class.

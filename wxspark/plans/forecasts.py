@@ -157,10 +157,10 @@ def x20_ladder_inverse(spark, d):
 
 
 def x22_categories(spark, d):
-    """Band ladders, the worse of two letters, statuses of missing values."""
+    """Band ladders, the worse of two letters, statuses of missing values."""
     o = obs(spark, d)
     status = F.when(F.col("ceiling_ft").isNull(), "unlimited").otherwise("numeric")
-    return o.groupBy(wx.flight_category(F.col("ceiling_ft"), F.col("vis_m")).alias("cat"), status.alias("ceiling_status"), F.when(F.col("altimeter") >= 3020, "HIGH").when(F.col("altimeter") < 2980, "LOW").otherwise("NORMAL").alias("band")).agg(F.count("*").alias("n"))
+    return o.groupBy(wx.flight_category(F.col("ceiling_ft"), F.col("vis_m")).alias("cat"), status.alias("ceiling_status"), wx.altimeter_band(F.col("altimeter")).alias("band")).agg(F.count("*").alias("n"))
 
 
 def x26_outlier_model(spark, d):
@@ -173,8 +173,8 @@ def x26_outlier_model(spark, d):
 
 _O, _C = f"WITH {OBS_SQL}", f"WITH {CUBE_SQL}"
 _M = "WITH m AS (SELECT vec_id, label, unnest(embedding) AS value FROM embeddings)"
-_L = "coalesce(CASE WHEN ceiling_ft < 200 THEN 'A' WHEN ceiling_ft < 1000 THEN 'B' WHEN ceiling_ft < 2000 THEN 'C' WHEN ceiling_ft < 3000 THEN 'D' WHEN ceiling_ft IS NOT NULL THEN 'E' END, 'E')"
-_CAT = f"CASE WHEN vis_m IS NOT NULL THEN least({_L}, CASE WHEN vis_m < 800 THEN 'A' WHEN vis_m < 1600 THEN 'B' WHEN vis_m < 4800 THEN 'D' ELSE 'E' END) END"
+_L = f"coalesce({wx.ladder_sql('ceiling_ft', wx.CEILING_STEPS, 'E')}, 'E')"
+_CAT = f"CASE WHEN vis_m IS NOT NULL THEN least({_L}, {wx.ladder_sql('vis_m', wx.VIS_STEPS, 'E')}) END"
 _NAMES = "['" + "', '".join(wx.COMPASS) + "']"
 _KM = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2))))"
 _BR = "((degrees(atan2(sin(radians(y.lon - x.lon)) * cos(radians(y.lat)), cos(radians(x.lat)) * sin(radians(y.lat)) - sin(radians(x.lat)) * cos(radians(y.lat)) * cos(radians(y.lon - x.lon)))) + 360) % 360)"
@@ -199,6 +199,6 @@ QUERIES = {
     "x12_angles": (x12_angles, f"{_O} SELECT event_id, (wind_dir - event_id % 360 + 540) % 360 - 180 AS signed, least((wind_dir - event_id % 360 + 360) % 360, 360 - (wind_dir - event_id % 360 + 360) % 360) AS apart FROM obs"),
     "x15_units": (x15_units, f"{_O} SELECT event_id, round(wind_speed * 1.943844::DOUBLE, 4) AS kt, round(temp_c + 300.0::DOUBLE - 273.15::DOUBLE, 4) AS c, round({_DEW}, 5) AS dew, round(vis_m / 100, 4) AS rh, round_even(altimeter / 4, 1) AS half_even FROM obs WHERE vis_m > 0"),
     "x20_ladder_inverse": (x20_ladder_inverse, f"{_M}, e AS (SELECT label, avg(CAST(value >= -1 AS DOUBLE)) AS e0, avg(CAST(value >= 0 AS DOUBLE)) AS e1, avg(CAST(value >= 1 AS DOUBLE)) AS e2 FROM m GROUP BY 1) SELECT label, round(CASE WHEN 0.5 BETWEEN e1 AND e0 THEN -1 + (e0 - 0.5) / nullif(e0 - e1, 0) WHEN 0.5 BETWEEN e2 AND e1 THEN (e1 - 0.5) / nullif(e1 - e2, 0) END, 6) AS p50 FROM e"),
-    "x22_categories": (x22_categories, f"{_O} SELECT {_CAT} AS cat, CASE WHEN ceiling_ft IS NULL THEN 'unlimited' ELSE 'numeric' END AS ceiling_status, CASE WHEN altimeter >= 3020 THEN 'HIGH' WHEN altimeter < 2980 THEN 'LOW' ELSE 'NORMAL' END AS band, count(*) AS n FROM obs GROUP BY ALL"),
+    "x22_categories": (x22_categories, f"{_O} SELECT {_CAT} AS cat, CASE WHEN ceiling_ft IS NULL THEN 'unlimited' ELSE 'numeric' END AS ceiling_status, {wx.altimeter_band_sql('altimeter')} AS band, count(*) AS n FROM obs GROUP BY ALL"),
     "x26_outlier_model": (x26_outlier_model, f"{_C}, p AS (SELECT loc_id, model, avg(value) AS v FROM cube_ GROUP BY ALL), q AS (SELECT loc_id, model, round(abs(v - avg(v) OVER (PARTITION BY loc_id)), 9) AS k FROM p) SELECT loc_id, CASE WHEN k > 1 THEN model END AS outlier FROM q QUALIFY row_number() OVER (PARTITION BY loc_id ORDER BY k DESC, model DESC) = 1"),
 }

@@ -129,7 +129,7 @@ def t22_policy(spark, d):
 
 
 _O = f"WITH {OBS_SQL}"
-_K = lambda c: f"coalesce(CASE WHEN {c} < 200 THEN 'A' WHEN {c} < 1000 THEN 'B' WHEN {c} < 2000 THEN 'C' WHEN {c} < 3000 THEN 'D' WHEN {c} IS NOT NULL THEN 'E' END, 'E')"
+_K = lambda c: f"coalesce({wx.ladder_sql(c, wx.CEILING_STEPS, 'E')}, 'E')"
 _KM = "2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(rlat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(rlat)) * pow(sin(radians(rlon - lon) / 2), 2))))"
 QUERIES = {
     "a32_category_bias": (a32_category_bias, f"{_O}, {_PAIRS_SQL}, f AS (SELECT {_K('ceiling_ft')} AS cat, count(*) AS f, count(*) FILTER (WHERE {_K('ceiling_ft')} = {_K('o_ceiling_ft')}) AS hit FROM p GROUP BY 1), o AS (SELECT {_K('o_ceiling_ft')} AS cat, count(*) AS o FROM p GROUP BY 1) SELECT cat, coalesce(f, 0) AS f, coalesce(o, 0) AS o, coalesce(hit, 0) AS hit, round(f / nullif(o, 0), 6) AS bias FROM f FULL JOIN o USING (cat)"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wxspark.functions.weather import CEILING_STEPS, VIS_STEPS, apart, circular_mean, contingency, flight_category, ladder, turn
+from wxspark.functions.weather import CEILING_STEPS, VIS_STEPS, altimeter_band, apart, circular_mean, contingency, flight_category, ladder, ladder_sql, turn
 from wxspark.operators import intervals, truth
 from wxspark.operators.matching import match_episodes
 from wxspark.sources.tables import OBS_SQL, obs
@@ -78,13 +78,12 @@ def t03_amendment_triggers(spark, d):
     Wind fails by speed, by gust (a missing gust is the mean speed), or by direction where the forecast's larger of speed and gust is strong.
     """
     p = _pairs(spark, d)
-    band = lambda c: F.when(F.col(c) >= 3100, "HIGH").when(F.col(c) < 2800, "LOW").otherwise("NORMAL")
     gusts = F.col("gust").isNotNull() | F.col("o_gust").isNotNull()
     beyond = F.when(F.col("gust").isNotNull() & F.col("o_gust").isNotNull(), F.abs(F.col("gust") - F.col("o_gust")) > 10).when(gusts, F.coalesce(F.col("gust") - F.col("o_wind_speed"), F.col("o_gust") - F.col("wind_speed")) > 10).otherwise(False)
     rules = {
         "category": flight_category(F.col("ceiling_ft"), F.col("vis_m")) != flight_category(F.col("o_ceiling_ft"), F.col("o_vis_m")),
         "wind": (F.abs(F.col("wind_speed") - F.col("o_wind_speed")) > 10) | beyond | ((F.greatest("wind_speed", "gust") >= 15) & (apart(F.col("wind_dir"), F.col("o_wind_dir")) > 30)),
-        "altimeter": band("altimeter") != band("o_altimeter"),
+        "altimeter": altimeter_band(F.col("altimeter")) != altimeter_band(F.col("o_altimeter")),
     }
     tall = p.select("station", "obs_time", "event_id", *(F.coalesce(v, F.lit(False)).alias(k) for k, v in rules.items())).unpivot(["station", "obs_time", "event_id"], list(rules), "rule", "fails")
     eps = intervals.islands(tall, ["station", "rule"], ["obs_time", "event_id"], "fails").groupBy("station", "rule", "island").agg(F.min("obs_time").alias("onset"), F.count("*").alias("hours"))
@@ -137,8 +136,8 @@ _O = f"WITH {OBS_SQL}"
 _H = ("iv AS (SELECT *, lead(obs_time) OVER (PARTITION BY station ORDER BY obs_time, event_id) AS nx, obs_time + INTERVAL 90 MINUTE AS held FROM obs), "
       "st AS (SELECT *, obs_time AS s, CASE WHEN nx < held THEN nx ELSE held END AS e FROM iv), h0 AS (SELECT *, unnest(range(date_trunc('hour', s), e, INTERVAL 1 HOUR)) AS hour FROM st WHERE s < e), "
       "h AS (SELECT *, (epoch_us(least(e, hour + INTERVAL 1 HOUR)) - epoch_us(greatest(s, hour))) / 1e6 AS seconds FROM h0)")
-_L = lambda c: f"coalesce(CASE WHEN {c} < 200 THEN 'A' WHEN {c} < 1000 THEN 'B' WHEN {c} < 2000 THEN 'C' WHEN {c} < 3000 THEN 'D' WHEN {c} IS NOT NULL THEN 'E' END, 'E')"
-_V = lambda v: f"CASE WHEN {v} < 800 THEN 'A' WHEN {v} < 1600 THEN 'B' WHEN {v} < 4800 THEN 'D' WHEN {v} IS NOT NULL THEN 'E' END"
+_L = lambda c: f"coalesce({ladder_sql(c, CEILING_STEPS, 'E')}, 'E')"
+_V = lambda v: ladder_sql(v, VIS_STEPS, "E")
 _F = lambda c, v: f"CASE WHEN {v} IS NOT NULL THEN least({_L(c)}, {_V(v)}) END"
 _AP = "least((wind_dir - o_wind_dir + 720) % 360, 360 - (wind_dir - o_wind_dir + 720) % 360)"
 QUERIES = {
