@@ -41,6 +41,19 @@ def overlap_join(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     return l.join(r, [*by, "hour"]).where((F.col("l_start") < F.col("r_end")) & (F.col("r_start") < F.col("l_end")) & (F.col("hour") == hour_of(lo))).drop("hour").withColumn("start", lo).withColumn("end", F.least("l_end", "r_end"))
 
 
+def unmet(left: DataFrame, right: DataFrame, by: list[str], tolerance: int, bin_size: int) -> DataFrame:
+    """Rows of left whose closed [start, end] no right one of the key comes within `tolerance` of; times are whole numbers.
+
+    Both sides are dealt to bins of `bin_size`, left ones widened by the tolerance, and meet in an equi join.
+    """
+    bins = lambda lo, hi: F.explode(F.sequence(F.floor(lo / bin_size), F.floor(hi / bin_size)))
+    key = [*by, "start", "end"]
+    l = left.select(*key).distinct().withColumn("_bin", bins(F.col("start") - tolerance, F.col("end") + tolerance))
+    r = right.select(*by, F.col("start").alias("_s"), F.col("end").alias("_e")).withColumn("_bin", bins(F.col("_s"), F.col("_e")))
+    met = l.join(r, [*by, "_bin"]).where((F.col("_s") <= F.col("end") + tolerance) & (F.col("_e") >= F.col("start") - tolerance)).select(*key).distinct()
+    return left.join(met, key, "left_anti")
+
+
 def islands(frame: DataFrame, by: list[str], order: list[str], flag: str) -> DataFrame:
     """Runs of consecutive rows whose flag is true: numbered within the key; other rows go."""
     w = W.partitionBy(*by).orderBy(*order)

@@ -36,3 +36,20 @@ def predominant(hours: DataFrame, by: list[str], field: str, least_minutes: floa
     best = per.groupBy(*by, "hour").agg(F.min(F.struct((-F.col("sec")).alias("k"), "seen", F.col(field).alias("v"))).alias("b"), F.count("*").alias("n_values"))
     enough = -F.col("b.k") >= least_minutes * 60
     return best.select(*by, "hour", F.when(enough, F.col("b.v")).alias(f"pred_{field}"), enough.alias("pred_available"), (F.col("n_values") - enough.cast("long")).alias("n_temporary"))
+
+
+def predominant_states(hours: DataFrame, by: list[str], least_minutes: float = MIN_MINUTES) -> DataFrame:
+    """A28 for every field at once: by, hour and p_ fields: the value with most minutes of those the hour's states know, if it has half an hour.
+
+    A ceiling that isn't there is unlimited, so p_ceiling_known tells an unlimited one from one without a predominant value; weather that
+    isn't there is none.
+    """
+    text = lambda c: F.col(c).cast("string")
+    sorted_weather = F.array_join(F.array_sort(F.split(F.coalesce("weather", F.lit("")), " ")), " ")
+    values = {"ceiling_ft": F.coalesce(text("ceiling_ft"), F.lit("unlimited")), "weather": sorted_weather} | {c: text(c) for c in ("vis_m", "altimeter", "wind_speed", "wind_dir", "gust")}
+    tall = hours.select(*by, "hour", "seconds", "start", "event_id", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), v.alias("value")) for c, v in values.items()))).alias("x")).where("x.value is not null")
+    per = tall.groupBy(*by, "hour", "x.field", "x.value").agg(F.sum("seconds").alias("sec"), F.min(F.struct("start", "event_id")).alias("seen"))
+    best = per.groupBy(*by, "hour").agg(*(F.min(F.when(F.col("field") == c, F.struct((-F.col("sec")).alias("k"), "seen", "value"))).alias(c) for c in values))
+    held = lambda c: F.when(-F.col(f"{c}.k") >= least_minutes * 60, F.col(f"{c}.value"))
+    whole = lambda c: F.expr("try_cast({} as bigint)".format(f"if(-`{c}`.k >= {least_minutes * 60}, `{c}`.value, null)"))
+    return best.select(*by, "hour", held("ceiling_ft").isNotNull().alias("p_ceiling_known"), held("weather").alias("p_weather"), *(whole(c).alias(f"p_{c}") for c in values if c != "weather"))

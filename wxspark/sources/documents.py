@@ -38,5 +38,20 @@ def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(*(g.replace('"end"', "`end`") for g in GROUPS))
 
 
+#: The remark of a document's text, in both dialects: a tenth of the documents end their amendment service, as many limit it.
+_DAY = lambda h: f"lpad(CAST(({h}) // 24 % 31 + 1 AS VARCHAR), 2, '0') || lpad(CAST(({h}) % 24 AS VARCHAR), 2, '0')"
+_REMARK = f"CASE o_custkey % 10 WHEN 3 THEN 'LAST NO AMDS AFT ' || {_DAY(f'{_VALID} + o_custkey % 20')} || '30' WHEN 4 THEN 'LIMITED METWATCH ' || {_DAY(f'{_VALID} + o_custkey % 9')} || '00 TIL ' || {_DAY(f'{_VALID} + o_custkey % 9 + 6')} || '15' ELSE '' END".replace("l_orderkey", "o_orderkey")
+
+
+def remarks_sql() -> str:
+    return f"SELECT o_orderkey AS doc, {_VALID.replace('l_orderkey', 'o_orderkey')} AS valid_h, {_REMARK} AS remark FROM orders"
+
+
+def remarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc, valid_h, remark."""
+    whole = lambda x: x.replace("//", "div").replace("AS VARCHAR", "AS STRING")
+    return read(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc", f"{_VALID.replace('l_orderkey', 'o_orderkey')} AS valid_h", f"{whole(_REMARK)} AS remark")
+
+
 def hour_number(ts: str) -> Column:
     return F.floor(micros(ts) / 3_600_000_000).cast("long") - HOUR0
