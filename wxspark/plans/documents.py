@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wxspark.functions.weather import weather_classes
-from wxspark.operators import forecast_state, truth
+from wxspark.operators import assignment, forecast_state, truth
 from wxspark.operators.asof import latest_at_key
 from wxspark.plans.scores import _H, _L, _V, elements
 from wxspark.sources.documents import FIELDS, GROUPS_SQL, HOUR0, groups, hour_number
@@ -70,7 +70,8 @@ EVENTS = [
     ("cig_lt_2000", "coalesce({p}ceiling_ft, 99999) < 2000"), ("cig_lt_1000", "coalesce({p}ceiling_ft, 99999) < 1000"), ("cig_lt_3000", "coalesce({p}ceiling_ft, 99999) < 3000"), ("cig_lt_landing_min", "coalesce({p}ceiling_ft, 99999) < 200"),
     ("vis_lt_3sm", "{p}vis_m < 4800"), ("vis_lt_2sm", "{p}vis_m < 3200"), ("vis_lt_1sm", "{p}vis_m < 1600"), ("vis_lt_landing_min", "{p}vis_m < 800"),
     ("ts", "coalesce({p}weather, '') LIKE '%TS%'"), ("gust_ge_25", "coalesce({p}gust, 0) >= 25"), ("wind_ge_25", "{p}wind_speed >= 25"),
-    ("fzprecip", "coalesce({p}weather, '') LIKE '%FZ%'"), ("frozen_precip", "coalesce({p}weather, '') LIKE '%SN%'"),
+    ("fzprecip", "coalesce({p}weather, '') LIKE '%FZRA%' OR coalesce({p}weather, '') LIKE '%FZDZ%'"),
+    ("frozen_precip", " OR ".join(f"coalesce({{p}}weather, '') LIKE '%{code}%'" for code in ("SN", "SG", "IC", "PL", "GR", "GS"))),
 ]
 
 
@@ -85,6 +86,25 @@ def t05_document_events(spark, d):
     return hours.agg(F.array(*cells).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
+def event_hours(spark, d) -> DataFrame:
+    """doc, t, event, f, o for every document hour and event; o is null where truth doesn't cover the hour or can't tell."""
+    c = candidates(spark, d).join(_truth(spark, d), ["station", "t"], "left").withColumn("covered", F.col("o_wind_speed").isNotNull())
+    said = [F.bool_or(F.coalesce(F.expr(x.format(p="")), F.lit(False))).alias(f"f{i}") for i, (_, x) in enumerate(EVENTS)]
+    seen = [F.bool_or(F.when(F.col("covered"), F.expr(x.format(p="o_")))).alias(f"o{i}") for i, (_, x) in enumerate(EVENTS)]
+    hours = c.groupBy("doc", "t").agg(*said, *seen)
+    cells = F.array(*(F.struct(F.lit(n).alias("event"), F.col(f"f{i}").alias("f"), F.col(f"o{i}").alias("o")) for i, (n, _) in enumerate(EVENTS)))
+    return hours.select("doc", "t", F.explode(cells).alias("x")).select("doc", "t", "x.*")
+
+
+def t05_document_episodes(spark, d):
+    """Runs of hours of each event on both sides, matched one to one within each document."""
+    h = event_hours(spark, d)
+    flags = h.where("f").select("doc", "event", F.lit("F").alias("side"), "t").union(h.where("o").select("doc", "event", F.lit("O"), "t"))
+    run = F.col("t") - F.row_number().over(W.partitionBy("doc", "event", "side").orderBy("t"))
+    eps = flags.withColumn("run", run).groupBy("doc", "event", "side", "run").agg(F.min("t").alias("onset"), F.max("t").alias("end"))
+    return assignment.match(eps, ["doc", "event"])
+
+
 def x47_baselines(spark, d):
     """Persistence (the last report before a document's validity) and climatology (mean of the hour of day) against truth."""
     g = groups(spark, d).where("kind = 'INITIAL'").select("doc", "station", "valid_h")
@@ -231,6 +251,21 @@ j AS (SELECT s.l_orderkey, CASE {' '.join(f"WHEN s.{n} IS DISTINCT FROM m.{n} TH
 SELECT l_orderkey, reason, CASE WHEN reason IS NULL THEN round(gap, 6) END AS value_added FROM j"""),
     "t05_document_events": (t05_document_events, f"""{_CAND}, e AS (SELECT doc, t, {', '.join(f"bool_or(coalesce({x.format(p='')}, false)) AS f{i}, bool_or({x.format(p='o_')}) AS o{i}" for i, (_, x) in enumerate(EVENTS))} FROM j GROUP BY ALL)
 {' UNION ALL '.join(f"SELECT '{n}' AS event, count(*) FILTER (WHERE f{i} AND o{i}) AS a, count(*) FILTER (WHERE NOT f{i} AND o{i}) AS b, count(*) FILTER (WHERE f{i} AND NOT o{i}) AS c, count(*) FILTER (WHERE NOT f{i} AND NOT o{i}) AS d FROM e" for i, (n, _) in enumerate(EVENTS))}"""),
+    "t05_document_episodes": (t05_document_episodes, f"""{_CAND.replace('WITH', 'WITH RECURSIVE', 1)}, jl AS (SELECT cand.*, truth.* EXCLUDE (station, t), o_wind_speed IS NOT NULL AS covered FROM cand LEFT JOIN truth USING (station, t)),
+e AS (SELECT doc, t, {', '.join(f"bool_or(coalesce({x.format(p='')}, false)) AS f{i}, bool_or(CASE WHEN covered THEN {x.format(p='o_')} END) AS o{i}" for i, (_, x) in enumerate(EVENTS))} FROM jl GROUP BY ALL),
+fl AS ({' UNION ALL '.join(f"SELECT doc, '{n}' AS event, '{s}' AS side, t FROM e WHERE {s.lower()}{i}" for i, (n, _) in enumerate(EVENTS) for s in "FO")}),
+ep AS (SELECT doc, event, side, min(t) AS a, max(t) AS b FROM (SELECT *, t - row_number() OVER (PARTITION BY doc, event, side ORDER BY t) AS run FROM fl) GROUP BY doc, event, side, run),
+rc AS (SELECT *, max(greatest(b, a + 3)) OVER (PARTITION BY doc, event ORDER BY a, b, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM ep),
+cp AS (SELECT *, sum(CASE WHEN a > reach OR reach IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc, event ORDER BY a, b, side) AS comp FROM rc),
+li AS (SELECT doc, event, comp, coalesce(list([a, b] ORDER BY a) FILTER (WHERE side = 'F'), []) AS f, coalesce(list([a, b] ORDER BY a) FILTER (WHERE side = 'O'), []) AS o FROM cp GROUP BY ALL),
+m AS (SELECT doc, event, comp, f, o, 1 AS k, []::BIGINT[] AS used, 0::BIGINT AS cost, []::BIGINT[] AS ot, []::BIGINT[] AS ft, []::BIGINT[] AS ok FROM li
+UNION ALL SELECT doc, event, comp, f, o, k + 1, CASE WHEN j = 0 THEN used ELSE list_append(used, j) END, CASE WHEN j = 0 THEN cost ELSE cost + abs(f[j][1] - o[k][1]) - 100 * greatest(0, least(f[j][2], o[k][2]) - greatest(f[j][1], o[k][1]) + 1) END,
+  CASE WHEN j = 0 THEN ot ELSE list_append(ot, o[k][1]) END, CASE WHEN j = 0 THEN ft ELSE list_append(ft, f[j][1]) END, CASE WHEN j = 0 THEN ok ELSE list_append(ok, k) END
+  FROM m, range(0, 13) r(j) WHERE k <= len(o) AND j <= len(f) AND (j = 0 OR NOT list_contains(used, j) AND (least(f[j][2], o[k][2]) >= greatest(f[j][1], o[k][1]) OR abs(f[j][1] - o[k][1]) <= 3))),
+bm AS (SELECT * FROM m WHERE k = len(o) + 1 QUALIFY row_number() OVER (PARTITION BY doc, event, comp ORDER BY len(used) DESC, cost, ot, ft) = 1)
+SELECT doc, event, 'matched' AS outcome, f[used[i]][1] AS f_onset, f[used[i]][2] AS f_end, o[ok[i]][1] AS o_onset, o[ok[i]][2] AS o_end FROM (SELECT *, unnest(range(1, len(used) + 1)) AS i FROM bm)
+UNION ALL SELECT doc, event, 'false_alarm', f[i][1], f[i][2], NULL, NULL FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM bm) WHERE NOT list_contains(used, i)
+UNION ALL SELECT doc, event, 'missed', NULL, NULL, o[i][1], o[i][2] FROM (SELECT *, unnest(range(1, len(o) + 1)) AS i FROM bm) WHERE NOT list_contains(ok, i)"""),
     "x47_baselines": (x47_baselines, f"""{_O}, {GROUPS_SQL}, o AS (SELECT station, epoch_us(obs_time) // 3600000000 - {HOUR0} AS h, obs_time, event_id, CAST(temp_c AS DOUBLE) AS temp FROM obs),
 held AS (SELECT g.doc, g.station, g.valid_h AS h, (SELECT list(o.temp ORDER BY o.h DESC, o.obs_time DESC, o.event_id DESC)[1] FROM o WHERE o.station = g.station AND o.h < g.valid_h) AS persistence FROM grp g WHERE kind = 'INITIAL'),
 clim AS (SELECT station, h % 24 AS hr, avg(temp) AS climatology FROM o GROUP BY ALL), seen AS (SELECT station, h AS t, avg(temp) AS temp FROM o GROUP BY ALL), x AS (SELECT doc, station, persistence, unnest(range(h, h + {HOURS})) AS t FROM held)
