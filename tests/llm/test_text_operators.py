@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import random
 import re
@@ -389,3 +390,37 @@ def test_pipeline_stages_do_what_their_operators_say(spark):
             assert set(after) <= set(before) and len(after) >= 0.7 * len(before)
         kept = out
     assert corpus_pipeline.run(spark, SF).count() == out.count()
+
+
+def test_pii_labels_inside_tokens(spark):
+    seeds = [(i, f"some mail=bob{i}@example.com words") for i in range(30)]
+    rows = [(50, "and mail=x9_y9 too"), (51, "but male=x9 not"), (52, "(mail=z8) there"), (53, "mail= w7 and 9:x9"), (54, "MAIL=Q5")]
+    got = {x.doc_id: x.spans for x in op8.find(frame(spark, seeds + rows)).collect()}
+    assert [got[k] for k in range(50, 55)] == ["id:9:14", "", "", "id:6:8", "id:5:7"]
+
+
+def test_pii_counts_are_those_of_words_and_labels(spark):
+    text = "Key= key=a key=b:c :x =y k:: a:b= 9:z é=1 key=a\nKEY= " + "w " * 50
+    got = {x.pattern: x.n for x in op8.occurrences(frame(spark, [(1, text), (2, text), (3, None)])).collect()}
+    words = [op8._ascii_lower(w) for w in text.split()] * 2
+    want = collections.Counter(words) + collections.Counter(w[: op8._label(w)] for w in words if op8._label(w))
+    assert {op8._hash(w): n for w, n in want.items()} == got
+
+
+def test_pii_a_pattern_that_only_stands_inside_tokens_ends_by_itself(spark):
+    docs = [(i, f"see x/y=bob{i}@example.com (at{i}@example.org) a-b-c+1 (555) 123-45{i:02d} now") for i in range(40)]
+    got = op8.find(frame(spark, docs)).collect()
+    assert len(got) == 40 and all(x.n_email == 2 for x in got)
+
+
+def test_pii_a_long_chain_of_discoveries_is_found_whole(spark):
+    docs = [(i, f"by word0 bob{i}@example.com now " * 20) for i in range(3)]
+    for k in range(14):
+        # word k discovers three instances that only word k + 1 has, too
+        docs += [(1000 * (k + 1) + i, f"by word{k} aa_{k}x{i} now") for i in range(3)]
+        docs += [(1000 * (k + 1) + 100 + i, f"by word{k + 1} aa_{k}x{i} now " * 20) for i in range(3)]
+    docs += [(99, "by word14 zz_9 now"), (98, "by nobody zz_9x now")]
+    got = {x.doc_id: x.spans for x in op8.find(frame(spark, docs), confidence=0.1).collect()}
+    assert got.pop(98) == "" and all(got.values())
+    few = {x.doc_id: x.spans for x in op8.find(frame(spark, docs), confidence=0.1, rounds=2).collect()}
+    assert few[1000] and not few[99]

@@ -1,13 +1,16 @@
 """PII: plain patterns as seeds, then bootstrapped contextual extraction on a pattern-instance graph.
 
 1. A scan finds e-mail, IP, card and phone spans (base) and keys: runs of KEY characters or more with letters and digits. These
-   are the seed entities. It also lists candidates: other tokens with a digit, mixed case or an underscore inside. The word
-   before a seed or candidate, or what stands before it in the same token, is its lexical pattern.
-2. Seeds induce patterns: words seen before MIN_SEEDS different ones. A scan counts how often each new pattern stands anywhere.
-3. Spark scores the graph: a pattern's confidence is the score of its instances, each as often as it stands
-   there, over all its occurrences, so that copies weigh alike on both sides; an instance's score is 1 for a seed, else its best pattern's confidence.
-4. Instances that a trusted pattern (CONFIDENCE) has discovered induce new patterns like seeds, which are counted and scored in
-   turn, until a round finds no new pattern, or for ROUNDS rounds.
+   are the seed entities. It also lists candidates: other tokens with a digit, mixed case or an underscore inside. What stands
+   before a seed or candidate is its lexical pattern: the word before it, or its label, the beginning of its own token up to
+   the first = or : (secret=...). Brackets and quotes before it are skipped.
+2. A second scan counts how often each word and each label stands anywhere; tasks add up their own counts first. After
+   that texts aren't read again: all rounds are joins on the graph of patterns and instances.
+3. Known instances, at first the seeds, induce patterns: those that stand before MIN_SEEDS different ones. Spark scores the
+   graph: a pattern's confidence is the score of its instances, each as often as it stands there, over all its occurrences, so that copies
+   weigh alike on both sides; an instance's score is 1 for a seed, else its best trusted (CONFIDENCE) pattern's confidence.
+4. Instances that a trusted pattern has discovered induce new patterns like seeds, until nothing changes. Scores are whole
+   STEPS-ths, rounded down, and never fall, so that this end is always reached, however long the chain of discoveries.
 5. Keys, and candidates after a trusted pattern, become spans of kind id.
 
 Defined cases: a null text is empty; rows are told apart by doc_id and text, so rows without a doc_id and rows that repeat one
@@ -28,11 +31,14 @@ from pyspark.sql import functions as F
 from wxspark.llm.common import Words, drop, hash_spans, small_batches, text_steps, written
 
 KINDS = ("email", "ip", "card", "phone", "id")
-MIN_SEEDS, CONFIDENCE, ROUNDS, PATTERN_BLOCK, KEY, ID = 3, 0.3, 8, 1_000_000, 24, 4
+MIN_SEEDS, CONFIDENCE, STEPS, KEY, ID = 3, 0.3, 64, 24, 4
+#: Different words whose counts a task holds at once.
+HELD_WORDS = 1_000_000
 _LOCAL, _DOMAIN = re.compile(r"[A-Za-z0-9._%+-]"), re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGITS, _PHONE = re.compile(r"[0-9]+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SPACES = " \t\n\x0b\x0c\r"
 _EDGE, _SPACE = re.compile(r"^[^\w]+|[^\w]+$"), re.compile(f"[{_SPACES}]")
+_MARK = re.compile(r"[=:]")
 _ODD, _KEY = re.compile(r"[0-9]|[a-z][A-Z]|[A-Za-z]_[A-Za-z]"), re.compile(r"[A-Za-z0-9+/_-]{%d,}+" % KEY)
 FOUND = "doc_id long, row long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<start:int,kind:int,end:int>>, seen array<struct<pattern:long,instance:long,seed:boolean,start:int,kind:int,end:int,whole:boolean>>"
 _SEEN = ("pattern", "instance", "seed", "start", "kind", "end", "whole")
@@ -89,7 +95,7 @@ def _hash(text: str) -> int:
     return int(hash_spans(raw, np.array([0]), np.array([len(raw)])).view(np.int64)[0]) if len(raw) else 0
 
 
-def _before(text: str, start: int, least: int) -> str:
+def _before(text: str, start: int, least: int) -> tuple[int, int]:
     """The word before a place, or what of it lies behind `least`; empty at the text's begin."""
     end = start
     while end > least and text[end - 1] in _SPACES:
@@ -97,7 +103,13 @@ def _before(text: str, start: int, least: int) -> str:
     begin = end
     while begin > least and text[begin - 1] not in _SPACES:
         begin -= 1
-    return text[begin:end]
+    return begin, end
+
+
+def _label(token: str) -> int:
+    """Where a token's label ends, 0 if it has none: up to the first = or :, from a letter on, with something behind it."""
+    m = _MARK.search(token, 1)
+    return m.end() if m and m.end() < len(token) and (token[0].isalpha() and token[0].isascii() or token[0] >= "\x80") else 0
 
 
 def _ascii_lower(text: str) -> str:
@@ -117,8 +129,8 @@ def keys(text: str) -> list[tuple[int, int, int]]:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
     """(pattern, instance, seed, start, kind, end, whole) of seeds and of other tokens with something odd in them.
 
-    whole: the pattern is a word of its own there, and this is the first span behind it, so it is one of its occurrences.
-    A pattern is looked for behind the span before only, so that the work is linear in the text.
+    whole: the pattern is a word of its own there, or its token's label, and this is the first span behind it, so it is one of its
+    occurrences. A pattern is looked for behind the span before only, so that the work is linear in the text.
     """
     free, covered = [], 0
     ends = sorted(base)
@@ -142,14 +154,25 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
             k += 1
         if k < len(spans) and spans[k][0] < last:
             continue
+        cut = _label(text[begin:last])
+        if cut and _ODD.search(text, begin + cut, last):
+            begin += cut
         inner = _EDGE.sub("", text[begin:last])
         if inner:
             begin += text[begin:last].find(inner)
             tokens.append((begin, ID, begin + len(inner), False))
     out = []
     for start, kind, end, seed in sorted(spans + tokens):
-        word = _before(text, start, min(reach, start))
-        whole = bool(word) and text[start - 1] in _SPACES and (reach <= start - len(word) or not reach)
+        least = min(reach, start)
+        begin, place = _before(text, start, least)
+        if begin < place == start and not re.search(r"\w", text[begin:place]):
+            begin, place = _before(text, begin, least)  # brackets and quotes
+        word = text[begin:place]
+        first = bool(word) and begin >= reach and (not begin or text[begin - 1] in _SPACES)
+        if place < start and text[place] in _SPACES:
+            whole = first
+        else:
+            whole = first and begin + _label(text[begin : start + 1]) == place
         out.append((_hash(_ascii_lower(word)) if word else None, _hash(text[start:end]), seed, start, kind, end, whole))
         reach = max(reach, end)
     return out
@@ -174,57 +197,68 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, FOUND)
 
 
-def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """How often each pattern (a hashed word) stands in all texts; patterns go to the tasks in blocks of bounded size."""
-    total = patterns.count()
-    blocks, out = max(1, -(-total // PATTERN_BLOCK)), None
-    for block in range(blocks):
-        own = np.array(sorted(r[0] for r in patterns.where(F.pmod("pattern", F.lit(blocks)) == block).collect()), np.int64)
-
-        def run(batches, own=own):
-            sorted_ = np.sort(own.view(np.uint64))
-            n = np.zeros(len(own), np.int64)
-            for _, data, offsets in text_steps(batches):
-                h = Words(data, offsets, lower=True).hash
-                if len(sorted_) and len(h):
-                    at = np.searchsorted(sorted_, h)
-                    at[at == len(sorted_)] = 0
-                    n += np.bincount(at[sorted_[at] == h], minlength=len(own))
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(sorted_[some].view(np.int64)), pa.array(n[some])], names=["pattern", "n"])
-
-        part = docs.select(F.col("text").cast("string")).mapInArrow(run, "pattern long, n long")
-        out = part if out is None else out.union(part)
-    return out.groupBy("pattern").agg(F.sum("n").alias("n"))
-
-
-def trusted(found: DataFrame, docs: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """Patterns whose confidence reaches the bound when no round finds a new one; written."""
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = _LETTER[128:] = True
+
+
+def occurrences(docs: DataFrame) -> DataFrame:
+    """How often each word and each label (as hashes) stands in all texts; a task adds up its own before it lets them out."""
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        word, at = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+        return word, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
+
+    def run(batches):
+        held, size = [], 0
+        for _, data, offsets in text_steps(batches):
+            w = Words(data, offsets, lower=True)
+            if not len(w.starts):
+                continue
+            mark = np.append(np.flatnonzero((w.data == 58) | (w.data == 61)) + 1, len(w.data) + 1)
+            end = mark[np.searchsorted(mark, w.starts + 2)]
+            some = (end < w.ends) & _LETTER[w.data[w.starts]]
+            held.append(np.unique(np.concatenate([w.hash, hash_spans(w.data, w.starts[some], end[some])]), return_counts=True))
+            size += len(held[-1][0])
+            if size > HELD_WORDS:
+                held = [merged(held)]
+                size = len(held[0][0])
+                if size > HELD_WORDS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], names=["pattern", "n"])
+                    held, size = [], 0
+        if held:
+            word, n = merged(held)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], names=["pattern", "n"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+
+
+def trusted(found: DataFrame, docs: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, rounds: int | None = None) -> DataFrame:
+    """Patterns whose confidence reaches the bound once nothing changes, or after so many rounds; written."""
     seen = found.select(F.explode("seen").alias("x")).where("x.pattern is not null")
-    edges = written(seen.groupBy("x.pattern", "x.instance").agg(F.max("x.seed").alias("seed"), F.count_if("x.whole").alias("times")))
-    scores = written(edges.where("seed").select("instance", F.lit(1.0).alias("score")).distinct())
-    times, ranked = None, None
-    for _ in range(rounds):
-        # what is known so far, seeds and discovered instances, induces patterns
-        induced = edges.join(scores.where(F.col("score") >= confidence), "instance").groupBy("pattern").agg(F.count("*").alias("instances")).where(F.col("instances") >= min_seeds).select("pattern")
-        new = written(induced if times is None else induced.join(times, "pattern", "left_anti"))
-        if times is not None and not new.take(1):
-            drop(new)
+    all_edges = written(seen.groupBy("x.pattern", "x.instance").agg(F.max("x.seed").alias("seed"), F.count_if("x.whole").alias("times")))
+    # a pattern with fewer instances than MIN_SEEDS of any kind is never induced, one that is nowhere whole never trusted
+    able = all_edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.sum("times").alias("n")).where((F.col("instances") >= min_seeds) & (F.col("n") > 0)).select("pattern")
+    counts = written(occurrences(docs).join(able, "pattern", "left_semi"))
+    edges = written(all_edges.join(counts, "pattern"))
+    scores = written(edges.where("seed").select("instance", F.lit(STEPS).alias("score")).distinct())
+    good, total, turn = None, -1, 0
+    while rounds is None or turn < rounds:
+        ranked = edges.join(scores, "instance").groupBy("pattern").agg(F.count("*").alias("known"), (F.sum(F.col("score") * F.col("times")) / F.max("n") / STEPS).alias("confidence"))
+        before, good = good, written(ranked.where((F.col("known") >= min_seeds) & (F.col("confidence") >= confidence)).select("pattern", F.least(F.lit(STEPS), F.floor(F.col("confidence") * STEPS)).cast("int").alias("level")))
+        # nothing falls from round to round, so equal sums are equal trust
+        now = tuple(good.agg(F.count("*"), F.sum("level")).first())
+        drop(before)
+        if now == total:
             break
-        more, before = occurrences(docs, new), times
-        times = written(more if before is None else before.union(more))
-        graph = edges.join(times, "pattern")
-        spent, ranked = ranked, written(graph.join(scores, "instance", "left").groupBy("pattern").agg((F.sum(F.coalesce("score", F.lit(0.0)) * F.col("times")) / F.max("n")).alias("confidence")))
-        old = scores
-        told = edges.join(ranked.where(F.col("confidence") >= confidence), "pattern", "left")
-        scores = written(told.groupBy("instance").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(F.least(F.lit(1.0), "confidence"))).alias("score")).where("score is not null"))
-        drop(new, before, spent, old)
-    good = written(ranked.where(F.col("confidence") >= confidence).select("pattern"))
-    drop(edges, scores, times, ranked)
-    return good
-
-
-def find(docs: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+        total, turn = now, turn + 1
+        spent = scores
+        scores = written(edges.join(good, "pattern", "left").groupBy("instance").agg(F.max(F.when(F.col("seed"), STEPS).otherwise(F.col("level"))).alias("score")).where("score is not null"))
+        drop(spent)
+    drop(all_edges, counts, edges, scores)
+    return good.select("pattern")
+
+
+def find(docs: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE, rounds: int | None = None) -> DataFrame:
     """One row a document: counts and digest of base spans, and all spans as kind:start:end."""
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
