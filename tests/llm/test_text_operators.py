@@ -414,12 +414,13 @@ def test_pii_a_pattern_that_only_stands_inside_tokens_ends_by_itself(spark):
 
 
 def test_pii_a_long_chain_of_discoveries_is_found_whole(spark):
-    docs = [(i, f"by word0 bob{i}@example.com now " * 20) for i in range(3)]
+    word = [f"word{x}" for x in "abcdefghijklmno"]
+    docs = [(i, f"by {word[0]} bob{i}@example.com now " * 20) for i in range(3)]
     for k in range(14):
         # word k discovers three instances that only word k + 1 has, too
-        docs += [(1000 * (k + 1) + i, f"by word{k} aa_{k}x{i} now") for i in range(3)]
-        docs += [(1000 * (k + 1) + 100 + i, f"by word{k + 1} aa_{k}x{i} now " * 20) for i in range(3)]
-    docs += [(99, "by word14 zz_9 now"), (98, "by nobody zz_9x now")]
+        docs += [(1000 * (k + 1) + i, f"by {word[k]} aa_{k}x{i} now") for i in range(3)]
+        docs += [(1000 * (k + 1) + 100 + i, f"by {word[k + 1]} aa_{k}x{i} now " * 20) for i in range(3)]
+    docs += [(99, f"by {word[14]} zz_9 now"), (98, "by nobody zz_9x now")]
     got = {x.doc_id: x.spans for x in op8.find(frame(spark, docs), confidence=0.1).collect()}
     assert got.pop(98) == "" and all(got.values())
     few = {x.doc_id: x.spans for x in op8.find(frame(spark, docs), confidence=0.1, rounds=2).collect()}
