@@ -11,6 +11,24 @@ def lower(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
+def repeated_near_duplicates(docs, words, percent):
+    """Sorted (doc_id, set size, component) of every row, where a doc_id with several texts has the links of all of them."""
+    alone = near_duplicates([(i, t) for i, (_, t) in enumerate(docs)], words, percent)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for i, (d, _) in enumerate(docs):
+        root[find(("row", alone[i][1]))] = find(("doc", d))
+    least = {}
+    for d, _ in docs:
+        least[find(("doc", d))] = min(d, least.get(find(("doc", d)), d))
+    return sorted((d, alone[i][0], least[find(("doc", d))]) for i, (d, _) in enumerate(docs))
+
+
 def near_duplicates(docs, words, percent):
     sets = {}
     for doc, text in docs:

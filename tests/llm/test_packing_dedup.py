@@ -110,6 +110,22 @@ def test_near_duplicates_edges(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows) == [(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 3, False), (4, 1, 3, False), (5, 1, 5, True)]
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_near_duplicates_of_a_doc_id_with_two_texts(spark, order):
+    base, other = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    docs = [(5, base), (5, other), (7, base + " more"), (9, other + " more")][::order]
+    assert {(r.doc_id, r.component_id) for r in op2.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), 3, 85).collect()} == {(5, 5), (7, 5), (9, 5)}
+    assert [r.doc_id for r in op2.dedup(frame(spark, docs), 3, 85).collect()] == [5, 5]
+
+
+@pytest.mark.parametrize("seed", [8, 9])
+def test_near_duplicates_with_repeated_doc_ids(spark, seed):
+    docs = [(d % 50, t) for d, t in helpers.corpus(seed)]
+    got = op2.near_duplicates(frame(spark, docs), 3, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == helpers.repeated_near_duplicates(docs, 3, 85)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
 def alternating(n):
     """The Thue-Morse word and its complement: a hash that is linear modulo a power of two can't tell them apart."""
     s = "a"

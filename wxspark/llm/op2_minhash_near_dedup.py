@@ -1,7 +1,8 @@
 """MinHash near-dedup: bottom-k sketches from one hash function, inverted lists, union-sketch filter, exact Jaccard.
 
-1. A scan turns each text into its set of hashed word shingles and keeps the k smallest: the sketch. Documents
-   with one and the same set, told by 128 bits, are a class, stood for by its smallest doc_id.
+1. A scan turns each text into its set of hashed word shingles and keeps the k smallest: the sketch. Texts
+   with one and the same set, told by 128 bits, are a class, named by the first 64 of them (two classes have one name with a chance of
+   n^2 / 2^65 for n classes). Links are between classes, so texts that share a doc_id are told apart until the end.
 2. Inverted lists are kept of two retained values that follow each other among a sketch's first KEYED. For sets of at most KEYED
    shingles above the threshold such a list always exists. For larger ones: walk the union's sketch upwards; each of its values is in both sets with a
    chance of at least p (the threshold), and two neighbours that both sets hold make a list. No such neighbours among KEYED values
@@ -14,8 +15,11 @@
 4. Pairs whose union sketch says that they may reach the threshold are verified on the full shingle sets, by a
    second hash of the words, so that a link rests on 128 bits.
 
-Defined cases: a null text is an empty one; an empty set is linked with nothing; repeated rows of a doc_id are
-one document each and share its answer; a row without a doc_id can't be named: it has no component, links
+5. A doc_id with several texts is a document that has the links of all of them: its classes are joined, and all of its rows have
+   one component.
+
+Defined cases: a null text is an empty one; an empty set is linked with nothing; rows that repeat a doc_id, with one text or several,
+are one document and share its component, whatever their order, each with the size of its own set; a row without a doc_id can't be named: it has no component, links
 nothing but through its class, and stays in `dedup`; ties don't arise, as components are named by doc_id; an empty
 table gives no rows; other columns are ignored, whatever their names.
 """
@@ -23,6 +27,7 @@ table gives no rows; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 from math import comb, log
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -51,6 +56,12 @@ def _runs(w: Words, words: int, seed: int) -> list[np.ndarray]:
     return out
 
 
+def _class(first: np.ndarray, second: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """128 bits that tell a text's set, and the set by its first hashes."""
+    own, at = np.unique(first, return_index=True)
+    return *identity(own, second[at]), own
+
+
 def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
     """doc_id, set size, the set's 128-bit identity, its k smallest values."""
 
@@ -58,8 +69,8 @@ def sketches(docs: DataFrame, words: int, k: int = K) -> DataFrame:
         for rows, data, offsets in text_steps(batches):
             w, out = Words(data, offsets, lower=True), []
             for first, second in zip(_runs(w, words, SEEDS[0]), _runs(w, words, SEEDS[1])):
-                own, at = np.unique(first, return_index=True)
-                out.append((len(own), *identity(own, second[at]), own[:k] ^ TOP))
+                c1, c2, own = _class(first, second)
+                out.append((len(own), c1, c2, own[:k] ^ TOP))
             n, c1, c2, kept = zip(*out) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(x, pa.int64()) for x in (n, c1, c2)), list_array(list(kept), np.uint64)], names=["doc_id", "n_shingles", "c1", "c2", "sketch"])
 
@@ -90,14 +101,30 @@ def _fits(na: str, ca: str, nb: str, cb: str, percent: int):
     return 100 * F.least(ca, cb) >= percent * (F.col(na) - F.col(ca) + F.col(nb) - F.col(cb) + F.greatest(ca, cb))
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """doc_id and full shingle set, ascending, of the documents named; hashed by the second seed."""
+class Classes(NamedTuple):
+    """Documents whose texts go by the names of their classes; names: doc_id (a class) and name (a doc_id with a text of it)."""
+
+    docs: DataFrame
+    names: DataFrame
+
+
+def _sets(docs: DataFrame | Classes, ids: DataFrame, words: int) -> DataFrame:
+    """doc_id and full shingle set, ascending, of the documents or classes named; hashed by the second seed.
+
+    Texts of other classes that share a wanted doc_id come along.
+    """
+    named = isinstance(docs, Classes)
 
     def run(batches):
         for rows, data, offsets in text_steps(batches):
-            sets = [np.unique(x.view(np.int64)) for x in _runs(Words(data, offsets, lower=True), words, SEEDS[1])]
-            yield pa.RecordBatch.from_arrays([rows.column(0), list_array(sets)], names=["doc_id", "set"])
-
+            w = Words(data, offsets, lower=True)
+            second = _runs(w, words, SEEDS[1])
+            sets = [np.unique(x.view(np.int64)) for x in second]
+            yield pa.RecordBatch.from_arrays([pa.array([_class(x, y)[0] for x, y in zip(_runs(w, words, SEEDS[0]), second)], pa.int64()) if named else rows.column(0), list_array(sets)], names=["doc_id", "set"])
+
+    if named:
+        ids = written(ids.join(docs.names, "doc_id").select(F.col("name").alias("doc_id")).distinct())
+        docs = docs.docs
     texts = semi(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), ids, "doc_id")
     return texts.mapInArrow(run, "doc_id long, set array<long>")
 
@@ -269,12 +296,27 @@ def near_duplicates(docs: DataFrame, words: int = STAGE[0], percent: int = STAGE
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id)."""
     small_batches(docs.sparkSession)
     base = written(sketches(docs, words, k))
-    classes = base.where("n_shingles > 0").groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = base.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    label = links(reps, docs, words, percent, k)
-    classes = classes.join(label, F.col("rep") == F.col("node"), "left").select("c1", "c2", "n_shingles", F.coalesce("component", "rep").alias("class_id"))
-    found = base.select("doc_id", "n_shingles", "c1", "c2").join(classes, ["c1", "c2", "n_shingles"], "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("component_id"), (F.col("doc_id") == F.coalesce("class_id", "doc_id")).alias("kept"))
+    full = base.where("n_shingles > 0")
+    classes = written(full.groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep")))
+    key = ["c1", "c2", "n_shingles"]
+    reps = full.join(classes.where("rep is not null").select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"], "left_semi").dropDuplicates(["c1"]).select(F.col("c1").alias("doc_id"), "n_shingles", "sketch")
+    label = links(reps, Classes(docs, classes.where("rep is not null").select(F.col("c1").alias("doc_id"), F.col("rep").alias("name"))), words, percent, k)
+    found = written(classes.join(label, F.col("c1") == F.col("node"), "left").select(*key, "rep", F.coalesce("component", "c1").alias("group")))
+    # documents with several sets join the groups of their classes
+    rows = base.select("doc_id", *key)
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*key)).alias("lo"), F.max(F.struct(*key)).alias("hi")).where("lo <> hi").select("doc_id")
+    held = written(rows.join(several, "doc_id", "left_semi").join(found, key, "left").select("doc_id", "group").distinct())
+    more = written(held.join(held.groupBy("doc_id").agg(F.min("group").alias("least")), "doc_id").where("group <> least").select(F.col("group").alias("a"), F.col("least").alias("b")))
+    if more.take(1):
+        spent, joined = found, components(more)
+        found = written(found.join(joined, F.col("group") == F.col("node"), "left").select(*key, "rep", F.coalesce("component", "group").alias("group")))
+        drop(spent)
+    least = found.groupBy("group").agg(F.min("rep").alias("component_id"))
+    named = rows.join(found.join(least, "group").select(*key, "component_id"), key, "left")
+    # an empty text of a document that has others has their component
+    whole = named.join(held.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("of_all"))
+    own = F.coalesce("of_all", "component_id", "doc_id")
+    return named.join(whole, "doc_id", "left").select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
 
 
 def dedup(docs: DataFrame, words: int = STAGE[0], percent: int = STAGE[1]) -> DataFrame:
