@@ -121,6 +121,49 @@ def weather_classes(code: Column) -> Column:
     return F.array_compact(F.array(*named))
 
 
+#: Severities of precipitation, storms and ash, and what an obscuration adds to that of its visibility (X28); families by code.
+SEVERITY = {"FC": 10.3, "DS": 10.2, "SS": 10.1, "TS": 9.3, "SQ": 9.2, "VA": 9.1, "GR": 7.0, "PL": 6.2, "GS": 6.1, "SN": 5.3, "SG": 5.2, "IC": 5.1, "RA": 3.0, "PO": 1.0}
+OBSCURING = {"DU": 0.7, "SA": 0.6, "FU": 0.5, "FG": 0.4, "BR": 0.3, "HZ": 0.2, "PY": 0.1, "DZ": 0.0}
+FAMILIES = {"rain": "DZ RA", "snow": "SN SG IC", "ice": "PL GR GS", "fog": "BR FG", "haze": "FU HZ PY VA", "dust": "DU SA PO DS SS"}
+FREEZING_SEVERITY = {"RA": 8.2, "DZ": 8.1, "": 8.0}
+#: Severity by statute miles below, and at five miles and beyond; of an unknown visibility.
+VIS_SEVERITY, VIS_FIVE, VIS_BEYOND, VIS_UNKNOWN = [(0.5, 7.0), (1, 6.0), (3, 5.0)], 3.0, 1.0, 2.0
+
+
+def _codes(group: Column) -> Column:
+    """The two-letter codes of a weather group, in order, without its sign."""
+    return F.regexp_extract_all(F.regexp_replace(group, r"^([+-]|VC)", ""), F.lit("(.{2})"), F.lit(1))
+
+
+def _numbers(values: dict[str, float]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
+
+
+def severity(group: Column, vis_sm: Column) -> Column:
+    """The hazard of a weather group, 0 to 11: thunder, then freezing, then the worst fixed code, which its sign raises or lowers by one, or
+    an obscuration by its visibility; half of it in the vicinity. Visibility may be null, not so the group."""
+    codes, sign = _codes(group), F.regexp_extract(group, r"^([+-]|VC)", 1)
+    worst = lambda values: F.array_max(F.transform(F.filter(codes, lambda c: c.isin(*values)), lambda c: F.element_at(_numbers(values), c)))
+    bucket = F.when(vis_sm.isNull(), VIS_UNKNOWN)
+    for edge, value in VIS_SEVERITY:
+        bucket = bucket.when(vis_sm < edge, value)
+    bucket = bucket.when(vis_sm <= 5, VIS_FIVE).otherwise(VIS_BEYOND)
+    has = lambda c: F.array_contains(codes, c)
+    freezing = F.when(has("RA"), FREEZING_SEVERITY["RA"]).when(has("DZ"), FREEZING_SEVERITY["DZ"]).otherwise(FREEZING_SEVERITY[""])
+    fixed = worst(SEVERITY) + F.when(sign == "+", 1.0).when(sign == "-", -1.0).otherwise(0.0)
+    base = F.when(has("TS"), SEVERITY["TS"]).when(has("FZ"), freezing).otherwise(F.coalesce(fixed, bucket + worst(OBSCURING), F.lit(0.0)))
+    return F.round(F.when(sign == "VC", base * 0.5).otherwise(base), 2)
+
+
+def family(group: Column) -> Column:
+    """Thunder, freezing, or the family of the first code that has one, else other."""
+    codes = _codes(group)
+    known = {c: name for name, all_ in FAMILIES.items() for c in all_.split()}
+    names = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    first = F.get(F.filter(codes, lambda c: c.isin(*known)), F.lit(0))
+    return F.when(F.array_contains(codes, "TS"), "thunder").when(F.array_contains(codes, "FZ"), "freezing").otherwise(F.coalesce(F.element_at(names, first), F.lit("other")))
+
+
 def contingency(a: Column, b: Column, c: Column, d: Column) -> dict[str, Column]:
     """Scores of a 2 x 2 table (hits, misses, false alarms, correct nulls); a zero denominator gives null."""
     a, b, c, d = (x.cast("double") for x in (a, b, c, d))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wxspark.functions.weather import weather_classes
+from wxspark.functions.weather import FAMILIES, FREEZING_SEVERITY, OBSCURING, SEVERITY, VIS_BEYOND, VIS_FIVE, VIS_SEVERITY, VIS_UNKNOWN, family, severity
 from wxspark.operators import assignment, forecast_state, truth
 from wxspark.operators.asof import latest_at_key
 from wxspark.plans.scores import _H, _L, _V, elements
@@ -51,6 +51,36 @@ def t02_document_points(spark, d):
     return tall.withColumn("pct", F.round(100 * F.try_divide("earned", "available"), 6))
 
 
+#: Why an element has no points, as (element, reason, condition) in both dialects; the first that holds counts.
+REASONS = [
+    ("visibility", "visibility_not_observed", "o_vis_m IS NULL"), ("visibility", "visibility_not_forecast", "vis_m IS NULL"), ("speed", "below_6_kt", "wind_speed < 6"), ("speed", "speed_not_forecast", "wind_speed IS NULL"),
+    ("speed", "speed_not_observed", "o_wind_speed IS NULL"), ("direction", "observed_at_most_6_kt", "o_wind_speed <= 6"), ("direction", "speed_not_observed", "o_wind_speed IS NULL"), ("direction", "direction_not_forecast", "wind_dir IS NULL"),
+    ("weather", "no_weather_on_either_side", "weather IS NULL AND o_weather IS NULL"), ("altimeter", "not_scored_for_alternates", "alternate"), ("altimeter", "altimeter_unknown", "altimeter IS NULL OR o_altimeter IS NULL"),
+]
+
+
+def audit(spark, d) -> DataFrame:
+    """A row for each document, hour, candidate and element, hours without truth too: earned, available, reason, and whether this row counts.
+
+    Of an element's candidates in an hour the one with most points counts, of equals the prevailing state, then the first by what it says; sums of counting rows are
+    T02's totals. What isn't available has a reason: no truth, or why the element can't be scored.
+    """
+    c = candidates(spark, d).join(_truth(spark, d).withColumn("covered", F.lit(True)), ["station", "t"], "left")
+    e = elements(c)
+    e["altimeter"] = F.when(F.col("altimeter").isNotNull() & F.col("o_altimeter").isNotNull(), e["altimeter"])
+    why = {k: F.coalesce(*(F.when(F.expr(x), F.lit(r)) for n, r, x in REASONS if n == k), F.lit("unknown")) if any(n == k for n, _, _ in REASONS) else F.lit("unknown") for k in e}
+    rows = F.array(*(F.struct(F.lit(k).alias("element"), F.when(F.col("covered"), v).alias("earned"), F.when(F.col("covered").isNull(), "no_truth").when(v.isNull(), why[k]).alias("reason")) for k, v in e.items()))
+    tall = c.select("doc", "t", "alternate", *FIELDS, F.explode(rows).alias("x")).select("doc", "t", "alternate", *FIELDS, "x.*")
+    first = F.row_number().over(W.partitionBy("doc", "t", "element").orderBy(F.col("earned").desc_nulls_last(), "alternate", *FIELDS))
+    return tall.withColumn("counts", first == 1)
+
+
+def t17_audit(spark, d):
+    """The audit's rows by element, kind of candidate, reason and whether they count; the sums of T02 are among them."""
+    a = audit(spark, d)
+    return a.groupBy("element", F.when(F.col("alternate"), "alternate").otherwise("state").alias("candidate"), F.coalesce("reason", F.lit("scored")).alias("reason"), "counts").agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum("earned"), F.lit(0.0)), 6).alias("earned"))
+
+
 #: Provenance of a score, as (column, expression over its rows) in both dialects, in the order in which refusals name them.
 PROVENANCE = [("station", "min(loc_id) % 2"), ("valid_from", "min(run)"), ("valid_to", "min(member) > 3"), ("obs_hash", "min(variable)"), ("profile_hash", "max(variable)"), ("policy_hash", "min(loc_id % 5) < 2")]
 _COMBINED = "CASE WHEN max(member) < 7 THEN 2 * avg(CAST(value AS DOUBLE)) END"
@@ -130,11 +160,12 @@ def a16_standalone_difficulty(spark, d):
 
 
 def a19_notable_weather(spark, d):
-    """A station's two most frequent classes and three most severe ones, each once."""
-    c = obs(spark, d).where("weather is not null").select("station", F.explode(F.split("weather", " ")).alias("code"), "wind_speed")
-    g = c.select("station", F.explode(weather_classes(F.col("code"))).alias("cls"), "wind_speed").groupBy("station", "cls").agg(F.count("*").alias("n"), F.max("wind_speed").alias("peak"))
-    by = lambda c: F.row_number().over(W.partitionBy("station").orderBy(F.desc(c), "cls"))
-    return g.withColumn("rf", by("n")).withColumn("rp", by("peak")).where("rf <= 2 or rp <= 3").select("station", "cls", "n", "peak")
+    """A station's two most frequent families (by reports) and three most severe ones, each once; of equals the first by name."""
+    sm = F.col("vis_m") / 1609.344
+    c = obs(spark, d).where("weather is not null").select("station", "event_id", sm.alias("sm"), F.explode(F.split("weather", " ")).alias("code"))
+    g = c.groupBy("station", family(F.col("code")).alias("family"), "event_id").agg(F.max(severity(F.col("code"), F.col("sm"))).alias("peak")).groupBy("station", "family").agg(F.count("*").alias("n"), F.max("peak").alias("peak"))
+    by = lambda c: F.row_number().over(W.partitionBy("station").orderBy(F.desc(c), "family"))
+    return g.withColumn("rf", by("n")).withColumn("rp", by("peak")).where("rf <= 2 or rp <= 3").select("station", "family", "n", "peak")
 
 
 def sc02_second_archive(spark, d):
@@ -243,9 +274,19 @@ _ELEM = {
     "weather": "len(list_intersect(f, o)) / nullif(len(list_distinct(list_concat(f, o))), 0)", "altimeter": "CAST(o_altimeter >= altimeter - 5 AS DOUBLE)",
 }
 _CLS = "list_filter([CASE WHEN regexp_matches(code, 'TS|SQ|FC|SS|DS|UP') THEN 'other' END, CASE WHEN regexp_matches(code, 'RA|DZ') THEN CASE WHEN code LIKE '%FZ%' THEN 'freezing' ELSE 'liquid' END END, CASE WHEN regexp_matches(code, 'SN|SG|IC|PL|GR|GS') THEN 'frozen' END, CASE WHEN regexp_matches(code, 'FG|BR|HZ|FU|VA|DU|SA|PY|PO') THEN 'obscuration' END], lambda x: x IS NOT NULL)"
+_WORST = lambda values: "list_max(list_transform(codes, lambda c: CASE c " + " ".join(f"WHEN '{c}' THEN {v}::DOUBLE" for c, v in values.items()) + " END))"
+_FAMILY = "CASE WHEN list_contains(codes, 'TS') THEN 'thunder' WHEN list_contains(codes, 'FZ') THEN 'freezing' ELSE coalesce(list_filter(list_transform(codes, lambda c: CASE " + " ".join(f"WHEN c IN ({', '.join(map(repr, x.split()))}) THEN '{n}'" for n, x in FAMILIES.items()) + " END), lambda f: f IS NOT NULL)[1], 'other') END"
+_BASE_SEVERITY = (
+    f"CASE WHEN list_contains(codes, 'TS') THEN {SEVERITY['TS']} WHEN list_contains(codes, 'FZ') THEN CASE WHEN list_contains(codes, 'RA') THEN {FREEZING_SEVERITY['RA']} WHEN list_contains(codes, 'DZ') THEN {FREEZING_SEVERITY['DZ']} ELSE {FREEZING_SEVERITY['']} END"
+    f" ELSE coalesce({_WORST(SEVERITY)} + CASE sign WHEN '+' THEN 1 WHEN '-' THEN -1 ELSE 0 END, CASE WHEN sm IS NULL THEN {VIS_UNKNOWN} {' '.join(f'WHEN sm < {e} THEN {v}' for e, v in VIS_SEVERITY)} WHEN sm <= 5 THEN {VIS_FIVE} ELSE {VIS_BEYOND} END + {_WORST(OBSCURING)}, 0) END"
+)
 QUERIES = {
     "t02_document_points": (t02_document_points, f"""{_CAND}, e AS (SELECT doc, t, {', '.join(f'max({x}) AS {k}' for k, x in _ELEM.items())} FROM j GROUP BY ALL), r AS ({' UNION ALL '.join(f"SELECT '{k}' AS element, round(sum({k}), 6) AS earned, count({k}) AS available FROM e" for k in _ELEM)})
 SELECT *, round(100 * earned / nullif(available, 0), 6) AS pct FROM r"""),
+    "t17_audit": (t17_audit, f"""{_CAND}, jl AS (SELECT cand.*, truth.* EXCLUDE (station, t), truth.t IS NOT NULL AS covered, coalesce(string_split(weather, ' '), []) AS f, coalesce(string_split(o_weather, ' '), []) AS o FROM cand LEFT JOIN truth USING (station, t)),
+tall AS ({' UNION ALL '.join(f"SELECT doc, t, alternate, {', '.join(FIELDS)}, '{k}' AS element, CASE WHEN covered THEN {x if k != 'altimeter' else f'CASE WHEN altimeter IS NOT NULL AND o_altimeter IS NOT NULL THEN {x} END'} END AS earned, CASE WHEN NOT covered THEN 'no_truth' {' '.join(f"WHEN {c} THEN '{r}'" for n, r, c in REASONS if n == k)} ELSE 'unknown' END AS reason FROM jl" for k, x in _ELEM.items())}),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc, t, element ORDER BY earned DESC NULLS LAST, alternate, {', '.join(f'{c} NULLS FIRST' for c in FIELDS)}) = 1 AS counts FROM tall)
+SELECT element, CASE WHEN alternate THEN 'alternate' ELSE 'state' END AS candidate, CASE WHEN earned IS NULL THEN reason ELSE 'scored' END AS reason, counts, count(*) AS n, round(coalesce(sum(earned), 0), 6) AS earned FROM k GROUP BY ALL"""),
     "t02h_value_added": (t02h_value_added, f"""{_C}, p AS (SELECT model, l_orderkey, {', '.join(f'{x} AS {n}' for n, x in PROVENANCE)}, {_COMBINED} AS pct FROM cube_ WHERE model IN ('A', 'R') GROUP BY ALL),
 j AS (SELECT s.l_orderkey, CASE {' '.join(f"WHEN s.{n} IS DISTINCT FROM m.{n} THEN 'pairing_refused_{n}_mismatch'" for n, _ in PROVENANCE)} WHEN s.pct IS NULL OR m.pct IS NULL THEN 'null_combined' END AS reason, s.pct - m.pct AS gap FROM p s JOIN p m USING (l_orderkey) WHERE s.model = 'A' AND m.model = 'R')
 SELECT l_orderkey, reason, CASE WHEN reason IS NULL THEN round(gap, 6) END AS value_added FROM j"""),
@@ -272,7 +313,10 @@ clim AS (SELECT station, h % 24 AS hr, avg(temp) AS climatology FROM o GROUP BY
 SELECT station, count(*) AS n, round(avg(abs(persistence - temp)), 6) AS mae_persistence, round(avg(abs(climatology - temp)), 6) AS mae_climatology FROM x JOIN seen USING (station, t) JOIN clim USING (station) WHERE clim.hr = t % 24 GROUP BY 1"""),
     "a16_standalone_difficulty": (a16_standalone_difficulty, f"""{_CAND}, e AS (SELECT station, CASE WHEN t % 24 < 12 THEN 'night' ELSE 'day' END AS subject, {_ELEM['ceiling']} AS c, {_ELEM['visibility']} AS v FROM j WHERE NOT alternate),
 g AS (SELECT station, subject, round(sum(c) + sum(v), 6) AS earned, count(c) + count(v) AS available FROM e GROUP BY ALL) SELECT *, round(100 - 100 * earned / nullif(available, 0), 6) AS difficulty FROM g"""),
-    "a19_notable_weather": (a19_notable_weather, f"{_O}, c AS (SELECT station, unnest(string_split(weather, ' ')) AS code, wind_speed FROM obs WHERE weather IS NOT NULL), k AS (SELECT station, unnest({_CLS}) AS cls, wind_speed FROM c), g AS (SELECT station, cls, count(*) AS n, max(wind_speed) AS peak FROM k GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY n DESC, cls) AS rf, row_number() OVER (PARTITION BY station ORDER BY peak DESC, cls) AS rp FROM g) SELECT station, cls, n, peak FROM r WHERE rf <= 2 OR rp <= 3"),
+    "a19_notable_weather": (a19_notable_weather, f"""{_O}, c AS (SELECT station, event_id, vis_m / 1609.344::DOUBLE AS sm, unnest(string_split(weather, ' ')) AS code FROM obs WHERE weather IS NOT NULL),
+q AS (SELECT *, regexp_extract(code, '^([+-]|VC)', 1) AS sign, regexp_extract_all(regexp_replace(code, '^([+-]|VC)', ''), '(.{{2}})', 1) AS codes FROM c), sv AS (SELECT station, event_id, {_FAMILY} AS family, round(CASE WHEN sign = 'VC' THEN 0.5 ELSE 1 END * ({_BASE_SEVERITY}), 2) AS peak FROM q),
+r AS (SELECT station, family, event_id, max(peak) AS peak FROM sv GROUP BY ALL), g AS (SELECT station, family, count(*) AS n, max(peak) AS peak FROM r GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY n DESC, family) AS rf, row_number() OVER (PARTITION BY station ORDER BY peak DESC, family) AS rp FROM g) SELECT station, family, n, peak FROM k WHERE rf <= 2 OR rp <= 3"""),
     "sc02_second_archive": (sc02_second_archive, "SELECT n_nationkey * 2 AS n_nationkey, n_name FROM nation WHERE n_nationkey * 2 NOT IN (SELECT n_nationkey FROM nation)"),
     "sk08_header_and_children": (sk08_header_and_children, "SELECT l_orderkey AS id, 'header' AS level, NULL::INTEGER AS child, sum(l_quantity) AS value FROM lineitem GROUP BY 1 UNION ALL SELECT l_orderkey, 'child', l_linenumber, l_quantity FROM lineitem"),
     "sk10_coordinate_slice": (sk10_coordinate_slice, f"{_C} SELECT loc_id, count(*) AS n, max(run) AS newest FROM cube_ WHERE run <= TIMESTAMP '1997-06-30' AND loc_id IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 5 = 0) GROUP BY 1"),
