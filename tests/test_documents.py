@@ -45,3 +45,46 @@ def test_the_audit_reconciles_with_the_totals(spark):
     assert a.where("counts").count() == hours * 7 == a.select("doc", "t", "element").distinct().count()
     assert a.where("(earned is null) <> (reason is not null)").count() == 0
     a.unpersist()
+
+
+def test_states_to_groups_and_back(spark):
+    r = random.Random(2)
+    rows, alternates = [], []
+    for doc in range(40):
+        s = None
+        for t in range(100, 100 + r.choice([1, 5, 24])):
+            if s is None or r.random() < 0.3:
+                s = (r.choice([None, 10, 20]), r.choice([5, 8]), r.choice([None, 25]), r.choice([None, 800]), r.choice([None, 500]), r.choice([None, "RA"])) if s is None or r.random() < 0.4 else tuple(x if r.random() < 0.7 else y for x, y in zip(s, (20, 8, 25, 900, 600, "FG")))
+            rows.append((doc, t, *s))
+            for slot in range(2):
+                if r.random() < 0.6:
+                    alternates.append((doc, slot, t, *(x if r.random() < 0.6 else y for x, y in zip(s, (30, 9, 26, 700, 400, "SN")))))
+    fields = "wind_dir long, wind_speed long, gust long, vis_m long, ceiling_ft long, weather string"
+    states, alts = spark.createDataFrame(rows, f"doc long, t long, {fields}"), spark.createDataFrame(alternates, f"doc long, slot int, t long, {fields}")
+    g = forecast_state.prevailing_groups(states, ["doc"]).cache()
+    assert {x.kind for x in g.collect()} == {"INITIAL", "FM", "BECMG"}
+    back = forecast_state.baseline(g, states.select("doc", "t"), ["doc"])
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+    changes = sum(a[0] != b[0] or a[2:] != b[2:] for a, b in zip(rows, rows[1:])) + 1
+    assert g.count() == changes
+    tempo = forecast_state.temporary_groups(alts, states, ["doc"], "slot")
+    said = forecast_state.overlays(tempo.withColumn("key", F.struct("doc", "slot")), alts.select(F.struct("doc", "slot").alias("key"), "t"), ["key"])
+    names = [x.split()[0] for x in fields.split(", ")]
+    base = states.select("doc", "t", F.struct(*names).alias("b"))
+    got = said.select("key.doc", "key.slot", "t", F.struct(*names).alias("x")).join(base, ["doc", "t"]).select("doc", "slot", "t", *(F.coalesce(f"x.{c}", f"b.{c}").alias(c) for c in names))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(alternates, key=str)
+    # the fewest: dynamic programming over all cuts of each slot's hours
+    state = {(d, t): x for d, t, *x in rows}
+    want = 0
+    for key in {x[:2] for x in alternates}:
+        own = sorted(x[2:] for x in alternates if x[:2] == key)
+
+        def fits(some):
+            return all(b[0] == a[0] + 1 for a, b in zip(some, some[1:])) and all(len({h[1 + i] for h in some}) == 1 or all(h[1 + i] == state[key[0], h[0]][i] for h in some) for i in range(6))
+
+        best = [0]
+        for j in range(1, len(own) + 1):
+            best.append(min(best[i] + 1 for i in range(j) if fits(own[i:j])))
+        want += best[-1]
+    assert tempo.count() == want
+    g.unpersist()

@@ -55,3 +55,52 @@ def wind_overrides(states: DataFrame, overrides: DataFrame, by: list[str]) -> Da
     j = states.join(last, [*by, "t"], "left")
     pick = lambda f, o: F.when(F.col("o").isNotNull(), F.col(f"o.{o}")).otherwise(F.col(f)).alias(f)
     return j.select(*(pick(c, {"wind_dir": "o_dir", "wind_speed": "o_speed", "gust": "o_gust"}[c]) if c in ("wind_dir", "wind_speed", "gust") else F.col(c) for c in states.columns))
+
+
+def prevailing_groups(states: DataFrame, by: list[str], fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """Hourly states (by, t, fields) to the fewest groups that give them back: by, kind, start, end, fields.
+
+    The first hour's state is the INITIAL group, and each hour whose state differs from the one before it begins a group. That is a
+    BECMG, complete by then and saying what changes, where at most half of the fields change and none becomes unknown; else
+    an FM with the whole state. Fewer groups can't do, as each tells of one change.
+    """
+    w = W.partitionBy(*by).orderBy("t")
+    state = F.struct(*fields)
+    rows = states.withColumn("_state", state).withColumn("_before", F.lag("_state").over(w)).withColumn("_first", F.min("t").over(W.partitionBy(*by))).withColumn("_last", F.max("t").over(W.partitionBy(*by)))
+    rows = rows.where(F.col("_before").isNull() | ~F.col("_state").eqNullSafe(F.col("_before")))
+    same = [F.col(f"_state.{c}").eqNullSafe(F.col(f"_before.{c}")) for c in fields]
+    changed = sum((F.when(x, 0).otherwise(1) for x in same[1:]), F.when(same[0], 0).otherwise(1))
+    lost = F.lit(False)
+    for c in fields:
+        lost = lost | (F.col(f"_state.{c}").isNull() & F.col(f"_before.{c}").isNotNull())
+    kind = F.when(F.col("_before").isNull(), "INITIAL").when((2 * changed <= len(fields)) & ~lost, "BECMG").otherwise("FM")
+    rows = rows.withColumn("kind", kind)
+    becoming = F.col("kind") == "BECMG"
+    said = [F.when(becoming & x, None).otherwise(F.col(f"_state.{c}")).alias(c) for c, x in zip(fields, same)]
+    start = F.when(becoming, F.greatest(F.col("t") - 1, F.col("_first"))).otherwise(F.col("t"))
+    return rows.select(*by, "kind", start.alias("start"), F.when(becoming, F.col("t")).otherwise(F.col("_last") + 1).alias("end"), *said)
+
+
+def temporary_groups(alternates: DataFrame, states: DataFrame, by: list[str], slot: str, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """Alternates (by, slot, t, fields: whole states) to the fewest TEMPO groups that give them back over the hourly states.
+
+    Consecutive hours of a slot make one group as long as each field either keeps its value, and is said, or is the prevailing one in all of
+    them, and isn't. A shorter run of such hours is one as well, so the longest runs from the first hour on are the fewest. The hours of a
+    document's slot are folded in order; they are a handful.
+    """
+    p = states.select(*by, "t", F.struct(*fields).alias("p"))
+    hours = alternates.select(*by, slot, "t", F.struct(*fields).alias("a")).join(p, [*by, "t"])
+    lists = hours.groupBy(*by, slot).agg(F.array_sort(F.collect_list(F.struct("t", "a", "p"))).alias("h"))
+    # a run: start, end, the value of each field, whether it is kept (c), whether it is the prevailing one (e)
+    kinds = dict(alternates.dtypes)
+    run = ", ".join(f"v_{f}: {kinds[f]}, c_{f}: boolean, e_{f}: boolean" for f in fields)
+    first = "named_struct('start', x.t, 'end', x.t, " + ", ".join(f"'v_{f}', x.a.{f}, 'c_{f}', true, 'e_{f}', x.a.{f} <=> x.p.{f}" for f in fields) + ")"
+    kept = {f: f"(r.c_{f} and (r.v_{f} <=> x.a.{f}))" for f in fields}
+    even = {f: f"(r.e_{f} and (x.a.{f} <=> x.p.{f}))" for f in fields}
+    goes_on = " and ".join(["x.t = r.end + 1", *(f"({kept[f]} or {even[f]})" for f in fields)])
+    longer = "named_struct('start', r.start, 'end', x.t, " + ", ".join(f"'v_{f}', r.v_{f}, 'c_{f}', {kept[f]}, 'e_{f}', {even[f]}" for f in fields) + ")"
+    typed = f"cast(array() as array<struct<start: bigint, end: bigint, {run}>>)"
+    # the last run is looked at by a transform over an array of one, which names it once
+    step = f"if(size(acc) = 0, array({first}), flatten(transform(slice(acc, -1, 1), r -> if({goes_on}, concat(slice(acc, 1, size(acc) - 1), array({longer})), concat(acc, array({first}))))))"
+    runs = lists.select(*by, slot, F.expr(f"explode(aggregate(h, {typed}, (acc, x) -> {step}))").alias("r"))
+    return runs.select(*by, slot, F.lit("TEMPO").alias("kind"), F.col("r.start").alias("start"), (F.col("r.end") + 1).alias("end"), *(F.when(~F.col(f"r.e_{f}"), F.col(f"r.v_{f}")).alias(f) for f in fields))

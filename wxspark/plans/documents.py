@@ -40,6 +40,19 @@ def candidates(spark, d) -> DataFrame:
     return state.select("doc", "station", "t", *FIELDS, F.lit(False).alias("alternate")).union(alt.select("doc", "station", "t", *inherited, F.lit(True)))
 
 
+def x48_states_to_groups(spark, d):
+    """Each document's hourly states and alternates, written anew as the fewest groups."""
+    g = groups(spark, d)
+    plain = FIELDS[:-1]
+    times = g.where("kind = 'INITIAL'").select("doc", F.explode(F.sequence(F.col("valid_h"), F.col("valid_h") + HOURS - 1)).alias("t"))
+    state = forecast_state.baseline(g, times, ["doc"], FIELDS)
+    over = g.where("kind in ('TEMPO', 'PROB30')").select("doc", "grp", "start", "end", F.struct(*plain).alias("x"))
+    alt = times.join(over, "doc").where("start <= t and t < end").join(state.select("doc", "t", F.struct(*plain).alias("b")), ["doc", "t"]).select("doc", "grp", "t", *(F.coalesce(f"x.{c}", f"b.{c}").alias(c) for c in plain))
+    none = F.lit(None).cast("long").alias("altimeter")
+    tempo = forecast_state.temporary_groups(alt, state, ["doc"], "grp", plain).select("doc", "kind", "start", "end", *plain, none)
+    return forecast_state.prevailing_groups(state, ["doc"], FIELDS).select("doc", "kind", "start", "end", *FIELDS).union(tempo)
+
+
 def t02_document_points(spark, d):
     """T02, T02a-T02g, J18-J21: seven elements of each forecast hour against truth; the best of the state and its alternates counts."""
     c = candidates(spark, d).join(_truth(spark, d), ["station", "t"])
@@ -283,6 +296,15 @@ _BASE_SEVERITY = (
 QUERIES = {
     "t02_document_points": (t02_document_points, f"""{_CAND}, e AS (SELECT doc, t, {', '.join(f'max({x}) AS {k}' for k, x in _ELEM.items())} FROM j GROUP BY ALL), r AS ({' UNION ALL '.join(f"SELECT '{k}' AS element, round(sum({k}), 6) AS earned, count({k}) AS available FROM e" for k in _ELEM)})
 SELECT *, round(100 * earned / nullif(available, 0), 6) AS pct FROM r"""),
+    "x48_states_to_groups": (x48_states_to_groups, f"""{_CAND.replace('WITH', 'WITH RECURSIVE', 1)}, pv AS (SELECT *, {', '.join(f'lag({c}) OVER w AS b_{c}' for c in FIELDS)}, row_number() OVER w AS k, min(t) OVER (PARTITION BY doc) AS t0, max(t) OVER (PARTITION BY doc) AS t1 FROM state WINDOW w AS (PARTITION BY doc ORDER BY t)),
+ch AS (SELECT *, CASE WHEN k = 1 THEN 'INITIAL' WHEN 2 * ({' + '.join(f'CAST({c} IS DISTINCT FROM b_{c} AS INT)' for c in FIELDS)}) <= {len(FIELDS)} AND NOT ({' OR '.join(f'({c} IS NULL AND b_{c} IS NOT NULL)' for c in FIELDS)}) THEN 'BECMG' ELSE 'FM' END AS kind FROM pv WHERE k = 1 OR {' OR '.join(f'{c} IS DISTINCT FROM b_{c}' for c in FIELDS)}),
+sq AS (SELECT s.doc, g.grp, s.t, row_number() OVER (PARTITION BY s.doc, g.grp ORDER BY s.t) AS k, {', '.join(f'coalesce(g.{c}, s.{c}) AS a_{c}, s.{c} AS p_{c}' for c in FIELDS[:-1])} FROM state s JOIN grp g ON s.doc = g.doc AND g.kind IN ('TEMPO', 'PROB30') AND g.start <= s.t AND s.t < g."end"),
+rn AS (SELECT doc, grp, t, k, t AS start, 1 AS run, {', '.join(f'a_{c} AS v_{c}, true AS c_{c}, a_{c} IS NOT DISTINCT FROM p_{c} AS e_{c}' for c in FIELDS[:-1])} FROM sq WHERE k = 1
+UNION ALL SELECT doc, grp, t, k, CASE WHEN ok THEN start ELSE t END, run + CAST(NOT ok AS INT), {', '.join(f'CASE WHEN ok THEN v_{c} ELSE a_{c} END, CASE WHEN ok THEN c_{c} AND v_{c} IS NOT DISTINCT FROM a_{c} ELSE true END, CASE WHEN ok THEN e_{c} AND a_{c} IS NOT DISTINCT FROM p_{c} ELSE a_{c} IS NOT DISTINCT FROM p_{c} END' for c in FIELDS[:-1])}
+  FROM (SELECT rn.* EXCLUDE (t, k), sq.t, sq.k, {', '.join(f'a_{c}, p_{c}' for c in FIELDS[:-1])}, sq.t = rn.t + 1 AND {' AND '.join(f'((c_{c} AND v_{c} IS NOT DISTINCT FROM a_{c}) OR (e_{c} AND a_{c} IS NOT DISTINCT FROM p_{c}))' for c in FIELDS[:-1])} AS ok FROM rn JOIN sq ON sq.doc = rn.doc AND sq.grp = rn.grp AND sq.k = rn.k + 1)),
+tg AS (SELECT * FROM rn QUALIFY row_number() OVER (PARTITION BY doc, grp, run ORDER BY k DESC) = 1)
+SELECT doc, kind, CASE WHEN kind = 'BECMG' THEN greatest(t - 1, t0) ELSE t END AS start, CASE WHEN kind = 'BECMG' THEN t ELSE t1 + 1 END AS "end", {', '.join(f"CASE WHEN kind <> 'BECMG' OR {c} IS DISTINCT FROM b_{c} THEN {c} END AS {c}" for c in FIELDS)} FROM ch
+UNION ALL SELECT doc, 'TEMPO', start, t + 1, {', '.join(f'CASE WHEN NOT e_{c} THEN v_{c} END' for c in FIELDS[:-1])}, NULL FROM tg"""),
     "t17_audit": (t17_audit, f"""{_CAND}, jl AS (SELECT cand.*, truth.* EXCLUDE (station, t), truth.t IS NOT NULL AS covered, coalesce(string_split(weather, ' '), []) AS f, coalesce(string_split(o_weather, ' '), []) AS o FROM cand LEFT JOIN truth USING (station, t)),
 tall AS ({' UNION ALL '.join(f"SELECT doc, t, alternate, {', '.join(FIELDS)}, '{k}' AS element, CASE WHEN covered THEN {x if k != 'altimeter' else f'CASE WHEN altimeter IS NOT NULL AND o_altimeter IS NOT NULL THEN {x} END'} END AS earned, CASE WHEN NOT covered THEN 'no_truth' {' '.join(f"WHEN {c} THEN '{r}'" for n, r, c in REASONS if n == k)} ELSE 'unknown' END AS reason FROM jl" for k, x in _ELEM.items())}),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc, t, element ORDER BY earned DESC NULLS LAST, alternate, {', '.join(f'{c} NULLS FIRST' for c in FIELDS)}) = 1 AS counts FROM tall)
