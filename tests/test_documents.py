@@ -88,3 +88,29 @@ def test_states_to_groups_and_back(spark):
         want += best[-1]
     assert tempo.count() == want
     g.unpersist()
+
+
+REPORTS = {
+    "METAR KABC 100855Z AUTO 24008G18KT 200V280 1 1/2SM R12L/2400FT -RA BR BKN015 OVC030CB M02/M05 A2990 RMK AO2 27040G60KT 1/4SM FG OVC001 A3011": dict(
+        station="KABC", day=10, hhmm="0855", report_type="METAR", auto=True, cavok=False, wind_dir_deg=240, wind_dir_card=None, wind_speed=8, wind_gust=18, wind_unit="KT", visibility="1 1/2SM", vis_sm=1.5, vis_m=2400, vis_flag=None,
+        weather=["-RA", "BR"], temp_c=-2, dewpoint_c=-5, altimeter_inhg=29.9, ceiling_ft=1500, remarks="AO2 27040G60KT 1/4SM FG OVC001 A3011"),
+    "SPECI COR KXYZ 101200Z VRB03KT P6SM VCSH SKC 24/12 A2992=": dict(report_type="SPECI", station="KXYZ", corrected=True),
+    "SPECI KXYZ 101200Z COR VRB03KT P6SM VCSH SKC 24/12 A2992=": dict(station="KXYZ", corrected=True, wind_dir_deg=None, wind_dir_card="VRB", vis_sm=6.0, vis_m=9999, vis_flag="P", weather=["VCSH"], ceiling_ft=None, dewpoint_c=12, remarks=None),
+    "EDDF 101220Z 01005MPS CAVOK 20/10 Q1013 BECMG 27020G40KT 0800 TSRA BKN002": dict(station="EDDF", report_type=None, cavok=True, visibility=None, vis_sm=6.0, vis_m=9999, vis_flag="P", weather=[], wind_speed=5, wind_unit="MPS", wind_gust=None, altimeter_hpa=1013.0, altimeter_inhg=29.91, ceiling_ft=None),
+    "KAAA 101220Z 00000KT M1/4SM FG VV002 20/ A3001 RERA 35040KT": dict(vis_sm=0.25, vis_m=400, vis_flag="M", vertical_visibility_ft=200, ceiling_ft=200, temp_c=20, dewpoint_c=None, wind_speed=0, altimeter_hpa=1016.3),
+    "LFPG 101230Z 24010KT 0450 FZFG SCT003TCU OVC///  M00/M01 Q0998 NOSIG": dict(vis_m=450, vis_sm=0.25, visibility="0450", weather=["FZFG"], temp_c=0, dewpoint_c=-1, ceiling_ft=None),
+    "KBAD nonsense 27015KT": dict(station="KBAD", day=None, wind_speed=15, visibility=None, vis_m=None, weather=[], altimeter_inhg=None, remarks=None),
+}
+
+
+def test_reports_by_token_and_place(spark):
+    from wxspark.functions import metar
+
+    got = {x.raw: x for x in metar.parse_reports(spark.createDataFrame([(x,) for x in ["# note", " ", *REPORTS]], "value string")).collect()}
+    assert len(got) == len(REPORTS)
+    for raw, want in REPORTS.items():
+        for name, value in want.items():
+            assert got[raw.rstrip("=")][name] == value, (raw, name)
+    layers = got[next(iter(REPORTS))].clouds
+    assert [(c.cover, c.height_ft, c.type) for c in layers] == [("BKN", 1500, None), ("OVC", 3000, "CB")]
+    assert len(metar.parse_reports(spark.createDataFrame([("x",)], "value string")).columns) == 26

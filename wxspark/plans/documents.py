@@ -27,11 +27,15 @@ def _truth(spark, d) -> DataFrame:
 
 
 def candidates(spark, d) -> DataFrame:
+    """`candidates_of` the table's documents."""
+    return candidates_of(groups(spark, d))
+
+
+def candidates_of(g: DataFrame) -> DataFrame:
     """What each document says for each of its hours: the prevailing state, and alternates that inherit what they don't say.
 
     A document has a handful of groups, so its states are an ordered fold over them; nothing else is gathered.
     """
-    g = groups(spark, d)
     times = g.where("kind = 'INITIAL'").select("doc", "station", F.explode(F.sequence(F.col("valid_h"), F.col("valid_h") + HOURS - 1)).alias("t"))
     state = forecast_state.baseline(g, times, ["doc"], FIELDS)
     said = forecast_state.overlays(g, times.select("doc", "t"), ["doc"]).withColumn("altimeter", F.lit(None).cast("long"))
@@ -53,12 +57,18 @@ def x48_states_to_groups(spark, d):
     return forecast_state.prevailing_groups(state, ["doc"], FIELDS).select("doc", "kind", "start", "end", *FIELDS).union(tempo)
 
 
-def t02_document_points(spark, d):
-    """T02, T02a-T02g, J18-J21: seven elements of each forecast hour against truth; the best of the state and its alternates counts."""
-    c = candidates(spark, d).join(_truth(spark, d), ["station", "t"])
+def points(spark, d, said: DataFrame) -> DataFrame:
+    """doc, t and the points of each element for candidates: the best of a state and its alternates."""
+    c = said.join(_truth(spark, d), ["station", "t"])
     e = elements(c)
     e["altimeter"] = F.when(F.col("altimeter").isNotNull() & F.col("o_altimeter").isNotNull(), e["altimeter"])
-    best = c.select("doc", "t", *(v.alias(k) for k, v in e.items())).groupBy("doc", "t").agg(*(F.max(k).alias(k) for k in e))
+    return c.select("doc", "t", *(v.alias(k) for k, v in e.items())).groupBy("doc", "t").agg(*(F.max(k).alias(k) for k in e))
+
+
+def t02_document_points(spark, d):
+    """T02, T02a-T02g, J18-J21: seven elements of each forecast hour against truth; the best of the state and its alternates counts."""
+    best = points(spark, d, candidates(spark, d))
+    e = [c for c in best.columns if c not in ("doc", "t")]
     total = best.agg(*(F.struct(F.round(F.sum(k), 6).alias("earned"), F.count(k).alias("available")).alias(k) for k in e))
     tall = total.select(F.explode(F.array(*(F.struct(F.lit(k).alias("element"), F.col(f"{k}.earned").alias("earned"), F.col(f"{k}.available").alias("available")) for k in e))).alias("x")).select("x.*")
     return tall.withColumn("pct", F.round(100 * F.try_divide("earned", "available"), 6))
