@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wxspark.functions.weather import FAMILIES, FREEZING_SEVERITY, OBSCURING, SEVERITY, VIS_BEYOND, VIS_FIVE, VIS_SEVERITY, VIS_UNKNOWN, family, severity
-from wxspark.operators import assignment, forecast_state, truth
+from wxspark.operators import asof, assignment, forecast_state, truth
 from wxspark.operators.asof import latest_at_key
 from wxspark.plans.scores import _H, _L, _V, elements
 from wxspark.sources.documents import FIELDS, GROUPS_SQL, HOUR0, groups, hour_number
@@ -159,20 +159,56 @@ def t05_document_episodes(spark, d):
 
 
 def x47_baselines(spark, d):
-    """Persistence (the last report before a document's validity) and climatology (mean of the hour of day) against truth."""
+    """Persistence (the last report before a document's validity) and climatology (the mean of the hour of day in all reports before it) against truth.
+
+    Neither knows a report of the hours that it is scored on: both are running values of one sort a key.
+    """
     g = groups(spark, d).where("kind = 'INITIAL'").select("doc", "station", "valid_h")
     o = obs(spark, d).select("station", hour_number("obs_time").alias("h"), "obs_time", "event_id", F.col("temp_c").cast("double").alias("temp"))
     tagged = g.select("station", F.col("valid_h").alias("h"), F.lit(0).alias("side"), "doc", F.lit(None).cast("double").alias("temp"), F.lit(None).cast("timestamp_ntz").alias("at"), F.lit(None).cast("long").alias("id"))
     tagged = tagged.union(o.select("station", "h", F.lit(1), F.lit(None).cast("long"), "temp", "obs_time", "event_id"))
     last = F.last("temp", ignorenulls=True).over(W.partitionBy("station").orderBy("h", "side", "at", "id").rowsBetween(W.unboundedPreceding, -1))
     held = tagged.withColumn("persistence", last).where("side = 0").select("doc", "station", "h", "persistence")
-    clim = o.groupBy("station", (F.col("h") % 24).alias("hr")).agg(F.avg("temp").alias("climatology"))
+    ask = g.select("doc", "station", "valid_h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))).alias("hr")).select("station", "hr", F.col("valid_h").alias("h"), F.lit(0).alias("side"), "doc", F.lit(None).cast("double").alias("temp"))
+    both = ask.union(o.select("station", F.col("h") % 24, "h", F.lit(1), F.lit(None).cast("long"), "temp"))
+    before = W.partitionBy("station", "hr").orderBy("h", "side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    clim = both.withColumn("climatology", F.avg("temp").over(before)).where("side = 0 and climatology is not null").select("doc", "hr", "climatology")
     seen = o.groupBy("station", F.col("h").alias("t")).agg(F.avg("temp").alias("temp"))
-    rows = held.withColumn("t", F.explode(F.sequence(F.col("h"), F.col("h") + HOURS - 1))).join(seen, ["station", "t"]).withColumn("hr", F.col("t") % 24).join(clim, ["station", "hr"])
+    rows = held.withColumn("t", F.explode(F.sequence(F.col("h"), F.col("h") + HOURS - 1))).join(seen, ["station", "t"]).withColumn("hr", F.col("t") % 24).join(clim, ["doc", "hr"])
     mae = lambda c: F.round(F.avg(F.abs(F.col(c) - F.col("temp"))), 6).alias(f"mae_{c}")
     return rows.groupBy("station").agg(F.count("*").alias("n"), mae("persistence"), mae("climatology"))
 
 
+#: A persisted report may be so many microseconds old.
+PERSIST_US = 90 * 60 * 1_000_000
+
+
+def bulletins(g: DataFrame) -> DataFrame:
+    """Documents as bulletins of a product: those of one station and validity, each in force from its issue on."""
+    return g.where("kind = 'INITIAL'").select("station", "valid_h", F.col("doc").alias("bulletin"), (F.col("valid_h") - 2 + F.col("doc") % 12).alias("issue"), F.col("valid_h").alias("valid_from"), (F.col("valid_h") + HOURS).alias("valid_to"))
+
+
+def t08_subjects(spark, d):
+    """Three subjects in one run, by the same scorer and on the same truth: each document, the composite of a product's bulletins, and persistence.
+
+    The composite says at each hour what the governing bulletin says; persistence holds the last report of at most 90 minutes before a product's validity.
+    """
+    g = groups(spark, d)
+    said = candidates_of(g)
+    governs = forecast_state.composite(bulletins(g), ["station", "valid_h"]).select("station", F.col("valid_h").alias("product"), F.col("bulletin").alias("doc"), F.explode(F.sequence("start", F.col("end") - 1)).alias("t"))
+    composite = said.join(governs, ["station", "doc", "t"]).withColumn("doc", F.struct(F.lit("composite").alias("subject"), "station", F.col("product").alias("id"))).drop("product")
+    human = said.withColumn("doc", F.struct(F.lit("human").alias("subject"), "station", F.col("doc").alias("id")))
+    products = g.where("kind = 'INITIAL'").select("station", "valid_h").distinct().withColumn("start", F.timestamp_micros((F.col("valid_h") + HOUR0) * 3_600_000_000).cast("timestamp_ntz"))
+    held = asof.backward(products, obs(spark, d).select("station", "obs_time", "event_id", *FIELDS), ["station"], "start", "obs_time", strict=True, within_s=PERSIST_US / 1e6, ties=["event_id"]).where("r_obs_time is not null")
+    doc = F.struct(F.lit("persistence").alias("subject"), "station", F.col("valid_h").alias("id")).alias("doc")
+    persistence = held.select(doc, "station", F.explode(F.sequence("valid_h", F.col("valid_h") + HOURS - 1)).alias("t"), *(F.col(f"r_{c}").alias(c) for c in FIELDS), F.lit(False).alias("alternate"))
+    best = points(spark, d, human.unionByName(composite).unionByName(persistence))
+    e = [c for c in best.columns if c not in ("doc", "t")]
+    tall = best.select("doc.subject", *e).unpivot(["subject"], e, "element", "earned").where("earned is not null")
+    total = tall.groupBy("subject", "element").agg(F.round(F.sum("earned"), 6).alias("earned"), F.count("*").alias("available"))
+    return total.withColumn("pct", F.round(100 * F.col("earned") / F.col("available"), 6))
+
+
 def a16_standalone_difficulty(spark, d):
     """Every document scored alone, pooled by station and kind of hour, whether or not a rival scored it."""
     c = candidates(spark, d).where("not alternate").join(_truth(spark, d), ["station", "t"])
@@ -339,10 +375,20 @@ bm AS (SELECT * FROM m WHERE k = len(o) + 1 QUALIFY row_number() OVER (PARTITION
 SELECT doc, event, 'matched' AS outcome, f[used[i]][1] AS f_onset, f[used[i]][2] AS f_end, o[ok[i]][1] AS o_onset, o[ok[i]][2] AS o_end FROM (SELECT *, unnest(range(1, len(used) + 1)) AS i FROM bm)
 UNION ALL SELECT doc, event, 'false_alarm', f[i][1], f[i][2], NULL, NULL FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM bm) WHERE NOT list_contains(used, i)
 UNION ALL SELECT doc, event, 'missed', NULL, NULL, o[i][1], o[i][2] FROM (SELECT *, unnest(range(1, len(o) + 1)) AS i FROM bm) WHERE NOT list_contains(ok, i)"""),
+    "t08_subjects": (t08_subjects, f"""{_CAND}, bl AS (SELECT station, valid_h, doc, valid_h - 2 + doc % 12 AS issue, valid_h + {HOURS} AS vt FROM grp WHERE kind = 'INITIAL'),
+ef AS (SELECT *, max(greatest(issue, valid_h)) OVER (PARTITION BY station, valid_h ORDER BY issue, doc ROWS UNBOUNDED PRECEDING) AS s FROM bl), gv AS (SELECT *, least(coalesce(lead(s) OVER (PARTITION BY station, valid_h ORDER BY issue, doc), vt), vt) AS e FROM ef),
+gh AS (SELECT station, valid_h AS product, doc, unnest(range(s, e)) AS t FROM gv WHERE s < e), pr AS (SELECT DISTINCT station, valid_h FROM grp WHERE kind = 'INITIAL'),
+ps AS (SELECT pr.station, valid_h, obs.* EXCLUDE (station) FROM pr JOIN obs ON obs.station = pr.station AND epoch_us(obs_time) < (valid_h + {HOUR0}) * 3600000000 AND epoch_us(obs_time) >= (valid_h + {HOUR0}) * 3600000000 - {PERSIST_US} QUALIFY row_number() OVER (PARTITION BY pr.station, valid_h ORDER BY obs_time DESC, event_id DESC) = 1),
+sb AS (SELECT 'human' AS subject, doc AS id, cand.* EXCLUDE (doc) FROM cand UNION ALL BY NAME SELECT 'composite' AS subject, product AS id, cand.* EXCLUDE (doc) FROM cand JOIN gh USING (station, doc, t)
+UNION ALL BY NAME SELECT 'persistence' AS subject, valid_h AS id, station, unnest(range(valid_h, valid_h + {HOURS})) AS t, {', '.join(FIELDS)}, false AS alternate FROM ps),
+jb AS (SELECT *, coalesce(string_split(weather, ' '), []) AS f, coalesce(string_split(o_weather, ' '), []) AS o FROM sb JOIN truth USING (station, t)),
+e AS (SELECT subject, station, id, t, {', '.join(f"max({x if k != 'altimeter' else f'CASE WHEN altimeter IS NOT NULL AND o_altimeter IS NOT NULL THEN {x} END'}) AS {k}" for k, x in _ELEM.items())} FROM jb GROUP BY ALL),
+r AS ({' UNION ALL '.join(f"SELECT subject, '{k}' AS element, round(sum({k}), 6) AS earned, count({k}) AS available FROM e GROUP BY subject" for k in _ELEM)})
+SELECT *, round(100 * earned / available, 6) AS pct FROM r WHERE available > 0"""),
     "x47_baselines": (x47_baselines, f"""{_O}, {GROUPS_SQL}, o AS (SELECT station, epoch_us(obs_time) // 3600000000 - {HOUR0} AS h, obs_time, event_id, CAST(temp_c AS DOUBLE) AS temp FROM obs),
 held AS (SELECT g.doc, g.station, g.valid_h AS h, (SELECT list(o.temp ORDER BY o.h DESC, o.obs_time DESC, o.event_id DESC)[1] FROM o WHERE o.station = g.station AND o.h < g.valid_h) AS persistence FROM grp g WHERE kind = 'INITIAL'),
-clim AS (SELECT station, h % 24 AS hr, avg(temp) AS climatology FROM o GROUP BY ALL), seen AS (SELECT station, h AS t, avg(temp) AS temp FROM o GROUP BY ALL), x AS (SELECT doc, station, persistence, unnest(range(h, h + {HOURS})) AS t FROM held)
-SELECT station, count(*) AS n, round(avg(abs(persistence - temp)), 6) AS mae_persistence, round(avg(abs(climatology - temp)), 6) AS mae_climatology FROM x JOIN seen USING (station, t) JOIN clim USING (station) WHERE clim.hr = t % 24 GROUP BY 1"""),
+clim AS (SELECT g.doc, o.h % 24 AS hr, avg(o.temp) AS climatology FROM grp g JOIN o ON o.station = g.station AND o.h < g.valid_h WHERE g.kind = 'INITIAL' GROUP BY ALL), seen AS (SELECT station, h AS t, avg(temp) AS temp FROM o GROUP BY ALL), x AS (SELECT doc, station, persistence, unnest(range(h, h + {HOURS})) AS t FROM held)
+SELECT station, count(*) AS n, round(avg(abs(persistence - temp)), 6) AS mae_persistence, round(avg(abs(climatology - temp)), 6) AS mae_climatology FROM x JOIN seen USING (station, t) JOIN clim USING (doc) WHERE clim.hr = t % 24 GROUP BY 1"""),
     "a16_standalone_difficulty": (a16_standalone_difficulty, f"""{_CAND}, e AS (SELECT station, CASE WHEN t % 24 < 12 THEN 'night' ELSE 'day' END AS subject, {_ELEM['ceiling']} AS c, {_ELEM['visibility']} AS v FROM j WHERE NOT alternate),
 g AS (SELECT station, subject, round(sum(c) + sum(v), 6) AS earned, count(c) + count(v) AS available FROM e GROUP BY ALL) SELECT *, round(100 - 100 * earned / nullif(available, 0), 6) AS difficulty FROM g"""),
     "a19_notable_weather": (a19_notable_weather, f"""{_O}, c AS (SELECT station, event_id, vis_m / 1609.344::DOUBLE AS sm, unnest(string_split(weather, ' ')) AS code FROM obs WHERE weather IS NOT NULL),

@@ -109,8 +109,32 @@ def j31_nearest_sites(spark, d):
     return near.withColumn("rk", rk).where("rk <= 3").select("a", "rk", "b", F.round("km", 4).alias("km"), wx.compass(F.round(wx.bearing(F.col("la"), F.col("oa"), F.col("lb"), F.col("ob")), 6)).alias("dir"))
 
 
+def t15_nearby_field(spark, d):
+    """What each model says now at a site and its three nearest ones, with distance and direction, at the first valid time of the site's newest run.
+
+    Places are met by their coordinates, never by name; of a place's runs for that time the newest speaks, and of its members the mean.
+    """
+    place = lambda c: [(F.col(c) * 37 % 120 - 60).alias("lat"), (F.col(c) * 53 % 300 - 150).alias("lon")]
+    own = _sites(spark, d).select(F.col("s_suppkey").alias("site"), *place("s_suppkey"), F.lit(0.0).alias("km"), F.lit("--").alias("dir"))
+    own = own.union(j31_nearest_sites(spark, d).select(F.col("a").alias("site"), *place("b"), "km", "dir"))
+    c = cube(spark, d).where("variable = 'F'").select("loc_id", "model", "run", "valid_time", "value")
+    newest = c.groupBy("loc_id", "model").agg(F.max(F.struct("run", (-F.unix_micros(F.col("valid_time").cast("timestamp"))).alias("k"), "valid_time")).alias("x")).select(F.col("loc_id").alias("site"), "model", F.col("x.valid_time").alias("valid_time"))
+    field = c.groupBy("loc_id", "model", "valid_time", "run").agg(F.avg("value").alias("value")).groupBy("loc_id", "model", "valid_time").agg(F.max_by("value", "run").alias("value"))
+    field = field.select(*place("loc_id"), "model", "valid_time", "value").groupBy("lat", "lon", "model", "valid_time").agg(F.avg("value").alias("value"))  # places that share coordinates are one
+    rows = own.join(newest, "site").join(field, ["lat", "lon", "model", "valid_time"])
+    return rows.groupBy("site", "model", "valid_time", "lat", "lon").agg(F.min(F.struct("km", "dir")).alias("x"), F.round(F.max("value"), 6).alias("value")).select("site", "model", "valid_time", "lat", "lon", "x.km", "x.dir", "value")
+
+
+def t12_probabilities_by_time(spark, d):
+    """By model and valid time, of the newest run for it: how many members there are, and how many of them reach each threshold, in percent."""
+    c = cube(spark, d).where("value is not null")
+    newest = c.groupBy("model", "valid_time").agg(F.max("run").alias("run"))
+    share = lambda x: F.round(100 * F.avg((F.col("value") >= x).cast("double")), 6).alias(f"p_ge_{x}")
+    return c.join(newest, ["model", "valid_time", "run"]).groupBy("model", "valid_time", "run").agg(F.count("*").alias("members"), *(share(x) for x in (10, 25, 40)))
+
+
 def j33_own_coordinates(spark, d):
-    """A field restricted to a site's own coordinates by value, not by name."""
+    """A field restricted to a site's own coordinates by value, not by name."""
     s = _sites(spark, d).where("lat > 0")
     c = cube(spark, d).withColumn("lat", (F.col("loc_id") * 37 % 120 - 60).cast("double")).withColumn("lon", (F.col("loc_id") * 53 % 300 - 150).cast("double"))
     return c.join(s.select("lat", "lon"), ["lat", "lon"], "left_semi").groupBy("loc_id").agg(F.count("*").alias("n"))
@@ -192,6 +216,13 @@ QUERIES = {
     "t13_state_table": (t13_state_table, f"{_C}, t AS (SELECT loc_id, variable, list(value ORDER BY run DESC, value DESC)[1] AS v, max(value) AS peak FROM cube_ GROUP BY ALL) SELECT loc_id, max(v) FILTER (WHERE variable = 'F') AS f, max(v) FILTER (WHERE variable = 'O') AS o, max(peak) AS peak FROM t GROUP BY 1"),
     "t14_hazards": (t14_hazards, f"{_O} SELECT CASE WHEN temp_c BETWEEN -16 AND 0 AND vis_m < 7000 THEN 'BOTH' WHEN NOT (temp_c BETWEEN -16 AND 0) AND NOT vis_m < 7000 THEN 'none' ELSE 'DISAGREE' END AS icing, wind_speed - temp_c > 30 AS shear, count(*) AS n FROM obs WHERE vis_m IS NOT NULL GROUP BY ALL"),
     "j31_nearest_sites": (j31_nearest_sites, f"WITH s AS (SELECT s_suppkey, CAST(s_suppkey * 37 % 120 - 60 AS DOUBLE) AS lat, CAST(s_suppkey * 53 % 300 - 150 AS DOUBLE) AS lon FROM supplier), p AS (SELECT x.s_suppkey AS a, y.s_suppkey AS b, {_KM} AS km, {_BR} AS br FROM s x JOIN s y ON x.s_suppkey <> y.s_suppkey AND abs(x.lat - y.lat) < 60), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(km, 6), b) AS rk FROM p WHERE km <= 3000) SELECT a, CAST(rk AS INTEGER) AS rk, b, round(km, 4) AS km, {_NAMES}[CAST(floor(round(br, 6) / 22.5 + 0.5) AS INTEGER) % 16 + 1] AS dir FROM r WHERE rk <= 3"),
+    "t15_nearby_field": (t15_nearby_field, f"""{_C}, s AS (SELECT s_suppkey, CAST(s_suppkey * 37 % 120 - 60 AS DOUBLE) AS lat, CAST(s_suppkey * 53 % 300 - 150 AS DOUBLE) AS lon FROM supplier), p AS (SELECT x.s_suppkey AS a, y.s_suppkey AS b, {_KM} AS km, {_BR} AS br FROM s x JOIN s y ON x.s_suppkey <> y.s_suppkey AND abs(x.lat - y.lat) < 60), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(km, 6), b) AS rk FROM p WHERE km <= 3000),
+own AS (SELECT s_suppkey AS site, s_suppkey AS loc, 0.0::DOUBLE AS km, '--' AS dir FROM s UNION ALL SELECT a, b, round(km, 4), {_NAMES}[CAST(floor(round(br, 6) / 22.5 + 0.5) AS INTEGER) % 16 + 1] FROM r WHERE rk <= 3),
+c AS (SELECT * FROM cube_ WHERE variable = 'F'), n AS (SELECT loc_id AS site, model, valid_time FROM c QUALIFY row_number() OVER (PARTITION BY loc_id, model ORDER BY run DESC, valid_time) = 1),
+f AS (SELECT loc_id, model, valid_time, avg(value) AS value FROM c GROUP BY loc_id, model, valid_time, run QUALIFY row_number() OVER (PARTITION BY loc_id, model, valid_time ORDER BY run DESC) = 1),
+g AS (SELECT loc_id * 37 % 120 - 60 AS lat, loc_id * 53 % 300 - 150 AS lon, model, valid_time, avg(value) AS value FROM f GROUP BY ALL)
+SELECT site, model, valid_time, lat, lon, min((km, dir))[1] AS km, min((km, dir))[2] AS dir, round(max(value), 6) AS value FROM (SELECT site, loc * 37 % 120 - 60 AS lat, loc * 53 % 300 - 150 AS lon, km, dir FROM own) o JOIN n USING (site) JOIN g USING (lat, lon, model, valid_time) GROUP BY ALL"""),
+    "t12_probabilities_by_time": (t12_probabilities_by_time, f"{_C}, n AS (SELECT model, valid_time, max(run) AS run FROM cube_ WHERE value IS NOT NULL GROUP BY ALL) SELECT model, valid_time, run, count(*) AS members, {', '.join(f'round(100 * avg(CAST(value >= {x} AS DOUBLE)), 6) AS p_ge_{x}' for x in (10, 25, 40))} FROM cube_ JOIN n USING (model, valid_time, run) WHERE value IS NOT NULL GROUP BY ALL"),
     "j33_own_coordinates": (j33_own_coordinates, f"{_C} SELECT loc_id, count(*) AS n FROM cube_ WHERE EXISTS (SELECT 1 FROM supplier WHERE s_suppkey * 37 % 120 - 60 > 0 AND s_suppkey * 37 % 120 = loc_id * 37 % 120 AND s_suppkey * 53 % 300 = loc_id * 53 % 300) GROUP BY 1"),
     "x02_day_hour": (x02_day_hour, f"{_O}, o AS (SELECT event_id, obs_time, event_id % 31 + 1 AS dd, event_id % 25 AS hh FROM obs), m AS (SELECT *, date_trunc('month', CASE WHEN dd < day(obs_time) THEN obs_time + INTERVAL 1 MONTH ELSE obs_time END) AS mo FROM o) SELECT event_id, CASE WHEN dd <= day(last_day(mo)) THEN mo + to_days(CAST(dd - 1 AS INTEGER)) + to_hours(hh) END AS t FROM m"),
     "x05_cycles": (x05_cycles, f"{_O}, x AS (SELECT obs_time, obs_time - INTERVAL 210 MINUTE AS t FROM obs) SELECT date_trunc('hour', t) - to_hours(hour(t) % 6) AS cycle, CASE WHEN hour(obs_time) < 12 THEN 0 ELSE 12 END AS syn, count(*) AS n FROM x GROUP BY ALL"),

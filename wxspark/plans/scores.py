@@ -26,10 +26,25 @@ def t01_truth_predominant(spark, d):
     return truth.predominant(_hours(spark, d), HOURS, "ceiling_ft")
 
 
+def _expected(have):
+    """station, from, to: every station with the window of all reports, first to last hour that any of them covers."""
+    window = have.agg(F.min("hour").alias("from"), F.max("hour").alias("to"))  # one row
+    return have.select("station").distinct().join(F.broadcast(window))
+
+
 def a30_coverage(spark, d):
-    """Share of a station's month that truth covers, and how many hours are missing."""
-    have = _hours(spark, d).select("station", "hour").distinct().groupBy("station").agg(F.count("*").alias("n"))
-    return have.select("station", "n", F.round(F.col("n") / 720, 6).alias("coverage"), (F.lit(720) - F.col("n")).alias("missing"))
+    """Share of the window's hours that truth covers at a station, and how many are missing."""
+    have = _hours(spark, d).select("station", "hour").distinct()
+    n = have.groupBy("station").agg(F.count("*").alias("n"))
+    hours = F.floor((F.unix_micros(F.col("to").cast("timestamp")) - F.unix_micros(F.col("from").cast("timestamp"))) / 3_600_000_000) + 1
+    return _expected(have).join(n, "station").select("station", "n", F.round(F.col("n") / hours, 6).alias("coverage"), (hours - F.col("n")).alias("missing"))
+
+
+def a30_missing_hours(spark, d):
+    """The missing hours themselves."""
+    have = _hours(spark, d).select("station", "hour").distinct()
+    spine = _expected(have).select("station", F.explode(F.sequence("from", "to", F.expr("interval 1 hour"))).alias("hour"))
+    return spine.join(have, ["station", "hour"], "left_anti")
 
 
 def _pairs(spark, d):
@@ -148,7 +163,8 @@ SELECT station, hour, min(ceiling_ft) AS cons_ceiling, bool_and(ceiling_ft IS NU
     "t01_truth_predominant": (t01_truth_predominant, f"""{_O}, {_H}, v AS (SELECT station, hour, ceiling_ft, sum(seconds) AS sec, min((s, event_id)) AS seen FROM h GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY station, hour ORDER BY sec DESC, seen) AS rk, count(*) OVER (PARTITION BY station, hour) AS nv FROM v)
 SELECT station, hour, CASE WHEN sec >= 1800 THEN ceiling_ft END AS pred_ceiling_ft, sec >= 1800 AS pred_available, nv - CAST(sec >= 1800 AS BIGINT) AS n_temporary FROM r WHERE rk = 1"""),
-    "a30_coverage": (a30_coverage, f"{_O}, {_H}, x AS (SELECT station, count(DISTINCT hour) AS n FROM h GROUP BY 1) SELECT station, n, round(n / 720, 6) AS coverage, 720 - n AS missing FROM x"),
+    "a30_coverage": (a30_coverage, f"{_O}, {_H}, w AS (SELECT (epoch_us(max(hour)) - epoch_us(min(hour))) // 3600000000 + 1 AS hours FROM h), x AS (SELECT station, count(DISTINCT hour) AS n FROM h GROUP BY 1) SELECT station, n, round(n / hours, 6) AS coverage, hours - n AS missing FROM x, w"),
+    "a30_missing_hours": (a30_missing_hours, f"{_O}, {_H}, w AS (SELECT unnest(range(min(hour), max(hour) + INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS hour FROM h) SELECT station, hour FROM (SELECT DISTINCT station FROM h), w EXCEPT SELECT station, hour FROM h"),
     "t02_element_points": (t02_element_points, f"""{_O}, {_PAIRS_SQL}, q AS (SELECT CASE WHEN corrected THEN 'TEMPO' ELSE 'INITIAL' END AS grp, coalesce(string_split(weather, ' '), []) AS f, coalesce(string_split(o_weather, ' '), []) AS o, * FROM p),
 e AS (SELECT grp, 'ceiling' AS element, CAST({_L('ceiling_ft')} = {_L('o_ceiling_ft')} AS DOUBLE) AS earned FROM q
 UNION ALL SELECT grp, 'visibility', CAST({_V('vis_m')} = {_V('o_vis_m')} AS DOUBLE) FROM q
