@@ -55,6 +55,11 @@ def _nearest(value: Column, key: str, out: str) -> Column:
     return F.when(value.isNotNull(), F.array_min(F.transform(table, lambda r: F.struct(F.abs(r[key] - value).alias("k"), r[out].alias("v"))))["v"])
 
 
+def visibility_sm(metres: Column) -> Column:
+    """Statute miles of metres by the table, six at ten kilometres or more."""
+    return F.when(metres >= 9999, 6.0).otherwise(_nearest(metres.cast("double"), "m", "sm"))
+
+
 def visibility(token: Column) -> dict[str, Column]:
     """Statute miles, metres and flag of a token: M less, P more, or null."""
     part = lambda p, n=1: F.nullif(F.regexp_extract(token, p, n), F.lit(""))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wxspark.functions.weather import altimeter_band_sql
+from wxspark.functions.metar import VIS_TABLE, visibility_sm
+from wxspark.functions.weather import altimeter_band_sql, circular_mean, turn
 from wxspark.operators import amendments as am
 from wxspark.operators import forecast_state, truth
 from wxspark.plans.documents import _CAND, _CLS, HOURS, candidates
@@ -122,6 +124,50 @@ def t03g_headline(spark, d):
     return am.headline(all_fails(spark, d, g, states), available(states), service_gaps(spark, d, g))
 
 
+#: Knots above which directions are compared, hours at which a lead bin ends.
+FLOOR_KT, LEAD_BINS = 6, (6, 12, 18, 24, 30)
+
+
+def _capped_sm(metres):
+    """Statute miles of a visibility, six at most; null where it is."""
+    return F.when(metres.isNotNull(), F.least(visibility_sm(metres), F.lit(6.0)))
+
+
+def skill_errors(spark, d):
+    """Doc, element, lead, err: the prevailing state against the predominant one of each hour, and each group's altimeter against the lowest one that is seen while it governs.
+
+    An element is left out where it can't be compared: a side that isn't known, light wind for directions, a gust or a ceiling on one side alone, and
+    visibilities that are unrestricted on both sides. The altimeter has no lead.
+    """
+    g = groups(spark, d)
+    f = candidates(spark, d).where("not alternate").withColumnRenamed("t", "hour")
+    first = g.where("kind = 'INITIAL'").select("doc", "valid_h")
+    j = f.join(hour_states(spark, d, g), ["doc", "hour"]).join(first, "doc").withColumn("fsm", _capped_sm(F.col("vis_m"))).withColumn("osm", _capped_sm(F.col("p_vis_m")))
+    c = lambda n: (F.col(n), F.col(f"p_{n}"))
+    minus = lambda n: (c(n)[0] - c(n)[1]).cast("double")
+    strong = (F.col("wind_speed") > FLOOR_KT) & (F.col("p_wind_speed") > FLOOR_KT)
+    errors = {"wind_speed": minus("wind_speed"), "wind_dir": F.when(strong, turn(*c("wind_dir")).cast("double")), "wind_gust": minus("gust"), "ceiling": minus("ceiling_ft"), "visibility": F.when((F.col("fsm") < 6) | (F.col("osm") < 6), F.col("fsm") - F.col("osm"))}
+    hourly = j.select("doc", (F.col("hour") - F.col("valid_h")).alias("lead"), *(v.alias(k) for k, v in errors.items())).unpivot(["doc", "lead"], list(errors), "element", "err").where("err is not null")
+    w = W.partitionBy("doc").orderBy("at", "grp")
+    governing = g.where("kind in ('INITIAL', 'FM', 'BECMG')").withColumn("at", F.when(F.col("kind") == "BECMG", F.col("end")).otherwise(F.col("start")))
+    governing = governing.withColumn("until", F.coalesce(F.lead("at").over(w), F.col("valid_h") + HOURS)).where("altimeter is not null").select("doc", "grp", "station", "altimeter", F.greatest("at", "valid_h").alias("at"), F.least("until", F.col("valid_h") + HOURS).alias("until")).where("at < until")
+    hours = governing.withColumn("hour", F.explode(F.sequence("at", F.col("until") - 1)))
+    seen = obs(spark, d).select("station", hour_number("obs_time").alias("hour"), F.col("altimeter").alias("o"))
+    qnh = hours.join(seen, ["station", "hour"]).groupBy("doc", "grp", "altimeter").agg(F.min("o").alias("o")).select("doc", F.lit(None).cast("long").alias("lead"), F.lit("qnh").alias("element"), ((F.col("altimeter") - F.col("o")) / 100).alias("err"))
+    return hourly.unionByName(qnh)
+
+
+def t04_document_errors(spark, d):
+    """Bias and mean absolute error by element, overall and by lead bin; directions by the circular mean."""
+    lead = F.lit(None).cast("string")
+    for lo, hi in reversed(list(zip((0, *LEAD_BINS), LEAD_BINS))):
+        lead = F.when((F.col("lead") >= lo) & (F.col("lead") < hi), f"{lo}-{hi}").otherwise(lead)
+    e = skill_errors(spark, d).withColumn("bin", lead)
+    bias = F.when(F.col("element") == "wind_dir", F.pmod(circular_mean(F.col("err"), 1e-6) + 180, F.lit(360.0)) - 180).otherwise(F.avg("err"))
+    rows = e.select("element", F.explode(F.array(F.lit("overall"), F.col("bin"))).alias("bin"), "err").where("bin is not null")
+    return rows.groupBy("element", "bin").agg(F.count("*").alias("n"), F.round(bias, 4).alias("bias"), F.round(F.avg(F.abs("err")), 4).alias("mae"))
+
+
 # --- SQL twins -------------------------------------------------------------------------------
 
 _MIN, _HR = am.MINUTE, am.HOUR
@@ -176,7 +222,18 @@ eps AS (SELECT doc, rule, min(hour) AS onset, count(*) AS hours, bool_and(off) A
 # hours of DDHHMM tokens; the adapter's months all begin with the origin's, so a day before the validity's is the next month's
 _ABS = lambda c: f"(CAST({c}[1:2] AS BIGINT) - 1 + CASE WHEN CAST({c}[1:2] AS BIGINT) < vf // {24 * _HR} % 31 + 1 THEN 31 ELSE 0 END) * {24 * _HR} + CAST({c}[3:4] AS BIGINT) * {_HR} + CAST({c}[5:6] AS BIGINT) * {_MIN}"
 _BASE = _BASE.replace("{abs_a}", _ABS("a")).replace("{abs_b}", _ABS("b"))
+_BIN = " ".join(f"WHEN lead >= {lo} AND lead < {hi} THEN '{lo}-{hi}'" for lo, hi in zip((0, *LEAD_BINS), LEAD_BINS))
 QUERIES = {
+    "t04_document_errors": (t04_document_errors, f"""{_BASE}, vt AS (SELECT m AS vis_m, least(6.0, min((abs(t.tm - m), t.sm))[2]) AS sm FROM (SELECT DISTINCT vis_m AS m FROM state WHERE vis_m IS NOT NULL UNION SELECT DISTINCT p_vis_m FROM st8 WHERE p_vis_m IS NOT NULL), (VALUES {', '.join(f'({sm}::DOUBLE, {m})' for sm, m in VIS_TABLE)}) t(sm, tm) GROUP BY m),
+jj AS (SELECT state.*, st8.* EXCLUDE (doc, hour), t - valid_h AS lead, a.sm AS fsm, b.sm AS osm FROM state JOIN st8 ON st8.doc = state.doc AND st8.hour = t JOIN docs ON docs.doc = state.doc LEFT JOIN vt a ON a.vis_m = state.vis_m LEFT JOIN vt b ON b.vis_m = p_vis_m),
+er AS (SELECT 'wind_speed' AS element, lead, CAST(wind_speed - p_wind_speed AS DOUBLE) AS err FROM jj UNION ALL SELECT 'wind_dir', lead, CASE WHEN wind_speed > {FLOOR_KT} AND p_wind_speed > {FLOOR_KT} THEN (wind_dir - p_wind_dir + 900) % 360 - 180 END FROM jj
+UNION ALL SELECT 'wind_gust', lead, gust - p_gust FROM jj UNION ALL SELECT 'ceiling', lead, ceiling_ft - p_ceiling_ft FROM jj UNION ALL SELECT 'visibility', lead, CASE WHEN fsm < 6 OR osm < 6 THEN fsm - osm END FROM jj),
+gw AS (SELECT grp.doc, grp.grp, grp.station, altimeter, valid_h, CASE WHEN kind = 'BECMG' THEN "end" ELSE start END AS s, coalesce(lead(CASE WHEN kind = 'BECMG' THEN "end" ELSE start END) OVER (PARTITION BY grp.doc ORDER BY CASE WHEN kind = 'BECMG' THEN "end" ELSE start END, grp.grp), valid_h + {HOURS}) AS u FROM grp WHERE kind IN ('INITIAL', 'FM', 'BECMG')),
+gq AS (SELECT gw.doc, gw.grp, gw.altimeter, min(o.altimeter) AS o FROM gw JOIN (SELECT station, altimeter, epoch_us(obs_time) // {_HR} - {HOUR0} AS h FROM obs) o ON o.station = gw.station AND o.h >= greatest(s, valid_h) AND o.h < least(u, valid_h + {HOURS}) WHERE gw.altimeter IS NOT NULL GROUP BY ALL),
+al AS (SELECT element, lead, err FROM er WHERE err IS NOT NULL UNION ALL SELECT 'qnh', NULL, (altimeter - o) / 100 FROM gq),
+rw AS (SELECT element, unnest(['overall', CASE {_BIN} END]) AS bin, err FROM al)
+SELECT element, bin, n, round(CASE WHEN element = 'wind_dir' THEN (degrees(atan2(s, c)) + 540) % 360 - 180 ELSE a END, 4) AS bias, round(m, 4) AS mae FROM (
+  SELECT element, bin, count(*) AS n, avg(sin(radians(err))) AS s, avg(cos(radians(err))) AS c, avg(err) AS a, avg(abs(err)) AS m FROM rw WHERE bin IS NOT NULL GROUP BY element, bin)"""),
     "t03d_storm_timing": (t03d_storm_timing, f"{_BASE} SELECT doc, hour, reason FROM storm JOIN st8 USING (doc, hour)"),
     "t03e_temporary_groups": (t03e_temporary_groups, f"{_BASE} SELECT doc, hour, reason FROM tempo"),
     "t03f_change_timing": (t03f_change_timing, f"{_BASE} SELECT doc, hour, reason FROM change JOIN st8 USING (doc, hour)"),

@@ -69,7 +69,7 @@ def t19_scores_of_texts(spark, d):
     earned = sum((F.coalesce(k, F.lit(0.0)) for k in list(_ELEM)[1:]), F.coalesce(list(_ELEM)[0], F.lit(0.0)))
     available = sum((F.when(F.col(k).isNotNull(), 1).otherwise(0) for k in list(_ELEM)[1:]), F.when(F.col(list(_ELEM)[0]).isNotNull(), 1).otherwise(0))
     total = best.groupBy("doc").agg(F.round(F.sum(earned), 6).alias("earned"), F.sum(available).alias("available"))
-    return total.withColumn("pct", F.round(100 * F.try_divide("earned", "available"), 6))
+    return total.withColumn("pct", F.round(100 * F.try_divide("earned", "available"), 4))
 
 
 _TABLE = ", ".join(f"({sm}::DOUBLE, {m})" for sm, m in metar.VIS_TABLE)
@@ -80,7 +80,7 @@ assert _TOLD != _CAND
 _SUM = lambda x: " + ".join(x.format(k=k) for k in _ELEM)
 QUERIES = {
     "t19_scores_of_texts": (t19_scores_of_texts, f"""{_TOLD}, e AS (SELECT doc, t, {', '.join(f'max({x}) AS {k}' for k, x in _ELEM.items())} FROM j GROUP BY ALL),
-r AS (SELECT doc, round(sum({_SUM('coalesce({k}, 0)')}), 6) AS earned, CAST(sum({_SUM('CAST({k} IS NOT NULL AS BIGINT)')}) AS BIGINT) AS available FROM e GROUP BY doc) SELECT *, round(100 * earned / nullif(available, 0), 6) AS pct FROM r"""),
+r AS (SELECT doc, round(sum({_SUM('coalesce({k}, 0)')}), 6) AS earned, CAST(sum({_SUM('CAST({k} IS NOT NULL AS BIGINT)')}) AS BIGINT) AS available FROM e GROUP BY doc) SELECT *, round(100 * earned / nullif(available, 0), 4) AS pct FROM r"""),
     "x29_reports_read_back": (x29_reports_read_back, f"""WITH {OBS_SQL}, v AS (SELECT vis_m, min((abs(m - vis_m), sm))[2] AS sm FROM (SELECT DISTINCT vis_m FROM obs WHERE vis_m IS NOT NULL), (VALUES {_TABLE}) t(sm, m) GROUP BY vis_m)
 SELECT event_id, 'K' || lpad(CAST(station % 1000 AS VARCHAR), 3, '0') AS station, CAST(day(obs_time) AS INTEGER) AS day, strftime(obs_time, '%H%M') AS hhmm, report_type, corrected, CAST(wind_dir AS INTEGER) AS wind_dir_deg, CAST(wind_speed AS INTEGER) AS wind_speed,
   CAST(gust AS INTEGER) AS wind_gust, lpad(CAST(vis_m AS VARCHAR), 4, '0') AS visibility, sm AS vis_sm, CAST(vis_m AS INTEGER) AS vis_m, NULL::VARCHAR AS vis_flag, coalesce(weather, '') AS weather, CAST(temp_c AS INTEGER) AS temp_c, CAST(temp_c - 3 AS INTEGER) AS dewpoint_c,
