@@ -135,7 +135,7 @@ def t12_probabilities_by_time(spark, d):
 
 def j33_own_coordinates(spark, d):
     """A field restricted to a site's own coordinates by value, not by name."""
-    s = _sites(spark, d).where("lat > 0")
+    s = _sites(spark, d)
     c = cube(spark, d).withColumn("lat", (F.col("loc_id") * 37 % 120 - 60).cast("double")).withColumn("lon", (F.col("loc_id") * 53 % 300 - 150).cast("double"))
     return c.join(s.select("lat", "lon"), ["lat", "lon"], "left_semi").groupBy("loc_id").agg(F.count("*").alias("n"))
 
@@ -223,7 +223,7 @@ f AS (SELECT loc_id, model, valid_time, avg(value) AS value FROM c GROUP BY loc_
 g AS (SELECT loc_id * 37 % 120 - 60 AS lat, loc_id * 53 % 300 - 150 AS lon, model, valid_time, avg(value) AS value FROM f GROUP BY ALL)
 SELECT site, model, valid_time, lat, lon, min((km, dir))[1] AS km, min((km, dir))[2] AS dir, round(max(value), 6) AS value FROM (SELECT site, loc * 37 % 120 - 60 AS lat, loc * 53 % 300 - 150 AS lon, km, dir FROM own) o JOIN n USING (site) JOIN g USING (lat, lon, model, valid_time) GROUP BY ALL"""),
     "t12_probabilities_by_time": (t12_probabilities_by_time, f"{_C}, n AS (SELECT model, valid_time, max(run) AS run FROM cube_ WHERE value IS NOT NULL GROUP BY ALL) SELECT model, valid_time, run, count(*) AS members, {', '.join(f'round(100 * avg(CAST(value >= {x} AS DOUBLE)), 6) AS p_ge_{x}' for x in (10, 25, 40))} FROM cube_ JOIN n USING (model, valid_time, run) WHERE value IS NOT NULL GROUP BY ALL"),
-    "j33_own_coordinates": (j33_own_coordinates, f"{_C} SELECT loc_id, count(*) AS n FROM cube_ WHERE EXISTS (SELECT 1 FROM supplier WHERE s_suppkey * 37 % 120 - 60 > 0 AND s_suppkey * 37 % 120 = loc_id * 37 % 120 AND s_suppkey * 53 % 300 = loc_id * 53 % 300) GROUP BY 1"),
+    "j33_own_coordinates": (j33_own_coordinates, f"{_C} SELECT loc_id, count(*) AS n FROM cube_ WHERE EXISTS (SELECT 1 FROM supplier WHERE s_suppkey * 37 % 120 = loc_id * 37 % 120 AND s_suppkey * 53 % 300 = loc_id * 53 % 300) GROUP BY 1"),
     "x02_day_hour": (x02_day_hour, f"{_O}, o AS (SELECT event_id, obs_time, event_id % 31 + 1 AS dd, event_id % 25 AS hh FROM obs), m AS (SELECT *, date_trunc('month', CASE WHEN dd < day(obs_time) THEN obs_time + INTERVAL 1 MONTH ELSE obs_time END) AS mo FROM o) SELECT event_id, CASE WHEN dd <= day(last_day(mo)) THEN mo + to_days(CAST(dd - 1 AS INTEGER)) + to_hours(hh) END AS t FROM m"),
     "x05_cycles": (x05_cycles, f"{_O}, x AS (SELECT obs_time, obs_time - INTERVAL 210 MINUTE AS t FROM obs) SELECT date_trunc('hour', t) - to_hours(hour(t) % 6) AS cycle, CASE WHEN hour(obs_time) < 12 THEN 0 ELSE 12 END AS syn, count(*) AS n FROM x GROUP BY ALL"),
     "x11_compass": (x11_compass, f"{_O} SELECT {_NAMES}[CAST(floor(wind_dir / 22.5 + 0.5) AS INTEGER) % 16 + 1] AS dir, count(*) AS n FROM obs GROUP BY 1"),

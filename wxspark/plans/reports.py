@@ -111,7 +111,7 @@ def a60_served_models(spark, d):
 
 def a61_zero_counts_kept(spark, d):
     """Reports per roster station, zeros kept, against the rate it should file at."""
-    e = read(spark, d, "events").where("event_type = 'signup'").groupBy("user_id").agg(F.count("*").alias("k"))
+    e = read(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("k"))
     roster = read(spark, d, "customer").select(F.col("c_custkey").alias("station"), (F.col("c_custkey") % 5).alias("rate"))
     j = roster.join(e, F.col("station") == F.col("user_id"), "left").select("station", F.coalesce("k", F.lit(0)).alias("n"), "rate")
     return j.withColumn("silent", F.col("n") < F.col("rate"))
@@ -131,5 +131,5 @@ QUERIES = {
     "a55_cycle_gap": (a55_cycle_gap, "WITH h AS (SELECT DISTINCT user_id, hour(ts) AS h FROM events), g AS (SELECT user_id, coalesce(lead(h) OVER w, min(h) OVER (PARTITION BY user_id) + 24) - h AS gap FROM h WINDOW w AS (PARTITION BY user_id ORDER BY h)) SELECT user_id, CAST(min(gap) AS INTEGER) AS gap, count(*) AS n FROM g GROUP BY 1"),
     "a56_per_year": (a56_per_year, "SELECT CAST(year(o_orderdate) AS INTEGER) AS yr, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL"),
     "a60_served_models": (a60_served_models, "WITH g AS (SELECT conv_id, string_agg(DISTINCT role, ',' ORDER BY role) AS roles, count(DISTINCT role) AS k FROM conversations GROUP BY 1) SELECT roles, k > 1 AS mixed, count(*) AS n FROM g GROUP BY ALL"),
-    "a61_zero_counts_kept": (a61_zero_counts_kept, "SELECT c_custkey AS station, count(user_id) AS n, c_custkey % 5 AS rate, count(user_id) < c_custkey % 5 AS silent FROM customer LEFT JOIN events ON user_id = c_custkey AND event_type = 'signup' GROUP BY c_custkey"),
+    "a61_zero_counts_kept": (a61_zero_counts_kept, "SELECT c_custkey AS station, count(user_id) AS n, c_custkey % 5 AS rate, count(user_id) < c_custkey % 5 AS silent FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY c_custkey"),
 }
