@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wxspark.plans import amendments, climo, documents, forecasts, metars, more, readers, reports, revisions, scores, temporal, writes
+from wxspark.plans import amendments, climo, documents, forecasts, grids, metars, more, readers, reports, revisions, scores, temporal, writes
 
-_MODULES = (amendments, climo, documents, forecasts, metars, more, readers, reports, revisions, scores, temporal, writes)
+_MODULES = (amendments, climo, documents, forecasts, grids, metars, more, readers, reports, revisions, scores, temporal, writes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

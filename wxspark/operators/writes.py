@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,6 +37,26 @@ def append_new(stored: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     return stored.unionByName(_first_by(fresh, [key], [F.col(key)]))
 
 
+def copy_slice(source: DataFrame | None, places: DataFrame, at: list[str], run: str, cutoff: Column) -> DataFrame | None:
+    """SK10: the source's rows at places (their columns `at`), with runs up to the cutoff; a source that isn't there (`archive`) gives none."""
+    return None if source is None else source.where(F.col(run) <= cutoff).join(places.select(*at).distinct(), at, "left_semi").select(*source.columns)
+
+
+def archive(spark: SparkSession, path: str) -> DataFrame | None:
+    """SC02: another archive, read beside this one by its own path; None if it isn't there."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def append_slice(stored: DataFrame, taken: DataFrame | None, keys: list[str]) -> DataFrame:
+    """SK09-SK11: stored and the rows of a slice whose keys it doesn't have; what is stored stays."""
+    return stored if taken is None else stored.unionByName(taken.join(stored.select(*keys), keys, "left_anti").dropDuplicates(keys).select(*stored.columns))
+
+
 def content_id(*parts: str | Column, length: int = 12) -> Column:
     """SK07, X42: the first digits of the SHA-256 of the parts joined by a bar; a null part is empty."""
     text = [F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts]

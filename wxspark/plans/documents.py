@@ -282,10 +282,10 @@ def r13_rings(spark, d):
 
 
 def r15_bundles(spark, d):
-    """Variable bundles by model as a dimension, and a cloud fraction that one model files turned into percent."""
+    """Variable bundles by model as a dimension, and the one model's cloud cover that comes as a fraction turned into percent, whatever its values."""
     bundles = spark.createDataFrame([("A", "F", "surface"), ("A", "O", "profile"), ("N", "F", "surface"), ("N", "O", "hazard"), ("R", "F", "surface"), ("R", "O", "ensemble")], "model string, variable string, bundle string")
     c = cube(spark, d).join(F.broadcast(bundles), ["model", "variable"])  # six rows
-    pct = F.when((F.col("model") == "N") & (F.col("value") <= 1), F.col("value") * 100).otherwise(F.col("value"))
+    pct = F.when((F.col("model") == "N") & (F.col("variable") == "F"), F.col("value") * 100).otherwise(F.col("value"))
     return c.groupBy("model", "bundle").agg(F.count("*").alias("n"), F.round(F.avg(pct), 6).alias("mean_value"))
 
 
@@ -402,7 +402,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY n DESC, family)
     "f19_by_kind": (f19_by_kind, f"{_T} SELECT taf_id, kind, issue FROM tafs"),
     "f21_fresh_entries": (f21_fresh_entries, f"{_O}, n AS (SELECT station, obs_time AS now, report_type AS win FROM obs QUALIFY row_number() OVER (PARTITION BY station ORDER BY obs_time DESC, event_id DESC) = 1) SELECT station, event_id FROM obs JOIN n USING (station) WHERE obs_time > now - INTERVAL 24 HOUR AND report_type = win"),
     "r13_rings": (r13_rings, "WITH s AS (SELECT s_suppkey, CAST(s_suppkey * 37 % 120 - 60 AS DOUBLE) AS lat, CAST(s_suppkey * 53 % 300 - 150 AS DOUBLE) AS lon, s_suppkey * 10 % 360 AS flow FROM supplier), p AS (SELECT * FROM s, (VALUES (25.0::DOUBLE), (50.0::DOUBLE), (100.0::DOUBLE)) k(km), (SELECT CAST(range AS INTEGER) AS az FROM range(0, 316, 45))) SELECT s_suppkey, km, az, CASE az WHEN 0 THEN 'downstream' WHEN 180 THEN 'upstream' ELSE 'ring' END AS role, round(lat + km * cos(radians(az + flow)) / 111.0::DOUBLE, 6) AS plat, round(lon + km * sin(radians(az + flow)) / (111.0::DOUBLE * cos(radians(lat))), 6) AS plon FROM p"),
-    "r15_bundles": (r15_bundles, f"{_C}, b AS (SELECT * FROM (VALUES ('A', 'F', 'surface'), ('A', 'O', 'profile'), ('N', 'F', 'surface'), ('N', 'O', 'hazard'), ('R', 'F', 'surface'), ('R', 'O', 'ensemble')) v(model, variable, bundle)) SELECT model, bundle, count(*) AS n, round(avg(CASE WHEN model = 'N' AND value <= 1 THEN value * 100 ELSE value END), 6) AS mean_value FROM cube_ JOIN b USING (model, variable) GROUP BY ALL"),
+    "r15_bundles": (r15_bundles, f"{_C}, b AS (SELECT * FROM (VALUES ('A', 'F', 'surface'), ('A', 'O', 'profile'), ('N', 'F', 'surface'), ('N', 'O', 'hazard'), ('R', 'F', 'surface'), ('R', 'O', 'ensemble')) v(model, variable, bundle)) SELECT model, bundle, count(*) AS n, round(avg(CASE WHEN model = 'N' AND variable = 'F' THEN value * 100 ELSE value END), 6) AS mean_value FROM cube_ JOIN b USING (model, variable) GROUP BY ALL"),
     "x04_standard_time": (x04_standard_time, f"{_O}, e AS (SELECT event_id, obs_time, CAST(round((station * 53 % 300 - 150) / 15) AS INTEGER) AS off, date_trunc('hour', obs_time) + INTERVAL 30 HOUR AS fin FROM obs) SELECT event_id, obs_time + to_hours(off) AS local, CASE WHEN hour(fin) = 0 THEN lpad(CAST(day(fin - INTERVAL 1 HOUR) AS VARCHAR), 2, '0') || '24' ELSE lpad(CAST(day(fin) AS VARCHAR), 2, '0') || lpad(CAST(hour(fin) AS VARCHAR), 2, '0') END AS end_token FROM e"),
     "x34_token_repair": (x34_token_repair, f"{_T}, t AS (SELECT taf_id, lpad(CAST(taf_id * 7919 % 100000 AS VARCHAR), 5, '0') AS token FROM tafs), w AS (SELECT DISTINCT taf_id, substr(token, 1, i - 1) || substr(token, i + 1) AS x FROM t, range(1, 6) r(i)), g AS (SELECT taf_id, min(x) AS x, count(*) AS n FROM w WHERE CAST(x[1:2] AS INTEGER) BETWEEN 1 AND 31 AND CAST(x[3:4] AS INTEGER) <= 24 GROUP BY 1) SELECT taf_id, CASE WHEN n = 1 THEN x END AS mended FROM t LEFT JOIN g USING (taf_id)"),
     "x36_quarantine": (x36_quarantine, f"{_T} SELECT kind, CASE WHEN taf_id % 9 = 0 THEN 'no header' WHEN taf_id % 7 = 0 THEN 'no issue' ELSE 'ok' END AS outcome, count(*) AS n FROM tafs GROUP BY ALL"),
