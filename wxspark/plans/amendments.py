@@ -52,10 +52,13 @@ def targets(g: DataFrame, partial: list[str], whole: list[str]) -> DataFrame:
 
 
 def service_gaps(spark, d, g: DataFrame) -> DataFrame:
-    """T03g, X38: doc, start, end of the gaps that remarks tell: no amendments after a time, limited watch until another."""
+    """T03g, X38: doc, start, end of the gaps that remarks tell: no amendments after a time, limited watch until another.
+
+    Times are days and hours with or without minutes; both widths are read, as texts have both.
+    """
     r = remarks(spark, d).withColumn("vf", (F.col("valid_h") * am.HOUR))
     token = lambda pattern, n: F.nullif(F.regexp_extract("remark", pattern, n), F.lit(""))
-    last, limited = r"LAST\s+NO\s+AMDS\s+AFT\s+(\d{6})", r"LIMITED\s+METWATCH\s+(\d{6})\s+TIL\s+(\d{6})"
+    last, limited = r"LAST\s+NO\s+AMDS\s+AFT\s+(\d{4}(?:\d{2})?)\b", r"LIMITED\s+METWATCH\s+(\d{4}(?:\d{2})?)\s+TIL\s+(\d{4}(?:\d{2})?)\b"
     rows = r.select("doc", "vf", F.timestamp_micros(F.col("vf") + HOUR0 * am.HOUR).cast("timestamp_ntz").alias("anchor"), token(last, 1).alias("after"), token(limited, 1).alias("begin"), token(limited, 2).alias("til"))
     for name in ("after", "begin", "til"):
         rows = forecast_state.absolutise(rows, "anchor", name, f"at_{name}")
@@ -215,12 +218,12 @@ change AS (SELECT doc, hour, CASE WHEN bool_or(late) THEN 'change not establishe
 fails AS (SELECT doc, 'category' AS rule, hour FROM r3 WHERE category UNION ALL SELECT doc, 'wind', hour FROM r3 WHERE wind UNION ALL SELECT doc, 'altimeter', hour FROM r3 WHERE altimeter
   UNION ALL SELECT doc, 'thunderstorm', hour FROM storm UNION ALL SELECT doc, 'tempo', hour FROM tempo UNION ALL SELECT doc, 'change_timing', hour FROM change),
 rmk AS ({remarks_sql()}),
-tok AS (SELECT doc, vf, vt, unnest([regexp_extract(remark, 'LAST\\s+NO\\s+AMDS\\s+AFT\\s+(\\d{{6}})', 1), regexp_extract(remark, 'LIMITED\\s+METWATCH\\s+(\\d{{6}})', 1)]) AS a, unnest(['', regexp_extract(remark, 'TIL\\s+(\\d{{6}})', 1)]) AS b FROM rmk JOIN docs USING (doc)),
+tok AS (SELECT doc, vf, vt, unnest([regexp_extract(remark, 'LAST\\s+NO\\s+AMDS\\s+AFT\\s+(\\d{{4}}(?:\\d{{2}})?)\\b', 1), regexp_extract(remark, 'LIMITED\\s+METWATCH\\s+(\\d{{4}}(?:\\d{{2}})?)\\b', 1)]) AS a, unnest(['', regexp_extract(remark, 'TIL\\s+(\\d{{4}}(?:\\d{{2}})?)\\b', 1)]) AS b FROM rmk JOIN docs USING (doc)),
 gap AS (SELECT doc, {{abs_a}} AS s, CASE WHEN b = '' THEN vt ELSE {{abs_b}} END AS e FROM tok WHERE a <> ''),
 hrs AS (SELECT st8.doc, st8.hour, EXISTS (SELECT 1 FROM gap WHERE gap.doc = st8.doc AND s <= st8.hour * {_HR} AND st8.hour * {_HR} < e) AS off FROM st8),
 eps AS (SELECT doc, rule, min(hour) AS onset, count(*) AS hours, bool_and(off) AS after_service FROM (SELECT *, hour - row_number() OVER (PARTITION BY doc, rule ORDER BY hour) AS isl FROM fails JOIN hrs USING (doc, hour)) GROUP BY doc, rule, isl)"""
 # hours of DDHHMM tokens; the adapter's months all begin with the origin's, so a day before the validity's is the next month's
-_ABS = lambda c: f"(CAST({c}[1:2] AS BIGINT) - 1 + CASE WHEN CAST({c}[1:2] AS BIGINT) < vf // {24 * _HR} % 31 + 1 THEN 31 ELSE 0 END) * {24 * _HR} + CAST({c}[3:4] AS BIGINT) * {_HR} + CAST({c}[5:6] AS BIGINT) * {_MIN}"
+_ABS = lambda c: f"(CAST({c}[1:2] AS BIGINT) - 1 + CASE WHEN CAST({c}[1:2] AS BIGINT) < vf // {24 * _HR} % 31 + 1 THEN 31 ELSE 0 END) * {24 * _HR} + CAST({c}[3:4] AS BIGINT) * {_HR} + coalesce(TRY_CAST({c}[5:6] AS BIGINT), 0) * {_MIN}"
 _BASE = _BASE.replace("{abs_a}", _ABS("a")).replace("{abs_b}", _ABS("b"))
 _BIN = " ".join(f"WHEN lead >= {lo} AND lead < {hi} THEN '{lo}-{hi}'" for lo, hi in zip((0, *LEAD_BINS), LEAD_BINS))
 QUERIES = {
