@@ -62,6 +62,60 @@ def test_automaton_optional_and_replaceable():
     assert [s for s in ("a d", "a b d", "a b c d", "a c d", "a x y d", "a b x y d", "a x y z d", "b d", "a") if a.accepts(w(s), 0)] == ["a d", "a b d", "a b c d", "a c d", "a x y d", "a b x y d"]
 
 
+def pattern(template):
+    """A template as a regular expression over words with a space behind each."""
+    out = ""
+    for token in re.findall(r"\[\[|\]\]|\{\d+\}|[^\s\[\]{}]+", template):
+        out += {"[[": "(?:", "]]": ")?"}.get(token, f"(?:[^ ]+ ){{0,{token[1:-1]}}}" if token[0] == "{" else f"{token} ")
+    return re.compile(f"(?<![^ ]){out}")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_templates_match_brute_force(spark, seed):
+    r = random.Random(seed)
+    templates = [("x", "a b [[c {2} d]] e"), ("y", "b {1} [[a]] c"), ("z", "e [[e [[d]]]] {3} a b"), ("w", "d d")]
+    docs = [(i, " ".join(r.choice("abcde") for _ in range(r.randint(0, 14)))) for i in range(250)]
+    got = {x.doc_id: x.labels for x in op3.scan(frame(spark, docs), templates=templates).collect()}
+    want = {d: ",".join(label for label, t in sorted(templates) if pattern(t).search(text + " ")) for d, text in docs}
+    assert got == want and len(set(want.values())) > 6
+
+
+def spell(template, r):
+    """A text that a template accepts: options taken or not, regions filled with other words."""
+    while m := re.search(r"\[\[([^\[\]]*)\]\]", template):
+        template = template[: m.start()] + (m[1] if r.random() < 0.5 else "") + template[m.end() :]
+    return re.sub(r"\{(\d+)\}", lambda m: " ".join(r.choice(["Foo", "bar", "2024"]) for _ in range(r.randint(0, int(m[1])))), template)
+
+
+def test_whole_licences_are_found_and_changed_ones_not(spark):
+    r, docs, want = random.Random(3), [], {}
+    for k, (label, template) in enumerate(op3.TEMPLATES):
+        for copy in range(3):
+            text = spell(template, r)
+            docs.append((10 * k + copy, f"Some words; {text}, and more"))
+            want[10 * k + copy] = label
+        must = [x for x in re.sub(r"\[\[.*\]\]|\{\d+\}", " ", template).split()]
+        docs.append((10 * k + 9, " ".join(x if i != len(must) // 2 else "else" for i, x in enumerate(must))))
+    got = {x.doc_id: x.labels.split(",") for x in op3.scan(frame(spark, docs)).collect()}
+    assert all(label in got[d] for d, label in want.items())
+    assert not any(label in got[10 * k + 9] for k, (label, t) in enumerate(op3.TEMPLATES) if label.endswith(("-text", "-notice")))
+
+
+def test_a_hash_alone_matches_nothing():
+    data = np.frombuffer(b"cc by xx", np.uint8)
+    w = op3.Words(data, np.array([0, 8]), op3.SEPARATOR, lower=True)
+    s = op3.Spelling(["cc", "by"])
+    assert s.of(w).tolist() == [op3.word_hash("cc"), op3.word_hash("by"), 0]
+    w._hash[0] = np.array([op3.word_hash("by"), op3.word_hash("by"), op3.word_hash("cc")], np.uint64)  # as if words collided
+    assert s.of(w).tolist() == [0, op3.word_hash("by"), 0]
+
+
+def test_licenses_of_repeated_rows_and_of_none(spark):
+    rows = op3.scan(frame(spark, [(1, "all rights reserved")] * 3 + [(None, "cc by")])).collect()
+    assert sorted((x.doc_id or 0, x.labels) for x in rows) == [(0, "cc-by"), (1, "reserved"), (1, "reserved"), (1, "reserved")]
+    assert op3.scan(frame(spark, []).limit(0)).collect() == []
+
+
 # --- chat formatting ---
 
 

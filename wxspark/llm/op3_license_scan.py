@@ -2,7 +2,8 @@
 
 Template markup: plain words must stand as they are; [[ ... ]] is optional; {n} is a replaceable region of at most n
 words. A template is compiled into a nondeterministic automaton over word hashes; it accepts a run of words whose
-mandatory wording matches exactly. Automata run from the places of a template's first words only.
+mandatory wording matches exactly. Automata run from the places of a template's first words only. Hashes only find the places: a word
+whose hash is a template's or a phrase's counts only if it is that word, so nothing is matched by a hash alone.
 
 Base labels are plain phrases; the templates' labels are added to them. The score is 1 where a template accepts,
 0.5 where only a base phrase stands, else 0.
@@ -39,6 +40,27 @@ TEMPLATES = (
     ("cc-by-sa-4.0", "licensed under [[a]] [[creative commons]] cc by sa 4 0"),
     ("cc-by-4.0", "licensed under [[a]] [[creative commons]] cc by 4 0"),
     ("copyright", "copyright [[c]] {1} [[by]] {6} all rights reserved"),
+    # whole licences and notices
+    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files {4} to deal in {3} without restriction including without limitation the rights to use copy modify merge publish"
+     " distribute sublicense and or sell copies of {2} and to permit persons to whom {3} furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies"
+     " or substantial portions of {2} {2} is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {8} be liable for any"
+     " claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with {2} or the use or other dealings in {2}"),
+    ("isc-text", "permission to use copy modify [[and]] [[or]] distribute this software for any purpose with or without fee is hereby granted [[provided that the above copyright notice and this permission notice appear in all copies]] {2} is provided as is and {6} disclaims"
+     " all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {8} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or"
+     " profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {1} redistributions of source code must retain the above copyright notice this list of conditions and the"
+     " following disclaimer {1} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+     " [[{1} neither the name of {10} nor the names of {4} contributors may be used to endorse or promote products derived from this software without specific prior written permission]] this software is provided by {8} as is and any express or implied warranties"
+     " including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {8} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to"
+     " procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of"
+     " this software even if advised of the possibility of such damage"),
+    ("apache-2.0-notice", "licensed under the apache license version 2 0 [[the license]] you may not use this file except in compliance with the license you may obtain a copy of the license at {8} unless required by applicable law or agreed to in writing software"
+     " distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl-notice", "redistribute it and or modify it under the terms of the gnu [[lesser]] general public license as published by the free software foundation either version {2} of the license or at your option any later version {3} is distributed in the"
+     " hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu [[lesser]] general public license for more details"),
+    ("mpl-2.0-notice", "source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at {8} mozilla org mpl 2 0"),
+    ("unlicense-text", "unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial"
+     " and by any means"),
 )
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 SEPARATOR = np.zeros(256, bool)
@@ -54,6 +76,7 @@ class Automaton:
     """moves[state] maps a word hash to states; any_[state] holds states reached by any word; skips are closed beforehand."""
 
     def __init__(self, template: str):
+        self.words = re.findall(r"[^\s\[\]{}]+", re.sub(r"\{\d+\}", " ", template))
         self.moves, self.any_, self._skip = [{}], [set()], [set()]
         at = 0
         opened: list[int] = []
@@ -106,16 +129,44 @@ class Automaton:
         return False
 
 
+class Spelling:
+    """The words that automata and phrases know, so that a hash counts only where the word stands."""
+
+    def __init__(self, words: list[str]):
+        known = {word_hash(x): x.encode() for x in words}
+        self.hash = np.array(sorted(known), np.uint64)
+        self.size = np.array([len(known[x]) for x in self.hash.tolist()], np.int64)
+        self.letters = np.zeros((len(known), int(self.size.max(initial=0))), np.uint8)
+        for row, x in zip(self.letters, self.hash.tolist()):
+            row[: len(known[x])] = np.frombuffer(known[x], np.uint8)
+
+    def of(self, w: Words) -> np.ndarray:
+        """The words' hashes, 0 for words that aren't known."""
+        out = np.zeros(len(w.hash), np.uint64)
+        if not len(self.hash) or not len(w.hash):
+            return out
+        at = np.minimum(np.searchsorted(self.hash, w.hash), len(self.hash) - 1)
+        hit = np.flatnonzero(self.hash[at] == w.hash)
+        at = at[hit]
+        same = (w.ends - w.starts)[hit] == self.size[at]
+        for k in range(self.letters.shape[1]):
+            some = np.flatnonzero(same & (k < self.size[at]))
+            same[some] = w.data[w.starts[hit[some]] + k] == self.letters[at[some], k]
+        out[hit[same]] = w.hash[hit[same]]
+        return out
+
+
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     """One row a document: its words, the places and labels of base phrases, all labels and the score."""
 
     def run(batches):
         base = [([np.uint64(word_hash(x)) for x in phrase.split()], label) for phrase, label in phrases]
         automata = [(label, Automaton(t)) for label, t in templates]
+        spelling = Spelling([*(x for phrase, _ in phrases for x in phrase.split()), *(x for _, a in automata for x in a.words)])
         openers = np.array(sorted({h for _, a in automata for h in a.first}), np.uint64)
         for rows, data, offsets in text_steps(batches):
             w = Words(data, offsets, SEPARATOR, lower=True)
-            h, n = w.hash, len(w.first) - 1
+            h, n = spelling.of(w), len(w.first) - 1
             row_of = np.repeat(np.arange(n), np.diff(w.first))
             places, kinds = [], []
             for k, (phrase, _) in enumerate(base):
