@@ -10,7 +10,7 @@ from wxspark.functions.metar import VIS_TABLE, visibility_sm
 from wxspark.functions.weather import altimeter_band_sql, circular_mean, turn
 from wxspark.operators import amendments as am
 from wxspark.operators import forecast_state, truth
-from wxspark.plans.documents import _CAND, _CLS, HOURS, candidates
+from wxspark.plans.documents import _CAND, _CLS, HOURS, candidates, candidates_of
 from wxspark.plans.scores import _L, _V
 from wxspark.sources.documents import FIELDS, HOUR0, groups, hour_number, remarks, remarks_sql
 from wxspark.sources.tables import obs
@@ -72,8 +72,11 @@ def available(states: DataFrame) -> DataFrame:
 
 
 def _storms(spark, d, g):
+    times = g.where("kind = 'INITIAL'").select("doc", F.explode(F.sequence(F.col("valid_h"), F.col("valid_h") + HOURS - 1)).alias("t"))
+    # an alternate that doesn't speak of weather has the prevailing one, so it adds nothing
+    said = forecast_state.baseline(g, times, ["doc"], ("weather",)).select("doc", "t", "weather").union(forecast_state.overlays(g, times, ["doc"]).select("doc", "t", "weather"))
     storm = F.bool_or(F.coalesce(F.col("weather").contains("TS"), F.lit(False)))
-    return am.storms(am.reports_of(documents(g), reports(spark, d)), candidates(spark, d).groupBy("doc", F.col("t").alias("hour")).agg(storm.alias("storm")))
+    return am.storms(am.reports_of(documents(g), reports(spark, d)), said.groupBy("doc", F.col("t").alias("hour")).agg(storm.alias("storm")))
 
 
 def _tempo(spark, d, g, states):
@@ -90,7 +93,8 @@ def _changes(spark, d, g):
 
 def all_fails(spark, d, g, states) -> DataFrame:
     """Every rule's failures, as (doc, rule, hour, reason)."""
-    c = candidates(spark, d).withColumnRenamed("t", "hour")
+    times = available(states).join(documents(g).select("doc", "station"), "doc").select("doc", "station", F.col("hour").alias("t"))
+    c = candidates_of(g, times).withColumnRenamed("t", "hour")
     return am.state_rules(c, states).unionByName(_storms(spark, d, g)).unionByName(_tempo(spark, d, g, states)).unionByName(_changes(spark, d, g))
 
 

@@ -31,12 +31,13 @@ def candidates(spark, d) -> DataFrame:
     return candidates_of(groups(spark, d))
 
 
-def candidates_of(g: DataFrame) -> DataFrame:
-    """What each document says for each of its hours: the prevailing state, and alternates that inherit what they don't say.
+def candidates_of(g: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    """What each document says for each of its hours (or for times: doc, station, t): the prevailing state, and alternates that inherit what they don't say.
 
     A document has a handful of groups, so its states are an ordered fold over them; nothing else is gathered.
     """
-    times = g.where("kind = 'INITIAL'").select("doc", "station", F.explode(F.sequence(F.col("valid_h"), F.col("valid_h") + HOURS - 1)).alias("t"))
+    if times is None:
+        times = g.where("kind = 'INITIAL'").select("doc", "station", F.explode(F.sequence(F.col("valid_h"), F.col("valid_h") + HOURS - 1)).alias("t"))
     state = forecast_state.baseline(g, times, ["doc"], FIELDS)
     said = forecast_state.overlays(g, times.select("doc", "t"), ["doc"]).withColumn("altimeter", F.lit(None).cast("long"))
     alt = said.select("doc", "t", F.struct(*FIELDS).alias("x")).join(state, ["doc", "t"])
