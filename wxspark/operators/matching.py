@@ -53,28 +53,51 @@ def match_in_order(forecast: np.ndarray, observed: np.ndarray, window: float) ->
 
 
 def close_groups(episodes: DataFrame, by: list[str], window_h: float) -> DataFrame:
-    """Episodes with the number of their group; a new one starts wherever the gap to the onset before exceeds the window."""
+    """Episodes with the number of their group, and whether they begin it; a new one starts wherever the gap to the onset before exceeds the window."""
     w = W.partitionBy(*by).orderBy("onset_h")
     far = episodes.withColumn("far", F.coalesce((F.col("onset_h") - F.lag("onset_h").over(w) > window_h), F.lit(True)).cast("long"))
-    return far.withColumn("close", F.sum("far").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("far")
+    return far.withColumn("close", F.sum("far").over(w.rowsBetween(W.unboundedPreceding, 0)))
 
 
 def match_episodes(episodes: DataFrame, by: list[str], window_h: float = 3) -> DataFrame:
-    """Episodes (by, side 'F' or 'O', onset_h) matched within a key; the unmatched are misses and false alarms."""
-    kinds = {f.name: f.dataType.simpleString() for f in episodes.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", outcome string, fcst_h double, obs_h double"
+    """Episodes (by, side 'F' or 'O', onset_h) matched within a key; the unmatched are misses and false alarms.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        f = np.sort(frame.loc[frame["side"] == "F", "onset_h"].to_numpy(float))
-        o = np.sort(frame.loc[frame["side"] == "O", "onset_h"].to_numpy(float))
-        pairs = match_in_order(f, o, window_h)
-        rows = [("match", f[i], o[j]) for i, j in pairs]
-        hits, seen = {i for i, _ in pairs}, {j for _, j in pairs}
-        rows += [("false_alarm", x, None) for i, x in enumerate(f) if i not in hits]
-        rows += [("missed", None, x) for j, x in enumerate(o) if j not in seen]
-        out = pd.DataFrame(rows, columns=["outcome", "fcst_h", "obs_h"]).astype({"fcst_h": float, "obs_h": float})
-        for c in reversed(by):
-            out.insert(0, c, frame[c].iloc[0])
-        return out
+    A group of one side has nothing to match and a group of two sides and two episodes is a match: these never leave Spark's own
+    operators. Of the others a task gets whole groups, one after the other.
+    """
+    kinds = dict(episodes.dtypes)
+    out = {"outcome": "string", "fcst_h": "double", "obs_h": "double"}
+
+    def matched(frame: pd.DataFrame) -> pd.DataFrame:
+        """The outcomes of whole groups, each by onset."""
+        is_f, onset, begin = frame["side"].to_numpy() == "F", frame["onset_h"].to_numpy(float), np.flatnonzero(frame["far"].to_numpy() == 1).tolist()
+        rows, at = [], []
+        for a, z in zip(begin, [*begin[1:], len(frame)]):
+            f, o = onset[a:z][is_f[a:z]].tolist(), onset[a:z][~is_f[a:z]].tolist()
+            pairs = match_in_order(f, o, window_h)
+            hits, seen = {i for i, _ in pairs}, {j for _, j in pairs}
+            found = [("match", f[i], o[j]) for i, j in pairs] + [("false_alarm", x, None) for i, x in enumerate(f) if i not in hits] + [("missed", None, x) for j, x in enumerate(o) if j not in seen]
+            rows += found
+            at += [a] * len(found)
+        got = pd.DataFrame(rows, columns=list(out)).astype({"fcst_h": float, "obs_h": float})
+        return pd.concat([frame[by].iloc[at].reset_index(drop=True), got], axis=1)
+
+    def run(frames):
+        kept = None
+        for frame in frames:
+            frame = frame if kept is None else pd.concat([kept, frame], ignore_index=True)
+            begin = np.flatnonzero(frame["far"].to_numpy() == 1)
+            last = int(begin[-1]) if len(begin) else 0
+            kept = frame.iloc[last:].reset_index(drop=True)  # the last group may go on
+            if last:
+                yield matched(frame.iloc[:last])
+        if kept is not None and len(kept):
+            yield matched(kept)
 
-    return close_groups(episodes, by, window_h).groupBy(*by, "close").applyInPandas(run, schema)
+    each = W.partitionBy(*by, "close")
+    dealt = close_groups(episodes, by, window_h).withColumn("n_f", F.count_if(F.col("side") == "F").over(each)).withColumn("n_o", F.count_if(F.col("side") == "O").over(each))
+    own = lambda s: F.when(F.col("side") == s, F.col("onset_h").cast("double"))
+    alone = dealt.where("n_f = 0 or n_o = 0").select(*by, F.when(F.col("side") == "F", "false_alarm").otherwise("missed").alias("outcome"), own("F").alias("fcst_h"), own("O").alias("obs_h"))
+    two = dealt.where("n_f = 1 and n_o = 1").groupBy(*by, "close").agg(F.max(own("F")).alias("fcst_h"), F.max(own("O")).alias("obs_h")).select(*by, F.lit("match").alias("outcome"), "fcst_h", "obs_h")
+    rest = dealt.where("n_f > 0 and n_o > 0 and n_f + n_o > 2").drop("n_f", "n_o").repartition(*by, "close").sortWithinPartitions(*by, "close", F.desc("far"), "onset_h")
+    return alone.union(two).union(rest.mapInPandas(run, ", ".join(f"`{c}` {k}" for c, k in ({c: kinds[c] for c in by} | out).items())))
