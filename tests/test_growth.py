@@ -5,9 +5,11 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from wxspark.functions import metar
 from wxspark.functions import weather as wx
-from wxspark.operators import matching
-from wxspark.plans import forecasts
+from wxspark.operators import forecast_state, matching
+from wxspark.plans import documents, forecasts
+from wxspark.sources.documents import FIELDS
 
 
 def test_sites_of_shared_places_meet_by_place(spark):
@@ -47,3 +49,30 @@ def test_episode_groups_are_matched_without_a_call_each(spark):
     got = Counter((r.station, r.outcome) for r in found.collect())
     assert got == +want
     assert found.where("outcome = 'match' and (fcst_h is null or obs_h is null or abs(fcst_h - obs_h) > 3)").count() == 0
+
+
+def test_spoken_hours_are_those_of_baseline_and_overlays(spark):
+    rng = random.Random(5)
+    maybe = lambda x: x if rng.random() < 0.6 else None
+    rows = []
+    for doc in range(60):
+        v = rng.randrange(5)
+        for k in range(rng.randrange(1, 7)):
+            start = None if rng.random() < 0.05 else v + rng.randrange(-3, 26)
+            end = None if start is None or rng.random() < 0.05 else start + rng.randrange(0, 6)
+            kind = "INITIAL" if k == 0 and doc % 9 else rng.choice(["FM", "BECMG", "TEMPO", "PROB30"])
+            rows.append((doc, 1, kind, v, v if kind == "INITIAL" else start, end, *(maybe(rng.randrange(9)) for _ in range(5)), maybe(rng.choice(["RA", ""])), maybe(7)))
+    g = spark.createDataFrame(rows, "doc long, station long, kind string, valid_h long, start long, end long, wind_dir long, wind_speed long, gust long, vis_m long, ceiling_ft long, weather string, altimeter long")
+    times = g.where("kind = 'INITIAL'").selectExpr("doc", "station", f"explode(sequence(valid_h, valid_h + {documents.HOURS - 1})) AS t")
+    c = forecast_state.spoken(g, documents.HOURS, FIELDS, ("altimeter",)).select("doc", "station", "t", *FIELDS, "alternate")
+    assert Counter(map(tuple, c.collect())) == Counter(map(tuple, documents.candidates_of(g, times).collect())) and c.count() > 1000
+    # one grouping by document is all that is dealt out
+    assert c.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_a_token_is_placed_once_and_late_ones_ask_no_pattern(spark):
+    df = spark.createDataFrame([("METAR KABC 010000Z 27010KT 3200 RA BKN010 10/08 A2990 RMK A3000",)], "raw string")
+    got = df.select(metar.sections(F.col("raw")).alias("s"))
+    assert [x["section"] for x in got.first().s] == ["type", "station", "time", "wind", "visibility", "weather", "sky", "temperature", "pressure"]
+    # each pattern stands once in the fold, where it stood four times
+    assert got._jdf.queryExecution().analyzed().toString().count("RLIKE(") <= 2 * (len(metar.SECTIONS) + 1)

@@ -37,14 +37,18 @@ def sections(raw: Column, known: list[tuple[str, str, bool]] = SECTIONS, ends: s
     """An array of struct(section, token) of the tokens that are taken, in order: one fold, whose state is the section reached."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<section:string,token:string>>").alias("taken"))
 
+    names = F.array(*(F.lit(n) for n, _, _ in known))
+
     def step(state: Column, token: Column) -> Column:
         at, place = state["at"], F.lit(None).cast("int")
+        # whether a section may still come is asked before its pattern, which costs more
         for k, (_, pattern, many) in reversed(list(enumerate(known, 1))):
-            place = F.when(token.rlike(f"^(?:{pattern})$") & (at <= k if many else at < k), k).otherwise(place)
-        place = F.when(token.rlike(f"^(?:{ends})$"), len(known) + 1).otherwise(place)
-        names = F.array(*(F.lit(n) for n, _, _ in known))
-        put = F.array(F.struct(F.get(names, place - 1).alias("section"), token.alias("token")))
-        return F.struct(F.coalesce(place, at).alias("at"), F.when(place <= len(known), F.concat(state["taken"], put)).otherwise(state["taken"]).alias("taken"))
+            place = F.when((at <= k if many else at < k) & token.rlike(f"^(?:{pattern})$"), k).otherwise(place)
+        place = F.when(at > len(known), None).when(token.rlike(f"^(?:{ends})$"), len(known) + 1).otherwise(place)
+        put = lambda p: F.concat(state["taken"], F.array(F.struct(F.get(names, p - 1).alias("section"), token.alias("token"))))
+        # a transform over an array of one finds the place once and names it thrice
+        after = F.transform(F.array(place), lambda p: F.struct(F.coalesce(p, at).alias("at"), F.when(p <= len(known), put(p)).otherwise(state["taken"]).alias("taken")))
+        return F.get(after, F.lit(0))
 
     return F.aggregate(tokens(raw), start, step, lambda s: s["taken"])
 
@@ -52,7 +56,9 @@ def sections(raw: Column, known: list[tuple[str, str, bool]] = SECTIONS, ends: s
 def _nearest(value: Column, key: str, out: str) -> Column:
     """The table's row nearest to a value; of two as near the lower visibility."""
     table = F.array(*(F.struct(F.lit(sm).alias("sm"), F.lit(float(m)).alias("m")) for sm, m in VIS_TABLE))
-    return F.when(value.isNotNull(), F.array_min(F.transform(table, lambda r: F.struct(F.abs(r[key] - value).alias("k"), r[out].alias("v"))))["v"])
+    # a transform over an array of one finds the value once, not for each row of the table
+    least = lambda v: F.array_min(F.transform(table, lambda r: F.struct(F.abs(r[key] - v).alias("k"), r[out].alias("v"))))["v"]
+    return F.when(value.isNotNull(), F.get(F.transform(F.array(value), least), F.lit(0)))
 
 
 def visibility_sm(metres: Column) -> Column:
@@ -79,9 +85,8 @@ def visibility(token: Column) -> dict[str, Column]:
 
 
 def fields(raw: str = "raw") -> dict[str, Column]:
-    """The fields of a report whose sections are in column _s."""
-    s = F.col("_s")
-    all_ = lambda name: F.transform(F.filter(s, lambda x: x["section"] == name), lambda x: x["token"])
+    """The fields of a report whose sections' tokens are in columns _t_ and the section's name."""
+    all_ = lambda name: F.col(f"_t_{name}")
     one = lambda name: F.get(all_(name), F.lit(0))
     part = lambda name, p, n=1: F.nullif(F.regexp_extract(one(name), p, n), F.lit(""))
     signed = lambda c: F.regexp_replace(c, "^M", "-").cast("int")
@@ -105,11 +110,16 @@ def fields(raw: str = "raw") -> dict[str, Column]:
     }
 
 
+def _of(name: str):
+    return lambda x: x["section"] == name
+
+
 def parse_reports(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Report lines to their fields, beside the columns to keep and the raw line; blank lines and those that begin with # are left out."""
     text = F.trim(F.col(column))
     rows = lines.where((text != "") & ~text.startswith("#")).select(*keep, F.regexp_replace(text, r"\s*=\s*$", "").alias("raw"))
-    return rows.withColumn("_s", sections(F.col("raw"))).select(*keep, *(c.alias(n) for n, c in fields().items()), "raw")
+    held = {f"_t_{name}": F.transform(F.filter("_s", _of(name)), lambda x: x["token"]) for name, _, _ in SECTIONS}
+    return rows.withColumn("_s", sections(F.col("raw"))).select("*", *(c.alias(k) for k, c in held.items())).select(*keep, *(c.alias(n) for n, c in fields().items()), "raw")
 
 
 #: The sections of a forecast group, after its kind and times.
@@ -119,18 +129,26 @@ GROUP_SECTIONS = [
 ]
 
 
-def group_fields(text: Column) -> dict[str, Column]:
-    """What a forecast group says, null where it says nothing: the fields of `operators.forecast_state`, altimeter in hundredths of an inch.
+def group_sections(text: Column) -> Column:
+    """The sections of a forecast group, to be held in a column of their own for `group_tokens`."""
+    return sections(text, GROUP_SECTIONS, "RMK|LAST|LIMITED")
+
+
+def group_tokens(s: Column) -> dict[str, Column]:
+    """What `group_fields` reads of a group's sections; columns as well, as each is read several times."""
+    all_ = lambda name: F.transform(F.filter(s, lambda x: x["section"] == name), lambda x: x["token"])
+    return {"_wind": F.get(all_("wind"), F.lit(0)), "_visibility": F.get(all_("visibility"), F.lit(0)), "_weather": all_("weather"), "_sky": all_("sky"), "_altimeter": F.get(all_("altimeter"), F.lit(0))}
+
+
+def group_fields() -> dict[str, Column]:
+    """What a forecast group says by the columns of `group_tokens`, null where it says nothing: the fields of `operators.forecast_state`, altimeter in hundredths of an inch.
 
     A group that says its weather is NSW says there is none, as an empty text. Its ceiling is the lowest broken or overcast layer.
     """
-    s = sections(text, GROUP_SECTIONS, "RMK|LAST|LIMITED")
-    all_ = lambda name: F.transform(F.filter(s, lambda x: x["section"] == name), lambda x: x["token"])
-    one = lambda name: F.get(all_(name), F.lit(0))
-    part = lambda name, p: F.nullif(F.regexp_extract(one(name), p, 1), F.lit("")).cast("long")
-    bases = F.transform(F.filter(all_("sky"), lambda t: t.rlike(r"^(?:BKN|OVC|VV)\d{3}")), lambda t: F.regexp_extract(t, r"(\d{3})", 1).cast("long") * 100)
-    weather = F.array_join(F.filter(all_("weather"), lambda t: t != "NSW"), " ")
+    part = lambda name, p: F.nullif(F.regexp_extract(f"_{name}", p, 1), F.lit("")).cast("long")
+    bases = F.transform(F.filter("_sky", lambda t: t.rlike(r"^(?:BKN|OVC|VV)\d{3}")), lambda t: F.regexp_extract(t, r"(\d{3})", 1).cast("long") * 100)
+    weather = F.array_join(F.filter("_weather", lambda t: t != "NSW"), " ")
     return {
-        "wind_dir": part("wind", r"^(\d{3})"), "wind_speed": part("wind", r"^(?:\d{3}|VRB)(\d{2,3})"), "gust": part("wind", r"G(\d{2,3})"), "vis_m": visibility(one("visibility"))["vis_m"].cast("long"),
-        "ceiling_ft": F.array_min(bases), "weather": F.when(F.size(all_("weather")) > 0, weather), "altimeter": part("altimeter", r"(\d{4})"),
+        "wind_dir": part("wind", r"^(\d{3})"), "wind_speed": part("wind", r"^(?:\d{3}|VRB)(\d{2,3})"), "gust": part("wind", r"G(\d{2,3})"), "vis_m": visibility(F.col("_visibility"))["vis_m"].cast("long"),
+        "ceiling_ft": F.array_min(bases), "weather": F.when(F.size("_weather") > 0, weather), "altimeter": part("altimeter", r"(\d{4})"),
     }

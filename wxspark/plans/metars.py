@@ -56,7 +56,8 @@ def read_groups(texts: DataFrame) -> DataFrame:
     anchor = F.timestamp_micros((F.col("valid_h") + HOUR0) * 3_600_000_000).cast("timestamp_ntz")
     rows = forecast_state.absolutise(forecast_state.absolutise(rows.withColumn("_anchor", anchor), "_anchor", "from_token", "_from"), "_anchor", "to_token", "_to")
     hour = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 3_600_000_000).cast("long") - HOUR0
-    return rows.select("doc", "station", "kind", "valid_h", hour("_from").alias("start"), F.coalesce(hour("_to"), F.col("valid_h") + HOURS).alias("end"), *(v.alias(k) for k, v in metar.group_fields(F.col("group_text")).items()))
+    rows = rows.withColumn("_s", metar.group_sections(F.col("group_text"))).select("*", *(c.alias(k) for k, c in metar.group_tokens(F.col("_s")).items()))
+    return rows.select("doc", "station", "kind", "valid_h", hour("_from").alias("start"), F.coalesce(hour("_to"), F.col("valid_h") + HOURS).alias("end"), *(v.alias(k) for k, v in metar.group_fields().items()))
 
 
 def t19_scores_of_texts(spark, d):
