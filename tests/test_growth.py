@@ -9,6 +9,7 @@ from wxspark.functions import metar
 from wxspark.functions import weather as wx
 from wxspark.operators import forecast_state, matching
 from wxspark.plans import documents, forecasts
+from wxspark.sources import documents as sources
 from wxspark.sources.documents import FIELDS
 
 
@@ -76,3 +77,20 @@ def test_a_token_is_placed_once_and_late_ones_ask_no_pattern(spark):
     assert [x["section"] for x in got.first().s] == ["type", "station", "time", "wind", "visibility", "weather", "sky", "temperature", "pressure"]
     # each pattern stands once in the fold, where it stood four times
     assert got._jdf.queryExecution().analyzed().toString().count("RLIKE(") <= 2 * (len(metar.SECTIONS) + 1)
+
+
+def test_events_of_documents_are_bits_and_each_pattern_is_matched_once(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {(r.doc, documents.EVENTS[r.event][0], side, r.h + k) for r in documents.event_patterns(spark, sf).collect() for side, bits in (("f", r.f), ("o", r.o)) for k in range(documents.HOURS) if bits >> k & 1}
+    want = set()
+    c = documents.candidates(spark, sf).join(documents._truth(spark, sf), ["station", "t"], "left")
+    for i, (n, x) in enumerate(documents.EVENTS):
+        said, seen = F.expr(x.format(p="")), F.col("o_wind_speed").isNotNull() & F.expr(x.format(p="o_"))
+        want |= {(r.doc, n, "f", r.t) for r in c.where(said).select("doc", "t").collect()} | {(r.doc, n, "o", r.t) for r in c.where(seen).select("doc", "t").collect()}
+    assert got == want and len(got) > 1000
+    assert documents.t05_document_episodes(spark, sf).count() > 0
+
+
+def test_parts_grow_with_the_table(spark):
+    lines = spark.range(1000, numPartitions=50)
+    assert sources.parts(spark, lines) == 50 * sources.PER_SPLIT > sources.parts(spark, spark.range(10, numPartitions=1))
