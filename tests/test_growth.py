@@ -1,6 +1,7 @@
 """Steps that grew faster than their input: the same results as brute force, without pairs of all rows or a task call a group."""
 
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from wxspark.functions import metar
 from wxspark.functions import weather as wx
 from wxspark.operators import forecast_state, matching
-from wxspark.plans import documents, forecasts
+from wxspark.plans import amendments, documents, forecasts
 from wxspark.sources import documents as sources
 from wxspark.sources.documents import FIELDS
 
@@ -91,6 +92,14 @@ def test_events_of_documents_are_bits_and_each_pattern_is_matched_once(spark):
     assert documents.t05_document_episodes(spark, sf).count() > 0
 
 
+def test_rules_read_one_folding_of_the_documents(spark):
+    q = amendments.t03g_headline(spark, "/root/testdata/sf0.001")
+    plan = re.sub(r"#\d+L?", "", q._jdf.queryExecution().optimizedPlan().toString())
+    folds = [line.strip(" :+-") for line in plan.splitlines() if "Filter" in line and "i.station" in line]
+    # what one reader filters must not go below the exchange, or each has its own
+    assert len(folds) > 4 and len(set(folds)) == 1
+
+
 def test_parts_grow_with_the_table(spark):
     lines = spark.range(1000, numPartitions=50)
     assert sources.parts(spark, lines) == 50 * sources.PER_SPLIT > sources.parts(spark, spark.range(10, numPartitions=1))

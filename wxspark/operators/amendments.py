@@ -80,12 +80,12 @@ def meets(target: str, o: str, ceiling_known: Column | None = None) -> Column:
 # --- rules by hour ---------------------------------------------------------------------------
 
 
-def state_rules(candidates: DataFrame, predominant: DataFrame) -> DataFrame:
+def state_rules(candidates: DataFrame, predominant: DataFrame, on: tuple[str, ...] = ("doc", "hour")) -> DataFrame:
     """The predominant state of an hour against the prevailing state and its alternates.
 
-    candidates: doc, hour, fields, altimeter, alternate; predominant: doc, hour and p_ fields. What isn't known fails nothing.
+    candidates: doc, hour, fields, altimeter, alternate; predominant: doc (or what else they meet on), hour and p_ fields. What isn't known fails nothing.
     """
-    j = candidates.join(predominant, ["doc", "hour"])
+    j = candidates.join(predominant, list(on))
     same = F.col("_fc") == F.col("_oc")
     hours = (
         j.withColumn("_fc", category("")).withColumn("_oc", category("p_", F.col("p_ceiling_known")))
@@ -99,29 +99,57 @@ def state_rules(candidates: DataFrame, predominant: DataFrame) -> DataFrame:
     return hours.select("doc", "hour", F.explode(F.array_compact(rules)).alias("x")).select("doc", "x.rule", "hour", "x.reason")
 
 
+def storm_spans(held: DataFrame, by: list[str]) -> DataFrame:
+    """by, start, end of the observed thunderstorms: runs of reports with one, each of which holds until the next report, the last one to the end of the validity."""
+    at = W.partitionBy(*by).orderBy("at", "id")
+    seen = held.withColumn("until", F.coalesce(F.lead("at").over(at), F.greatest("vt", "at"))).withColumn("storm", F.coalesce(F.col("weather").contains("TS"), F.lit(False)))
+    return intervals.islands(seen, by, ["at", "id"], "storm").groupBy(*by, "island").agg(F.min("at").alias("start"), F.max("until").alias("end")).drop("island")
+
+
+def storms_of(documents: DataFrame, seen: DataFrame) -> DataFrame:
+    """T03d as in `storms`, where many documents share their reports: documents are rows and no hour or report is dealt to one.
+
+    documents: doc, h (first hour), hours and storm: the hours from h on with a forecast thunderstorm, as bits; and the columns by which
+    seen: (those columns, seen: array of start, end, from `storm_spans`) is met.
+    """
+    on = [c for c in seen.columns if c != "seen"]
+    bit = lambda k: f"(shiftright(storm, cast({k} as int)) & 1L = 1L)"
+    places = "sequence(0L, cast(hours - 1 as bigint))"
+    begins, ends = f"filter({places}, k -> {bit('k')} and (k = 0 or not {bit('(k - 1)')}))", f"filter({places}, k -> {bit('k')} and (k = hours - 1 or not {bit('(k + 1)')}))"
+    rows = documents.join(seen, on, "left").where("storm <> 0 or seen is not null").withColumn("seen", F.coalesce("seen", F.array().cast("array<struct<start:bigint,end:bigint>>")))
+    rows = rows.withColumn("said", F.expr(f"zip_with({begins}, {ends}, (a, b) -> named_struct('start', (h + a) * {HOUR}, 'end', (h + b + 1) * {HOUR}))"))
+    tol = STORM_MIN * MINUTE
+    unforecast = f"transform(filter(seen, x -> not exists(said, y -> y.start <= x.start + {tol} and y.end >= x.start - {tol})), x -> named_struct('at', x.start, 'rank', 1))"
+    unseen = f"transform(filter(said, y -> not exists(seen, x -> x.start <= y.end + {tol} and x.end >= y.start - {tol})), y -> named_struct('at', y.start, 'rank', 0))"
+    rows = rows.select("doc", F.explode(F.expr(f"concat({unforecast}, {unseen})")).alias("x")).select("doc", hour_of(F.col("x.at")).alias("hour"), "x.rank")
+    return _storm_fails(rows)
+
+
 def storms(held: DataFrame, forecast: DataFrame) -> DataFrame:
     """T03d: an observed thunderstorm that begins over 30 minutes from any forecast one, and a forecast one without an observed one so near.
 
     held: `reports_of`; forecast: doc, hour, storm for every hour. Spans of both sides are merged first.
     """
-    at = W.partitionBy("doc").orderBy("at", "id")
-    seen = held.withColumn("until", F.coalesce(F.lead("at").over(at), F.greatest("vt", "at"))).withColumn("storm", F.coalesce(F.col("weather").contains("TS"), F.lit(False)))
-    seen = intervals.islands(seen, ["doc"], ["at", "id"], "storm").groupBy("doc", "island").agg(F.min("at").alias("start"), F.max("until").alias("end"))
+    seen = storm_spans(held, ["doc"])
     said = intervals.islands(forecast, ["doc"], ["hour"], "storm").groupBy("doc", "island").agg((F.min("hour") * HOUR).alias("start"), ((F.max("hour") + 1) * HOUR).alias("end"))
     onset = seen.withColumn("end", F.col("start"))
     unforecast = intervals.unmet(onset, said, ["doc"], STORM_MIN * MINUTE, HOUR).select("doc", hour_of(F.col("start")).alias("hour"), F.lit(1).alias("rank"))
     unseen = intervals.unmet(said, seen, ["doc"], STORM_MIN * MINUTE, HOUR).select("doc", hour_of(F.col("start")).alias("hour"), F.lit(0).alias("rank"))
+    return _storm_fails(unforecast.union(unseen))
+
+
+def _storm_fails(rows: DataFrame) -> DataFrame:
     reason = F.element_at(F.array(F.lit("forecast storm did not occur"), F.lit("observed storm unforecast")), F.min("rank") + 1)
-    return unforecast.union(unseen).groupBy("doc", "hour").agg(reason.alias("reason")).select("doc", F.lit("thunderstorm").alias("rule"), "hour", "reason")
+    return rows.groupBy("doc", "hour").agg(reason.alias("reason")).select("doc", F.lit("thunderstorm").alias("rule"), "hour", "reason")
 
 
-def temporary(targets: DataFrame, predominant: DataFrame) -> DataFrame:
+def temporary(targets: DataFrame, predominant: DataFrame, on: tuple[str, ...] = ("doc", "hour")) -> DataFrame:
     """T03e: a temporary condition that was the predominant state of an hour of its window, or that never occurred in it.
 
     targets: doc, grp, start, end (hours), t_ fields and says_ flags; predominant: doc, hour, p_ fields and weather_seen, all
     weather of the hour. An hour's brief weather counts as an occurrence if the group speaks of weather.
     """
-    hours = targets.withColumn("hour", F.explode(F.sequence("start", F.col("end") - 1))).join(predominant, ["doc", "hour"])
+    hours = targets.withColumn("hour", F.explode(F.sequence("start", F.col("end") - 1))).join(predominant, list(on))
     brief = F.col("says_weather") & (F.size(F.array_except(classes(F.col("t_weather")), classes(F.col("weather_seen")))) == 0)
     met = hours.withColumn("_met", meets("t_", "p_", F.col("p_ceiling_known"))).withColumn("_brief", brief)
     each = met.groupBy("doc", "grp").agg(F.min(F.when(F.col("_met"), F.col("hour"))).alias("held"), F.min("hour").alias("first"), F.bool_or(F.col("_met") | F.col("_brief")).alias("occurred"))
@@ -130,13 +158,13 @@ def temporary(targets: DataFrame, predominant: DataFrame) -> DataFrame:
     return fails.groupBy("doc", "hour").agg(reason.alias("reason")).select("doc", F.lit("tempo").alias("rule"), "hour", "reason")
 
 
-def changes(targets: DataFrame, held: DataFrame) -> DataFrame:
+def changes(targets: DataFrame, held: DataFrame, on: tuple[str, ...] = ("doc",)) -> DataFrame:
     """T03f: a change that isn't there within 30 minutes of its time, or that came early and lasted for 30 minutes.
 
     targets: doc, grp, due (the time), t_ fields and says_ flags; held: `reports_of` with o_ fields. The ordered pattern
     (first match from the due time on; runs of matches before it) is two aggregates over numbered runs.
     """
-    rows = targets.join(held, "doc").withColumn("met", meets("t_", "o_"))
+    rows = targets.join(held, list(on)).withColumn("met", meets("t_", "o_"))
     first = rows.groupBy("doc", "grp", "due", "vf", "vt").agg(F.min(F.when(F.col("met") & (F.col("at") >= F.col("due")), F.col("at"))).alias("first"))
     late = first.where(F.col("first").isNull() | (F.col("first") > F.col("due") + CHANGE_MIN * MINUTE)).select("doc", "vf", "vt", hour_of(F.when(F.col("due") < F.col("vt"), F.col("due")).otherwise(F.col("vt") - HOUR)).alias("hour"), F.lit(True).alias("late"))
     early = intervals.islands(rows.where("at < due"), ["doc", "grp"], ["at", "id"], "met").groupBy("doc", "grp", "vf", "vt", "island").agg(F.min("at").alias("start"), F.max("at").alias("end"))
@@ -154,8 +182,18 @@ def episodes(fails: DataFrame, available: DataFrame, gaps: DataFrame) -> DataFra
 
     available: doc, hour of the hours that truth covers; failures in others don't count. gaps: doc, start, end (times).
     """
-    off = service_hours(available, gaps)
-    rows = fails.join(off, ["doc", "hour"])
+    return _episodes(_marked(fails, available, gaps))
+
+
+def _marked(fails: DataFrame, available: DataFrame, gaps: DataFrame) -> DataFrame:
+    """doc, hour, off, rules: the hours that truth covers, each with the rules that fail in it. Dealt by document once, which serves whatever is counted by document."""
+    off = service_hours(available, gaps).select("doc", "hour", "off", F.lit(None).cast("string").alias("rule"))
+    rows = off.unionByName(fails.select("doc", "hour", F.lit(None).cast("boolean").alias("off"), "rule")).repartition("doc")
+    return rows.groupBy("doc", "hour").agg(F.max("off").alias("off"), F.collect_set("rule").alias("rules")).where("off is not null")
+
+
+def _episodes(marked: DataFrame) -> DataFrame:
+    rows = marked.select("doc", "hour", "off", F.explode_outer("rules").alias("rule")).where("rule is not null")
     number = F.row_number().over(W.partitionBy("doc", "rule").orderBy("hour"))
     return rows.withColumn("_run", F.col("hour") - number).groupBy("doc", "rule", "_run").agg(F.min("hour").alias("onset"), F.count("*").alias("hours"), F.bool_and("off").alias("after_service")).drop("_run")
 
@@ -172,10 +210,11 @@ def headline(fails: DataFrame, available: DataFrame, gaps: DataFrame) -> DataFra
 
     Episodes with one onset are one trigger; one that lies in a gap from end to end is left out of the headline.
     """
-    eps = episodes(fails, available, gaps)
+    marked = _marked(fails, available, gaps)
+    eps = _episodes(marked)
     triggers = eps.groupBy("doc", "onset").agg(F.bool_or(~F.col("after_service")).alias("counts")).groupBy("doc").agg(F.count_if("counts").alias("triggers"), F.count_if(~F.col("counts")).alias("triggers_after_service"))
-    hours = service_hours(available, gaps).join(fails.select("doc", "hour").distinct().withColumn("_fails", F.lit(True)), ["doc", "hour"], "left")
-    bad = F.coalesce("_fails", F.lit(False)) & ~F.col("off")
+    hours = marked.where("doc is not null")
+    bad = (F.size("rules") > 0) & ~F.col("off")
     scored = hours.groupBy("doc").agg(F.count("*").alias("hours_scored"), F.count_if(~bad).alias("hours_in_spec"), F.count_if("off").alias("hours_after_service"))
     none = F.lit(0).cast("long")
     return scored.join(triggers, "doc", "left").select("doc", "hours_scored", "hours_in_spec", F.round(F.col("hours_in_spec") / F.col("hours_scored"), 6).alias("in_spec"), "hours_after_service", F.coalesce("triggers", none).alias("triggers"), F.coalesce("triggers_after_service", none).alias("triggers_after_service"))
