@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import helpers
@@ -479,3 +480,34 @@ def test_pii_a_long_chain_of_discoveries_is_found_whole(spark):
     assert got.pop(98) == "" and all(got.values())
     few = {x.doc_id: x.spans for x in op8.find(frame(spark, docs), confidence=0.1, rounds=2).collect()}
     assert few[1000] and not few[99]
+
+
+def test_op9_joins_by_code_that_the_jvm_compiles(spark):
+    found = op9.texts(spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog\nthe quick brown fox jumped over a lazy dog")], "doc_id long, text string"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        code = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(op9.links(found)._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # methods of over 8000 bytes stay interpreted; a dozen keys in one array were 19,915, the letters' bound 8,509
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert len(sizes) > 5 and max(sizes) < 8000
+    # a place for each of the substrings, of which some are beyond the line's end
+    assert len(op9._probe_places(2)) == 12 and 2 * 8 < op9._probes(op9._parts(found, 2), 2).count() <= 2 * 12
+
+
+def test_op9_letters_bound_is_that_of_each_letter(spark):
+    rng = random.Random(8)
+    lines = ["".join(rng.choice(op9.COUNTED + "xyz") for _ in range(rng.randrange(40))) for _ in range(60)]
+    lines += [x[:i] + rng.choice("aeh") + x[i + rng.randrange(2) :] for x in lines if x for i in [rng.randrange(len(x))]]
+    df = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("h1", F.xxhash64("line")).select("line", op9._with_counts().alias("id"))
+    pairs = df.selectExpr("line x", "id a").crossJoin(df.selectExpr("line y", "id b"))
+    for edits in (1, 2, 3):
+        seen = collections.Counter()
+        for r in pairs.select("x", "y", op9._within_counts("a", "b", edits).alias("ok")).collect():
+            # modulo 8, of which four is too many on both sides
+            d = [(r.x.count(c) - r.y.count(c)) % 8 for c in op9.COUNTED]
+            want = sum(n for n in d if n <= 4) <= edits and sum(8 - n for n in d if n >= 4) <= edits
+            assert r.ok == want
+            seen[want] += 1
+        assert min(seen[True], seen[False]) > 60

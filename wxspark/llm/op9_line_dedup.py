@@ -48,15 +48,20 @@ def _with_counts() -> Column:
 
 
 def _within_counts(a: str, b: str, edits: int) -> Column:
-    """An edit adds one letter at most and takes one away at most, so neither sum over the letters exceeds the edits."""
+    """An edit adds one letter at most and takes one away at most, so neither sum over the letters exceeds the edits.
+
+    All counts are taken apart at once: three bits each, the top one of which keeps a borrow inside its own. A difference of four or more is taken for the
+    nearer of both signs, and of neither is it within three edits.
+    """
     if edits > 3:  # counts are known modulo 8
         return F.lit(True)
-    more, less = F.lit(0), F.lit(0)
-    for i in range(len(COUNTED)):
-        x, y = (F.shiftright(F.col(c), 3 * i).bitwiseAND(F.lit(7)).cast("int") for c in (a, b))
-        d = (x - y + 8).bitwiseAND(F.lit(7))
-        more, less = more + F.when(d < 4, d).otherwise(0), less + F.when(d > 4, 8 - d).otherwise(0)
-    return (more <= edits) & (less <= edits)
+    ones = sum(1 << 3 * i for i in range(len(COUNTED)))
+    low, mid, top, all_ = f"{ones}L", f"{2 * ones}L", f"{4 * ones}L", f"{7 * ones}L"
+    d = f"((({a} & {all_} | {top}) - ({b} & {3 * ones}L)) ^ (({a} ^ ~{b}) & {top}))"
+    less = f"(shiftright({d} & {top}, 1) | shiftright({d} & {top}, 2))"
+    gains = f"bit_count({d} & {low} & ~{less}) + 2 * bit_count({d} & {mid} & ~{less})"
+    losses = f"bit_count(~{d} & {low} & {less}) + 2 * bit_count(~{d} & {mid} & {less}) + bit_count({d} & {top})"
+    return F.expr(f"{gains} <= {edits} and {losses} <= {edits}")
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -70,15 +75,15 @@ def places(docs: DataFrame) -> DataFrame:
     return lines(docs).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "line_no"))).alias("first"))
 
 
-def _segment(i: int, k: int, n: str) -> tuple[str, str]:
+def _segment(i: int | str, k: int, n: str) -> tuple[str, str]:
     """Start (from 1) and length of the i-th of k segments of a line of n code points: even, longer ones last."""
     short, base = f"({k} - {n} % {k})", f"({n} div {k})"
-    return f"({i - 1} * {base} + greatest(0, {i - 1} - {short}) + 1)", f"({base} + if({i} > {short}, 1, 0))"
+    return f"(({i} - 1) * {base} + greatest(0, {i} - 1 - {short}) + 1)", f"({base} + if({i} > {short}, 1, 0))"
 
 
-def _begin(i: int, k: int, edits: int) -> str:
+def _begin(i: int | str, k: int, edits: int) -> str:
     """A place at or before all that the i-th segment's substrings may begin at."""
-    return f"greatest(1, {i - 1} * ((n - {edits}) div {k}) + 1 - {edits})"
+    return f"greatest(1, ({i} - 1) * ((n - {edits}) div {k}) + 1 - {edits})"
 
 
 def _parts(found: DataFrame, edits: int) -> DataFrame:
@@ -99,17 +104,24 @@ def _index_keys(edits: int) -> str:
     return f"array({', '.join(out)})"
 
 
-def _probe_keys(edits: int) -> tuple[str, int]:
-    """Keys of the substrings that may meet a segment of a line shorter by 0 .. edits code points; how many are for 0."""
-    k, out, even = edits + 1, [], 0
-    for less in range(edits + 1):
-        for i in range(1, k + 1):
-            start, size = _segment(i, k, f"(n - {less})")
-            for move in range(max(1 - i, less - (k - i)), min(i - 1, less + k - i) + 1):
-                key = f"xxhash64(n - {less}, {i}, {_cut(i, k, edits, f'{start} + {move}', size)})"
-                out.append(f"if({start} + {move} between 1 and n - {size} + 1, {key}, null)")
-        even = even or len(out)
-    return f"array({', '.join(out)})", even
+def _probe_places(edits: int) -> list[tuple[int, int, int]]:
+    """(less, i, move): the substrings that may meet the i-th segment of a line shorter by `less` code points begin `move` behind its start."""
+    k = edits + 1
+    return [(less, i, move) for less in range(edits + 1) for i in range(1, k + 1) for move in range(max(1 - i, less - (k - i)), min(i - 1, less + k - i) + 1)]
+
+
+def _probes(parts: DataFrame, edits: int) -> DataFrame:
+    """key, b, even (the lines are of one length): a row for each substring that may meet a segment of a line shorter by 0 .. edits code points.
+
+    The places are dealt out before their keys are cut, so that the code of a key stands once: a dozen keys in one method are more than the JVM compiles.
+    """
+    k = edits + 1
+    places = ", ".join(f"named_struct('less', {less}, 'i', {i}, 'move', {move})" for less, i, move in _probe_places(edits))
+    start, size = _segment("i", k, "(n - less)")
+    dealt = parts.select("*", F.expr(f"inline(array({places}))")).select("*", F.expr(f"{start} + move").alias("at"), F.expr(size).alias("size"))
+    part = "case i " + " ".join(f"when {i} then part{i}" for i in range(1, k + 1)) + " end"
+    key = f"xxhash64(n - less, i, substring({part}, at - {_begin('i', k, edits)} + 1, size))"
+    return dealt.where("at between 1 and n - size + 1").select(F.expr(key).alias("key"), F.col("id").alias("b"), (F.col("less") == 0).alias("even"))
 
 
 def within_edits(a: str, b: str, edits: int) -> Column:
@@ -140,9 +152,8 @@ def within_edits(a: str, b: str, edits: int) -> Column:
 def links(found: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Linked lines, both ways: (h1, h2) and its partner (o1, o2)."""
     parts = _parts(found.where(F.col("n") >= min_chars), edits)
-    keys, even = _probe_keys(edits)
     index = parts.select(F.explode(F.expr(_index_keys(edits))).alias("key"), F.col("id").alias("a"))
-    probe = parts.select(F.posexplode(F.expr(keys)).alias("pos", "key"), F.col("id").alias("b")).where("key is not null").select("key", "b", (F.col("pos") < even).alias("even"))
+    probe = _probes(parts, edits)
     ordered = F.when(F.col("even"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
     pairs = index.join(probe, "key").where(ordered & _within_counts("a", "b", edits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     a, b = (found.select(F.col("id").alias(x), F.col("line").alias(f"{x}_line"), F.col("n").alias(f"{x}_n")) for x in "ab")
