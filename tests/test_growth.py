@@ -10,6 +10,7 @@ from wxspark.functions import metar
 from wxspark.functions import weather as wx
 from wxspark.operators import forecast_state, matching
 from wxspark.plans import amendments, documents, forecasts, revisions
+from wxspark.plans import reports as score_plans
 from wxspark.sources import documents as sources
 from wxspark.sources import tables
 from wxspark.sources.documents import FIELDS
@@ -115,3 +116,33 @@ def test_groups_of_states_come_from_stretches_not_hours(spark):
 def test_scores_find_the_reports_of_a_station_and_validity_once(spark):
     plan = revisions._scores(spark, "/root/testdata/sf0.001", tables.obs(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("rightHint=(strategy=broadcast)") == 2
+
+
+def test_subjects_read_one_folding_and_products_their_last_bulletins(spark):
+    sf = "/root/testdata/sf0.001"
+    plan = re.sub(r"#\d+L?", "", documents.t08_subjects(spark, sf)._jdf.queryExecution().optimizedPlan().toString())
+    # the composite was a second folding, whose hours met their product's in a shuffled join
+    assert sum("Filter" in line and "i.station" in line for line in plan.splitlines()) == 1
+    rng = random.Random(6)
+    rows = [(rng.randrange(3), 6 * rng.randrange(2), rng.randrange(400), "INITIAL") for _ in range(300)]
+    g = spark.createDataFrame(rows + rows[:20], "station long, valid_h long, doc long, kind string")
+    few, all_ = (forecast_state.composite(b, ["station", "valid_h"]).select("station", "valid_h", "bulletin", "start", "end") for b in (documents.latest_bulletins(g), documents.bulletins(g)))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, all_.collect())) and 24 < few.count() < 80 and documents.latest_bulletins(g).count() <= 72
+
+
+def test_altimeters_of_an_hour_are_one_row_that_is_broadcast(spark):
+    plan = amendments.skill_errors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=broadcast)") == 2
+
+
+def test_scores_are_summed_before_they_meet_their_order(spark, tmp_path):
+    rng = random.Random(7)
+    lines = [(rng.choice([None, *range(40)]), rng.choice("ANR"), "F", rng.choice([None, 1.0, 7.0, 33.0]), rng.choice([None, 0.0, 0.05, 0.1]), 0.0) for _ in range(400)]
+    orders = [(k, 1, "1-URGENT", 0) for k in [None, *range(5, 45), 7, 7, 9]]
+    spark.createDataFrame(lines, "l_orderkey long, l_returnflag string, l_linestatus string, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate int").write.parquet(f"{tmp_path}/orders.parquet")
+    want = score_plans.scored(spark, str(tmp_path)).groupBy("evaluation", "subject").agg(F.sum("earned").alias("e"), F.sum("available").alias("a"))
+    got = score_plans.scored_sums(spark, str(tmp_path))
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect())) and got.count() > 60
+    # lines and orders are dealt out once each, and not again for their sums
+    assert score_plans.a38_headline(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
